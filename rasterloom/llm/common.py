@@ -141,3 +141,12 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def word_text(name: str = "text"):
     """The words of a column as an array, with JVM functions only."""
     return F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def slices(batches, column: int | str, target_bytes: int = 4 << 20):
+    """Record batches cut so that a binary or text column holds about target_bytes in each, one row at least: bounds what a task holds."""
+    for batch in batches:
+        size = max(1, batch.column(column).nbytes)
+        rows = max(1, int(batch.num_rows * target_bytes / size))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

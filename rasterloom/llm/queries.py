@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import url_filter
+from rasterloom.llm import media, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.query,
+    "op10_media_columns": media.query,
 }
 
 ORACLE_SQL = {
