@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import media, url_filter
+from rasterloom.llm import bpe, media, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.query,
+    "op8_bpe": bpe.query,
     "op10_media_columns": media.query,
 }
 
