@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, media, url_filter
+from rasterloom.llm import bpe, media, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op6_url_filter": url_filter.query,
     "op8_bpe": bpe.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_media_columns": media.query,
 }
 
