@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, media, minhash, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from rasterloom.llm import bpe, decontaminate, line_dedup, media, minhash, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_minhash": minhash.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_toxicity": toxicity.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_url_filter": url_filter.query,
     "op7_suffix_tree_lm": suffix_tree_lm.query,
     "op8_bpe": bpe.query,
