@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from rasterloom.llm.common import in_blocks, mixed, shingle_hashes, span_hashes, text_buffer, word_bounds
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of minimisers, and of packed strings, that a bucket should hold.
 BUCKET_BYTES = 2 << 20
 #: Occurrences from which a minimiser counts as hot.
@@ -163,10 +163,10 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         counts = np.minimum(counts, 255).astype(np.uint8)
-        return _table(_MINIMISERS, [(b, number, hashes[order[lo:hi]].tobytes(), counts[order[lo:hi]].tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo])
+        return _table(_MINIMISERS, [(b, number, _short(hashes[order[lo:hi]]), counts[order[lo:hi]].tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo])
 
     def tell(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+        hashes = [_long(x.as_py()) for x in table.column("hashes")]
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]).astype(np.int64)
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(inverse, counts)
@@ -221,7 +221,7 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             for b in np.unique(goes).tolist():
                 mine, uses = order[cuts[b] : cuts[b + 1]], by[spans[b] : spans[b + 1]]
                 text = [strings[j] for j in mine.tolist()]
-                rows.append((b, number, hot, keys[mine].tobytes(), np.array([len(t) for t in text], np.int32).tobytes(), b"".join(text), place[owner[uses]].astype(np.int32).tobytes(), f[uses].astype(np.int32).tobytes(), value[mine].tobytes()))
+                rows.append((b, number, hot, keys[mine].tobytes(), np.array([len(t) for t in text], np.int32).tobytes(), _squeezed(b"".join(text)), place[owner[uses]].astype(np.int32).tobytes(), f[uses].astype(np.int32).tobytes(), value[mine].tobytes()))
         return _table(_PACKED, rows)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -238,7 +238,7 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             k = 0
             names = keys.tolist()
             for blob, cut in zip(part.column("strings").to_pylist(), column("lengths", np.int32), strict=True):
-                at = 0
+                blob, at = pa.decompress(blob, int(cut.sum()), "zstd", asbytes=True), 0
                 for n in cut.tolist():
                     same[k] = found.setdefault((names[k], blob[at : at + n]), len(found))
                     at, k = at + n, k + 1
@@ -282,6 +282,21 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, result)
 
 
+def _squeezed(text: bytes) -> bytes:
+    return pa.compress(text, "zstd", asbytes=True)
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of each hash. In a bucket, whose size is fixed, they hardly ever agree by chance, and if so some windows more are compared."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def _runs(x: np.ndarray) -> bytes:
     """Run lengths and values; neighbouring windows mostly have one answer."""
     at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
