@@ -150,6 +150,8 @@ def resolved(text: str, settings: Mapping[str, str] | None = None, tables: Mappi
             return arithmetic(rest)
         if kind == "setting":
             return settings.get(rest, "")
+        if not rest and kind in steps:
+            return str(steps[kind])
         part, _, place = rest.partition(":")
         moved = re.fullmatch(r"idx([+-]\d+)?", place)
         if moved:
@@ -159,8 +161,6 @@ def resolved(text: str, settings: Mapping[str, str] | None = None, tables: Mappi
         if kind in properties:
             values = properties[kind].get(part, [])
             return str(values[max(0, min(int(place or 1) - 1, len(values) - 1))]) if values else ""
-        if kind in steps:
-            return str(steps[kind])
         raise ValueError(f"unknown name in $[{inner}]$")
 
     for _ in range(LIMIT):
