@@ -52,12 +52,37 @@ def _value(node: ast.AST) -> float:
 
 def arithmetic(text: str) -> str:
     """The value of an arithmetic expression with 15 significant digits; whole numbers without a point. Operators: + - * / % ^, comparisons, && and ||, and c ? a : b."""
-    code = text.replace("&&", " and ").replace("||", " or ").replace("^", "**")
-    while m := re.fullmatch(r"(.*?)\?(.*):(.*)", code):
-        code = f"({m[2]}) if ({m[1]}) else ({m[3]})"
+    code = _choices(text.replace("&&", " and ").replace("||", " or ").replace("^", "**"))
     return f"{_value(ast.parse(code.strip(), mode='eval').body):.15g}"
 
 
+def _choices(code: str) -> str:
+    """c ? a : b written as Python has it, also within parentheses."""
+    depth = nested = 0
+    ask = None
+    for k, c in enumerate(code):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and c == ",":
+            return f"{_choices(code[:k])},{_choices(code[k + 1 :])}"
+        if depth == 0 and c == "?":
+            ask, nested = (k, 0) if ask is None else (ask, nested + 1)
+        elif depth == 0 and c == ":" and ask is not None:
+            if not nested:
+                return f"(({_choices(code[ask + 1 : k])}) if ({_choices(code[:ask])}) else ({_choices(code[k + 1 :])}))"
+            nested -= 1
+    out, begin = "", None
+    for k, c in enumerate(code):
+        if c == "(" and depth == 0:
+            begin = k
+        depth += (c == "(") - (c == ")")
+        if begin is None:
+            out += c
+        elif depth == 0:
+            out += f"({_choices(code[begin + 1 : k])})"
+            begin = None
+    return out
+
+
 def _truth(text: str) -> bool | None:
     word = text.strip().lower()
     if word in ("true", "yes"):

@@ -81,7 +81,7 @@ def _rounds(cells: DataFrame, tile: int, work, better) -> DataFrame:
         got = {(a, b): v for a, b, v in zip(*(arrivals.column(c).to_pylist() for c in ("x", "y", "value")), strict=True)}
         own, out = work({c: table.column(c).to_pylist() for c in table.column_names}, got)
         rows = [(x // tile, y // tile, x, y, v, False) for (x, y), v in own.items()] + [(x // tile, y // tile, x, y, v, True) for (x, y), v in out.items()]
-        columns = list(zip(*rows, strict=True))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()), strict=True)], ["tx", "ty", "x", "y", "value", "leaving"])
 
     arrivals, before = cells.sparkSession.createDataFrame([], "tx int, ty int, x int, y int, value double"), None
