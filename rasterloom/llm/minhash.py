@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         elif fresh.isEmpty():
             break
     named = classes.select("set_key", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", "class_id", F.coalesce("component", "class_id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
