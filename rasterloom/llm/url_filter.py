@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import LOWER_AZ, UPPER_AZ
+from rasterloom.llm.common import LOWER_AZ, UPPER_AZ, written
 
 #: Host and path of a url: after the first "://" up to "/", "?", "#" or the end, then up to "?", "#" or the end.
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -69,6 +69,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     expressions = expressions.withColumn("e_digest", F.sha2(F.concat_ws("\n", "e_host", "e_dir"), 256))
     found = expressions.join(wanted, F.substring("e_digest", 1, PREFIX_DIGITS) == F.col("r_prefix")).where(F.col("e_digest") == F.col("r_digest"))
     fitting = found.groupBy("u_host", "u_dir").agg(F.collect_set(F.struct((-F.length("r_host")).alias("a"), (-F.length("r_path")).alias("b"), "r_verdict", "r_host", "r_path")).alias("fits"))
+    # Written, so that the join below has plain exchanges on both sides and Spark can split a hot host's pages.
+    fitting = written(fitting)
     # Rules that end inside a directory's next name are settled here, against the whole path.
     judged = base.withColumn("u_dir", _directory(F.col("u_path"))).join(fitting, ["u_host", "u_dir"], "left")
     best = F.array_min(F.filter("fits", lambda r: F.startswith(F.col("u_path"), r["r_path"])))
