@@ -2,12 +2,16 @@
 
 Two permutations make every coordinate of a signature: the first scatters a shingle over the hash range,
 the second ranks the shingles, and is shifted circularly by one more step for each further coordinate.
-Bands of coordinates name buckets. In a bucket every member is first verified against one leader; only
-members that then still lie in different components meet each other.
+Bands of coordinates name buckets. A bucket's members are not paired with each other: all meet its hub, the
+member with the most bucket-mates. If one of two members is not linked with the hub, the two can only be
+linked if they share a shingle that the hub lacks (or are among the few of fitting sizes, which are named
+one by one), so the next, smaller buckets are those shingles. No link between different texts is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,28 +89,77 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose full sets are similar enough. texts: doc_id (unique), text."""
+#: Rounds of hubs; pairs that are open after the last one meet directly.
+ROUNDS = 8
+
+
+def compared(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """For each pair (a, b) of doc_ids: linked, both (size of the intersection), n_a, n_b, and rest (shingles of b that a lacks), from the full sets. texts: doc_id (unique), text."""
+    names = ["a", "b", "linked", "both", "n_a", "n_b", "rest"]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in slices(batches, "text_a", 1 << 19):
-            a, b = batch.column("text_a"), batch.column("text_b")
-            # A leader's text stands in many rows: equal neighbours are read once.
-            coded = [x.dictionary_encode() for x in (a, b)]
+            # A hub's text stands in many rows: it is read once.
+            coded = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
             sets = [shingle_sets(x.dictionary) for x in coded]
-            number = [x.indices.to_numpy(zero_copy_only=False) for x in coded]
-            ok = []
-            for i, j in zip(*number, strict=True):
+            out = []
+            for i, j in zip(*(x.indices.to_numpy(zero_copy_only=False) for x in coded), strict=True):
                 x = sets[0][0][sets[0][1][i] : sets[0][1][i + 1]]
                 y = sets[1][0][sets[1][1][j] : sets[1][1][j + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                rest = np.setdiff1d(y, x, assume_unique=True)
+                both = len(y) - len(rest)
+                out.append((100 * both >= percent * (len(x) + len(rest)), both, len(x), len(y), rest.view(np.int64)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, both long, n_a long, n_b long, rest array<long>")
+
+
+def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and next, the group's name: groups of two members and more of which one is open; of groups with equal members, one."""
+    marks = [F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))]
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("open").alias("u"), marks[0].alias("m1"), marks[1].alias("m2")).where("n > 1 and u > 0")
+    return groups.dropDuplicates(["n", "m1", "m2"]).select(*keys, F.xxhash64("n", "m1", "m2").alias("next"))
+
+
+def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
+    """Tables of links (a, b) that connect whatever members of a common bucket are linked. members: bucket, id (once a bucket), degree; texts: doc_id, text.
+
+    With c = percent / (100 + percent), two sets are linked if they share at least c times the sum of
+    their sizes. What x and y share within hub h is at most what x shares with h; where that is too
+    little, they share something outside h. It is enough only if y is smaller than c allows, so those
+    sizes are listed. A pair of which both are linked with h needs no link of its own.
+    """
+    c = percent / (100 + percent)
+    links = []
+    rows = members.select("bucket", "id", "degree", F.lit(True).alias("open"))
+    groups = written(rows.join(written(_groups(rows, ["bucket"])), "bucket").select(F.col("next").alias("g"), "id", "degree"))
+    for turn in range(ROUNDS):
+        hubs = written(groups.groupBy("g").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub")))
+        pairs = groups.join(hubs, "g").where("id <> hub").select("g", F.col("hub").alias("a"), F.col("id").alias("b"), "degree")
+        met = written(compared(pairs.select("a", "b").distinct(), texts, percent))
+        links.append(met.where("linked").select("a", "b"))
+        placed = pairs.join(met, ["a", "b"])
+        open_ = placed.groupBy("g").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("u")).where("n > 1 and u > 0").select("g")
+        placed = written(placed.join(open_, "g").select("g", F.col("b").alias("id"), "degree", (~F.col("linked")).alias("open"), "both", F.col("n_b").alias("size"), "rest"))
+        if placed.isEmpty():
+            break
+        fits = F.sequence(F.ceil(F.col("size") * percent / 100).cast("long"), F.floor(F.col("both") / c - F.col("size") + 1e-6).cast("long"))
+        small = placed.where("open").where(F.floor(F.col("both") / c - F.col("size") + 1e-6) >= F.ceil(F.col("size") * percent / 100)).select("g", F.col("id").alias("a"), F.col("size").alias("size_a"), F.explode(fits).alias("size"))
+        named = small.join(placed.select("g", F.col("id").alias("b"), "size", "both"), ["g", "size"]).where((F.col("a") != F.col("b")) & (F.col("both") + 1e-6 >= c * (F.col("size_a") + F.col("size"))))
+        named = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links.append(written(compared(named, texts, percent).where("linked").select("a", "b")))
+        rows = placed.select("g", "id", "degree", "open", F.explode("rest").alias("s"))
+        groups = written(rows.join(written(_groups(rows, ["g", "s"])), ["g", "s"]).select(F.col("next").alias("g"), "id", "degree"))
+        for table in (placed, hubs):
+            dropped(table)
+        if turn == ROUNDS - 1 and not groups.isEmpty():
+            left, right = groups.select("g", F.col("id").alias("a")), groups.select("g", F.col("id").alias("b"))
+            links.append(written(compared(left.join(right, "g").where("a < b").select("a", "b").distinct(), texts, percent).where("linked").select("a", "b")))
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -145,38 +198,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = written(signatures(docs))
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands"))
     classes = written(classes)
-    members = classes.select("class_id", F.posexplode("bands").alias("band", "bucket")).select("class_id", "bucket")
-    leaders = members.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(members.join(leaders, "bucket"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    texts = written(texts)
-    done = members.where("class_id <> leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct()
-    links = written(verified(done, texts, percent))
-    found = components(links)
-    # Members of a bucket that lie in different components have not all met; further rounds take new leaders, then all that are left.
-    tried = done
-    for last in (False, False, True):
-        placed = members.select("bucket", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
-        mixed_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        placed = placed.join(mixed_, "bucket")
-        if last:
-            # One row a bucket and member on either side; members of one component don't meet.
-            left, right = placed.select("bucket", F.col("class_id").alias("a"), F.col("component").alias("ca")), placed.select("bucket", F.col("class_id").alias("b"), F.col("component").alias("cb"))
-            fresh = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            # The leader is a member of the bucket's largest component, so that few others have to meet it.
-            sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("class_id").alias("leader"))
-            best = sizes.groupBy("bucket").agg(F.max_by(F.struct("component", "leader"), F.struct("n", "component")).alias("best"))
-            fresh = placed.join(best, "bucket").where("component <> best.component").select(F.least("class_id", "best.leader").alias("a"), F.greatest("class_id", "best.leader").alias("b")).distinct()
-        fresh = written(fresh.join(tried, ["a", "b"], "left_anti"))
-        more = written(verified(fresh, texts, percent))
-        tried = tried.union(fresh)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-        elif fresh.isEmpty():
-            break
+    members = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket"))
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = written(members.join(shared, "bucket"))
+    degrees = written(members.groupBy("id").agg(F.sum("n").alias("degree")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(degrees.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    links = all_links(members.drop("n").join(degrees, "id"), written(texts), percent)
+    found = written(components(reduce(lambda x, y: x.union(y), links)))
     named = classes.select("set_key", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", "class_id", F.coalesce("component", "class_id").alias("component"))
+    named = written(named)
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
