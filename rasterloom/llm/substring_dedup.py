@@ -16,7 +16,7 @@ SIZE, GRAM = 35, 8
 
 
 def _counter(size: int):
-    def count(minimisers: np.ndarray, strings: list[bytes], windows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def count(strings: list[bytes], windows: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Occurrences of each window of the packed strings: windows are sorted by a hash of their bytes, and neighbours of one hash are compared byte by byte."""
         data = np.frombuffer(b"".join(strings), np.uint8)
         offsets = np.cumsum([0, *map(len, strings)])

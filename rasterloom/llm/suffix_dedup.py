@@ -73,7 +73,7 @@ def refined(data: np.ndarray, limits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _smallest(size: int):
-    def smallest(minimisers: np.ndarray, strings: list[bytes], windows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def smallest(strings: list[bytes], windows: np.ndarray, values: np.ndarray) -> np.ndarray:
         data = np.frombuffer(b"".join(strings), np.uint8)
         lengths = np.array([*map(len, strings)])
         ends = np.cumsum(lengths)

@@ -127,7 +127,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _MINIMISERS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _KINDS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("kinds", pa.binary())])
-_PACKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hot", pa.bool_()), ("minimisers", pa.binary()), ("lengths", pa.binary()), ("strings", pa.binary()), ("owners", pa.binary()), ("firsts", pa.binary()), ("counts", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hot", pa.bool_()), ("lengths", pa.binary()), ("strings", pa.binary()), ("owners", pa.binary()), ("firsts", pa.binary()), ("counts", pa.binary())])
 _ANSWERS = pa.schema([("block", pa.int64()), ("firsts", pa.binary()), ("windows", pa.binary()), ("answers", pa.binary())])
 _SQL = {pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
 
@@ -140,9 +140,8 @@ def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
-#: Compares windows: gets, of the distinct packed strings of one bucket, their minimisers, bytes and numbers of windows, and a value each;
-#: gives each window's answer, string by string.
-Compare = Callable[[np.ndarray, list[bytes], np.ndarray, np.ndarray], np.ndarray]
+#: Compares windows: gets the distinct packed strings of one bucket, their numbers of windows, and a value each; gives each window's answer, string by string.
+Compare = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
 
 def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document: bool, compare: Compare, finish: Callable[[Block, np.ndarray, np.ndarray], pa.Table], result: str) -> DataFrame:
@@ -221,7 +220,7 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             for b in np.unique(goes).tolist():
                 mine, uses = order[cuts[b] : cuts[b + 1]], by[spans[b] : spans[b + 1]]
                 text = [strings[j] for j in mine.tolist()]
-                rows.append((b, number, hot, keys[mine].tobytes(), np.array([len(t) for t in text], np.int32).tobytes(), _squeezed(b"".join(text)), place[owner[uses]].astype(np.int32).tobytes(), f[uses].astype(np.int32).tobytes(), value[mine].tobytes()))
+                rows.append((b, number, hot, _squeezed(np.array([len(t) for t in text], np.int32)), _squeezed(b"".join(text)), _squeezed(place[owner[uses]].astype(np.int32)), _squeezed(np.diff(f[uses], prepend=0).astype(np.int32)), _squeezed(value[mine])))
         return _table(_PACKED, rows)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -230,19 +229,18 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             part = table.filter(pc.equal(table.column("hot"), hot))
             if not part.num_rows:
                 continue
-            column = lambda name, kind: [np.frombuffer(x, kind) for x in part.column(name).to_pylist()]  # noqa: E731, B023
-            keys, lengths, values = (np.concatenate(column(*x)) for x in (("minimisers", np.uint64), ("lengths", np.int32), ("counts", np.int64)))
-            sizes = [len(x) for x in column("lengths", np.int32)]
-            found: dict[tuple[int, bytes], int] = {}
-            same = np.empty(len(keys), np.int64)
+            column = lambda name, kind: [np.frombuffer(_restored(x), kind) for x in part.column(name).to_pylist()]  # noqa: E731, B023
+            lengths, values = column("lengths", np.int32), np.concatenate(column("counts", np.int64))
+            sizes = [len(x) for x in lengths]
+            found: dict[bytes, int] = {}
+            same = np.empty(sum(sizes), np.int64)
             k = 0
-            names = keys.tolist()
-            for blob, cut in zip(part.column("strings").to_pylist(), column("lengths", np.int32), strict=True):
-                blob, at = pa.decompress(blob, int(cut.sum()), "zstd", asbytes=True), 0
+            for blob, cut in zip(part.column("strings").to_pylist(), lengths, strict=True):
+                blob, at = _restored(blob), 0
                 for n in cut.tolist():
-                    same[k] = found.setdefault((names[k], blob[at : at + n]), len(found))
+                    same[k] = found.setdefault(blob[at : at + n], len(found))
                     at, k = at + n, k + 1
-            strings = [s for _, s in found]
+            strings = list(found)
             value = np.zeros(len(strings), np.int64)
             if by_document:
                 value[:] = NO_DOCUMENT
@@ -253,7 +251,7 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
                 windows, answers = np.ones(len(strings), np.int64), value
             else:
                 windows = np.array([(s.count(b" ") + 1 if words else len(s)) - size + 1 for s in strings])
-                answers = compare(np.array([z for z, _ in found], np.uint64), strings, windows, value)
+                answers = compare(strings, windows, value)
             begins = np.concatenate([[0], np.cumsum(windows)])
             cuts = np.cumsum([0, *sizes])
             for b, lo, hi, owner, first in zip(part.column("block").to_pylist(), cuts[:-1], cuts[1:], column("owners", np.int32), column("firsts", np.int32), strict=True):
@@ -261,7 +259,7 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
                 w = windows[own]
                 ends = np.cumsum(w)
                 all_answers = answers[np.repeat(begins[own] - np.concatenate([[0], ends[:-1]]), w) + np.arange(ends[-1])]
-                out.append((b, first.tobytes(), w.astype(np.int32).tobytes(), _runs(all_answers)))
+                out.append((b, _squeezed(first), _squeezed(w.astype(np.int32)), _squeezed(_runs(all_answers))))
         return _table(_ANSWERS, out)
 
     def settle(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -269,10 +267,10 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             return finish(None, np.zeros(0, np.int64), np.zeros(0, np.int64))
         firsts, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for f, w, a in zip(*(answers.column(c).to_pylist() for c in ("firsts", "windows", "answers")), strict=True):
-            f, w = np.frombuffer(f, np.int32).astype(np.int64), np.frombuffer(w, np.int32).astype(np.int64)
+            f, w = np.cumsum(np.frombuffer(_restored(f), np.int32), dtype=np.int64), np.frombuffer(_restored(w), np.int32).astype(np.int64)
             ends = np.cumsum(w)
             firsts.append(np.repeat(f - np.concatenate([[0], ends[:-1]]), w) + np.arange(ends[-1]))
-            values.append(_unrun(a))
+            values.append(_unrun(_restored(a)))
         return finish(Block.of(table, words), np.concatenate(firsts), np.concatenate(values))
 
     minimisers = blocked.groupBy("block").applyInArrow(send, _sql(_MINIMISERS))
@@ -282,8 +280,14 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, result)
 
 
-def _squeezed(text: bytes) -> bytes:
-    return pa.compress(text, "zstd", asbytes=True)
+def _squeezed(data: bytes | np.ndarray) -> bytes:
+    """data, compressed, after its length in 8 bytes."""
+    data = data.tobytes() if isinstance(data, np.ndarray) else data
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
 def _short(hashes: np.ndarray) -> bytes:
