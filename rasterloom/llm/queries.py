@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op2_minhash": minhash.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
 }

@@ -117,3 +117,19 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+part AS (SELECT doc_id, c, substr(x, 400 * c + 1, 498) AS part FROM h, unnest(range(0, CAST(length(x) AS BIGINT) // 400 + 1)) AS u(c)),
+win AS (SELECT doc_id, 200 * c + j AS i, substr(part, 2 * j - 1, 100) AS s FROM part, unnest(range(1, least(200, CAST(length(part) AS BIGINT) // 2 - 49) + 1)) AS u(j)),
+first AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM win JOIN first USING (s) WHERE d < doc_id),
+run AS (SELECT doc_id, i, count(*) FILTER (step IS NULL OR step > 50) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM run GROUP BY doc_id, g),
+piece AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM span),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS z, string_agg(substr(x, CAST(2 * y + 1 AS BIGINT), CAST(2 * (a - 1 - y) AS BIGINT)), '' ORDER BY a) AS k FROM piece JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE k || substr(x, CAST(2 * z + 1 AS BIGINT)) END)) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+"""
