@@ -50,7 +50,7 @@ def two(spark, d):
     """Two category bands: the event type's rank, and the user's number modulo 7."""
     events = table(spark, d, "events")
     kinds = zonal.numbered(events.select("event_type").distinct(), "event_type", "a")
-    rows = events.join(F.broadcast(kinds), "event_type")  # as many rows as there are event types
+    rows = events.join(kinds, "event_type")
     return cells_two(rows)
 
 
