@@ -89,12 +89,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
+#: Groups of so many members at most are compared pair by pair: their pairs stay in proportion to their members.
+SMALL = 8
 #: Rounds of hubs; pairs that are open after the last one meet directly.
 ROUNDS = 8
 
 
 def compared(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """For each pair (a, b) of doc_ids: linked, both (size of the intersection), n_a, n_b, and rest (shingles of b that a lacks), from the full sets. texts: doc_id (unique), text."""
+    """For each pair (a, b) of doc_ids: linked, both (size of the intersection), n_a, n_b, and rest, from the full sets. texts: doc_id (unique), text.
+
+    rest holds shingles of b that a lacks, in ascending order: all of a linked pair's, else as many as
+    must hold one that b shares with any set linked to it, outside a: that set has percent of b's shingles,
+    so of the first n_b - percent * n_b + 1 of rest it can't lack all.
+    """
     names = ["a", "b", "linked", "both", "n_a", "n_b", "rest"]
     kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
@@ -109,7 +116,9 @@ def compared(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                 y = sets[1][0][sets[1][1][j] : sets[1][1][j + 1]]
                 rest = np.setdiff1d(y, x, assume_unique=True)
                 both = len(y) - len(rest)
-                out.append((100 * both >= percent * (len(x) + len(rest)), both, len(x), len(y), rest.view(np.int64)))
+                linked = 100 * both >= percent * (len(x) + len(rest))
+                first = len(rest) if linked else len(y) - -(-len(y) * percent // 100) + 1
+                out.append((linked, both, len(x), len(y), rest[:first].view(np.int64)))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 
@@ -122,7 +131,7 @@ def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys and next, the group's name: groups of two members and more of which one is open; of groups with equal members, one."""
     marks = [F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))]
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("open").alias("u"), marks[0].alias("m1"), marks[1].alias("m2")).where("n > 1 and u > 0")
-    return groups.dropDuplicates(["n", "m1", "m2"]).select(*keys, F.xxhash64("n", "m1", "m2").alias("next"))
+    return groups.dropDuplicates(["n", "m1", "m2"]).select(*keys, F.xxhash64("n", "m1", "m2").alias("next"), "n")
 
 
 def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
@@ -136,8 +145,14 @@ def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> l
     c = percent / (100 + percent)
     links = []
     rows = members.select("bucket", "id", "degree", F.lit(True).alias("open"))
-    groups = written(rows.join(written(_groups(rows, ["bucket"])), "bucket").select(F.col("next").alias("g"), "id", "degree"))
+    groups = written(rows.join(written(_groups(rows, ["bucket"])), "bucket").select(F.col("next").alias("g"), "id", "degree", "n"))
     for turn in range(ROUNDS):
+        few = groups.where(F.col("n") <= SMALL)
+        pairs = few.select("g", F.col("id").alias("a")).join(few.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b").distinct()
+        links.append(written(compared(pairs, texts, percent).where("linked").select("a", "b")))
+        groups = groups.where(F.col("n") > SMALL).drop("n")
+        if groups.isEmpty():
+            break
         hubs = written(groups.groupBy("g").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub")))
         pairs = groups.join(hubs, "g").where("id <> hub").select("g", F.col("hub").alias("a"), F.col("id").alias("b"), "degree")
         met = written(compared(pairs.select("a", "b").distinct(), texts, percent))
@@ -153,7 +168,7 @@ def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> l
         named = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links.append(written(compared(named, texts, percent).where("linked").select("a", "b")))
         rows = placed.select("g", "id", "degree", "open", F.explode("rest").alias("s"))
-        groups = written(rows.join(written(_groups(rows, ["g", "s"])), ["g", "s"]).select(F.col("next").alias("g"), "id", "degree"))
+        groups = written(rows.join(written(_groups(rows, ["g", "s"])), ["g", "s"]).select(F.col("next").alias("g"), "id", "degree", "n"))
         for table in (placed, hubs):
             dropped(table)
         if turn == ROUNDS - 1 and not groups.isEmpty():

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from rasterloom.llm import minhash
 from tests.llm.helpers import clashing, documents, lower, prose, varied, words
@@ -40,7 +41,9 @@ def family(rng, base, n, edits):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("small", [2, 8])
+def test_against_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = random.Random(4)
     texts = [t for _, t in varied(rng)]
     texts += family(rng, prose(rng, 300), 25, 3) + family(rng, prose(rng, 300), 25, 6) + family(rng, prose(rng, 60), 10, 1) + ["One two", "one TWO", "one two three", "A b c d e f g h i j", "a b c d e f g h i j"]
