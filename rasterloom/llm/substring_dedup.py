@@ -24,7 +24,7 @@ def _counter(size: int):
         first = np.repeat(rows[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
         lo, hi = starts[first], ends[first + size - 1]
         hashes = span_hashes(data, lo, hi)
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
         text = data.tobytes()
         x, y = order[same], order[same + 1]

@@ -36,7 +36,7 @@ def refined(data: np.ndarray, limits: np.ndarray, size: int) -> np.ndarray:
     code = np.zeros(len(live), np.uint64)
     for j in range(lead):
         code = code << np.uint64(8) | data[live + j]
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     ranked = code[order]
     turn = np.append(True, ranked[1:] != ranked[:-1])
     # A bucket is named by its first place in the order, so buckets that a round leaves alone keep their names.
@@ -57,17 +57,14 @@ def refined(data: np.ndarray, limits: np.ndarray, size: int) -> np.ndarray:
         if len(at):
             x = suffixes[at]
             pointer = bucket[x + step]
-            order = np.lexsort((pointer, heads[at]))
+            order = np.argsort(heads[at] * n + pointer)
             x, h, p = x[order], heads[at][order], pointer[order]
             turn = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))
             fresh = np.append(True, h[1:] != h[:-1])
             place = np.arange(len(x))
             within = np.maximum.accumulate(np.where(turn, place, 0)) - np.maximum.accumulate(np.where(fresh, place, 0))
             new[x] = h + within
-        # Order of the suffixes that remain, by their new buckets.
-        suffixes = suffixes[long]
-        bucket = new
-        suffixes = suffixes[np.argsort(bucket[suffixes], kind="stable")]
+        suffixes, bucket = suffixes[long], new
         known += step
     return bucket
 

@@ -193,18 +193,17 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             if hot:
                 r, m, f = np.repeat(r, w), np.repeat(m, w), np.repeat(f - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
                 w = np.ones(len(f), np.int64)
-            found: dict[tuple[int, bytes] | bytes, int] = {}
+            found: dict[bytes, int] = {}
             owner, heads = np.zeros(len(f), np.int64), []
-            for k, (x, y, z) in enumerate(zip(f.tolist(), w.tolist(), m.tolist(), strict=True)):
+            for k, (x, y) in enumerate(zip(f.tolist(), w.tolist(), strict=True)):
                 string = block.packed(x, x + y + size - 1)
-                it = hashlib.blake2b(string, digest_size=16).digest() if hot else (z, string)
-                j = found.setdefault(it, len(heads))
+                j = found.setdefault(hashlib.blake2b(string, digest_size=16).digest() if hot else string, len(heads))
                 if j == len(heads):
                     heads.append(k)
                 owner[k] = j
             if not heads:
                 continue
-            strings = list(found) if hot else [s for _, s in found]
+            strings = list(found)
             keys = np.frombuffer(b"".join(s[:8] for s in strings), np.uint64) if hot else m[heads]
             value = np.bincount(owner, minlength=len(heads))
             if by_document:
@@ -283,7 +282,7 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
 def _squeezed(data: bytes | np.ndarray) -> bytes:
     """data, compressed, after its length in 8 bytes."""
     data = data.tobytes() if isinstance(data, np.ndarray) else data
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def _restored(data: bytes) -> bytes:
