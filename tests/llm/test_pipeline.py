@@ -18,8 +18,8 @@ STAGE = dict(corpus_pipeline.STAGES)
 @pytest.fixture(scope="module")
 def clean(spark):
     rng = random.Random(20)
-    rows = [(k, "\n".join(prose(rng, 30, 10**6) for _ in range(4))) for k in range(40)]
-    return rows
+    spell = str.maketrans("0123456789", "abcdefghij")
+    return [(k, "\n".join(prose(rng, 30, 10**6) for _ in range(4)).translate(spell)) for k in range(40)]
 
 
 def test_order():
