@@ -154,10 +154,11 @@ def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> l
         if groups.isEmpty():
             break
         hubs = written(groups.groupBy("g").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub")))
-        pairs = groups.join(hubs, "g").where("id <> hub").select("g", F.col("hub").alias("a"), F.col("id").alias("b"), "degree")
-        met = written(compared(pairs.select("a", "b").distinct(), texts, percent))
+        # Groups of one hub go on as one, so a member stands once beside it, however many bands they share.
+        pairs = groups.join(hubs, "g").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "degree").distinct()
+        met = written(compared(pairs.select("a", "b"), texts, percent))
         links.append(met.where("linked").select("a", "b"))
-        placed = pairs.join(met, ["a", "b"])
+        placed = pairs.join(met, ["a", "b"]).withColumn("g", F.col("a"))
         open_ = placed.groupBy("g").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("u")).where("n > 1 and u > 0").select("g")
         placed = written(placed.join(open_, "g").select("g", F.col("b").alias("id"), "degree", (~F.col("linked")).alias("open"), "both", F.col("n_b").alias("size"), "rest"))
         if placed.isEmpty():
