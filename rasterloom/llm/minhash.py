@@ -96,13 +96,14 @@ ROUNDS = 8
 
 
 def compared(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """For each pair (a, b) of doc_ids: linked, both (size of the intersection), n_a, n_b, and rest, from the full sets. texts: doc_id (unique), text.
+    """For each pair (a, b) of doc_ids: its other columns, linked, both (size of the intersection), n_a, n_b, and rest, from the full sets. texts: doc_id (unique), text.
 
     rest holds shingles of b that a lacks, in ascending order: all of a linked pair's, else as many as
     must hold one that b shares with any set linked to it, outside a: that set has percent of b's shingles,
     so of the first n_b - percent * n_b + 1 of rest it can't lack all.
     """
-    names = ["a", "b", "linked", "both", "n_a", "n_b", "rest"]
+    own = ["a", "b", *(c for c in pairs.columns if c not in ("a", "b"))]
+    names = [*own, "linked", "both", "n_a", "n_b", "rest"]
     kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches):
@@ -120,11 +121,12 @@ def compared(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                 first = len(rest) if linked else len(y) - -(-len(y) * percent // 100) + 1
                 out.append((linked, both, len(x), len(y), rest[:first].view(np.int64)))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, both long, n_a long, n_b long, rest array<long>")
+    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in own)
+    return pairs.join(left, "a").join(right, "b").select(*own, "text_a", "text_b").mapInArrow(run, f"{schema}, linked boolean, both long, n_a long, n_b long, rest array<long>")
 
 
 def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,22 +145,21 @@ def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> l
     sizes are listed. A pair of which both are linked with h needs no link of its own.
     """
     c = percent / (100 + percent)
-    links = []
+    links, few, candidates = [], [], []
     rows = members.select("bucket", "id", "degree", F.lit(True).alias("open"))
     groups = written(rows.join(written(_groups(rows, ["bucket"])), "bucket").select(F.col("next").alias("g"), "id", "degree", "n"))
-    for turn in range(ROUNDS):
-        few = groups.where(F.col("n") <= SMALL)
-        pairs = few.select("g", F.col("id").alias("a")).join(few.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b").distinct()
-        links.append(written(compared(pairs, texts, percent).where("linked").select("a", "b")))
+    for turn in range(ROUNDS + 1):
+        # What these pairs say changes no later bucket, so all rounds' are compared together in the end, each once.
+        few.append((groups if turn == ROUNDS else groups.where(F.col("n") <= SMALL)).select(F.lit(turn).alias("turn"), "g", "id"))
         groups = groups.where(F.col("n") > SMALL).drop("n")
-        if groups.isEmpty():
+        if turn == ROUNDS or groups.isEmpty():
             break
         hubs = written(groups.groupBy("g").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub")))
         # Groups of one hub go on as one, so a member stands once beside it, however many bands they share.
         pairs = groups.join(hubs, "g").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "degree").distinct()
-        met = written(compared(pairs.select("a", "b"), texts, percent))
+        met = written(compared(pairs, texts, percent))
         links.append(met.where("linked").select("a", "b"))
-        placed = pairs.join(met, ["a", "b"]).withColumn("g", F.col("a"))
+        placed = met.withColumn("g", F.col("a"))
         open_ = placed.groupBy("g").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("u")).where("n > 1 and u > 0").select("g")
         placed = written(placed.join(open_, "g").select("g", F.col("b").alias("id"), "degree", (~F.col("linked")).alias("open"), "both", F.col("n_b").alias("size"), "rest"))
         if placed.isEmpty():
@@ -166,15 +167,14 @@ def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> l
         fits = F.sequence(F.ceil(F.col("size") * percent / 100).cast("long"), F.floor(F.col("both") / c - F.col("size") + 1e-6).cast("long"))
         small = placed.where("open").where(F.floor(F.col("both") / c - F.col("size") + 1e-6) >= F.ceil(F.col("size") * percent / 100)).select("g", F.col("id").alias("a"), F.col("size").alias("size_a"), F.explode(fits).alias("size"))
         named = small.join(placed.select("g", F.col("id").alias("b"), "size", "both"), ["g", "size"]).where((F.col("a") != F.col("b")) & (F.col("both") + 1e-6 >= c * (F.col("size_a") + F.col("size"))))
-        named = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links.append(written(compared(named, texts, percent).where("linked").select("a", "b")))
+        candidates.append(written(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         rows = placed.select("g", "id", "degree", "open", F.explode("rest").alias("s"))
         groups = written(rows.join(written(_groups(rows, ["g", "s"])), ["g", "s"]).select(F.col("next").alias("g"), "id", "degree", "n"))
         for table in (placed, hubs):
             dropped(table)
-        if turn == ROUNDS - 1 and not groups.isEmpty():
-            left, right = groups.select("g", F.col("id").alias("a")), groups.select("g", F.col("id").alias("b"))
-            links.append(written(compared(left.join(right, "g").where("a < b").select("a", "b").distinct(), texts, percent).where("linked").select("a", "b")))
+    rows = reduce(DataFrame.union, few)
+    candidates.append(rows.select("turn", "g", F.col("id").alias("a")).join(rows.select("turn", "g", F.col("id").alias("b")), ["turn", "g"]).where("a < b").select("a", "b"))
+    links.append(written(compared(reduce(DataFrame.union, candidates).distinct(), texts, percent).where("linked").select("a", "b")))
     return links
 
 
