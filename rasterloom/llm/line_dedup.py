@@ -2,7 +2,8 @@
 
 A line's tokens with digits are variable fields from the start. The tree's first level is the number of
 tokens, the next ones are the leading tokens; a leaf holds the templates that came down there. In a leaf,
-templates that agree in most places become one, with variable fields where they differ. Lines whose
+templates that agree in most places are linked, and all that are linked over any number of others are one
+template, with variable fields where they differ; that doesn't hang on how many a leaf holds. Lines whose
 template recurs across documents are dropped, but for the first document that has it.
 """
 
@@ -16,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import dropped, slices, written
+from rasterloom.llm.minhash import components
 
 DEPTH = 3  #: leading tokens on the way to a leaf
-ALIKE = 0.8  #: share of places in which two templates of one leaf must agree
-#: Templates that a leaf may hold; a fuller one is parted by its next DEPTH tokens.
+ALIKE, ALIKE_OF = 4, 5  #: two templates of one leaf are linked if they agree in 4 of 5 places or more
+#: Templates that are compared as one leaf; those of a fuller one meet by groups of places, with the same links.
 LEAF = 1000
 #: Documents in which a template recurs: of at least LONG tokens, and of fewer. Lines under SHORTEST tokens are never dropped.
 LONG, LONG_DOCS, SHORT_DOCS, SHORTEST = 8, 3, 10, 3
@@ -37,40 +39,69 @@ def _leaf_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line", _tokens(F.col("content")).alias("tokens")).where((F.size("tokens") >= SHORTEST) & (2 * F.size(F.filter("tokens", lambda t: t != FIELD)) >= F.size("tokens")))
 
 
+def _linked(codes: np.ndarray) -> np.ndarray:
+    """For each template (a row of token numbers, -1 for a field) the first one that it is linked with over any number of others."""
+    out, left = np.arange(len(codes)), np.arange(len(codes))
+    while len(left):
+        first, left = left[0], left[1:]
+        reached = [first]
+        # What is reached once is compared with what is not reached yet only, so a leaf of one kind of line takes few steps.
+        while reached and len(left):
+            code = codes[reached.pop()]
+            near = ALIKE_OF * ((codes[left] == code) & (code >= 0)).sum(axis=1) >= ALIKE * len(code)
+            out[left[near]] = first
+            reached += left[near].tolist()
+            left = left[~near]
+    return out
+
+
 def _merge(batches):
-    """key and group of templates that arrive leaf by leaf, in the order in which they recur."""
+    """key and group of templates that arrive leaf by leaf, for those that are not alone; parted passes through."""
 
     def rows():
         for batch in slices(batches, "tokens"):
-            yield from zip(*(batch.column(c).to_pylist() for c in ("leaf", "key", "tokens")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("leaf", "key", "parted", "tokens")), strict=True)
 
-    out = []
+    def table():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["key", "group", "parted"])
+
+    out: list[tuple] = []
     for _, leaf in groupby(rows(), key=lambda r: r[0]):
-        names: list[bytes] = []
+        keys, codes, parted = [], [], False
         numbers: dict[str, int] = {FIELD: -1}
-        groups: np.ndarray | None = None
-        for _, key, tokens in leaf:
-            code = np.array([numbers.setdefault(t, len(numbers)) for t in tokens])
-            if groups is None:
-                groups = np.empty((16, len(code)), np.int64)
-            if names:
-                have = groups[: len(names)]
-                agree = ((have == code) & (code >= 0)).mean(axis=1)
-                best = int(agree.argmax())
-                if agree[best] >= ALIKE:
-                    have[best][have[best] != code] = -1
-                    out.append((key, names[best]))
-                    continue
-            if len(names) == len(groups):
-                groups = np.concatenate([groups, np.empty_like(groups)])
-            groups[len(names)] = code
-            names.append(key)
-            out.append((key, key))
+        for _, key, parted, tokens in leaf:
+            keys.append(key)
+            codes.append(np.array([numbers.setdefault(t, len(numbers)) for t in tokens], np.int32))
+        group = _linked(np.stack(codes))
+        shared = np.bincount(group, minlength=len(group))[group] > 1
+        out += [(keys[k], keys[group[k]], parted) for k in np.flatnonzero(shared).tolist()]
         if len(out) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["key", "group"])
+            yield table()
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["key", "group"])
+        yield table()
+
+
+def _merged(words: DataFrame) -> DataFrame:
+    """key and group of templates that are linked with others. words: leaf, key, templates (of the leaf), tokens.
+
+    Two templates of n tokens that are linked differ in n // 5 places at most, so of one group of places more
+    than that, they agree wholly in one. A full leaf's templates meet by those groups, and their links are joined.
+    """
+    n, part = F.size("tokens"), F.col("part")
+    parts = F.when(F.col("templates") > LEAF, F.floor(n * (ALIKE_OF - ALIKE) / ALIKE_OF).cast("int") + 1).otherwise(1)
+    words = words.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = lambda k: F.floor(k * (n - DEPTH) / F.col("parts")).cast("int")
+    own = F.xxhash64("leaf", "part", F.slice("tokens", DEPTH + 1 + cut(part), cut(part + 1) - cut(part)))
+    words = words.select(F.when(F.col("parts") > 1, own).otherwise(F.col("leaf")).alias("leaf"), "key", (F.col("parts") > 1).alias("parted"), "tokens")
+    links = written(words.repartition("leaf").sortWithinPartitions("leaf", "key").mapInArrow(_merge, "key binary, group binary, parted boolean"))
+    parted = links.where("parted")
+    if parted.isEmpty():
+        return links.select("key", "group")
+    joined = components(parted.select(F.col("key").alias("a"), F.col("group").alias("b")))
+    out = written(links.where("not parted").select("key", "group").union(joined.toDF("key", "group")))
+    dropped(links)
+    return out
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -86,9 +117,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     # Merged by doc_id at every size: the documents move once, with their lines' numbers, and not line by line.
     wanted = docs.join(open_.hint("merge"), "doc_id").select(F.split("text", "\n").alias("content"), F.explode("open").alias("t"))
     words = wanted.select("t.*", _tokens(F.get("content", F.col("t.line"))).alias("tokens")).dropDuplicates(["key"])
-    deep = F.when(F.col("templates") > LEAF, F.xxhash64("leaf", F.slice("tokens", DEPTH + 1, DEPTH))).otherwise(F.col("leaf"))
-    words = words.select(deep.alias("leaf"), "key", "lines", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.desc("lines"), "key")
-    groups = written(words.select("leaf", "key", "tokens").mapInArrow(_merge, "key binary, group binary").where("key <> group"))
+    groups = _merged(words.select("leaf", "key", "templates", "tokens"))
     placed = written(seen.join(groups, "key", "left").select("doc_id", "line", "n", F.coalesce("group", "key").alias("group")))
     spread = placed.groupBy("group", "doc_id").agg(F.max("n").alias("n")).groupBy("group").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min("doc_id").alias("first"))
     spread = written(spread.where(f"docs >= if(n >= {LONG}, {LONG_DOCS}, {SHORT_DOCS})"))

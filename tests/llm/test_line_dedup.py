@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from rasterloom.llm import line_dedup
 from tests.llm.helpers import clashing, documents, prose, words
 
@@ -54,6 +57,30 @@ def test_full_leaf(spark, monkeypatch):
     assert got == {k: t for k, t in rows}  # the next tokens part the leaf, so nothing recurs
 
 
+@pytest.mark.parametrize("leaf", [1, 3, 1000])
+def test_leaf_size_changes_nothing(spark, monkeypatch, leaf):
+    monkeypatch.setattr(line_dedup, "LEAF", leaf)
+    near = [(k, f"same three words then {'abcdefghijkl'[k]} and the same line to its very end here") for k in range(12)]
+    late = [(20 + k, f"same three words then all is alike but the last of it: {'abcd'[k]}") for k in range(4)]
+    far = [(30 + k, f"same three words {' '.join(x * 3 for x in 'abcdefghijklmnopqr'[3 * k : 3 * k + 3])} and here it ends for good") for k in range(4)]
+    got = kept(line_dedup.dedup(documents(spark, near + late + far)))
+    want = dict(far) | {k: t if k in (0, 20) else "" for k, t in near + late}
+    assert got == want
+
+
+def test_links_against_all_pairs():
+    rng = np.random.default_rng(12)
+    for n, kinds in ((5, 3), (12, 2), (20, 2)):
+        codes = rng.integers(-1, kinds, (60, n))
+        root = list(range(60))
+        for i in range(60):
+            for j in range(i):
+                if 5 * int(((codes[i] == codes[j]) & (codes[i] >= 0)).sum()) >= 4 * n:
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if x in (a, b) else x for x in root]
+        assert line_dedup._linked(codes).tolist() == root
+
+
 def test_edges(spark):
     line = "a line of eight words that comes again"
     rows = [(1, line), (2, line + "\n"), (3, f"x\n{line}\n{line}"), (4, None), (5, ""), (None, line), (3, f"x\n{line}\n{line}")]
