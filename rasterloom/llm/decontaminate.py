@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows in a multi-index, then exact weighted-shingle similarity.
 
 For each item of n words, windows of n words are taken at every place of a text where at least one of the
-item's shingles occurs; elsewhere the similarity is 0. A window's fingerprint comes from prefix sums of
+item's shingles occurs; elsewhere the similarity is 0. A text of fewer words than the item is one window,
+compared exactly. A longer text's window's fingerprint comes from prefix sums of
 its shingles' bits. The multi-index cuts fingerprints into BLOCKS parts: of two fingerprints at most
 RADIUS bits apart, one part differs in at most RADIUS // BLOCKS bits, and a table by part and value has
 all items for which that holds. Candidates within RADIUS are then compared exactly.
@@ -89,7 +90,17 @@ class Index:
         place = np.repeat(at, n)
         item = self.items[np.repeat(self.cuts[number] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
         runs = np.maximum(1, self.words - SHINGLE + 1)
-        fits = (self.words[item] >= SHINGLE if size == SHINGLE else self.words[item] == size) & (runs[item] <= len(hashes))
+        own = self.words[item] >= SHINGLE if size == SHINGLE else self.words[item] == size
+        if size == SHINGLE:
+            # Of an item that is longer than the text, the whole text is the one window; both real sizes count.
+            longer = np.unique(item[own & (runs[item] > len(hashes)) & (len(hashes) >= SIMILARITY * runs[item])]).tolist()
+            text = Counter(hashes.tolist()) if longer else Counter()
+            for j in longer:
+                both = sum((self.counts[j] & text).values())
+                union = len(hashes) + int(runs[j]) - both
+                if both >= SIMILARITY * union:
+                    yield j, 0, both / union
+        fits = own & (runs[item] <= len(hashes))
         place, item = place[fits], item[fits]
         if not len(item):
             return
@@ -122,7 +133,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
 
     Texts and items are lower-cased in A-Z; words are runs without blanks. Null, empty and blank texts and
     items match nothing; an item of fewer than five words matches those words in a row. Rows whose key
-    repeats or is null are searched one by one, items that repeat are found under each item_id. Empty
+    repeats or is null are searched one by one, a text shorter than an item is held whole against it, items that repeat are found under each item_id. Empty
     tables give no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession

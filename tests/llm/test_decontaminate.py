@@ -46,6 +46,38 @@ def test_against_brute_force(spark):
     assert sorted(((r.doc_id, r.item_id, r.n_windows, round(r.similarity, 9)) for r in got), key=str) == brute(rows, items)
 
 
+def brute_of_shorter(rows, items):
+    """brute(), and texts shorter than an item as one window of their own size."""
+    found = []
+    for k, t in rows:
+        for j, text in items:
+            x, y = bags(words(lower(t))), bags(words(lower(text)))
+            if x and len(words(t)) < len(words(text)):
+                s = sum((x & y).values()) / sum((x | y).values())
+                if s >= 0.8:
+                    found.append((k, j, 1, round(s, 9)))
+    return sorted(brute(rows, items) + found, key=str)
+
+
+def test_truncated_items(spark):
+    rng = random.Random(13)
+    items = [(j, prose(rng, n, 10**4)) for j, n in enumerate((6, 9, 15, 33, 60, 60, 4))] + [(20, "x y x y x y x y x y x y")]
+    rows = []
+    for j, text in items:
+        w = text.split()
+        for lo in range(4):
+            for hi in range(len(w) - 14, len(w) + 1):
+                if lo < hi:
+                    rows.append((len(rows), " ".join(w[lo:hi])))
+        rows.append((len(rows), " ".join(["other", *w[1:-1]])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(documents(spark, rows), benchmark).collect()
+    want = brute_of_shorter(rows, items)
+    assert sorted(((r.doc_id, r.item_id, r.n_windows, round(r.similarity, 9)) for r in got), key=str) == want
+    assert len(want) > len(brute(rows, items))
+    assert next(r for r in got if rows[r.doc_id][1] == " ".join(items[4][1].split()[:50])).item_id == 4
+
+
 def test_several_indexes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 100)
     rng = random.Random(9)
