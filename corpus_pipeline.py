@@ -16,6 +16,10 @@ from rasterloom.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from rasterloom.llm.common import written
 
 
+#: Similarity from which documents are near duplicates, in percent; op2_minhash's own contract says 85.
+NEAR = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.5. The network learns from this stage's labelled documents; without labels all stay."""
     return toxicity.harmless(docs, toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -30,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id. Empty documents and those of a null doc_id stay."""
-    others = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates (similarity of NEAR percent or more), that of the smallest doc_id. Empty documents and those of a null doc_id stay."""
+    others = minhash.near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ from rasterloom.llm.common import LOWER, dropped, mixed, shingle_hashes, slices,
 SHINGLE = 5  #: words
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Bands of so many coordinates: two sets of similarity 0.85 share no band with probability (1 - 0.85**4)**24, or 2e-8.
+#: Bands of so many coordinates: two sets of similarity 0.85 share no band with probability (1 - 0.85**4)**24, or 2e-8; of 0.8, 3e-6.
 BANDS, BAND_ROWS = 24, 4
 #: Fixed odd multipliers of the two permutations, and the step of the circular shift.
 FIRST, SECOND, SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)

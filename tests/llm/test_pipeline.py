@@ -42,6 +42,29 @@ def test_near_stage(spark, clean):
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([*range(40), 301, 302, None], key=str)
 
 
+def test_near_stage_between_80_and_85(spark, clean):
+    """Of some 116 shingles two changed words take 10, and three take 15."""
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def changed(t, places):
+        w = t.split(" ")
+        for i in places:
+            w[i] = w[i].replace(w[i].split("\n")[0], f"changed{'abc'[i % 3]}", 1)
+        return " ".join(w)
+
+    def alike(a, b):
+        return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+    close = [(500 + k, changed(clean[k][1], (20, 60))) for k in range(5)]
+    other = [(600 + k, changed(clean[k][1], (20, 50, 80))) for k in range(5, 10)]
+    assert all(0.8 < alike(t, clean[k - 500][1]) < 0.85 for k, t in close) and all(alike(t, clean[k - 600][1]) < 0.8 for k, t in other)
+    got = {r.doc_id for r in STAGE["near_dedup"](spark, documents(spark, clean + close + other), DATA).collect()}
+    assert got == {*range(40), *(k for k, _ in other)}
+
+
 def test_decontamination_stage(spark, clean):
     item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
     rows = clean + [(400, f"{clean[1][1]} {item} end"), (401, item.upper()), (402, None)]
