@@ -25,18 +25,34 @@ ALIKE, ALIKE_OF = 4, 5  #: two templates of one leaf are linked if they agree in
 LEAF = 1000
 #: Documents in which a template recurs: of at least LONG tokens, and of fewer. Lines under SHORTEST tokens are never dropped.
 LONG, LONG_DOCS, SHORT_DOCS, SHORTEST = 8, 3, 10, 3
+EXACT_DOCS = 2  #: documents in which one and the same line of at least LONG tokens recurs
 FIELD = "<*>"  #: stands for a variable field
 
 
 def _tokens(line):
     masked = F.when(line.rlike(r"\d"), F.regexp_replace(line, r"[^\x20\x09-\x0D\d]*+\d[^\x20\x09-\x0D]*+", FIELD)).otherwise(line)
-    return F.filter(F.split(masked, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    return _words(masked)
 
 
-def _leaf_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, tokens of every line of at least SHORTEST tokens, half of them or more constant: rows of numbers are no template."""
+def _words(text):
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+
+
+def _digest(tokens):
+    return F.unhex(F.md5(F.array_join(tokens, " ")))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line, n, leaf, key, exact, raw of every line of at least SHORTEST tokens.
+
+    key is the template's digest; it and leaf are null if most tokens are fields: rows of numbers are no
+    template. exact: the template has no field, so key is the line's own digest; raw is that digest otherwise.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return lines.select("doc_id", "line", _tokens(F.col("content")).alias("tokens")).where((F.size("tokens") >= SHORTEST) & (2 * F.size(F.filter("tokens", lambda t: t != FIELD)) >= F.size("tokens")))
+    lines = lines.select("doc_id", "line", "content", _tokens(F.col("content")).alias("tokens")).where(F.size("tokens") >= SHORTEST)
+    fields, n = F.size(F.filter("tokens", lambda t: t == FIELD)), F.size("tokens")
+    leaf = F.when(2 * fields <= n, F.xxhash64(n, F.slice("tokens", 1, DEPTH)))
+    return lines.select("doc_id", "line", n.alias("n"), leaf.alias("leaf"), F.when(2 * fields <= n, _digest(F.col("tokens"))).alias("key"), (fields == 0).alias("exact"), F.when(fields > 0, _digest(_words(F.col("content")))).alias("raw"))
 
 
 def _linked(codes: np.ndarray) -> np.ndarray:
@@ -107,9 +123,8 @@ def _merged(words: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame) -> DataFrame:
     """doc_id and lines (array of int, from 0): what dedup() drops from each document."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    seen = written(_leaf_lines(docs).select("doc_id", "line", F.size("tokens").alias("n"), leaf.alias("leaf"), F.unhex(F.md5(F.array_join("tokens", " "))).alias("key")))
-    templates = seen.groupBy("leaf", "key").agg(F.count("*").alias("lines"), F.min(F.struct("doc_id", "line")).alias("one"))
+    seen = written(_lines(docs))
+    templates = seen.where("key is not null").groupBy("leaf", "key").agg(F.count("*").alias("lines"), F.min(F.struct("doc_id", "line")).alias("one"))
     leaves = templates.groupBy("leaf").agg(F.count("*").alias("templates"), F.sum("lines").alias("lines")).where(f"templates > 1 and lines >= {LONG_DOCS}")
     # Only leaves of several templates need their words: one line stands for each template.
     open_ = templates.join(leaves.select("leaf", "templates"), "leaf").select(F.col("one.doc_id").alias("doc_id"), F.struct(F.col("one.line").alias("line"), "key", "leaf", "lines", "templates").alias("template"))
@@ -118,10 +133,14 @@ def recurring(docs: DataFrame) -> DataFrame:
     wanted = docs.join(open_.hint("merge"), "doc_id").select(F.split("text", "\n").alias("content"), F.explode("open").alias("t"))
     words = wanted.select("t.*", _tokens(F.get("content", F.col("t.line"))).alias("tokens")).dropDuplicates(["key"])
     groups = _merged(words.select("leaf", "key", "templates", "tokens"))
-    placed = written(seen.join(groups, "key", "left").select("doc_id", "line", "n", F.coalesce("group", "key").alias("group")))
-    spread = placed.groupBy("group", "doc_id").agg(F.max("n").alias("n")).groupBy("group").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min("doc_id").alias("first"))
-    spread = written(spread.where(f"docs >= if(n >= {LONG}, {LONG_DOCS}, {SHORT_DOCS})"))
-    out = written(placed.join(spread.select("group", "first"), "group").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
+    # A line stands under its own digest, and under its template's, if that is another: one named after the linked templates, or one with fields.
+    linked = F.unhex(F.md5(F.concat("group", F.lit(b"*"))))
+    ids = F.array_compact(F.array(F.when(F.col("group").isNotNull(), F.struct(linked.alias("id"), F.lit(False).alias("exact"))), F.when(F.col("group").isNull() | F.col("exact"), F.struct(F.col("key").alias("id"), "exact"))))
+    placed = seen.where("key is not null").join(groups, "key", "left").select("doc_id", "line", "n", F.explode(ids).alias("t")).select("doc_id", "line", "n", F.col("t.id").alias("id"), F.col("t.exact").alias("exact"))
+    placed = written(placed.union(seen.where("raw is not null").select("doc_id", "line", "n", F.col("raw").alias("id"), F.lit(True).alias("exact"))))
+    spread = placed.groupBy("id", "exact", "doc_id").agg(F.max("n").alias("n")).groupBy("id", "exact").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min("doc_id").alias("first"))
+    spread = written(spread.where(f"docs >= if(n >= {LONG}, if(exact, {EXACT_DOCS}, {LONG_DOCS}), {SHORT_DOCS})"))
+    out = written(placed.join(spread.select("id", "exact", "first"), ["id", "exact"]).where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
     for table in (seen, open_, groups, placed, spread):
         dropped(table)
     return out
@@ -131,8 +150,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     """All columns of docs, with text less its dropped lines, and n_lines and n_removed.
 
     A line is dropped if its template recurs in at least LONG_DOCS documents (SHORT_DOCS if it has fewer
-    than LONG tokens) and an earlier document, by doc_id, has it too; lines of under SHORTEST tokens, or mostly
-    of variable fields, are left alone. Null texts stay null with no lines, an
+    than LONG tokens) and an earlier document, by doc_id, has it too. So is one whose tokens recur as they
+    are, digits and all, in EXACT_DOCS documents (or SHORT_DOCS). Lines mostly of variable fields have no
+    template, only themselves; those of under SHORTEST tokens are left alone. Null texts stay null with no lines, an
     empty text has one; rows of a null doc_id neither count nor lose lines. Rows of one doc_id are one
     document and lose the same lines. An empty table gives no rows. Columns named n_lines or n_removed are
     replaced; others pass through.

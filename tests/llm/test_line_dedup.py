@@ -50,6 +50,28 @@ def test_rows_of_numbers_stay(spark):
     assert kept(line_dedup.dedup(documents(spark, rows))) == dict(rows)
 
 
+def test_exact_rows_and_passages(spark):
+    row, short, passage = "1 22 333 4444 5 66 777 8888 9 10", "7 8 9", "a passage of well over eight words that stands in two of the documents only"
+    dated = "On 2024-01-0{} the order of the customer was sent to the given address"
+    rows = [(k, "\n".join((f"{'abcdefghijkl'[k] * 4} own words", row if k < 3 else f"{k} 22 333 4444 5 66 777 8888 9 10", short))) for k in range(12)]
+    rows += [(20, passage), (21, f"own line\n{passage}"), (22, passage.replace("two", "three")), (30, dated.format(1)), (31, dated.format(1)), (32, "x\n" + "other words here " * 3)]
+    got = kept(line_dedup.dedup(documents(spark, rows)))
+    want = dict(rows)
+    for k in range(1, 12):
+        want[k] = "\n".join(rows[k][1].split("\n")[: 1 if k < 3 else 2])
+    want |= {21: "own line", 22: "", 31: ""}
+    assert got == want
+
+
+def test_two_alike_and_two_the_same(spark):
+    """One line in two documents goes from the second; a variant that only one of these has stays."""
+    a, b = "the same line in two documents is dropped from the later", "the same line in two documents is kept from the later"
+    got = kept(line_dedup.dedup(documents(spark, [(1, f"{a}\n{b}"), (2, a)])))
+    assert got == {1: f"{a}\n{b}", 2: ""}
+    got = kept(line_dedup.dedup(documents(spark, [(1, a), (2, b)])))
+    assert got == {1: a, 2: b}
+
+
 def test_full_leaf(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAF", 3)
     rows = [(k, f"same three words then {'abcdefghijkl'[k]} and the same line to its very end here") for k in range(12)]
