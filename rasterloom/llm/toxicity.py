@@ -24,6 +24,7 @@ TRAIN_WINDOWS = 8
 WINDOW, STRIDE = 32, 16  #: words of a window, and between the starts of two
 HIDDEN, EMBED = 8, 8
 GRAM = 4  #: bytes of a character run; words carry a mark before and after
+PIECE = 40  #: bytes of a word; longer ones (text without blanks) are several words
 GRAM_ROWS, WORD_ROWS = 1 << 14, 1 << 14  #: rows of the two tables of vectors, reached by hash
 WORD_MIN = 6  #: training rows in which a word must occur to have a vector of its own
 EPOCHS, RATE, BATCH = 3, 0.01, 256
@@ -43,17 +44,27 @@ class Texts:
     gram_rows: np.ndarray
 
 
+def _pieces(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words over PIECE bytes as pieces of at most that, each a word of its own; they overlap so that each character run lies within one."""
+    step = PIECE - GRAM + 1
+    count = 1 + np.maximum(0, -(-(ends - starts - PIECE) // step))
+    at = np.concatenate([[0], np.cumsum(count)])
+    first = np.repeat(starts, count) + step * (np.arange(at[-1]) - np.repeat(at[:-1], count))
+    return first, np.minimum(first + PIECE, np.repeat(ends, count)), at[rows]
+
+
 def read(column) -> Texts:
-    """Cuts texts into lower-cased words without punctuation at their ends."""
+    """Cuts texts into lower-cased words without punctuation at their ends, long words into pieces."""
     data, offsets = text_buffer(column)
     data = np.frombuffer(LOWER, np.uint8)[data]
     starts, ends, rows = word_bounds(data, offsets)
     for _ in range(3):  # up to three marks at either end
         starts = starts + (TRIM[data[starts]] & (ends - starts > 1)) if len(starts) else starts
         ends = ends - (TRIM[data[ends - 1]] & (ends - starts > 1)) if len(starts) else ends
+    starts, ends, rows = _pieces(starts, ends, rows)
     hashes = span_hashes(data, starts, ends)
     distinct, first, word = np.unique(hashes, return_index=True, return_inverse=True)
-    s, n = starts[first], np.minimum(ends[first] - starts[first], 40)
+    s, n = starts[first], ends[first] - starts[first]
     # Each distinct word between two marks, all in one array; runs of GRAM bytes are numbered by hash.
     sizes = np.maximum(n + 2, GRAM)
     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

@@ -58,6 +58,16 @@ def test_windows_cover_every_word():
         assert seen == set(range(rows[k], rows[k + 1]))
 
 
+def test_long_words_are_read_whole():
+    run = toxicity.read(pa.array(["awfu"])).grams[1]
+    for n in range(30, 160):
+        t = toxicity.read(pa.array(["z" * n + "awfu" + "z" * 50, "a b"]))
+        assert run in t.grams and t.rows[2] - t.rows[1] == 2
+    net = toxicity.Network.new(np.zeros(0, np.uint64), np.random.default_rng(1))
+    a, b = (net.scores(toxicity.read(pa.array(["some-" * 300 + last]))) for last in ("awful", "other"))
+    assert a != b
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_held_out_accuracy(spark):
     got = toxicity.query(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
