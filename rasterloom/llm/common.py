@@ -22,9 +22,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster that is an error, since executors don't share local folders."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -36,15 +38,14 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
-    """Removes the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Empties a table made by written(), once nothing reads it any more."""
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df.scratch_path)
 
 
 def in_blocks(docs: DataFrame, target_bytes: int) -> tuple[DataFrame, int, int]:

@@ -2,19 +2,19 @@
 
 Two permutations make every coordinate of a signature: the first scatters a shingle over the hash range,
 the second ranks the shingles, and is shifted circularly by one more step for each further coordinate.
-Bands of coordinates name buckets. A bucket's members are not paired with each other: all meet its hub, the
-member with the most bucket-mates. If one of two members is not linked with the hub, the two can only be
-linked if they share a shingle that the hub lacks (or are among the few of fitting sizes, which are named
-one by one), so the next, smaller buckets are those shingles. No link between different texts is lost.
+Bands of coordinates name buckets. A large bucket's members are not paired with each other: all meet its
+hub, the member with the most bucket-mates, and what is linked is joined into components. Two members of
+different components can only be linked if they share enough shingles that the hub lacks. Those are put in
+an order, useless ones and rare ones first, and of each member as many from the front as must hold a shared
+one name the next groups, of which only those matter that hold two components. No link between different
+components is lost, and no pair within a component is named.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import LOWER, dropped, mixed, shingle_hashes, slices, span_hashes, text_buffer, word_bounds, written
@@ -89,93 +89,100 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-#: Groups of so many members at most are compared pair by pair: their pairs stay in proportion to their members.
-SMALL = 8
-#: Rounds of hubs; pairs that are open after the last one meet directly.
-ROUNDS = 8
-
+#: Members of a group that is compared pair by pair, at most: in buckets, and in later groups, where only pairs across components are left.
+SMALL, SMALL_LATER = 8, 64
 
-def compared(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """For each pair (a, b) of doc_ids: its other columns, linked, both (size of the intersection), n_a, n_b, and rest, from the full sets. texts: doc_id (unique), text.
 
-    rest holds shingles of b that a lacks, in ascending order: all of a linked pair's, else as many as
-    must hold one that b shares with any set linked to it, outside a: that set has percent of b's shingles,
-    so of the first n_b - percent * n_b + 1 of rest it can't lack all.
-    """
-    own = ["a", "b", *(c for c in pairs.columns if c not in ("a", "b"))]
-    names = [*own, "linked", "both", "n_a", "n_b", "rest"]
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+def shingle_table(texts: DataFrame) -> DataFrame:
+    """id, n, shingles (sorted hashes) of each text. texts: doc_id, text."""
 
     def run(batches):
-        for batch in slices(batches, "text_a", 1 << 19):
-            # A hub's text stands in many rows: it is read once.
-            coded = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
-            sets = [shingle_sets(x.dictionary) for x in coded]
-            out = []
-            for i, j in zip(*(x.indices.to_numpy(zero_copy_only=False) for x in coded), strict=True):
-                x = sets[0][0][sets[0][1][i] : sets[0][1][i + 1]]
-                y = sets[1][0][sets[1][1][j] : sets[1][1][j + 1]]
-                rest = np.setdiff1d(y, x, assume_unique=True)
-                both = len(y) - len(rest)
-                linked = 100 * both >= percent * (len(x) + len(rest))
-                first = len(rest) if linked else len(y) - -(-len(y) * percent // 100) + 1
-                out.append((linked, both, len(x), len(y), rest[:first].view(np.int64)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in own)
-    return pairs.join(left, "a").join(right, "b").select(*own, "text_a", "text_b").mapInArrow(run, f"{schema}, linked boolean, both long, n_a long, n_b long, rest array<long>")
+        for batch in slices(batches, "text", 1 << 20):
+            hashes, firsts = shingle_sets(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(firsts)), pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(hashes.view(np.int64)))], ["id", "n", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, n long, shingles array<long>")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each pair (a, b) with its other columns, linked, both (size of the intersection), n_a, n_b and, where its column hub is true, rest: b's shingles that a lacks."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")).cast("long"))
+    linked = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+    return met.select(*pairs.columns, linked.alias("linked"), "both", "n_a", "n_b", F.when(F.col("hub"), F.array_except("y", "x")).alias("rest"))
 
 
 def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and next, the group's name: groups of two members and more of which one is open; of groups with equal members, one."""
+    """Groups of rows (keys, id, rank, component, open) that hold two components and an open member, named by g; of groups with equal members, one."""
     marks = [F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))]
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("open").alias("u"), marks[0].alias("m1"), marks[1].alias("m2")).where("n > 1 and u > 0")
-    return groups.dropDuplicates(["n", "m1", "m2"]).select(*keys, F.xxhash64("n", "m1", "m2").alias("next"), "n")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("open").alias("o"), marks[0].alias("m1"), marks[1].alias("m2")).where("o and lo <> hi")
+    named = counts.dropDuplicates(["n", "m1", "m2"]).select(*keys, F.xxhash64("n", "m1", "m2").alias("g"), "n")
+    return rows.join(named, keys).select("g", "id", "rank", "component", "n")
 
 
-def all_links(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
-    """Tables of links (a, b) that connect whatever members of a common bucket are linked. members: bucket, id (once a bucket), degree; texts: doc_id, text.
+def _next_groups(met: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """g, id, rank, component, n, least: groups in which members of different components that a hub has left open can still be linked.
 
-    With c = percent / (100 + percent), two sets are linked if they share at least c times the sum of
-    their sizes. What x and y share within hub h is at most what x shares with h; where that is too
-    little, they share something outside h. It is enough only if y is smaller than c allows, so those
-    sizes are listed. A pair of which both are linked with h needs no link of its own.
+    met: what compared() says of hubs a and members b; named: node, component. A set y is linked only with
+    sets that share percent of its shingles. What the hub h has of them falls short by need, so x and y
+    share that many outside h, and one of them is among y's first len(rest) - need + 1 in any fixed order;
+    the order starts with shingles that only one component has. If h has enough of y, x and y may share
+    nothing else, but then h has percent of x too and x is small; those sets are a group of their own,
+    whose hub is the least set (least), because then what it shares with an open y is never enough.
     """
-    c = percent / (100 + percent)
-    links, few, candidates = [], [], []
-    rows = members.select("bucket", "id", "degree", F.lit(True).alias("open"))
-    groups = written(rows.join(written(_groups(rows, ["bucket"])), "bucket").select(F.col("next").alias("g"), "id", "degree", "n"))
-    for turn in range(ROUNDS + 1):
-        # What these pairs say changes no later bucket, so all rounds' are compared together in the end, each once.
-        few.append((groups if turn == ROUNDS else groups.where(F.col("n") <= SMALL)).select(F.lit(turn).alias("turn"), "g", "id"))
-        groups = groups.where(F.col("n") > SMALL).drop("n")
-        if turn == ROUNDS or groups.isEmpty():
-            break
-        hubs = written(groups.groupBy("g").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub")))
+    t, c = percent / 100, percent / (100 + percent)
+    own = lambda side, name: named.select(F.col("node").alias(side), F.col("component").alias(name))
+    placed = met.join(own("a", "c_a"), "a", "left").join(own("b", "c_b"), "b", "left")
+    placed = placed.select("a", "least", F.col("b").alias("id"), "rank", F.coalesce("c_b", "b").alias("component"), (F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).alias("open"), "both", "n_a", F.col("n_b").alias("n"), "rest")
+    need = F.ceil(F.greatest(t * F.col("n"), F.when(F.col("least"), c * (F.col("n_a") + F.col("n"))).otherwise(0)) - 1e-6).cast("long") - F.col("both")
+    placed = placed.withColumn("spare", F.greatest(need, F.lit(1)) - 1).withColumn("few", ~F.col("least") & (100 * F.col("both") >= percent * F.col("n")))
+    limit = F.max(F.when(F.col("open") & F.col("few"), F.col("both") / c - F.col("n") + 1e-6))
+    hubs = written(placed.groupBy("a", "least").agg(F.max("open").alias("o"), limit.alias("limit")).where("o").drop("o"))
+    placed = written(placed.join(hubs, ["a", "least"]))
+    shared = placed.select("a", "least", "id", "rank", "component", "open", "spare", F.explode("rest").alias("s"))
+    useful = shared.groupBy("a", "least", "s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("open").alias("o")).where("o and lo <> hi")
+    own_rows = Window.partitionBy("a", "least", "id")
+    ranked = shared.join(useful.select("a", "least", "s", "df"), ["a", "least", "s"])
+    ranked = ranked.withColumn("turn", F.row_number().over(own_rows.orderBy("df", "s"))).withColumn("of", F.count("*").over(own_rows))
+    columns = ["id", "rank", "component", "open"]
+    rows = ranked.where("not open or turn <= of - spare").select("a", "least", "s", *columns)
+    small = placed.where(F.col("few") & (F.col("n") <= F.col("limit"))).select("a", F.lit(True).alias("least"), F.lit(0).cast("long").alias("s"), "id", (-F.col("n")).alias("rank"), "component", "open")
+    out = written(_groups(rows, ["a", "least", "s"]).withColumn("least", F.lit(False)).union(_groups(small, ["a", "least", "s"]).withColumn("least", F.lit(True))))
+    for table in (hubs, placed):
+        dropped(table)
+    return out
+
+
+def all_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, component: what links between members of a common bucket connect. members: bucket, id (once a bucket), degree; sets: of shingle_table()."""
+    rows = members.select("bucket", "id", F.col("degree").alias("rank"), F.col("id").alias("component"), F.lit(True).alias("open"))
+    groups = written(_groups(rows, ["bucket"]).withColumn("least", F.lit(False)))
+    named, most = None, SMALL
+    while True:
+        low = groups.where(F.col("n") <= most)
+        ends = [low.select("g", F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
+        direct = ends[0].join(ends[1], "g").where("a < b and c_a <> c_b").select("a", "b").distinct()
+        high = groups.where(F.col("n") > most).drop("n")
+        hubs = high.groupBy("g").agg(F.max_by("id", F.struct("rank", -F.col("id"))).alias("a"))
         # Groups of one hub go on as one, so a member stands once beside it, however many bands they share.
-        pairs = groups.join(hubs, "g").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "degree").distinct()
-        met = written(compared(pairs, texts, percent))
-        links.append(met.where("linked").select("a", "b"))
-        placed = met.withColumn("g", F.col("a"))
-        open_ = placed.groupBy("g").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("u")).where("n > 1 and u > 0").select("g")
-        placed = written(placed.join(open_, "g").select("g", F.col("b").alias("id"), "degree", (~F.col("linked")).alias("open"), "both", F.col("n_b").alias("size"), "rest"))
-        if placed.isEmpty():
-            break
-        fits = F.sequence(F.ceil(F.col("size") * percent / 100).cast("long"), F.floor(F.col("both") / c - F.col("size") + 1e-6).cast("long"))
-        small = placed.where("open").where(F.floor(F.col("both") / c - F.col("size") + 1e-6) >= F.ceil(F.col("size") * percent / 100)).select("g", F.col("id").alias("a"), F.col("size").alias("size_a"), F.explode(fits).alias("size"))
-        named = small.join(placed.select("g", F.col("id").alias("b"), "size", "both"), ["g", "size"]).where((F.col("a") != F.col("b")) & (F.col("both") + 1e-6 >= c * (F.col("size_a") + F.col("size"))))
-        candidates.append(written(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-        rows = placed.select("g", "id", "degree", "open", F.explode("rest").alias("s"))
-        groups = written(rows.join(written(_groups(rows, ["g", "s"])), ["g", "s"]).select(F.col("next").alias("g"), "id", "degree", "n"))
-        for table in (placed, hubs):
-            dropped(table)
-    rows = reduce(DataFrame.union, few)
-    candidates.append(rows.select("turn", "g", F.col("id").alias("a")).join(rows.select("turn", "g", F.col("id").alias("b")), ["turn", "g"]).where("a < b").select("a", "b"))
-    links.append(written(compared(reduce(DataFrame.union, candidates).distinct(), texts, percent).where("linked").select("a", "b")))
-    return links
+        pairs = high.join(hubs, "g").where("id <> a").select("a", F.col("id").alias("b"), "rank", "least").distinct()
+        all_pairs = direct.select("a", "b", F.lit(None).cast("long").alias("rank"), F.lit(False).alias("least"), F.lit(False).alias("hub")).union(pairs.withColumn("hub", F.lit(True)))
+        met = written(compared(all_pairs, sets, percent))
+        fresh = met.where("linked").select("a", "b")
+        found = components(fresh if named is None else fresh.union(named.toDF("a", "b")))
+        open_ = met.where("hub")
+        last = open_.isEmpty()
+        if not last:
+            following = _next_groups(open_, found, percent)
+            last = following.isEmpty()
+        for table in (groups, met, named):
+            if table is not None:
+                dropped(table)
+        named = found
+        if last:
+            return named
+        groups, most = following, SMALL_LATER
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,13 +201,14 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(own, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(own.toDF("a", "b")).distinct()
         after = written(small)
         sums = after.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
-        if before is not None:
-            dropped(edges)
+        dropped(edges)
         edges = after
         if sums == before:
             break
         before = sums
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    dropped(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,10 +227,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = written(members.join(shared, "bucket"))
     degrees = written(members.groupBy("id").agg(F.sum("n").alias("degree")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(degrees.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    links = all_links(members.drop("n").join(degrees, "id"), written(texts), percent)
-    found = written(components(reduce(lambda x, y: x.union(y), links)))
+    sets = written(shingle_table(texts))
+    found = all_links(members.drop("n").join(degrees, "id"), sets, percent)
     named = classes.select("set_key", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", "class_id", F.coalesce("component", "class_id").alias("component"))
     named = written(named)
+    for table in (classes, shared, members, degrees, sets, found):
+        dropped(table)
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 

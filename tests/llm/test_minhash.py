@@ -14,7 +14,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     own = [(k, shingles(t)) for k, t in rows]
     root = {k: k for k, _ in own}
 
@@ -25,7 +25,7 @@ def brute(rows):
 
     for i, (a, x) in enumerate(own):
         for b, y in own[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return sorted((k, len(s), find(k), find(k) == k) for k, s in own)
@@ -52,6 +52,18 @@ def test_against_brute_force(spark, small, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_later_rounds_against_brute_force(spark, monkeypatch):
+    """Families round several texts, and texts that are parts of others, in rounds of hubs down to groups of two."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "SMALL_LATER", 4)
+    rng, percent = random.Random(8), 60
+    one, two = prose(rng, 120, 10**6), prose(rng, 60, 10**6)
+    texts = [f"{one} {two}", *family(rng, one, 5, 2), *family(rng, one, 5, 5), *family(rng, f"{one} {two}", 5, 3), *family(rng, two, 5, 1)]
+    rows = list(enumerate(texts))
+    got = minhash.near_duplicates(documents(spark, rows), percent).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == brute(rows, percent)
+
+
 def test_chain(spark):
     """Each text is linked with the next only, so the component is found by walking."""
     rng = random.Random(5)
