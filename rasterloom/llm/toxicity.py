@@ -8,6 +8,8 @@ the largest of its windows'.
 
 from __future__ import annotations
 
+import math
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,8 +21,10 @@ from rasterloom.llm.common import LOWER, mixed, slices, span_hashes, text_buffer
 
 #: Labelled rows that the network learns from, at most: the first in the order of a hash of doc_id.
 TRAIN_ROWS = 4000
-#: Training windows taken from one row labelled 0, at most, half of them at random; scoring has no such bound.
-TRAIN_WINDOWS = 8
+#: Bytes of their texts, at most; in the same order, a text that does not fit is left out.
+TRAIN_BYTES = 32 << 20
+#: From the second epoch on, windows of rows labelled 0 that the network gives less than this probability take no step; all windows are looked at in each epoch.
+SETTLED = 0.02
 WINDOW, STRIDE = 32, 16  #: words of a window, and between the starts of two
 HIDDEN, EMBED = 8, 8
 GRAM = 4  #: bytes of a character run; words carry a mark before and after
@@ -264,24 +268,24 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network:
     for lo in range(0, len(first), 8192):
         cut = slice(lo, lo + 8192)
         best[cut] = np.where(at < size[cut], speaks[t.word[np.minimum(first[cut] + at, len(t.word) - 1)]], -np.inf).max(axis=0)
-    # Rows labelled 0 give the windows that look worst, and some at random.
     def ranked(by: np.ndarray) -> np.ndarray:
         order = np.lexsort((-by, text))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(text[order], np.arange(len(rows)))[text[order]]
         return rank
 
-    keep_ = (y[text] > 0) | (ranked(best) < TRAIN_WINDOWS // 2) | (ranked(rng.random(len(text))) < TRAIN_WINDOWS // 2)
-    text, first, size, best = text[keep_], first[keep_], size[keep_], best[keep_]
+    # A long text labelled 0 weighs more than a short one, but not as much as its windows are more.
     share_of = 1 / np.bincount(text, minlength=len(rows))[text] ** 0.5
     weight = np.where(y[text] > 0, 1.0, share_of).astype(np.float32)
+    live_zero = y[text] == 0
     for epoch in range(EPOCHS):
         if epoch:
             x = net.inputs(t)
             for lo in range(0, len(first), 2048):
                 cut = slice(lo, lo + 2048)
                 best[cut] = net.forward(x, *net.windows(t, x, first[cut], size[cut]))
-        picked = rng.permutation(np.flatnonzero((y[text] == 0) | (ranked(best) == 0)))
+            live_zero = (y[text] == 0) & (best > math.log(SETTLED / (1 - SETTLED)))
+        picked = rng.permutation(np.flatnonzero(live_zero | ((y[text] > 0) & (ranked(best) == 0))))
         rate = RATE * 0.6**epoch
         for lo in range(0, len(picked), BATCH):
             part = picked[lo : lo + BATCH]
@@ -317,18 +321,32 @@ def remainder(key) -> F.Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(HELD_OUT))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """A network that has learned from at most `rows` labelled documents that are not held out.
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Network:
+    """A network that has learned from at most `rows` labelled documents that are not held out, of `size` bytes of text in all.
 
     Rows without a label, doc_id or text teach nothing. They are taken in the order of crc32 of doc_id,
-    which is the same in every run and at every size. Without rows of both labels every score is their share.
+    which is the same in every run and at every size. Of texts of one doc_id the least teaches; a text that
+    alone is over `size` bytes never does. Without rows of both labels every score is their share. One task
+    learns, from rows whose number and bytes are bounded; only the network comes to the driver.
     """
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     wanted = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where((remainder(F.col("doc_id")) != 0) & F.col("y").isNotNull())
-    wanted = wanted.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(rows)
+    wanted = wanted.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(rows)
     # The bound on rows is this side's size: it may be sent to all tasks.
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(wanted), "doc_id").toPandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return train(found["text"].tolist(), found["y"].tolist())
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= size).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+    def fit(batches):
+        texts, given, held = [], [], 0
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                if held + len(text.encode()) <= size:
+                    held += len(text.encode())
+                    texts.append(text)
+                    given.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, given))], pa.binary())], ["network"])
+
+    made = found.repartition(1).sortWithinPartitions(order, "doc_id").select("text", "y").mapInArrow(fit, "network binary").first()
+    return pickle.loads(made.network) if made else train([], [])
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
