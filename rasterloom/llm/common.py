@@ -49,13 +49,14 @@ def dropped(df: DataFrame) -> None:
 
 
 def in_blocks(docs: DataFrame, target_bytes: int) -> tuple[DataFrame, int, int]:
-    """Documents with a block number, hashed from doc_id, so that a block holds about target_bytes of text; the blocks' number; all bytes of text.
+    """Documents with a block number, hashed from doc_id and text, so that a block holds about target_bytes of text; the blocks' number; all bytes of text.
 
-    A block is a unit of work for one task; its size doesn't grow with the table.
+    A block is a unit of work for one task; its size doesn't grow with the table, nor with how often one
+    doc_id, or none, stands in it.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / target_bytes))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block")), n, total
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")), n, total
 
 
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

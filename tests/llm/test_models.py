@@ -124,17 +124,69 @@ def test_no_training_text(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
 
 
-def test_contexts_help(spark):
+def test_contexts_help(spark, monkeypatch):
     """After x always comes y, and elsewhere hardly ever: the tree keeps that context and scores better."""
     rng = random.Random(3)
     rows = [(k, " ".join(w for _ in range(60) for w in (["x", "y"] if rng.random() < 0.5 else [rng.choice("abcdefgh")]))) for k in range(200)]
+    monkeypatch.setattr(lm, "LEAST", 200)
     got = lm.scored(documents(spark, rows)).where("held_out").collect()
     assert got and sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
-def test_distributions_sum_to_one():
-    frequent = np.array([5, 9], np.uint64)
-    found = [(1, lm.FIRST, np.array([lm.FIRST + 1, lm.END]), np.array([400, 20])), (2, (lm.FIRST + 1) * 5 + lm.FIRST, np.array([lm.FIRST + 1]), np.array([300]))]
-    tree = lm.grow(frequent, np.array([500, 420]), 2000, 50, 100, found)
-    assert len(tree.logs) > 1
-    assert np.allclose((10.0 ** tree.logs.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
+def tree_scores(rows, least):
+    """The model in plain Python: next-symbol counts of all contexts, the test, smoothing; the score of each text, and the kept contexts' distributions."""
+    texts = {k: words(lower(t)) for k, t in rows}
+    train = [w for k, w in texts.items() if k is not None and zlib.crc32(str(k).encode()) % 10]
+    counts = Counter(x for w in train for x in w)
+    types, tokens, ends = len(counts) + 1, sum(counts.values()) + len(train), len(train)
+    base = lambda n: (n + 0.1) / (tokens + 0.1 * (types + 1))
+    root = {x: base(n) for x, n in counts.items() if n >= least} | {"END": base(ends)}
+    root["RARE"] = 1 - sum(root.values())
+    coded = lambda w: [None, None, "START", *(x if counts[x] >= least else "RARE" for x in w), "END"]
+    context = lambda s, i, d: tuple(s[i - d : i])
+    follow = {}
+    for w in train:
+        s = coded(w)
+        for i in range(3, len(s)):
+            for d in range(1, lm.DEPTH + 1):
+                if not {None, "RARE"} & set(context(s, i, d)):
+                    follow.setdefault(context(s, i, d), Counter())[s[i]] += 1
+    kept = {}
+
+    def of(c):
+        while c and c not in kept:
+            c = c[1:]
+        return kept[c] if c else root
+
+    for c in sorted(follow, key=len):
+        n, parent = follow[c], of(c[1:])
+        total = sum(n.values())
+        gain = sum(v * math.log(v / total / parent[x]) for x, v in n.items())
+        if total >= least and 2 * gain >= len(n) + 4 * math.sqrt(2 * len(n)):
+            kept[c] = {x: (n[x] + lm.SMOOTHING * parent[x]) / (total + lm.SMOOTHING) for x in root}
+    out = {}
+    for k, w in texts.items():
+        s = coded(w)
+        out[k] = sum(math.log10(of(context(s, i, lm.DEPTH))[s[i]]) for i in range(3, len(s))) + sum(math.log10(base(counts[x]) / root["RARE"]) for x in w if counts[x] < least)
+    return out, kept
+
+
+@pytest.mark.parametrize("least", [8, 40])
+def test_scores_against_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(lm, "LEAST", least)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 6_000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 3_000)
+    rng = random.Random(12)
+    rows = [(k, " ".join(w for _ in range(rng.randrange(60)) for w in (["In", "x", "y"] if rng.random() < 0.3 else [f"w{int(rng.random() ** 3 * 60)}"]))) for k in range(200)] + [(900, None), (901, ""), (None, "x y unseen x")]
+    want, kept = tree_scores(rows, least)
+    assert len({len(c) for c in kept}) == (3 if least == 8 else 2) and all(math.isclose(sum(p.values()), 1) for p in kept.values())
+    got = {r.doc_id: r.score for r in lm.scored(documents(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_more_text_keeps_more_contexts(monkeypatch):
+    """The bound on a context is a count, not a share: twice the text may keep contexts that the half does not."""
+    monkeypatch.setattr(lm, "LEAST", 40)
+    rng = random.Random(13)
+    rows = [(k, " ".join(f"w{int(rng.random() ** 2 * 40)}" if rng.random() < 0.5 else "a b" for _ in range(60))) for k in range(300)]
+    assert len(tree_scores(rows, 40)[1]) > len(tree_scores(rows[:150], 40)[1])
