@@ -2,10 +2,11 @@
 
 For each item of n words, windows of n words are taken at every place of a text where at least one of the
 item's shingles occurs; elsewhere the similarity is 0. A text of fewer words than the item is one window,
-compared exactly. A longer text's window's fingerprint comes from prefix sums of
-its shingles' bits. The multi-index cuts fingerprints into BLOCKS parts: of two fingerprints at most
-RADIUS bits apart, one part differs in at most RADIUS // BLOCKS bits, and a table by part and value has
-all items for which that holds. Candidates within RADIUS are then compared exactly.
+compared exactly. A longer text's window's fingerprint of BITS bits comes from prefix sums of its
+shingles' bits. The multi-index cuts fingerprints into BLOCKS parts: of two fingerprints at most RADIUS bits
+apart, one part differs in at most RADIUS // BLOCKS bits. A table by part and value has each item under
+all values one bit from its own; a window looks up all values two bits from its own, so they meet if they are
+three bits apart. Candidates within RADIUS are then compared exactly.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ from rasterloom.llm.common import LOWER, mixed, shingle_hashes, slices, span_has
 
 SHINGLE = 5  #: words
 SIMILARITY = 0.8  #: weighted Jaccard similarity; a shingle weighs as often as it occurs
-#: Sets of similarity 0.8 differ in some 10 of 64 bits on average; within 23 lie all but about one in a million.
-RADIUS, BLOCKS = 23, 8
+BITS = 256
+#: Sets of similarity 0.8 differ in some 39 of 256 bits, give or take 6; unrelated ones in 128, give or take 8.
+RADIUS, BLOCKS = 63, 16
+#: Bits that a part may differ in on the item's side and on the window's; together RADIUS // BLOCKS.
+ITEM_BITS, WINDOW_BITS = 1, 2
+#: Shingles of a text whose sums of bits are held at once.
+CHUNK = 1 << 14
 #: Items' text that one index holds; a larger benchmark is searched index by index.
 INDEX_BYTES = 8 << 20
 SIEVE_BITS = 20
@@ -37,8 +43,15 @@ def _shingles(words: np.ndarray) -> np.ndarray:
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    return np.unpackbits(np.ascontiguousarray(mixed(hashes)).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """+1 or -1 for each of BITS bits of each hash."""
+    words = np.stack([mixed(hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(BITS // 64)], axis=1)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
+
+
+def _values(bits: int) -> np.ndarray:
+    """All values of a part with at most so many bits."""
+    every = np.arange(1 << 16, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= bits].astype(np.uint16)
 
 
 @dataclass
@@ -46,8 +59,8 @@ class Index:
     ids: list
     counts: list[Counter]
     words: np.ndarray  # of each item
-    prints: np.ndarray
-    tables: np.ndarray  # (block, value, item): whether that part of the item's fingerprint is near enough
+    prints: np.ndarray  # (item, part)
+    tables: list[tuple[np.ndarray, np.ndarray]]  # of each part: sorted keys, which are an item's runs and a value, and the items
     shingles: np.ndarray  # sorted, with the items that have them
     cuts: np.ndarray
     items: np.ndarray
@@ -64,16 +77,20 @@ class Index:
         words = np.diff(rows)
         keep = np.flatnonzero(words)
         own, words, ids = [own[k] for k in keep], words[keep], [ids[k] for k in keep]
-        prints = np.array([np.packbits(_bits(x).sum(axis=0) > 0).view(np.uint64)[0] for x in own], np.uint64) if own else np.zeros(0, np.uint64)
-        parts = prints.view(np.uint8).reshape(-1, 8)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None, None] ^ parts[None]) <= RADIUS // BLOCKS
+        prints = np.stack([np.packbits(_bits(x).sum(axis=0) > 0).view(np.uint16) for x in own]) if own else np.zeros((0, BLOCKS), np.uint16)
+        kind = words.astype(np.int64)
+        tables = []
+        for k in range(BLOCKS):
+            keys = (kind[:, None] << 16 | (prints[:, k, None] ^ _values(ITEM_BITS)).astype(np.int64)).ravel()
+            order = np.argsort(keys, kind="stable")
+            tables.append((keys[order], np.repeat(np.arange(len(own)), len(keys) // max(1, len(own)))[order]))
         flat = np.concatenate([np.zeros(0, np.uint64), *(np.unique(x) for x in own)])
         item = np.repeat(np.arange(len(own)), [len(np.unique(x)) for x in own]) if own else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         shingles, first = np.unique(flat[order], return_index=True)
         sieve = np.zeros(1 << SIEVE_BITS, bool)
         sieve[(shingles & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)] = True
-        return cls(ids, [Counter(x.tolist()) for x in own], words, prints, near.transpose(2, 0, 1).copy(), shingles, np.append(first, len(flat)), item[order], sieve, np.unique(words[words < SHINGLE]))
+        return cls(ids, [Counter(x.tolist()) for x in own], words, prints, tables, shingles, np.append(first, len(flat)), item[order], sieve, np.unique(words[words < SHINGLE]))
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places whose shingle some item has, and that shingle's number."""
@@ -84,6 +101,29 @@ class Index:
         ok = self.shingles[number] == hashes[at]
         return at[ok], number[ok]
 
+    def candidates(self, parts: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items of one kind with fingerprints at most RADIUS bits apart. parts: (window, part)."""
+        near, pairs = _values(WINDOW_BITS), [np.zeros(0, np.int64)]
+        for (keys, items), own in zip(self.tables, parts.T, strict=True):
+            value, of = np.unique(own, return_inverse=True)
+            probe = kind << 16 | (value[:, None] ^ near).astype(np.int64)
+            lo = np.searchsorted(keys, probe)
+            n = np.searchsorted(keys, probe, "right") - lo
+            which = np.repeat(np.arange(len(value)), n.sum(axis=1))
+            lo, n = lo.ravel(), n.ravel()
+            found = items[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            # Each value's items go to all windows that have it.
+            met = np.unique(which * max(1, len(self.ids)) + found)
+            which, found = met // max(1, len(self.ids)), met % max(1, len(self.ids))
+            begin = np.searchsorted(which, np.arange(len(value) + 1))
+            each = np.diff(begin)[of]
+            window = np.repeat(np.arange(len(own)), each)
+            pairs.append(window * max(1, len(self.ids)) + found[np.repeat(begin[:-1][of] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())])
+        pair = np.unique(np.concatenate(pairs))
+        window, item = pair // max(1, len(self.ids)), pair % max(1, len(self.ids))
+        close = np.bitwise_count(parts[window] ^ self.prints[item]).sum(axis=1) <= RADIUS
+        return window[close], item[close]
+
     def search(self, hashes: np.ndarray, at: np.ndarray, number: np.ndarray, size: int):
         """Matches in one text: item, first shingle's place, similarity. hashes: of the text's runs of `size` words; at, number: its hits."""
         n = self.cuts[number + 1] - self.cuts[number]
@@ -104,28 +144,30 @@ class Index:
         place, item = place[fits], item[fits]
         if not len(item):
             return
-        sums = np.zeros((len(hashes) + 1, 64), np.int32)
-        np.cumsum(_bits(hashes), axis=0, out=sums[1:])
+        wanted = []
         for length in np.unique(runs[item]).tolist():
             mine = runs[item] == length
             # Every window of that length over a hit, once.
             step = np.zeros(len(hashes) + 1, np.int64)
             np.add.at(step, np.maximum(0, place[mine] - length + 1), 1)
             np.add.at(step, np.minimum(place[mine], len(hashes) - length) + 1, -1)
-            first = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-            parts = np.packbits(sums[first + length] - sums[first] > 0, axis=1)
-            group = np.flatnonzero((runs == length) & (self.words >= SHINGLE if size == SHINGLE else self.words == size))
-            near = np.zeros((len(first), len(group)), bool)
-            for b in range(8):
-                near |= self.tables[b][parts[:, b]][:, group]
-            window, which = np.nonzero(near)
-            candidate = group[which]
-            apart = np.bitwise_count(parts.view(np.uint64).ravel()[window] ^ self.prints[candidate])
-            close = apart <= RADIUS
-            for k, j in zip(first[window[close]].tolist(), candidate[close].tolist(), strict=True):
-                both = sum((self.counts[j] & Counter(hashes[k : k + length].tolist())).values())
-                if both >= SIMILARITY * (2 * length - both):
-                    yield j, k, both / (2 * length - both)
+            wanted.append((length, np.flatnonzero(np.cumsum(step[:-1]) > 0)))
+        for lo in range(0, len(hashes), CHUNK):
+            here = [(length, first[np.searchsorted(first, lo) : np.searchsorted(first, lo + CHUNK)]) for length, first in wanted]
+            here = [(length, first) for length, first in here if len(first)]
+            if not here:
+                continue
+            part = hashes[lo : max(int(first[-1]) + length for length, first in here)]
+            sums = np.zeros((len(part) + 1, BITS), np.int32)
+            np.cumsum(_bits(part), axis=0, out=sums[1:])
+            for length, first in here:
+                parts = np.packbits(sums[first - lo + length] - sums[first - lo] > 0, axis=1).view(np.uint16)
+                kind = length + SHINGLE - 1 if size == SHINGLE else size
+                for k, j in zip(*(x.tolist() for x in self.candidates(parts, kind)), strict=True):
+                    k = int(first[k])
+                    both = sum((self.counts[j] & Counter(hashes[k : k + length].tolist())).values())
+                    if both >= SIMILARITY * (2 * length - both):
+                        yield j, k, both / (2 * length - both)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,7 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from rasterloom.llm import decontaminate
+from rasterloom.llm.common import span_hashes, text_buffer, word_bounds
 from tests.llm.helpers import clashing, documents, lower, prose, words
 
 
@@ -95,12 +99,48 @@ def test_edges(spark):
     assert decontaminate.matches(clashing(spark, [(1, "z a b c d e f"), (1, "z a b c d e f")]), some).count() == 2
 
 
-def test_index_holds_all_within_radius():
-    rng = random.Random(10)
-    index = decontaminate.Index.of([*range(40)], [prose(rng, 30) for _ in range(40)])
-    for _ in range(500):
-        j, mask = rng.randrange(40), 0
-        for b in rng.sample(range(64), rng.randrange(decontaminate.RADIUS + 1)):
-            mask |= 1 << b
-        other = int(index.prints[j]) ^ mask
-        assert any(index.tables[b][other >> 8 * b & 255][j] for b in range(8))
+def test_multi_index_against_all_pairs():
+    """All fingerprints within the radius are found, and no others; of unrelated pairs hardly any is."""
+    rng = random.Random(31)
+    texts = [prose(rng, 40, 10**4) for _ in range(300)]
+    index = decontaminate.Index.of(list(range(300)), texts)
+    gen = np.random.default_rng(32)
+    bits = np.unpackbits(index.prints.view(np.uint8), axis=1)
+    near = [bits[k % 300] ^ (gen.permutation(256) < k % 80).astype(np.uint8) for k in range(600)]
+    parts = np.packbits(np.array([*near, *gen.integers(0, 2, (400, 256), np.uint8)], np.uint8), axis=1).view(np.uint16)
+    apart = np.bitwise_count(parts[:, None, :] ^ index.prints[None]).sum(axis=2)
+    window, item = index.candidates(parts, 40)
+    assert set(zip(window.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS)), strict=True))
+    assert len(index.candidates(parts, 41)[0]) == 0 and (window >= 600).sum() == 0
+
+
+def test_recall_of_fingerprints():
+    """Of windows that are similar to 0.8 or a little more, the fingerprints of at least 99 % are within the radius."""
+    rng = random.Random(33)
+    found = total = 0
+    for _ in range(150):
+        w = prose(rng, 104, 10**6).split()
+        v = list(w)
+        v[50], v[20] = "changed", "changed"
+        x, y = (decontaminate._shingles(span(t)) for t in (w, v))
+        both = sum((Counter(x.tolist()) & Counter(y.tolist())).values())
+        assert 0.8 <= both / (200 - both) < 0.83
+        a, b = (np.packbits(decontaminate._bits(t).sum(axis=0) > 0) for t in (x, y))
+        found += int(np.bitwise_count(a ^ b).sum()) <= decontaminate.RADIUS
+        total += 1
+    assert found >= 0.99 * total
+
+
+def span(w):
+    data, offsets = text_buffer(pa.array([" ".join(w)]))
+    starts, ends, _ = word_bounds(data, offsets)
+    return span_hashes(data, starts, ends)
+
+
+def test_long_text_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 64)
+    rng = random.Random(34)
+    items = [(0, prose(rng, 40, 10**4)), (1, prose(rng, 90, 10**4))]
+    rows = [(0, " ".join(x for _ in range(6) for x in (prose(rng, 50, 10**4), items[0][1], prose(rng, 9, 10**4), items[1][1])))]
+    got = decontaminate.matches(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.item_id, r.n_windows, round(r.similarity, 9)) for r in got), key=str) == brute(rows, items)
