@@ -4,7 +4,7 @@ Two permutations make every coordinate of a signature: the first scatters a shin
 the second ranks the shingles, and is shifted circularly by one more step for each further coordinate.
 Bands of coordinates name buckets. A large bucket's members are not paired with each other: all meet its
 hub, the member with the most bucket-mates, and what is linked is joined into components. Two members of
-different components can only be linked if they share enough shingles that the hub lacks. Those are put in
+different components can only be linked if they share enough shingles that the hub lacks (or are among the few of certain sizes, which are named). Those are put in
 an order, useless ones and rare ones first, and of each member as many from the front as must hold a shared
 one name the next groups, of which only those matter that hold two components. No link between different
 components is lost, and no pair within a component is named.
@@ -121,68 +121,64 @@ def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, keys).select("g", "id", "rank", "component", "n")
 
 
-def _next_groups(met: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """g, id, rank, component, n, least: groups in which members of different components that a hub has left open can still be linked.
+def _next(met: DataFrame, named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (g, id, rank, component, n), and pairs (a, b), of members of different components that a hub has left open and that can still be linked.
 
     met: what compared() says of hubs a and members b; named: node, component. A set y is linked only with
     sets that share percent of its shingles. What the hub h has of them falls short by need, so x and y
     share that many outside h, and one of them is among y's first len(rest) - need + 1 in any fixed order;
     the order starts with shingles that only one component has. If h has enough of y, x and y may share
-    nothing else, but then h has percent of x too and x is small; those sets are a group of their own,
-    whose hub is the least set (least), because then what it shares with an open y is never enough.
+    nothing else, but then h has most of x too, and x is of certain sizes; those pairs are named by size.
     """
     t, c = percent / 100, percent / (100 + percent)
     own = lambda side, name: named.select(F.col("node").alias(side), F.col("component").alias(name))
     placed = met.join(own("a", "c_a"), "a", "left").join(own("b", "c_b"), "b", "left")
-    placed = placed.select("a", "least", F.col("b").alias("id"), "rank", F.coalesce("c_b", "b").alias("component"), (F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).alias("open"), "both", "n_a", F.col("n_b").alias("n"), "rest")
-    need = F.ceil(F.greatest(t * F.col("n"), F.when(F.col("least"), c * (F.col("n_a") + F.col("n"))).otherwise(0)) - 1e-6).cast("long") - F.col("both")
-    placed = placed.withColumn("spare", F.greatest(need, F.lit(1)) - 1).withColumn("few", ~F.col("least") & (100 * F.col("both") >= percent * F.col("n")))
-    limit = F.max(F.when(F.col("open") & F.col("few"), F.col("both") / c - F.col("n") + 1e-6))
-    hubs = written(placed.groupBy("a", "least").agg(F.max("open").alias("o"), limit.alias("limit")).where("o").drop("o"))
-    placed = written(placed.join(hubs, ["a", "least"]))
-    shared = placed.select("a", "least", "id", "rank", "component", "open", "spare", F.explode("rest").alias("s"))
-    useful = shared.groupBy("a", "least", "s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("open").alias("o")).where("o and lo <> hi")
-    own_rows = Window.partitionBy("a", "least", "id")
-    ranked = shared.join(useful.select("a", "least", "s", "df"), ["a", "least", "s"])
+    placed = placed.select("a", F.col("b").alias("id"), "rank", F.coalesce("c_b", "b").alias("component"), (F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).alias("open"), "both", F.col("n_b").alias("n"), "rest")
+    need = F.ceil(t * F.col("n") - 1e-6).cast("long") - F.col("both")
+    placed = placed.withColumn("spare", F.greatest(need, F.lit(1)) - 1)
+    hubs = placed.groupBy("a").agg(F.max("open").alias("o")).where("o").drop("o")
+    placed = written(placed.join(hubs, "a"))
+    shared = placed.select("a", "id", "rank", "component", "open", "spare", F.explode("rest").alias("s"))
+    useful = shared.groupBy("a", "s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("open").alias("o")).where("o and lo <> hi")
+    own_rows = Window.partitionBy("a", "id")
+    ranked = shared.join(useful.select("a", "s", "df"), ["a", "s"])
     ranked = ranked.withColumn("turn", F.row_number().over(own_rows.orderBy("df", "s"))).withColumn("of", F.count("*").over(own_rows))
-    columns = ["id", "rank", "component", "open"]
-    rows = ranked.where("not open or turn <= of - spare").select("a", "least", "s", *columns)
-    small = placed.where(F.col("few") & (F.col("n") <= F.col("limit"))).select("a", F.lit(True).alias("least"), F.lit(0).cast("long").alias("s"), "id", (-F.col("n")).alias("rank"), "component", "open")
-    out = written(_groups(rows, ["a", "least", "s"]).withColumn("least", F.lit(False)).union(_groups(small, ["a", "least", "s"]).withColumn("least", F.lit(True))))
-    for table in (hubs, placed):
-        dropped(table)
-    return out
+    groups = written(_groups(ranked.where("not open or turn <= of - spare").select("a", "s", "id", "rank", "component", "open"), ["a", "s"]))
+    least, most = F.ceil(t * F.col("n") - 1e-6).cast("long"), F.floor(F.col("both") / c - F.col("n") + 1e-6).cast("long")
+    few = placed.where("open").where(most >= least).select("a", F.col("id").alias("x"), F.col("component").alias("c_x"), F.col("n").alias("n_x"), F.explode(F.sequence(least, most)).alias("n"))
+    fits = (F.col("c_x") != F.col("component")) & (F.col("both") + 1e-6 >= c * (F.col("n_x") + F.col("n")))
+    pairs = few.join(placed.select("a", "id", "component", "n", "both"), ["a", "n"]).where(fits).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    pairs = written(pairs)
+    dropped(placed)
+    return groups, pairs
 
 
 def all_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component: what links between members of a common bucket connect. members: bucket, id (once a bucket), degree; sets: of shingle_table()."""
     rows = members.select("bucket", "id", F.col("degree").alias("rank"), F.col("id").alias("component"), F.lit(True).alias("open"))
-    groups = written(_groups(rows, ["bucket"]).withColumn("least", F.lit(False)))
-    named, most = None, SMALL
+    groups, named, more, most = written(_groups(rows, ["bucket"])), None, None, SMALL
     while True:
         low = groups.where(F.col("n") <= most)
         ends = [low.select("g", F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
-        direct = ends[0].join(ends[1], "g").where("a < b and c_a <> c_b").select("a", "b").distinct()
+        direct = ends[0].join(ends[1], "g").where("a < b and c_a <> c_b").select("a", "b")
+        direct = (direct if more is None else direct.union(more)).distinct()
         high = groups.where(F.col("n") > most).drop("n")
         hubs = high.groupBy("g").agg(F.max_by("id", F.struct("rank", -F.col("id"))).alias("a"))
         # Groups of one hub go on as one, so a member stands once beside it, however many bands they share.
-        pairs = high.join(hubs, "g").where("id <> a").select("a", F.col("id").alias("b"), "rank", "least").distinct()
-        all_pairs = direct.select("a", "b", F.lit(None).cast("long").alias("rank"), F.lit(False).alias("least"), F.lit(False).alias("hub")).union(pairs.withColumn("hub", F.lit(True)))
+        pairs = high.join(hubs, "g").where("id <> a").select("a", F.col("id").alias("b"), "rank").distinct()
+        all_pairs = direct.select("a", "b", F.lit(None).cast("long").alias("rank"), F.lit(False).alias("hub")).union(pairs.withColumn("hub", F.lit(True)))
         met = written(compared(all_pairs, sets, percent))
         fresh = met.where("linked").select("a", "b")
         found = components(fresh if named is None else fresh.union(named.toDF("a", "b")))
-        open_ = met.where("hub")
-        last = open_.isEmpty()
-        if not last:
-            following = _next_groups(open_, found, percent)
-            last = following.isEmpty()
-        for table in (groups, met, named):
+        for table in (groups, named, more):
             if table is not None:
                 dropped(table)
-        named = found
-        if last:
+        open_, named, most = met.where("hub"), found, SMALL_LATER
+        if open_.isEmpty():
+            dropped(met)
             return named
-        groups, most = following, SMALL_LATER
+        groups, more = _next(open_, found, percent)
+        dropped(met)
 
 
 def components(links: DataFrame) -> DataFrame:
