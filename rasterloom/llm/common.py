@@ -59,6 +59,16 @@ def in_blocks(docs: DataFrame, target_bytes: int) -> tuple[DataFrame, int, int]:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")), n, total
 
 
+#: Bytes that a task should read of what is dealt by block or bucket.
+TASK_BYTES = 64 << 20
+
+
+def dealt(df: DataFrame, key: str, size: int) -> DataFrame:
+    """df dealt by key, to more partitions than the session's number where a task would read over TASK_BYTES of the size in all."""
+    n = math.ceil(size / TASK_BYTES)
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one array of UTF-8 bytes and the rows' offsets into it; null counts as empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -156,6 +166,15 @@ def word_text(name: str = "text"):
     return F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def shares(bucket: np.ndarray):
+    """Each bucket that occurs, and the places that have it, in order."""
+    order = np.argsort(bucket, kind="stable")
+    own, cuts = np.unique(bucket[order], return_index=True)
+    ends = np.append(cuts, len(order))
+    for b, lo, hi in zip(own.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield b, order[lo:hi]
+
+
 def slices(batches, column: int | str, target_bytes: int = 4 << 20):
     """Record batches cut so that a binary or text column holds about target_bytes in each, one row at least: bounds what a task holds."""
     for batch in batches:

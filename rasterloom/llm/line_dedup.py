@@ -99,7 +99,7 @@ def _merge(batches):
 
 
 def _merged(words: DataFrame) -> DataFrame:
-    """key and group of templates that are linked with others. words: leaf, key, templates (of the leaf), tokens.
+    """key and group (of a written table) of templates that are linked with others. words: leaf, key, templates (of the leaf), tokens.
 
     Two templates of n tokens that are linked differ in n // 5 places at most, so of one group of places more
     than that, they agree wholly in one. A full leaf's templates meet by those groups, and their links are joined.
@@ -113,7 +113,7 @@ def _merged(words: DataFrame) -> DataFrame:
     links = written(words.repartition("leaf").sortWithinPartitions("leaf", "key").mapInArrow(_merge, "key binary, group binary, parted boolean"))
     parted = links.where("parted")
     if parted.isEmpty():
-        return links.select("key", "group")
+        return links
     joined = components(parted.select(F.col("key").alias("a"), F.col("group").alias("b")))
     out = written(links.where("not parted").select("key", "group").union(joined.toDF("key", "group")))
     dropped(links)
@@ -136,7 +136,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     # A line stands under its own digest, and under its template's, if that is another: one named after the linked templates, or one with fields.
     linked = F.unhex(F.md5(F.concat("group", F.lit(b"*"))))
     ids = F.array_compact(F.array(F.when(F.col("group").isNotNull(), F.struct(linked.alias("id"), F.lit(False).alias("exact"))), F.when(F.col("group").isNull() | F.col("exact"), F.struct(F.col("key").alias("id"), "exact"))))
-    placed = seen.where("key is not null").join(groups, "key", "left").select("doc_id", "line", "n", F.explode(ids).alias("t")).select("doc_id", "line", "n", F.col("t.id").alias("id"), F.col("t.exact").alias("exact"))
+    placed = seen.where("key is not null").join(groups.select("key", "group"), "key", "left").select("doc_id", "line", "n", F.explode(ids).alias("t")).select("doc_id", "line", "n", F.col("t.id").alias("id"), F.col("t.exact").alias("exact"))
     placed = written(placed.union(seen.where("raw is not null").select("doc_id", "line", "n", F.col("raw").alias("id"), F.lit(True).alias("exact"))))
     spread = placed.groupBy("id", "exact", "doc_id").agg(F.max("n").alias("n")).groupBy("id", "exact").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min("doc_id").alias("first"))
     spread = written(spread.where(f"docs >= if(n >= {LONG}, if(exact, {EXACT_DOCS}, {LONG_DOCS}), {SHORT_DOCS})"))

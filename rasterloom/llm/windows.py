@@ -10,13 +10,13 @@ Equal windows have equal minimisers, so
 3. the answers return to the blocks, which mark the units.
 
 A minimiser that very many places share would make one bucket large: its windows travel one by one
-instead, as 128-bit digests dealt by digest, so they spread out, and equal ones are one row a block.
-What a task holds is a block or a bucket; their number, not their size, grows with the input.
+instead, as strings dealt by their own hash, so they spread out, and equal ones are one string a block.
+What a task holds is a block or a bucket; their number, not their size, grows with the input. A block sends
+one row to each bucket that it has something for, so rows are never more than minimisers.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -26,13 +26,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rasterloom.llm.common import in_blocks, mixed, shingle_hashes, span_hashes, text_buffer, word_bounds
+from rasterloom.llm.common import dealt, in_blocks, mixed, shares, shingle_hashes, span_hashes, text_buffer, word_bounds
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
 #: Bytes of minimisers, and of packed strings, that a bucket should hold.
 BUCKET_BYTES = 2 << 20
-#: Occurrences from which a minimiser counts as hot.
+#: Occurrences from which a minimiser's windows travel one by one; their strings are compared all the same.
 HOT = 2000
 #: Units looked at together; the low bits of a minimiser's key hold its place.
 PLACE_BITS = 22
@@ -140,6 +140,11 @@ def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
+def _string_hashes(strings: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([*map(len, strings)])
+    return span_hashes(np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+
+
 #: Compares windows: gets the distinct packed strings of one bucket, their numbers of windows, and a value each; gives each window's answer, string by string.
 Compare = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
@@ -158,11 +163,8 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
     def send(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
         hashes, counts = np.unique(super_windows(Block.of(table, words), size, gram)[3], return_counts=True)
-        bucket = _dealt(hashes, buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         counts = np.minimum(counts, 255).astype(np.uint8)
-        return _table(_MINIMISERS, [(b, number, _short(hashes[order[lo:hi]]), counts[order[lo:hi]].tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo])
+        return _table(_MINIMISERS, [(b, number, _short(hashes[at]), counts[at].tobytes()) for b, at in shares(_dealt(hashes, buckets))])
 
     def tell(table: pa.Table) -> pa.Table:
         hashes = [_long(x.as_py()) for x in table.column("hashes")]
@@ -181,10 +183,10 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
         block = Block.of(table, words)
         row, first, windows, minimiser = super_windows(block, size, gram)
         distinct = np.unique(minimiser)
-        bucket = _dealt(distinct, buckets)
         kind = np.zeros(len(distinct), np.uint8)
+        mine = dict(shares(_dealt(distinct, buckets)))
         for b, k in zip(kinds.column("bucket").to_pylist(), kinds.column("kinds").to_pylist(), strict=True):
-            kind[bucket == b] = np.frombuffer(k, np.uint8)
+            kind[mine[b]] = np.frombuffer(k, np.uint8)
         kind = kind[np.searchsorted(distinct, minimiser)]
         rows = []
         for hot in (False, True):
@@ -197,27 +199,22 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             owner, heads = np.zeros(len(f), np.int64), []
             for k, (x, y) in enumerate(zip(f.tolist(), w.tolist(), strict=True)):
                 string = block.packed(x, x + y + size - 1)
-                j = found.setdefault(hashlib.blake2b(string, digest_size=16).digest() if hot else string, len(heads))
+                j = found.setdefault(string, len(heads))
                 if j == len(heads):
                     heads.append(k)
                 owner[k] = j
             if not heads:
                 continue
             strings = list(found)
-            keys = np.frombuffer(b"".join(s[:8] for s in strings), np.uint64) if hot else m[heads]
+            keys = _string_hashes(strings) if hot else m[heads]
             value = np.bincount(owner, minlength=len(heads))
             if by_document:
                 value = np.full(len(heads), NO_DOCUMENT)
                 np.minimum.at(value, owner, block.ids[r])
             goes = _dealt(keys, packed_buckets)
-            order = np.argsort(goes, kind="stable")
-            cuts = np.searchsorted(goes[order], np.arange(packed_buckets + 1))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order)) - cuts[goes[order]]
-            by = np.argsort(goes[owner], kind="stable")
-            spans = np.searchsorted(goes[owner][by], np.arange(packed_buckets + 1))
-            for b in np.unique(goes).tolist():
-                mine, uses = order[cuts[b] : cuts[b + 1]], by[spans[b] : spans[b + 1]]
+            place = np.empty(len(goes), np.int64)
+            for (b, mine), (_, uses) in zip(shares(goes), shares(goes[owner]), strict=True):
+                place[mine] = np.arange(len(mine))
                 text = [strings[j] for j in mine.tolist()]
                 rows.append((b, number, hot, _squeezed(np.array([len(t) for t in text], np.int32)), _squeezed(b"".join(text)), _squeezed(place[owner[uses]].astype(np.int32)), _squeezed(np.diff(f[uses], prepend=0).astype(np.int32)), _squeezed(value[mine])))
         return _table(_PACKED, rows)
@@ -272,10 +269,11 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             values.append(_unrun(_restored(a)))
         return finish(Block.of(table, words), np.concatenate(firsts), np.concatenate(values))
 
+    blocked = dealt(blocked, "block", total)
     minimisers = blocked.groupBy("block").applyInArrow(send, _sql(_MINIMISERS))
-    kinds = minimisers.groupBy("bucket").applyInArrow(tell, _sql(_KINDS))
+    kinds = dealt(minimisers, "bucket", buckets * BUCKET_BYTES).groupBy("bucket").applyInArrow(tell, _sql(_KINDS))
     strings = blocked.groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(pack, _sql(_PACKED))
-    answers = strings.groupBy("bucket").applyInArrow(meet, _sql(_ANSWERS))
+    answers = dealt(strings, "bucket", total).groupBy("bucket").applyInArrow(meet, _sql(_ANSWERS))
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, result)
 
 
