@@ -2,8 +2,8 @@
 
 JVM functions only. Every url is expanded into (host suffix, directory prefix) expressions; their
 digests' short prefixes meet the rules' in an equi-join, the full digest confirms, and the longest
-confirmed rule decides. The expansion of one url is bounded by its labels times its directories,
-not by the number of rules.
+confirmed rule decides. A url is expanded only as far as some rule reaches, in labels and in directories,
+so a url of very many directories is not expanded further than the longest rule.
 """
 
 from __future__ import annotations
@@ -34,15 +34,15 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*/)?", 0)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
+def host_suffixes(host: Column, most: int) -> Column:
+    """The host's ends of up to `most` labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def path_prefixes(path: Column) -> Column:
-    """Every prefix of the path that ends in a slash, and the empty one."""
-    parts = F.split(path, "/")
+def path_prefixes(path: Column, most: int) -> Column:
+    """Every prefix of the path that ends in a slash, of up to `most` slashes, and the empty one."""
+    parts = F.split(path, "/", most + 1)
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
 
 
@@ -53,7 +53,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     the rule's path. Longest: most characters of host, then of path; of equal ones the smaller verdict
     ("allow" before "block"). Urls that no rule fits get `default` and a null rule. Null urls and urls
     without "://" have empty host and path and fit no rule but one of empty host and path. Rows whose key
-    repeats or is null are judged one by one and all returned. Other columns are ignored, whatever their names.
+    repeats or is null are judged one by one and all returned. Urls of any length are read whole. Other columns are ignored, whatever their names.
 
     Returns key, host, path, rule, verdict.
     """
@@ -61,11 +61,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     wanted = rules.select(F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).distinct()
     wanted = wanted.withColumn("r_digest", F.sha2(F.concat_ws("\n", "r_host", _directory(F.col("r_path"))), 256))
     wanted = wanted.withColumn("r_prefix", F.substring("r_digest", 1, PREFIX_DIGITS))
-    if wanted.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    slashes = F.length("r_path") - F.length(F.translate("r_path", "/", ""))
+    n, labels, directories = wanted.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(1)), F.coalesce(F.max(slashes), F.lit(0))).first()
+    if n <= BROADCAST_RULES:
         wanted = F.broadcast(wanted)
     # Equal (host, directory) pairs are judged once, so a hot host is expanded once and not once a page.
     places = base.select("u_host", _directory(F.col("u_path")).alias("u_dir")).distinct()
-    expressions = places.select("u_host", "u_dir", F.explode(host_suffixes(F.col("u_host"))).alias("e_host")).select("u_host", "u_dir", "e_host", F.explode(path_prefixes(F.col("u_dir"))).alias("e_dir"))
+    expressions = places.select("u_host", "u_dir", F.explode(host_suffixes(F.col("u_host"), labels)).alias("e_host")).select("u_host", "u_dir", "e_host", F.explode(path_prefixes(F.col("u_dir"), directories)).alias("e_dir"))
     expressions = expressions.withColumn("e_digest", F.sha2(F.concat_ws("\n", "e_host", "e_dir"), 256))
     found = expressions.join(wanted, F.substring("e_digest", 1, PREFIX_DIGITS) == F.col("r_prefix")).where(F.col("e_digest") == F.col("r_digest"))
     fitting = found.groupBy("u_host", "u_dir").agg(F.collect_set(F.struct((-F.length("r_host")).alias("a"), (-F.length("r_path")).alias("b"), "r_verdict", "r_host", "r_path")).alias("fits"))

@@ -81,6 +81,31 @@ def test_toxicity_stage(spark):
     assert out.columns == COLUMNS and sum(k in kept for k in clean) >= 0.97 * len(clean)
 
 
+def test_toxicity_stage_drops(spark):
+    """Of the labelled documents that the network does not learn from, toxic ones go."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {r.doc_id for r in STAGE["toxicity"](spark, docs, DATA).collect()}
+    toxic = [r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("toxic = 1").collect()]
+    assert toxic and sum(k in kept for k in toxic) <= 0.25 * len(toxic)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dedup", "decontamination", "bpe"])
+def test_stage_on_odd_rows(spark, clean, name):
+    """Nulls, empty texts, repeated rows, a very long text, clashing columns, and no rows at all."""
+    line = "one line that stands in several documents and has more than eight words"
+    rows = [*clean[:6], (6, None), (7, ""), (8, " \n\t"), (None, clean[6][1]), (None, None), (9, clean[7][1]), (9, clean[7][1]), (10, " ".join(t for _, t in clean) * 5), (11, line + "\n" + clean[8][1]), (12, line + "\n" + clean[9][1])]
+    schema = "doc_id long, text string, n_lines long, n_removed long, key string, a long, b long, score double, bands string, line long, component_id long, block long"
+    docs = spark.createDataFrame([(k, t, 7, 8, "k", 1, 2, 0.5, "x", 3, 4, 5) for k, t in rows], schema)
+    out = STAGE[name](spark, docs, DATA)
+    got = out.collect()
+    if name == "bpe":
+        assert len(got) == len(rows) and [r.n_tokens for r in got if r.doc_id in (6, 7)] == [0, 0]
+    else:
+        assert out.columns == docs.columns and {(r.n_lines, r.n_removed, r.key, r.component_id) for r in got} == {(7, 8, "k", 4)}
+        assert {6, 7, 8, 9, 11, 12, None} <= {r.doc_id for r in got}
+    assert STAGE[name](spark, docs.limit(0), DATA).count() == 0
+
+
 def test_whole(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
