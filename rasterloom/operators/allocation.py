@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.expressions import drawn
+
 
 def baseline(df: DataFrame, landuse: str, area: str, criteria: dict[str, dict[str, str]], flags: dict[str, str] | None = None) -> DataFrame:
     """<criterion>_CUR for each criterion: the score column of the feature's present option, times its area; 0 for other land uses, or where the option's flag isn't 1."""
@@ -86,19 +88,19 @@ def result_columns(df: DataFrame, feature: str, solution: DataFrame, options: li
     return out.withColumn("OPT_STR", names)
 
 
-def perturbed(df: DataFrame, column: str, percent: int, seed: int) -> DataFrame:
-    """A criterion moved by a random whole percentage between -percent and percent, 0 at least. Draws hang on the row's own values, so a rerun task draws them again."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(2 * percent + 1)) - percent
+def perturbed(df: DataFrame, column: str, percent: int, seed: int, key: str = "id") -> DataFrame:
+    """A criterion moved by a random whole percentage between -percent and percent, 0 at least. Draws hang on the seed and the row's key, so every cluster draws the same."""
+    draw = F.floor(drawn(seed, F.col(key)) * (2 * percent + 1)) - percent
     return df.withColumn(column, F.greatest(F.lit(0.0), F.col(column) + F.col(column) * draw / 100))
 
 
-def batch_runs(df: DataFrame, column: str, percents: list[int], repetitions: int, seed: int) -> DataFrame:
+def batch_runs(df: DataFrame, column: str, percents: list[int], repetitions: int, seed: int, key: str = "id") -> DataFrame:
     """The table once for each uncertainty and repetition, perturbed anew: columns uncertainty and run."""
     runs = F.explode(F.array(*(F.struct(F.lit(p).alias("uncertainty"), F.lit(r).alias("run")) for p in percents for r in range(repetitions))))
     out = df.withColumn("__run", runs)
-    span = 2 * F.col("__run.uncertainty") + 1
-    draw = F.pmod(F.xxhash64(F.lit(seed), "__run", *df.columns), span) - F.col("__run.uncertainty")
-    return out.withColumn(column, F.greatest(F.lit(0.0), F.col(column) + F.col(column) * draw / 100)).select(F.col("__run.uncertainty").alias("uncertainty"), F.col("__run.run").alias("run"), *df.columns)
+    level = F.col("__run.uncertainty")
+    draw = F.floor(drawn(seed, level, F.col("__run.run"), F.col(key)) * (2 * level + 1)) - level
+    return out.withColumn(column, F.greatest(F.lit(0.0), F.col(column) + F.col(column) * draw / 100)).select(level.alias("uncertainty"), F.col("__run.run").alias("run"), *df.columns)
 
 
 def result_summary(df: DataFrame, current: str, area: str, optimised: DataFrame) -> DataFrame:
@@ -116,11 +118,17 @@ def change_matrix(df: DataFrame, current: str, optimised: str, area: str, option
 
 
 def program_lines(objective_rows: DataFrame, constraints: DataFrame, sides: DataFrame, sense: str = "max") -> DataFrame:
-    """The program as text, a line for each row of it: section, row, line. No row's text passes through the driver."""
+    """The program as text, a line for each term of it: section, row, place, term, line.
+
+    In the order of these columns the lines are the program: a row's head (place 0), its terms (1), and its
+    end (2). A row may have a term for every variable; as each is a line, no row is gathered in a task.
+    """
+    term = F.concat_ws(" ", F.format_string("%+.6f", "coef"), "variable")
 
-    def line(df: DataFrame) -> DataFrame:
-        return df.groupBy("row").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", F.format_string("%+.6f", "coef"), "variable"))), " ").alias("sum"))
+    def part(df: DataFrame, section: int, place: int, line: Column, term: Column | None = None) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), "row", F.lit(place).alias("place"), (F.lit("") if term is None else term).alias("term"), line.alias("line"))
 
-    first = line(objective_rows).select(F.lit(0).alias("section"), "row", F.concat(F.lit(f"{sense}: "), "sum", F.lit(";")).alias("line"))
-    rest = line(constraints).join(sides, "row").select(F.lit(1).alias("section"), "row", F.concat("row", F.lit(": "), "sum", F.lit(" "), "sense", F.lit(" "), F.format_string("%.6f", "rhs"), F.lit(";")).alias("line"))
-    return first.unionByName(rest)
+    heads = part(objective_rows.select("row").distinct(), 0, 0, F.lit(f"{sense}:")).unionByName(part(sides, 1, 0, F.concat("row", F.lit(":"))))
+    terms = part(objective_rows, 0, 1, term, F.col("variable")).unionByName(part(constraints.join(sides.select("row"), "row", "left_semi"), 1, 1, term, F.col("variable")))
+    ends = part(objective_rows.select("row").distinct(), 0, 2, F.lit(";")).unionByName(part(sides, 1, 2, F.concat("sense", F.lit(" "), F.format_string("%.6f", "rhs"), F.lit(";"))))
+    return heads.unionByName(terms).unionByName(ends)

@@ -65,7 +65,11 @@ def over_tiles(cells: DataFrame, spec: GridSpec, radius: int, bands: list[str],
         columns = [pa.array(x, pa.int32()), pa.array(y, pa.int32())]
         for values in out.values():
             v = values[y - y0, x - x0]
-            columns.append(pa.array(v.reshape(len(v), -1).tolist(), pa.list_(pa.float64())) if v.ndim > 1 else pa.array(v, from_pandas=True))
+            if v.ndim > 1:
+                each = v.shape[1]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * each, pa.int32()), pa.array(np.ascontiguousarray(v, np.float64).ravel())))
+            else:
+                columns.append(pa.array(v, from_pandas=True))
         return pa.table(columns, ["x", "y", *out])
 
     return tiled(cells, spec, radius, tile).select("tx", "ty", "x", "y", *bands).groupBy("tx", "ty").applyInArrow(run, schema)
@@ -154,15 +158,25 @@ def terrain(cells: DataFrame, spec: GridSpec, attribute: str = "slope", unit: st
     return over_tiles(cells, spec, 1, bands, work, f"x int, y int, {attribute} double")
 
 
-def windowed(cells: DataFrame, spec: GridSpec, radius: int, bands: list[str]) -> DataFrame:
-    """x, y and for each band win_<band>, the values of the square window in row-major order; edges repeat. For scripts that need whole windows."""
-    side = 2 * radius + 1
+def windowed(cells: DataFrame, spec: GridSpec, radius: int | tuple[int, int], bands: list[str], circular: bool = False) -> DataFrame:
+    """x, y and for each band win_<band>, the values of the window in row-major order; edges repeat. For scripts that need whole windows.
+
+    radius may be one for each axis. A circular window holds only the cells within the ellipse of those radii.
+    """
+    rx, ry = (radius, radius) if isinstance(radius, int) else radius
+    most = max(rx, ry)
+    side = 2 * most + 1
+    inside = np.zeros((side, side), bool)
+    for dy in range(-ry, ry + 1):
+        for dx in range(-rx, rx + 1):
+            inside[most + dy, most + dx] = not circular or (dx * ry) ** 2 + (dy * rx) ** 2 <= (rx * ry) ** 2
+    places = np.flatnonzero(inside)
 
     def work(*padded: np.ndarray) -> dict[str, np.ndarray]:
         views = [np.lib.stride_tricks.sliding_window_view(p, (side, side)) for p in padded]
-        return {f"win_{b}": v.reshape(*v.shape[:2], side * side) for b, v in zip(bands, views, strict=True)}
+        return {f"win_{b}": v.reshape(*v.shape[:2], side * side)[:, :, places] for b, v in zip(bands, views, strict=True)}
 
-    return over_tiles(cells, spec, radius, bands, work, "x int, y int, " + ", ".join(f"win_{b} array<double>" for b in bands))
+    return over_tiles(cells, spec, most, bands, work, "x int, y int, " + ", ".join(f"win_{b} array<double>" for b in bands))
 
 
 def kernel_functions(radius: int, tables: dict[str, list[list[float]]] | None = None) -> dict[str, Callable[..., Column]]:

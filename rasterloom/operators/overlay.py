@@ -14,10 +14,22 @@ from rasterloom.sources.grids import GridSpec
 RANGES = {"byte": (-128, 127), "short": (-32768, 32767), "int": (-2147483648, 2147483647), "ubyte": (0, 255), "ushort": (0, 65535), "uint": (0, 4294967295)}
 
 
-def overlay(grids: dict[str, DataFrame], value: str = "value") -> DataFrame:
-    """Aligned grids side by side: x, y and a column for each grid, joined on the cell."""
+def overlay(grids: dict[str, DataFrame], value: str = "value", specs: dict[str, GridSpec] | None = None) -> DataFrame:
+    """Aligned grids side by side: x, y and a column for each grid, joined on the cell.
+
+    Grids of different sizes are an error: by their specs where these are given, and else by a cell that
+    one grid has and another lacks, which fails the job that meets it.
+    """
+    for spec in list((specs or {}).values())[1:]:
+        next(iter(specs.values())).same_cells(spec)
     named = [df.select("x", "y", F.col(value).alias(name)) for name, df in grids.items()]
-    return reduce(lambda a, b: a.join(b, ["x", "y"]), named)
+    if specs is not None or len(named) < 2:
+        return reduce(lambda a, b: a.join(b, ["x", "y"]), named)
+    marked = [df.withColumn(f"__in{k}", F.lit(True)) for k, df in enumerate(named)]
+    every = reduce(lambda a, b: a.join(b, ["x", "y"], "full"), marked)
+    missing = reduce(lambda a, b: a | b, (F.col(f"__in{k}").isNull() for k in range(len(named))))
+    checked = every.withColumn("x", F.when(missing, F.raise_error(F.lit("grids differ in their cells")).cast("int")).otherwise(F.col("x")))
+    return checked.select("x", "y", *grids)
 
 
 def looked_up(cells: DataFrame, band: str, table: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rasterloom.functions.expressions import random_functions
@@ -9,6 +11,9 @@ from rasterloom.operators import combine, focal, geometry, overlay, sorting, spr
 from rasterloom.plans.registry import WIDTH, event_grid, event_spec, registered, rounded, table
 from rasterloom.sources import grids
 
+#: A draw from [0, 1) by md5 of a text; the text of a seed and an event's cell.
+DRAW = "('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0"
+CELL = "'{seed},' || (event_id % 100) || ',' || (event_id // 100)"
 XY = "CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y"
 STATS = ("min", "max", "mean", "stddev", "sum")
 ZONES = """SELECT CAST(user_id AS BIGINT) AS rowidx, COUNT(*) AS "count", MIN(value) AS "min", MAX(value) AS "max", AVG(value) AS mean, STDDEV_POP(value) AS stddev, SUM(value) AS "sum",
@@ -100,7 +105,8 @@ OVER = "SELECT event_id, CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id //
 
 
 def both(spark, d):
-    return overlay.overlay({"b1": event_grid(spark, d, "value"), "b2": event_grid(spark, d, F.col("user_id").cast("double").alias("value"))})
+    spec = event_spec(spark, d)
+    return overlay.overlay({"b1": event_grid(spark, d, "value"), "b2": event_grid(spark, d, F.col("user_id").cast("double").alias("value"))}, specs={"b1": spec, "b2": spec})
 
 
 @registered("m1_map_algebra", f"WITH t AS ({OVER}) SELECT x, y, round(b1 * 2 + sqrt(b2) - pow(b1, 2) / 100, 6) + 0.0 AS out1, CAST(b1 > 50 AND b2 < 20 OR b1 < 5 AS DOUBLE) AS out2, CASE WHEN b1 > b2 THEN b1 ELSE b2 END AS out3 FROM t")
@@ -195,7 +201,8 @@ def m12_transport(spark, d):
     return rounded(focal.terrain(cells, event_spec(spark, d), "transport", flow="fa"), "transport")
 
 
-@registered("m12_ls_factor")
+@registered("m12_ls_factor", P + FLOW.format(h=HORN) + """, m AS (SELECT *, (sb / 0.0896) / (3 * pow(sb, 0.8) + 0.56) AS b, 2 * sqrt(1 / pi()) AS dm, atan2(zy, zx) - pi() / 2 AS turn FROM s), l AS (SELECT *, b / (1 + b) AS m FROM m)
+SELECT x, y, round(CASE WHEN t = 0 THEN 1 ELSE (pow(fa, m + 1) - pow(fa - 1, m + 1)) / (pow(dm, m + 2) * pow(abs(sin(turn)) + abs(cos(turn)), m) * pow(22.13, m)) END * CASE WHEN 100 * t < 9 THEN 10.8 * sb + 0.03 ELSE 16.8 * sb - 0.5 END, 6) + 0.0 AS ls FROM l""")
 def m12_ls(spark, d):
     cells = event_grid(spark, d, "value", (F.col("user_id") % 7 + 1.0).alias("fa"))
     return rounded(focal.terrain(cells, event_spec(spark, d), "ls", flow="fa"), "ls")
@@ -267,16 +274,20 @@ def m14_dinf(spark, d):
 
 
 @registered("m15_resample_nearest", """WITH t AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value FROM events)
-SELECT CAST(i.range AS INTEGER) AS x, CAST(j.range AS INTEGER) AS y, t.value FROM range(0, 40) i, range(0, 4) j LEFT JOIN t ON t.x = floor(i.range * 2.5 + 0.5) AND t.y = floor(j.range * 2.5 + 0.5)""")
+SELECT CAST(i.range AS INTEGER) AS x, CAST(j.range AS INTEGER) AS y, t.value FROM range(0, 40) i, range(0, (SELECT CAST(ceil((MAX(event_id) // 100 + 1) / 2.5) AS BIGINT) FROM events)) j LEFT JOIN t ON t.x = floor(i.range * 2.5 + 0.5) AND t.y = floor(j.range * 2.5 + 0.5)""")
 def m15_nearest(spark, d):
-    return geometry.resampled(event_grid(spark, d, "value"), event_spec(spark, d), grids.GridSpec(40, 4, (0.0, 0.0), (2.5, 2.5)), "nearest")
+    spec = event_spec(spark, d)
+    target = grids.GridSpec(math.ceil(spec.width / 2.5), math.ceil(spec.height / 2.5), (0.0, 0.0), (2.5, 2.5))
+    return geometry.resampled(event_grid(spark, d, "value"), spec, target, "nearest")
 
 
 @registered("m15_resample_linear", """WITH t AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value FROM events),
-q AS (SELECT i.range AS x, j.range AS y, 0.25 + i.range * 1.5 AS sx, 0.5 + j.range * 1.5 AS sy FROM range(0, 60) i, range(0, 5) j)
-SELECT CAST(q.x AS INTEGER) AS x, CAST(q.y AS INTEGER) AS y, round(SUM(t.value * (1 - abs(q.sx - t.x)) * (1 - abs(q.sy - t.y))), 6) + 0.0 AS value FROM q JOIN t ON abs(q.sx - t.x) < 1 AND abs(q.sy - t.y) < 1 GROUP BY q.x, q.y""")
+q AS (SELECT i.range AS x, j.range AS y, 0.25 + i.range * 1.5 AS sx, 0.5 + j.range * 1.5 AS sy FROM range(0, 66) i, range(0, (SELECT CAST(floor((MAX(event_id) // 100 - 0.5) / 1.5) AS BIGINT) + 1 FROM events)) j)
+SELECT CAST(q.x AS INTEGER) AS x, CAST(q.y AS INTEGER) AS y, round(SUM(t.value * (1 - abs(q.sx - t.x)) * (1 - abs(q.sy - t.y))), 6) + 0.0 AS value FROM q JOIN t ON t.x BETWEEN floor(q.sx) AND floor(q.sx) + 1 AND t.y BETWEEN floor(q.sy) AND floor(q.sy) + 1 GROUP BY q.x, q.y""")
 def m15_linear(spark, d):
-    return rounded(geometry.resampled(event_grid(spark, d, "value"), event_spec(spark, d), grids.GridSpec(60, 5, (0.25, 0.5), (1.5, 1.5)), "linear"), "value")
+    spec = event_spec(spark, d)
+    target = grids.GridSpec(math.floor((spec.width - 1.25) / 1.5) + 1, math.floor((spec.height - 1.5) / 1.5) + 1, (0.25, 0.5), (1.5, 1.5))
+    return rounded(geometry.resampled(event_grid(spark, d, "value"), spec, target, "linear"), "value")
 
 
 @registered("m16_resample_mean", "SELECT CAST((event_id % 100) // 5 AS INTEGER) AS x, CAST((event_id // 100) // 5 AS INTEGER) AS y, round(AVG(value), 6) AS value FROM events GROUP BY 1, 2")
@@ -382,9 +393,9 @@ def s13(spark, d):
     return grids.update_region(cells, grids.region(cells, 10, 1, 10, 3, shift=False).withColumn("value", F.lit(-1.0)))
 
 
-@registered("s16_random_grid")
+@registered("s16_random_grid", f"SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, round(10 * ({DRAW.format(key=CELL.format(seed=7))}), 6) AS value FROM events")
 def s16(spark, d):
-    return grids.random_cells(spark, grids.GridSpec(50, 20), 0.0, 10.0, 7)
+    return rounded(grids.random_cells(spark, event_spec(spark, d), 0.0, 10.0, 7), "value")
 
 
 @registered("s17_grid_to_table", "SELECT event_id % 100 AS x_id, event_id // 100 AS y_id, value AS dem, (event_id // 100) * 10.0::DOUBLE AS lat FROM events")
@@ -400,11 +411,10 @@ def s17_update(spark, d):
     return grids.update_table(image, image.where("x_id % 2 = 0").withColumn("dem", F.col("dem") * 2), ["x_id", "y_id"], "dem")
 
 
-@registered("s18_table_to_grid", """SELECT CAST(i.range AS INTEGER) AS x, CAST(j.range AS INTEGER) AS y, coalesce(v, -9999.0) AS value FROM range(0, 50) i, range(0, 8) j
-LEFT JOIN (SELECT event_id % 100 AS x, event_id // 100 AS y, MAX(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) e ON e.x = i.range AND e.y = j.range""")
+@registered("s18_table_to_grid", "SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, CASE WHEN value > 20 THEN value ELSE -9999.0 END AS value FROM events")
 def s18(spark, d):
     rows = grids.to_table(event_grid(spark, d, "value"), "dem")
-    return grids.to_grid(rows, grids.GridSpec(50, 8), "x_id", "y_id", "dem", "(y_id * 100 + x_id) % 3 = 0", -9999.0)
+    return grids.to_grid(rows, event_spec(spark, d), "x_id", "y_id", "dem", "dem > 20", -9999.0)
 
 
 @registered("l1_sorted_cells", "SELECT row_number() OVER (ORDER BY value, event_id) - 1 AS rank, event_id AS \"index\", value FROM events")
@@ -418,6 +428,32 @@ def l2(spark, d):
     return sorting.sorted_cells(cells, event_spec(spark, d), ascending=False, dependent=["zone"]).select("rank", "index", "value", "zone")
 
 
-@registered("f11_random_functions")
+@registered("f11_random_functions", f"""WITH d AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, {DRAW.format(key=CELL.format(seed=3))} AS u, sqrt(-2 * ln(1 - {DRAW.format(key=CELL.format(seed=4))})) * cos(2 * pi() * {DRAW.format(key=CELL.format(seed=5))}) AS z FROM events)
+SELECT x, y, round(u, 6) + 0.0 AS out1, floor(1 + 6 * u) AS out2, round(5 + 2 * z, 6) + 0.0 AS out3, round(exp(z), 6) + 0.0 AS out4 FROM d""")
 def f11(spark, d):
-    return overlay.map_algebra(event_grid(spark, d, "value"), event_spec(spark, d), "rand(0, 1), unifdist_int(1, 6), normdist(5, 2), lndist(0, 1)", functions=random_functions(3))
+    return rounded(overlay.map_algebra(event_grid(spark, d, "value"), event_spec(spark, d), "rand(0, 1), unifdist_int(1, 6), normdist(5, 2), lndist(0, 1)", functions=random_functions(3)), "out1", "out3", "out4")
+
+
+@registered("m8_circular_window", """WITH t AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value FROM events), h AS (SELECT MAX(y) AS y FROM t),
+o(dx, dy) AS (VALUES (-2, 0), (-1, 0), (0, 0), (1, 0), (2, 0), (0, -1), (0, 1))
+SELECT t.x, t.y, round(SUM(n.value), 6) + 0.0 AS total FROM t, h, o JOIN t n ON n.x = greatest(0, least(99, t.x + dx)) AND n.y = greatest(0, least(h.y, t.y + dy)) GROUP BY t.x, t.y""")
+def m8_circular(spark, d):
+    cells = focal.windowed(event_grid(spark, d, "value"), event_spec(spark, d), (2, 1), ["value"], circular=True)
+    return rounded(cells.select("x", "y", F.aggregate("win_value", F.lit(0.0), lambda a, v: a + v).alias("total")), "total")
+
+
+EXPRESSIONS = {
+    "f10_constants": ("value * log2e + log10e - ln2 * ln10 + euler", "value / ln(2) + 1 / ln(10) - ln(2) * ln(10) + 0.5772156649015329"),
+    "f19_sizeof": ("sizeof(value, zone, 3) + max(value, zone) - min(zone, value, 4)", "3 + greatest(value, zone) - least(zone, value, 4)"),
+    "f20_bits": ("(zone & 6) + (zone | 8) + (zone << 2) + (zone >> 1) + (value > 50 and zone > 3 or zone == 1)", "(zone & 6) + (zone | 8) + zone * 4 + zone // 2 + CASE WHEN value > 50 AND zone > 3 OR zone = 1 THEN 1 ELSE 0 END"),
+    "f22_casts": ("(int)(value / 7) + (float)zone + 4! + (int)(0 - value) + !(zone > 3)", "trunc(value / 7) + zone + 24 + trunc(-value) + CASE WHEN zone > 3 THEN 0 ELSE 1 END"),
+    "f23_text": ("strlen(concat(toupper(name), 'x')) + str2dbl('2.5') + strlen(tolower(name))", "length(upper(name) || 'x') + 2.5 + length(lower(name))"),
+    "f26_units": ("value * 2k + 3m - 1M / 1k", "value * 2000 + 0.003 - 1000"),
+}
+for _name, (_text, _sql) in EXPRESSIONS.items():
+
+    def _expression(spark, d, text=_text):
+        cells = event_grid(spark, d, "value", (F.col("user_id") % 7).alias("zone"), F.col("event_type").alias("name"))
+        return rounded(overlay.map_algebra(cells, event_spec(spark, d), text), "out1")
+
+    registered(_name, f"WITH t AS (SELECT {XY}, value, user_id % 7 AS zone, event_type AS name FROM events) SELECT x, y, round(CAST({_sql} AS DOUBLE), 6) + 0.0 AS out1 FROM t")(_expression)

@@ -81,22 +81,31 @@ def o10(spark, d):
     return allocation.result_columns(f, "id", o9(spark, d), OPTIONS).select("id", "OPT_STR", "OPT0_VAL", "OPT1_VAL", "OPT2_VAL")
 
 
-@registered("o11_perturbed_scores")
+#: A draw from [0, 1) by md5 of a text.
+DRAW = "('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@registered("o11_perturbed_scores", f"WITH f AS ({FEATURES}), r AS (SELECT *, floor({DRAW.format(key="'3,' || id")} * 21) - 10 AS p FROM f) SELECT id, round(greatest(0, s_pasture + s_pasture * p / 100), 6) AS s_pasture FROM r")
 def o11(spark, d):
-    return allocation.perturbed(features(spark, d), "s_pasture", 10, 3).select("id", "s_pasture")
+    return rounded(allocation.perturbed(features(spark, d), "s_pasture", 10, 3).select("id", "s_pasture"), "s_pasture")
 
 
-@registered("o12_batch_runs")
+@registered("o12_batch_runs", f"""WITH f AS ({FEATURES}), r AS (SELECT CAST(u AS INTEGER) AS uncertainty, CAST(n.range AS INTEGER) AS run, s_pasture, floor({DRAW.format(key="'11,' || u || ',' || n.range || ',' || id")} * (2 * u + 1)) - u AS p FROM f, (VALUES (5), (10)) l(u), range(0, 3) n)
+SELECT uncertainty, run, COUNT(*) AS features, round(SUM(greatest(0, s_pasture + s_pasture * p / 100)), 6) AS gain FROM r GROUP BY ALL""")
 def o12(spark, d):
-    return allocation.batch_runs(features(spark, d), "s_pasture", [5, 10], 3, 11).groupBy("uncertainty", "run").agg(F.count("*").alias("features"), F.sum("s_pasture").alias("gain"))
+    return rounded(allocation.batch_runs(features(spark, d), "s_pasture", [5, 10], 3, 11).groupBy("uncertainty", "run").agg(F.count("*").alias("features"), F.sum("s_pasture").alias("gain")), "gain")
 
 
-@registered("o13_program_text", f"""WITH {VARIABLES}, s AS (SELECT 'area_' || feature AS "row", string_agg(printf('%+.6f', 1.0) || ' ' || variable, ' ' ORDER BY printf('%+.6f', 1.0) || ' ' || variable) AS t, MAX(area) AS a FROM v GROUP BY 1)
-SELECT CAST(1 AS INTEGER) AS section, "row", "row" || ': ' || t || ' <= ' || printf('%.6f', a) || ';' AS line FROM s""")
+@registered("o13_program_text", f"""WITH {VARIABLES}, s AS (SELECT DISTINCT 'area_' || feature AS "row", area FROM v)
+SELECT CAST(0 AS INTEGER) AS section, 'objective' AS "row", CAST(0 AS INTEGER) AS place, '' AS term, 'max:' AS line
+UNION ALL SELECT 0, 'objective', 1, variable, printf('%+.6f', gain) || ' ' || variable FROM v
+UNION ALL SELECT 0, 'objective', 2, '', ';'
+UNION ALL SELECT 1, "row", 0, '', "row" || ':' FROM s
+UNION ALL SELECT 1, 'area_' || feature, 1, variable, printf('%+.6f', 1.0) || ' ' || variable FROM v
+UNION ALL SELECT 1, "row", 2, '', '<= ' || printf('%.6f', area) || ';' FROM s""")
 def o13(spark, d):
     v = rows(spark, d)
-    coefs, sides = allocation.area_constraints(v)
-    return allocation.program_lines(allocation.objective(v, {"gain": 1.0}), coefs, sides).where("section = 1")
+    return allocation.program_lines(allocation.objective(v, {"gain": 1.0}), *allocation.area_constraints(v))
 
 
 @registered("a19_result_summary", BEST + """, c AS (SELECT use AS option, SUM(area) AS a FROM f GROUP BY 1), o AS (SELECT option, SUM(area) AS a FROM b GROUP BY 1), j AS (SELECT coalesce(c.option, o.option) AS option, coalesce(c.a, 0) AS cur_area, coalesce(o.a, 0) AS opt_area FROM c FULL JOIN o ON c.option = o.option), t AS (SELECT * FROM j UNION ALL SELECT 'total', SUM(cur_area), SUM(opt_area) FROM j)

@@ -395,3 +395,15 @@ sql_query("q15_dates", "SELECT event_id, CAST(ts AS DATE) AS day, date_format(ts
 sql_query("q17_mathematics", "SELECT p_partkey, abs(-p_size) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(degrees(p_size), 6) AS dg, round(radians(p_size), 9) AS rd, round(cot(p_size), 6) AS ct, round(power(p_size, 2), 6) AS pw FROM part", "SELECT p_partkey, abs(-p_size) AS a, ceil(p_retailprice)::BIGINT AS c, floor(p_retailprice)::BIGINT AS f, round(degrees(p_size), 6) AS dg, round(radians(p_size), 9) AS rd, round(cot(p_size), 6) AS ct, round(power(p_size, 2), 6) AS pw FROM part")
 sql_query("q18_casts_checksums", "SELECT p_partkey, casttointeger(p_name) AS i, casttodouble(concat(p_size, '.5')) AS x, casttotext(CAST(p_size AS STRING)) AS t, md5checksum(p_name) AS m FROM part", "SELECT p_partkey, try_cast(p_name AS BIGINT) AS i, try_cast(concat(p_size, '.5') AS DOUBLE) AS x, CAST(p_size AS VARCHAR) AS t, md5(p_name) AS m FROM part")
 sql_query("q20_windows", "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS running FROM orders", "SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS k, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS running FROM orders")
+
+
+@registered("a22_grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS orders, round(SUM(o_totalprice) FILTER (WHERE o_custkey % 2 = 0), 2) AS even FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def a22(spark, d):
+    orders = table(spark, d, "orders")
+    even = F.sum(F.when(F.col("o_custkey") % 2 == 0, F.col("o_totalprice")))
+    return orders.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(even, 2).alias("even"))
+
+
+@registered("s7_table_reader", "SELECT p_partkey, p_size FROM part WHERE p_size > 20")
+def s7(spark, d):
+    return st.read_table(spark, f"{d}/part.parquet", ["p_partkey", "p_size"], "p_size > 20")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.functions.expressions import drawn
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -67,8 +69,9 @@ def overview(cells: DataFrame, level: int, value: str = "value", how: str = "avg
 
 
 def random_cells(spark: SparkSession, spec: GridSpec, low: float, high: float, seed: int) -> DataFrame:
-    n = spark.range(spec.width * spec.height)
-    return cells_of(n.withColumn("value", F.lit(low) + F.lit(high - low) * F.rand(seed)), "id", spec.width, "value")
+    """Values between low and high by hash of the seed and the cell: the same on every cluster."""
+    cells = cells_of(spark.range(spec.width * spec.height), "id", spec.width)
+    return cells.withColumn("value", F.lit(low) + F.lit(high - low) * drawn(seed, F.col("x"), F.col("y")))
 
 
 def to_table(cells: DataFrame, image: str, value: str = "value", dims: dict[str, str] | None = None, auxiliary: dict[str, DataFrame] | None = None) -> DataFrame:

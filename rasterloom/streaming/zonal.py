@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.sources.stored import shared_folder
+
 
 def running_statistics(stream: DataFrame, zone: str = "zone", value: str = "value") -> DataFrame:
     """A streaming aggregate: count, min, max, mean and sum by zone, for update or complete mode. State grows with the zones, not the cells."""
@@ -18,7 +22,16 @@ def running_combinations(stream: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drained(result: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now and returns the result's table. State and progress are kept under checkpoint, which all executors share."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over all that is there now and returns the result's table. State and progress are kept under checkpoint, which all executors share.
+
+    The result is a stored table and never passes the driver. In complete mode each batch replaces it; else
+    a batch has a folder by its number, so one that is run again writes the same rows once.
+    """
+    path = f"{shared_folder(result.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    query = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return result.sparkSession.read.schema(result.schema).parquet(path).select(*result.columns)
