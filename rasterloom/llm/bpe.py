@@ -139,8 +139,8 @@ class Vocabulary:
         return symbols[alive], counts[offsets[1:]] - counts[offsets[:-1]]
 
     def decode(self, ids) -> str:
-        """The text of ids; bytes that aren't UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        """The text of ids; those that the vocabulary lacks are left out, and bytes that aren't UTF-8 become replacement characters."""
+        return b"".join([self.bytes_of[i] for i in ids if i in self.bytes_of]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=1)
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
 
 def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """key and text of each list of ids; a null list gives the empty text, an id that the vocabulary lacks raises KeyError."""
+    """key and text of each list of ids; a null list gives the empty text, and ids that are null or that the vocabulary lacks are left out, as the public library does. Lists of any length are decoded whole."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):

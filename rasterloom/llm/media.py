@@ -151,7 +151,7 @@ def pngs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores each text's padded bytes as a PNG in a binary column: key, n_bytes, media.
 
     A null text counts as empty and gives one row of zeros; rows whose key repeats or is null each
-    give their own file. Other columns are ignored, whatever their names.
+    give their own file. A text of any length is stored whole, but must fit in a task's memory. An empty table gives no rows; other columns are ignored, whatever their names.
     """
 
     def store(batches):
@@ -166,7 +166,7 @@ def pngs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Reads each PNG of a column `media` back: payload's length, digest and last block's checksum, and the hash of its low frequencies.
 
-    A file that fails a checksum raises PngError, and a null a TypeError: the column is meant to hold what pngs() stored.
+    A null file has null features. A file that fails a checksum raises PngError: the column is meant to hold what pngs() stored. A file of any length is read whole.
     """
 
     names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -176,6 +176,9 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in slices(batches, "media"):
             rows = []
             for m in batch.column("media").to_pylist():
+                if m is None:
+                    rows.append((None,) * len(kinds))
+                    continue
                 pixels = png_decode(m)
                 payload = pixels.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), cosine_hash(pixels)))

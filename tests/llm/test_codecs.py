@@ -1,6 +1,7 @@
 """URL filter, BPE and media columns: brute force, the reference library, exact round trips."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -117,3 +118,38 @@ def test_broken_files():
         with pytest.raises((media.PngError, zlib.error)):
             media.png_decode(bad)
     assert media.cosine_hash(media.png_decode(good)) == media.cosine_hash(np.arange(128, dtype=np.uint8).reshape(2, 64))
+
+
+def test_null_files_and_unknown_ids(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    r = media.features(spark.createDataFrame([(1, 3, None)], "doc_id long, n_bytes long, media binary")).first()
+    assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == (1, 3, *[None] * 6)
+    ids = [10, 10**6, 20, 30]
+    library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json")).decode(ids, skip_special_tokens=False)
+    got = bpe.decode(spark.createDataFrame([(1, ids), (2, None), (3, [])], "doc_id long, ids array<int>"), bpe.vocabulary_text()).collect()
+    assert {r.doc_id: r.text for r in got} == {1: library, 2: "", 3: ""}
+
+
+def test_feature_against_a_transform_by_hand():
+    """The 64 lowest frequencies of the two-dimensional cosine transform, summed term by term."""
+    rng = np.random.default_rng(16)
+    pixels = rng.integers(0, 256, (96, 64), dtype=np.uint8)
+    n, low = media.SIDE, media.LOW
+    small = np.zeros((n, n))
+    for i in range(n):
+        for j in range(n):
+            small[i, j] = pixels[i * 96 // n : (i + 1) * 96 // n, j * 64 // n : (j + 1) * 64 // n].astype(float).mean()
+    terms = []
+    for u in range(low):
+        for v in range(low):
+            total = sum(small[i, j] * math.cos(math.pi * (2 * i + 1) * u / (2 * n)) * math.cos(math.pi * (2 * j + 1) * v / (2 * n)) for i in range(n) for j in range(n))
+            terms.append(round(total * 2 / n * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1), 6))
+    middle = sorted(terms[1:])[len(terms[1:]) // 2]
+    bits = "".join("1" if t > middle else "0" for t in terms)
+    assert media.cosine_hash(pixels) == f"{int(bits, 2):0{len(bits) // 4}x}"
+
+
+def test_url_of_very_many_directories(spark):
+    url = "http://" + "a." * 300 + "example.com/de/" + "x/" * 20000
+    got = url_filter.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), url_filter.rules_table(spark)).first()
+    assert (got.rule, got.verdict) == ("example.com/de/", "block")
