@@ -190,3 +190,46 @@ def test_more_text_keeps_more_contexts():
     rows = [(k, " ".join(f"p{j} q{j} z{rng.randrange(9)}" for j in range(20) if rng.random() < j / 20)) for k in range(300)]
     few, many = (set(tree_scores(part, 100)[1]) for part in (rows[:150], rows))
     assert few and few < many
+
+
+def test_toxicity_scores_by_hand():
+    """Each window cell by cell, in plain Python numbers: gates, both directions, attention, the largest of the windows."""
+    rng = random.Random(21)
+    texts = [prose(rng, 70), "one TWO, three", prose(rng, 33), ""]
+    t = toxicity.read(pa.array(texts))
+    net = toxicity.Network.new(np.sort(t.hashes[::2]), np.random.default_rng(5))
+    net.bias = -1.5
+    w = {k: v.astype(float).tolist() for k, v in net.weights.items()}
+    slots, h = net.slots(t.hashes).tolist(), toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    times = lambda x, m: [sum(a * row[j] for a, row in zip(x, m, strict=True)) for j in range(len(m[0]))]
+
+    def vector(word):
+        grams = t.grams[t.gram_rows[word] : t.gram_rows[word + 1]].tolist()
+        return w["word"][slots[word]] + [sum(w["gram"][g][j] for g in grams) / len(grams) for j in range(toxicity.EMBED)]
+
+    def states(way, xs):
+        out, state = [], [0.0] * h
+        for x in xs:
+            gx, gh = [a + b for a, b in zip(times(x, w[f"x{way}"]), w[f"c{way}"], strict=True)], times(state, w[f"h{way}"])
+            z, r = [sigmoid(gx[j] + gh[j]) for j in range(h)], [sigmoid(gx[h + j] + gh[h + j]) for j in range(h)]
+            n = [math.tanh(gx[2 * h + j] + r[j] * gh[2 * h + j]) for j in range(h)]
+            state = [n[j] + z[j] * (state[j] - n[j]) for j in range(h)]
+            out.append(state)
+        return out
+
+    def odds(words_):
+        xs = [vector(k) for k in words_]
+        both = [f + b for f, b in zip(states("f", xs), states("b", xs[::-1])[::-1], strict=True)]
+        s = [sum(math.tanh(a) * v for a, v in zip(times(x, w["a"]), w["v"], strict=True)) for x in both]
+        e = [math.exp(a - max(s)) for a in s]
+        pooled = [sum(a / sum(e) * x[j] for a, x in zip(e, both, strict=True)) for j in range(2 * h)]
+        return sum(a * b for a, b in zip(pooled, w["o"], strict=True)) + w["ob"][0]
+
+    got = net.scores(t)
+    for k in range(3):
+        lo, hi = int(t.rows[k]), int(t.rows[k + 1])
+        starts = range(lo, max(lo, hi - toxicity.WINDOW + toxicity.STRIDE - 1) + 1, toxicity.STRIDE)
+        want = max(sigmoid(odds(t.word[s : min(hi, s + toxicity.WINDOW)].tolist())) for s in starts)
+        assert math.isclose(got[k], want, rel_tol=1e-4), k
+    assert math.isclose(got[3], sigmoid(-1.5), rel_tol=1e-6)

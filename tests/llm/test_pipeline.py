@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 
 import pytest
 
@@ -30,7 +31,7 @@ def test_line_stage(spark, clean):
     line = "this notice of more than eight words stands in every document here"
     rows = [(k, t + "\n" + line) for k, t in clean] + [(100, line), (101, ""), (102, None), (103, clean[0][1])]
     got = {r.doc_id: r for r in STAGE["line_dedup"](spark, documents(spark, rows), DATA).collect()}
-    assert set(got) == {*range(40), 101, 102, 103}
+    assert set(got) == {*range(40), 101, 102}  # of 103, each line stands in document 0 too
     assert got[0].text.endswith(line) and all(got[k].text == t for k, t in clean[1:])
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values()) and list(got[0].asDict()) == COLUMNS
 
@@ -82,11 +83,13 @@ def test_toxicity_stage(spark):
 
 
 def test_toxicity_stage_drops(spark):
-    """Of the labelled documents that the network does not learn from, toxic ones go."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = {r.doc_id for r in STAGE["toxicity"](spark, docs, DATA).collect()}
-    toxic = [r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("toxic = 1").collect()]
-    assert toxic and sum(k in kept for k in toxic) <= 0.25 * len(toxic)
+    """Of documents that the network does not learn from, toxic ones go and others stay."""
+    large = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{large}/documents.parquet").join(spark.read.parquet(f"{large}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    kept = {r.doc_id for r in STAGE["toxicity"](spark, docs, large).select("doc_id").collect()}
+    held = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    gone = {y: sum(k not in kept for k in held if held[k] == y) / sum(v == y for v in held.values()) for y in (0, 1)}
+    assert gone[1] > 0.85 and gone[0] < 0.02
 
 
 @pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dedup", "decontamination", "bpe"])
