@@ -2,13 +2,15 @@
 
 Euclidean distance is exact and takes two passes, over columns and over rows. Cost distance and flow work
 within tiles and pass on what crosses tile borders, round by round, until nothing new crosses; the rounds'
-number is that of the borders a path crosses, not of its cells. Each round's result is stored.
+number is that of the borders a path crosses, not of its cells. A round works on the tiles at which something
+new has arrived, and its result is stored.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,32 +68,59 @@ def buffered(distances: DataFrame, indicator: int = 1) -> DataFrame:
     return distances.select("x", "y", F.when(F.col("distance").isNotNull(), indicator).otherwise(0).alias("zone"))
 
 
+#: Rounds whose results are kept apart before they are stored as one table.
+ROUNDS_APART = 16
+
+
+def _latest(rounds: list[DataFrame]) -> DataFrame:
+    """Of tables with columns fx, fy (a tile) and round, each tile's rows of its last round."""
+    rows = reduce(DataFrame.union, rounds)
+    last = rows.groupBy("fx", "fy").agg(F.max("round").alias("round"))
+    return rows.join(last, ["fx", "fy", "round"]) if len(rounds) > 1 else rows
+
+
 def _rounds(cells: DataFrame, tile: int, work, better) -> DataFrame:
-    """Runs work over tiles until no tile's arrivals change.
+    """Runs work over tiles, then again over those whose arrivals have changed, until none has.
 
     work gets a tile's columns and its arrivals by place, and returns values of its cells and what leaves
     it. `better` aggregates the arrivals of one cell.
     """
     placed = stored(cells.withColumns({"tx": F.floor(F.col("x") / tile).cast("int"), "ty": F.floor(F.col("y") / tile).cast("int")}))
-    schema = "tx int, ty int, x int, y int, value double, leaving boolean"
+    names, kinds = ["fx", "fy", "tx", "ty", "x", "y", "value", "leaving"], [pa.int32()] * 6 + [pa.float64(), pa.bool_()]
+    schema = "fx int, fy int, tx int, ty int, x int, y int, value double, leaving boolean"
 
     def run(table: pa.Table, arrivals: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())], ["tx", "ty", "x", "y", "value", "leaving"])
+            return pa.table([pa.array([], t) for t in kinds], names)
         got = {(a, b): v for a, b, v in zip(*(arrivals.column(c).to_pylist() for c in ("x", "y", "value")), strict=True)}
+        fx, fy = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
         own, out = work({c: table.column(c).to_pylist() for c in table.column_names}, got)
-        rows = [(x // tile, y // tile, x, y, v, False) for (x, y), v in own.items()] + [(x // tile, y // tile, x, y, v, True) for (x, y), v in out.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()), strict=True)], ["tx", "ty", "x", "y", "value", "leaving"])
+        rows = [(fx, fy, x // tile, y // tile, x, y, v, gone) for part, gone in ((own, False), (out, True)) for (x, y), v in part.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    arrivals, before = cells.sparkSession.createDataFrame([], "tx int, ty int, x int, y int, value double"), None
+    arrivals = stored(cells.sparkSession.createDataFrame([], "tx int, ty int, x int, y int, value double"))
+    changed, values, leaving, number = None, [], None, 0
     while True:
-        done = stored(placed.groupBy("tx", "ty").cogroup(arrivals.groupBy("tx", "ty")).applyInArrow(run, schema))
-        arrivals = stored(done.where("leaving").groupBy("tx", "ty", "x", "y").agg(better("value").alias("value")))
-        sums = arrivals.agg(F.count("*"), F.sum(F.hash("x", "y", F.round("value", 9)).cast("long"))).first()
-        if sums == before:
-            return done.where("not leaving").select("x", "y", "value")
-        before = sums
+        todo, given = placed, arrivals
+        if changed is not None:
+            todo, given = (df.join(changed, ["tx", "ty"], "left_semi") for df in (placed, arrivals))
+        done = stored(todo.groupBy("tx", "ty").cogroup(given.groupBy("tx", "ty")).applyInArrow(run, schema).withColumn("round", F.lit(number)))
+        values.append(done.where("not leaving"))
+        if len(values) >= ROUNDS_APART:
+            values = [stored(_latest(values))]
+        out = done.where("leaving")
+        if leaving is not None:
+            # What a tile that has run again sends takes the place of all that it sent before.
+            ran = changed.select(F.col("tx").alias("fx"), F.col("ty").alias("fy"))
+            out = out.union(leaving.join(ran, ["fx", "fy"], "left_anti").select(*out.columns))
+        leaving = stored(out)
+        new = stored(leaving.groupBy("tx", "ty", "x", "y").agg(better("value").alias("value")))
+        both = new.join(arrivals.withColumnRenamed("value", "old"), ["tx", "ty", "x", "y"], "full")
+        changed = stored(both.where(~F.round("value", 9).eqNullSafe(F.round("old", 9))).select("tx", "ty").distinct())
+        if changed.isEmpty():
+            return _latest(values).select("x", "y", "value")
+        arrivals, number = new, number + 1
 
 
 def cost_distance(cells: DataFrame, spec: GridSpec, source: str, cost: str, maximum: float | None = None, tile: int = 256) -> DataFrame:
