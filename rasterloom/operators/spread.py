@@ -218,15 +218,20 @@ def _facet_shares(z: float, around: list[float | None], spec: GridSpec) -> list[
     return shares
 
 
-def flow_accumulation(cells: DataFrame, spec: GridSpec, algorithm: str = "mfd", exponent: float = 1.0, value: str = "value", weight: str | None = None, tile: int = 256) -> DataFrame:
-    """x, y and accumulation: 1 for the cell itself and what its higher neighbours pass on. Cells on the grid's edge receive but don't pass on; null cells do neither."""
-    width, height = spec.width, spec.height
+def _rimmed(cells: DataFrame, value: str, weight: str | None, tile: int) -> DataFrame:
+    """x, y, z, w, and for a cell at a tile's border rim, its neighbours in other tiles."""
     shifts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(AROUND)))
     base = cells.select("x", "y", F.col(value).cast("double").alias("z"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     rim_cells = base.where((F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1))
     beyond = rim_cells.select("x", "y", F.explode(shifts).alias("s")).select(F.col("x").alias("fx"), F.col("y").alias("fy"), "s.k", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
     beyond = beyond.where((F.floor(F.col("x") / tile) != F.floor(F.col("fx") / tile)) | (F.floor(F.col("y") / tile) != F.floor(F.col("fy") / tile)))
     rims = beyond.join(rim_cells, ["x", "y"]).groupBy(F.col("fx").alias("x"), F.col("fy").alias("y")).agg(F.collect_list(F.struct("x", "y", "z", "w")).alias("rim"))
+    return base.join(rims, ["x", "y"], "left")
+
+
+def flow_accumulation(cells: DataFrame, spec: GridSpec, algorithm: str = "mfd", exponent: float = 1.0, value: str = "value", weight: str | None = None, tile: int = 256) -> DataFrame:
+    """x, y and accumulation: 1 for the cell itself and what its higher neighbours pass on. Cells on the grid's edge receive but don't pass on; null cells do neither."""
+    width, height = spec.width, spec.height
 
     def work(t: dict, arrivals: dict) -> tuple[dict, dict]:
         z = {(x, y): v for x, y, v in zip(t["x"], t["y"], t["z"], strict=True)}
@@ -250,5 +255,37 @@ def flow_accumulation(cells: DataFrame, spec: GridSpec, algorithm: str = "mfd",
                         leave[q] = leave.get(q, 0.0) + part
         return flow, leave
 
-    out = _rounds(base.join(rims, ["x", "y"], "left"), tile, work, F.sum).withColumnRenamed("value", "accumulation")
+    out = _rounds(_rimmed(cells, value, weight, tile), tile, work, F.sum).withColumnRenamed("value", "accumulation")
+    return cells.select("x", "y").join(out, ["x", "y"], "left")
+
+
+def flow_length(cells: DataFrame, spec: GridSpec, upstream: bool = False, value: str = "value", weight: str | None = None, tile: int = 256) -> DataFrame:
+    """x, y and length: of the longest way down to the cell over ever lower neighbours, or with upstream up to it over ever higher ones; 0 where none begins.
+
+    A step counts its length times the entered cell's weight. Cells on the grid's edge are entered but not left; null cells are neither.
+    """
+    width, height = spec.width, spec.height
+    sx, sy = spec.spacing
+    lengths = [math.hypot(sx, sy) if dx and dy else (sx if dx else sy) for dx, dy in AROUND]
+    sign = -1.0 if upstream else 1.0
+
+    def work(t: dict, arrivals: dict) -> tuple[dict, dict]:
+        beyond = [(r["x"], r["y"], r["z"], r["w"]) for row in t["rim"] for r in row or ()]
+        own = {(x, y) for x, y in zip(t["x"], t["y"], strict=True)}
+        known = [*zip(t["x"], t["y"], t["z"], t["w"], strict=True), *beyond]
+        z = {(x, y): None if v is None else sign * v for x, y, v, _ in known}
+        w = {(x, y): v for x, y, _, v in known}
+        length = {p: max(0.0, arrivals.get(p, 0.0)) for p in own if z[p] is not None}
+        leave: dict = {}
+        for p in sorted(length, key=lambda p: (-z[p], p[1], p[0])):
+            if not (0 < p[0] < width - 1 and 0 < p[1] < height - 1):
+                continue
+            for (dx, dy), step in zip(AROUND, lengths, strict=True):
+                q = p[0] + dx, p[1] + dy
+                if z.get(q) is not None and z[q] < z[p]:
+                    reached = length if q in own else leave
+                    reached[q] = max(reached.get(q, 0.0), length[p] + step * w[q])
+        return length, leave
+
+    out = _rounds(_rimmed(cells, value, weight, tile), tile, work, F.max).withColumnRenamed("value", "length")
     return cells.select("x", "y").join(out, ["x", "y"], "left")

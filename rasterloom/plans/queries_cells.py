@@ -273,6 +273,11 @@ def m14_dinf(spark, d):
     return rounded(spread.flow_accumulation(event_grid(spark, d, "value"), event_spec(spark, d), "dinf", tile=64), "accumulation")
 
 
+@registered("m14_flow_length")
+def m14_length(spark, d):
+    return rounded(spread.flow_length(event_grid(spark, d, "value"), event_spec(spark, d), tile=64), "length")
+
+
 @registered("m15_resample_nearest", """WITH t AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value FROM events)
 SELECT CAST(i.range AS INTEGER) AS x, CAST(j.range AS INTEGER) AS y, t.value FROM range(0, 40) i, range(0, (SELECT CAST(ceil((MAX(event_id) // 100 + 1) / 2.5) AS BIGINT) FROM events)) j LEFT JOIN t ON t.x = floor(i.range * 2.5 + 0.5) AND t.y = floor(j.range * 2.5 + 0.5)""")
 def m15_nearest(spark, d):

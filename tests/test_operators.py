@@ -142,3 +142,29 @@ def test_updates_leave_other_rows(spark):
     assert sorted(map(tuple, attributes.updated(df, rows, ["k"]).collect()), key=str) == [(1, "a"), (2, "B"), (None, "c")]
     assert sorted(map(tuple, attributes.upserted(df, rows, ["k"]).collect()), key=str) == [(1, "a"), (2, "B"), (3, "D"), (None, "c")]
     assert attributes.appended_rows(df.limit(0), "k", 2).collect()[1].k == 1
+
+
+@pytest.mark.parametrize("upstream", [False, True])
+def test_flow_length(spark, upstream):
+    """Longest ways by trying each step again until none gets longer, on a grid with gaps, in small tiles."""
+    rng = random.Random(17)
+    spec = GridSpec(11, 9, (0.0, 0.0), (2.0, 3.0))
+    z = {(x, y): None if rng.random() < 0.08 else float(rng.randrange(20)) for x in range(11) for y in range(9)}
+    w = {p: 1.0 + rng.randrange(3) for p in z}
+    want, more = {p: 0.0 for p, v in z.items() if v is not None}, True
+    while more:
+        more = False
+        for (x, y), have in list(want.items()):
+            if not (0 < x < 10 and 0 < y < 8):
+                continue
+            for dx in (-1, 0, 1):
+                for dy in (-1, 0, 1):
+                    q = x + dx, y + dy
+                    if want.get(q) is None or not (z[q] > z[x, y] if upstream else z[q] < z[x, y]):
+                        continue
+                    new = have + ((2 * dx) ** 2 + (3 * dy) ** 2) ** 0.5 * w[q]
+                    if new > want[q] + 1e-9:
+                        want[q], more = new, True
+    cells = spark.createDataFrame([(x, y, v, w[x, y]) for (x, y), v in z.items()], "x int, y int, value double, weight double")
+    got = {(r.x, r.y): r.length for r in spread.flow_length(cells, spec, upstream, weight="weight", tile=4).collect()}
+    assert got.keys() == z.keys() and all(got[p] is None if p not in want else abs(got[p] - want[p]) < 1e-9 for p in got)
