@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions.expressions import ExpressionError, compiled, split_list
-from rasterloom.functions.parameters import FUNCTIONS, arithmetic, resolved, step_index
+from rasterloom.functions.parameters import FUNCTIONS, arithmetic, resolved, step_index, table_value
 
 
 @pytest.mark.parametrize(
@@ -58,3 +58,22 @@ def test_functions():
     assert f["fileBaseName"]("/x/a.b.c") == "a" and f["fileCompleteSuffix"]("/x/a.b.c") == "b.c" and f["filePath"]("a") == "."
     assert f["strCompare"]("A", "a") == "0" and f["strCompare"]("A", "a", "1") == "-1" and f["strContains"]("xAy", "a") == "1"
     assert [step_index("cycle", s, 2) for s in (1, 2, 3)] == [0, 1, 0] and step_index("use_up", 9, 3) == 2 and step_index("sync", 9, 3, 2) == 1
+
+
+def test_null_in_min_and_max(spark):
+    df = spark.createDataFrame([(None, 3.0), (2.0, 3.0)], "a double, b double")
+    names = {"a": F.col("a"), "b": F.col("b")}
+    for text, want in {"min(a, b)": [None, 2.0], "min(b, a)": [None, 2.0], "max(a, b, 1)": [None, 3.0], "max(1, b, a)": [None, 3.0], "min(b)": [3.0, 3.0]}.items():
+        assert [r[0] for r in df.select(compiled(text, names)).collect()] == want, text
+
+
+@pytest.mark.parametrize("text, want", [("(int)7.9 + (int)(0 - 7.9)", 0.0), ("(float)3 / 2", 1.5), ("3!", 6.0), ("2 + 3! * 2", 14.0), ("!0 + !5", 1.0), ("6 & 3 | 8", 10.0), ("1 << 4 >> 2", 4.0), ("1 == 1 and 0 or 1", 1.0), ("2k + 3m", 2000.003), ("5µ * 1M", 5.0), ("strlen(concat('ab', toupper('cd')))", 4.0), ("str2dbl('1e3')", 1000.0), ("str2dbl('x')", None), ("sizeof(1, 2, 3)", 3.0)])
+def test_casts_bits_text_and_units(spark, text, want):
+    got = spark.range(1).select(compiled(text, {})).first()[0]
+    assert got == want or abs(got - want) < 1e-9
+
+
+def test_table_value_by_row_number(spark):
+    df = spark.createDataFrame([(4, "c"), (0, "a"), (2, "b")], "id int, name string")
+    assert [table_value(df, "name", str(k)) for k in (1, 2, 3, 4, 0)] == ["a", "b", "c", "", ""]
+    assert table_value(df, "rowcount", "") == "3"

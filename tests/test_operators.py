@@ -168,3 +168,19 @@ def test_flow_length(spark, upstream):
     cells = spark.createDataFrame([(x, y, v, w[x, y]) for (x, y), v in z.items()], "x int, y int, value double, weight double")
     got = {(r.x, r.y): r.length for r in spread.flow_length(cells, spec, upstream, weight="weight", tile=4).collect()}
     assert got.keys() == z.keys() and all(got[p] is None if p not in want else abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def test_grids_of_other_sizes(spark):
+    one = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0)], "x int, y int, value double")
+    with pytest.raises(Exception, match="differ"):
+        overlay.overlay({"a": one, "b": one.where("x = 0")}).collect()
+    with pytest.raises(ValueError, match="differ in size"):
+        overlay.overlay({"a": one, "b": one}, specs={"a": GridSpec(2, 1), "b": GridSpec(1, 1)})
+    assert sorted(map(tuple, overlay.overlay({"a": one, "b": one}).collect())) == [(0, 0, 1.0, 1.0), (1, 0, 2.0, 2.0)]
+
+
+def test_draws_hang_on_cells_alone(spark):
+    other = random_cells(spark, SPEC, 0, 1, 5).repartition(7)
+    assert sorted(map(tuple, other.collect())) == sorted(map(tuple, random_cells(spark, SPEC, 0, 1, 5).collect()))
+    values = [r.value for r in random_cells(spark, GridSpec(60, 60), 2, 4, 9).collect()]
+    assert 2 <= min(values) < 2.05 and 3.95 < max(values) < 4 and abs(sum(values) / len(values) - 3) < 0.05
