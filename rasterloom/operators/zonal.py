@@ -33,17 +33,23 @@ def zonal_statistics(cells: DataFrame, zone: str = "zone", value: str | None = "
     return filled.select("rowidx", *(F.coalesce(c, F.lit(-1 if c == "zone_id" else 0).cast(t)).alias(c) for c, t in out.drop("rowidx").dtypes))
 
 
+#: Low bits of monotonically_increasing_id that count within a partition.
+PLACE_BITS = 33
+
+
 def numbered(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
     """Ordinals of distinct keys in ascending order, without bringing the rows into one task.
 
     Ranges of the key are sorted apart; each range's first ordinal is the sum of the sizes before it, and
     those few sizes are what meets in one place.
     """
-    placed = stored(df.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()))  # both uses must see the same ranges
+    # The id of a sorted row holds its part and its place in it. Stored, because both uses must see the same ranges.
+    placed = stored(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__id", PLACE_BITS))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = placed.withColumn("__rank", F.row_number().over(W.partitionBy("__part").orderBy(key)))
-    return within.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__rank") - 1 + start).cast("long")).drop("__part", "__rank", "__before")
+    place = F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + place + start).cast("long")).drop("__part", "__id", "__before")
 
 
 def column_statistics(df: DataFrame, column: str, where: str | None = None, sample: bool = False) -> DataFrame:
