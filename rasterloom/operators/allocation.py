@@ -48,14 +48,17 @@ def area_constraints(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(name.alias("row"), "variable", F.lit(1.0).alias("coef")), rows.groupBy(name.alias("row")).agg(F.lit("<=").alias("sense"), F.first("area").alias("rhs"))
 
 
-def option_constraint(rows: DataFrame, options: list[str], sense: str, amount: float, unit: str = "map_units", zone: Column | None = None, name: str = "areal") -> tuple[DataFrame, DataFrame]:
-    """An explicit bound on the area of some options, in all or within a zone. unit: map_units, percent_of_total or percent_of_zone."""
+def option_constraint(rows: DataFrame, options: list[str], sense: str, amount: float, unit: str = "map_units", zone: Column | None = None, name: str = "areal", selected: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """An explicit bound on the area of some options, in all or within a zone.
+
+    unit: map_units, or percent_of_total, percent_of_zone or percent_of_selected, which is of the features for which `selected` is true, or of all without it.
+    """
     inside = rows if zone is None else rows.where(zone)
     coefs = inside.where(F.col("option").isin(options)).select(F.lit(name).alias("row"), "variable", F.lit(1.0).alias("coef"))
     if unit == "map_units":
         side = rows.sparkSession.range(1).select(F.lit(float(amount)).alias("rhs"))
     else:
-        base = inside if unit == "percent_of_zone" else rows
+        base = {"percent_of_total": rows, "percent_of_zone": inside, "percent_of_selected": rows if selected is None else rows.where(selected)}[unit]
         side = base.dropDuplicates(["feature"]).agg((F.sum("area") * amount / 100).alias("rhs"))
     return coefs, side.select(F.lit(name).alias("row"), F.lit(sense).alias("sense"), "rhs")
 

@@ -54,6 +54,17 @@ def o5_coefs(spark, d):
     return allocation.option_constraint(rows(spark, d), ["crop"], "<=", 20, "percent_of_zone", F.col("feature") % 10 == 4)[0]
 
 
+@registered("o5_percent_of_selected", f"WITH {VARIABLES} SELECT 'areal' AS \"row\", '>=' AS sense, round(SUM(area) * 0.35, 6) AS rhs FROM (SELECT DISTINCT feature, area FROM v WHERE area > 25)")
+def o5_selected(spark, d):
+    return rounded(allocation.option_constraint(rows(spark, d), ["crop", "forest"], ">=", 35, "percent_of_selected", selected=F.col("area") > 25)[1], "rhs")
+
+
+@registered("o4_objective_constraint", f"WITH {VARIABLES} SELECT 'criterion' AS \"row\", variable, round(gain, 6) AS coef, '>=' AS sense, CAST(120 AS DOUBLE) AS rhs FROM v")
+def o4(spark, d):
+    coefs, side = allocation.criterion_constraint(rows(spark, d), "gain", ">=", 120)
+    return rounded(coefs.join(side, "row"), "coef").select("row", "variable", "coef", "sense", "rhs")
+
+
 @registered("o6_feature_areas", f"WITH {VARIABLES} SELECT DISTINCT 'area_' || feature AS \"row\", '<=' AS sense, area AS rhs FROM v")
 def o6(spark, d):
     return allocation.area_constraints(rows(spark, d))[1]
