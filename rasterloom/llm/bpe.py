@@ -284,7 +284,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     """key and ids (array of int) of each whole text. vocabulary: the JSON text of a byte-level BPE file.
 
     The strings of special tokens become their ids. A null text counts as empty and has no ids; rows
-    whose key repeats or is null are each encoded. Other columns are ignored, whatever their names.
+    whose key repeats or is null are each encoded. An empty table gives no rows; other columns are ignored, whatever their names. A text of any length is read whole, but must fit in a task's memory.
     """
     return _apply(docs, vocabulary, key, text, [("ids", pa.list_(pa.int32()), "array<int>")], lambda digits, _: ([int(i) for i in digits.split(",") if i],))
 

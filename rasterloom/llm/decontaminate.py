@@ -176,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
     Texts and items are lower-cased in A-Z; words are runs without blanks. Null, empty and blank texts and
     items match nothing; an item of fewer than five words matches those words in a row. Rows whose key
     repeats or is null are searched one by one, a text shorter than an item is held whole against it, items that repeat are found under each item_id. Empty
-    tables give no rows; other columns are ignored, whatever their names.
+    tables give no rows; other columns are ignored, whatever their names. A text of any length is read whole, but must fit in a task's memory.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()

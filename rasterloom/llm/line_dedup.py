@@ -155,7 +155,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     template, only themselves; those of under SHORTEST tokens are left alone. Null texts stay null with no lines, an
     empty text has one; rows of a null doc_id neither count nor lose lines. Rows of one doc_id are one
     document and lose the same lines. An empty table gives no rows. Columns named n_lines or n_removed are
-    replaced; others pass through.
+    replaced; others pass through. A text of any length is read whole, but must fit in a task's memory.
     """
     lost = recurring(docs).select(F.col("doc_id").alias("__lost_id"), F.col("lines").alias("__lost"))
     out = docs.drop("n_lines", "n_removed").join(lost.hint("merge"), F.col("doc_id") == F.col("__lost_id"), "left")

@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents of equal sets are one class, named by its smallest doc_id; only class representatives are
     compared. Null, empty and blank texts have an empty set and are linked with nothing. A repeated
     (doc_id, text) row is one of a class with itself; rows of a null doc_id are returned alone. An empty
-    table gives no rows; other columns are ignored, whatever their names.
+    table gives no rows; other columns are ignored, whatever their names. A text of any length is read whole, but must fit in a task's memory.
+    Of different texts of one doc_id the largest stands for it in comparisons.
     """
     signed = written(signatures(docs))
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.any_value("bands").alias("bands"))

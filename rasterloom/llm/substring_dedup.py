@@ -55,7 +55,7 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the remaining words joined by one space).
     Windows are judged on the input. Null and empty texts have no words. Rows whose doc_id repeats or is
     null each count as a place of their own, so a repeated row removes its long runs in both. An empty
-    table gives no rows; other columns are ignored, whatever their names.
+    table gives no rows; other columns are ignored, whatever their names. A text of any length is read whole, but must fit in a task's memory.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
 

@@ -91,7 +91,7 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     remaining bytes, which may cut a character). Strings are judged on the input and don't cross documents.
     Null texts count as empty. Rows of one doc_id are one document for the comparison and each give a row.
     A null doc_id counts as larger than any other. An empty table gives no rows; other columns are ignored,
-    whatever their names.
+    whatever their names. A text of any length is read whole, but must fit in a task's memory.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
 

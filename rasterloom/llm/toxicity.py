@@ -353,7 +353,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, score and predicted for every whole text, by all its overlapping windows.
 
     Null and empty texts score what the labels' share says. Rows whose doc_id repeats or is null are
-    scored one by one; other columns are ignored, whatever their names.
+    scored one by one; other columns are ignored, whatever their names. An empty table gives no rows. A text of any length is read whole, but must fit in a task's memory.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
