@@ -1,5 +1,6 @@
 """The pipeline's stages on planted cases, each on its own input, and the whole against the stages one by one."""
 
+import hashlib
 import os
 import random
 import zlib
@@ -9,6 +10,8 @@ import pytest
 import corpus_pipeline
 from rasterloom.llm import bpe
 from tests.llm.helpers import documents, prose
+from tests.llm.test_decontaminate import brute_of_shorter as item_brute
+from tests.llm.test_minhash import brute as near_brute
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -117,3 +120,32 @@ def test_whole(spark):
         docs = STAGE[name](spark, docs, DATA)
     want = bpe.digests(docs, bpe.vocabulary_text())
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_later_stages_against_plain_python(spark):
+    """Near dedup at 0.8, decontamination and encoding of one small corpus, each worked out without the operators."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    rng = random.Random(41)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(12).collect()]
+    base = [prose(rng, 80, 10**6) for _ in range(12)]
+    texts = [*base]
+    for k in range(30):
+        w = rng.choice(base).split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"v{k}"
+        texts.append(" ".join(w) + (f" {rng.choice(items)[1]}" if k % 4 == 0 else ""))
+    rows = list(enumerate(texts)) + [(100, None), (101, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = STAGE["near_dedup"](spark, docs, DATA)
+    kept = [(k, dict(rows)[k]) for k, _, _, own in near_brute(rows, 80) if own]
+    assert sorted(r.doc_id for r in near.collect()) == sorted(k for k, _ in kept)
+    every = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    clean_ = STAGE["decontamination"](spark, near, DATA)
+    found = {k for k, *_ in item_brute(kept, every)}
+    want = [(k, t) for k, t in kept if k not in found]
+    assert found and sorted(r.doc_id for r in clean_.collect()) == sorted(k for k, _ in want)
+    library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    coded = {k: library.encode(t or "", add_special_tokens=False).ids for k, t in want}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in STAGE["bpe"](spark, clean_, DATA).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {k: (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))) for k, ids in coded.items()}
