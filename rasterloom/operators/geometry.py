@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators.focal import tiled
 from rasterloom.sources.grids import GridSpec, cells_of
 
 
@@ -39,13 +42,48 @@ def resampled(cells: DataFrame, source: GridSpec, target: GridSpec, method: str
         return out
     if method != "linear":
         raise ValueError(f"unknown method {method}")
-    corners = wanted.withColumn("corner", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))))
-    corners = corners.withColumns({"fx": F.col("sx") - F.floor("sx"), "fy": F.col("sy") - F.floor("sy")})
-    corners = corners.withColumn("w", F.when(F.col("corner.i") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("corner.j") == 1, F.col("fy")).otherwise(1 - F.col("fy")))
-    corners = corners.withColumns({"__x": (F.floor("sx") + F.col("corner.i")).cast("int"), "__y": (F.floor("sy") + F.col("corner.j")).cast("int")})
-    used = corners.where(F.col("w") > 0).join(given, ["__x", "__y"], "left")
-    found = used.groupBy("x", "y").agg(F.sum(F.col("w") * F.col("__v")).alias("v"), F.count_if(F.col("__v").isNull()).alias("gaps"), F.first(inside).alias("inside"))
-    return found.select("x", "y", F.when(~F.col("inside"), F.lit(outside)).when(F.col("gaps") == 0, F.col("v")).alias(value))
+    around = wanted.where(~inside).select("x", "y", F.lit(outside).cast("double").alias(value))
+    return _linear(cells, source, target, value).unionByName(around)
+
+
+def _linear(cells: DataFrame, source: GridSpec, target: GridSpec, value: str, tile: int = 256) -> DataFrame:
+    """The linear values of the target's cells within the source: each tile of the source, with a rim of one cell, works out the target's cells that begin in it."""
+    columns, rows = math.ceil(source.width / tile), math.ceil(source.height / tile)
+    tiles = cells_of(cells.sparkSession.range(columns * rows), "id", columns).select(F.col("x").alias("tx"), F.col("y").alias("ty"))
+
+    def places(axis: int, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Target indices along an axis that begin among n source cells from first, and their places."""
+        size, whole = (target.width, source.width) if axis == 0 else (target.height, source.height)
+        at = lambda k: (k - target.origin[axis]) / target.spacing[axis]
+        ends = sorted(at(source.origin[axis] + source.spacing[axis] * k) for k in (first - 1, first + n + 1))
+        index = np.arange(max(0, math.floor(ends[0])), min(size, math.ceil(ends[1]) + 1))
+        place = (target.origin[axis] + index * target.spacing[axis] - source.origin[axis]) / source.spacing[axis]
+        own = (np.floor(place) >= first) & (np.floor(place) < first + n) & (place <= whole - 1)
+        return index[own], place[own]
+
+    def run(key: pa.Table, table: pa.Table) -> pa.Table:
+        names = ["x", "y", value]
+        if not key.num_rows:
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.float64())], names)
+        x0, y0 = key.column("tx")[0].as_py() * tile, key.column("ty")[0].as_py() * tile
+        w, h = min(tile, source.width - x0), min(tile, source.height - y0)
+        dense = np.full((h + 1, w + 1), np.nan)
+        x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
+        near = (x >= x0) & (x <= x0 + w) & (y >= y0) & (y <= y0 + h)
+        dense[y[near] - y0, x[near] - x0] = table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)[near]
+        (i, sx), (j, sy) = places(0, x0, w), places(1, y0, h)
+        left, top = np.floor(sx).astype(np.int64), np.floor(sy).astype(np.int64)
+        fx, fy = sx - left, sy - top
+        out = np.zeros((len(j), len(i)))
+        for dx, wx in ((0, 1 - fx), (1, fx)):
+            for dy, wy in ((0, 1 - fy), (1, fy)):
+                weight = wy[:, None] * wx[None]
+                # A corner that weighs nothing may be missing.
+                out += np.where(weight > 0, weight * dense[np.ix_(top - y0 + dy, left - x0 + dx)], 0)
+        return pa.table([pa.array(np.tile(i, len(j)), pa.int32()), pa.array(np.repeat(j, len(i)), pa.int32()), pa.array(out.ravel(), from_pandas=True)], names)
+
+    given = tiled(cells.select("x", "y", value), source, 1, tile)
+    return tiles.groupBy("tx", "ty").cogroup(given.groupBy("tx", "ty")).applyInArrow(run, f"x int, y int, {value} double")
 
 
 def shrunk(spec: GridSpec, factor: int) -> GridSpec:

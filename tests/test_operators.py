@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import attributes, combine, focal, overlay, sorting, spread, zonal
+from rasterloom.operators import attributes, combine, focal, geometry, overlay, sorting, spread, zonal
 from rasterloom.sources import tables
 from rasterloom.sources.grids import GridSpec, random_cells
 
@@ -184,3 +184,26 @@ def test_draws_hang_on_cells_alone(spark):
     assert sorted(map(tuple, other.collect())) == sorted(map(tuple, random_cells(spark, SPEC, 0, 1, 5).collect()))
     values = [r.value for r in random_cells(spark, GridSpec(60, 60), 2, 4, 9).collect()]
     assert 2 <= min(values) < 2.05 and 3.95 < max(values) < 4 and abs(sum(values) / len(values) - 3) < 0.05
+
+
+def test_linear_resampling_by_hand(spark):
+    """Four corners weighed, in tiles smaller than the grid; a null or missing corner of some weight gives null, places outside get the given value."""
+    rng = random.Random(23)
+    source, target = GridSpec(9, 7, (1.0, 2.0), (2.0, 1.0)), GridSpec(12, 11, (0.0, 1.5), (1.7, 0.75))
+    v = {(x, y): None if (x, y) == (3, 3) else rng.random() for x in range(9) for y in range(7) if (x, y) != (6, 2)}
+    cells = spark.createDataFrame([(x, y, z) for (x, y), z in v.items()], "x int, y int, value double")
+    want = {}
+    for i in range(12):
+        for j in range(11):
+            sx, sy = (1.7 * i - 1) / 2, 1.5 + 0.75 * j - 2
+            if not (0 <= sx <= 8 and 0 <= sy <= 6):
+                want[i, j] = -1.0
+                continue
+            x, y = math.floor(sx), math.floor(sy)
+            parts = [((1 - abs(sx - a)) * (1 - abs(sy - b)), v.get((a, b))) for a in (x, x + 1) for b in (y, y + 1) if abs(sx - a) < 1 and abs(sy - b) < 1]
+            want[i, j] = None if any(z is None for _, z in parts) else sum(p * z for p, z in parts)
+    assert None in want.values()
+    for got in (geometry.resampled(cells, source, target, "linear", outside=-1.0), geometry._linear(cells, source, target, "value", 4)):
+        found = {(r.x, r.y): r.value for r in got.collect()}
+        inside = {p: z for p, z in want.items() if p in found}
+        assert len(found) >= sum(z != -1.0 for z in want.values()) and all(z is None and found[p] is None or abs(found[p] - z) < 1e-9 for p, z in inside.items())
