@@ -95,6 +95,11 @@ def a12(spark, d):
     return rounded(rounded(zonal.column_statistics(grids.region(event_grid(spark, d, "value"), 10, 2, 50, 7), "value"), "mean", "stddev"), "sum", digits=4)
 
 
+@registered("a12_median", "SELECT round(median(value), 6) AS median FROM events")
+def a12_median(spark, d):
+    return rounded(zonal.median(event_grid(spark, d, "value"), "value"), "median")
+
+
 @registered("a13_histogram", """WITH e AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events)
 SELECT CAST(least(floor((value - lo) / ((hi - lo) / 32)), 31) AS INTEGER) AS bin, COUNT(*) AS "count" FROM events, e GROUP BY 1""")
 def a13(spark, d):

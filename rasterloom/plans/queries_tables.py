@@ -404,6 +404,11 @@ def a22(spark, d):
     return orders.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(even, 2).alias("even"))
 
 
+@registered("s10_opened_by_kind", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s10(spark, d):
+    return st.opened(spark, f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal")
+
+
 @registered("s7_table_reader", "SELECT p_partkey, p_size FROM part WHERE p_size > 20")
 def s7(spark, d):
     return st.read_table(spark, f"{d}/part.parquet", ["p_partkey", "p_size"], "p_size > 20")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,15 +51,33 @@ def export_delimited(df: DataFrame, path: str, where: str | None = None) -> None
 
 def imported_if_stale(spark: SparkSession, source: str, store: str) -> DataFrame:
     """The stored import of a text file, made anew if the file has changed since."""
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    place = path(f"{store}/_SUCCESS")
-    held = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not held.exists(place) or held.getFileStatus(place).getModificationTime() < files.getFileStatus(path(source)).getModificationTime():
+    held = _changed(spark, store)
+    if held is None or held < _changed(spark, source):
         import_delimited(spark, source).write.mode("overwrite").parquet(store)
     return spark.read.parquet(store)
 
 
+def _changed(spark: SparkSession, path: str):
+    """When the files under a path were last written; null without any. Their contents are not read."""
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.max("modificationTime")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def opened(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A table by its file's kind: Parquet, ORC or JSON as they are, .csv and .txt as delimited text."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind in ("csv", "txt"):
+        return import_delimited(spark, path, schema)
+    if kind not in ("parquet", "orc", "json"):
+        raise ValueError(f"unknown kind of table: {path}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.format(kind).load(path)
+
+
 def attach(tables: dict[str, DataFrame]) -> None:
     """Makes tables known to SQL under their names."""
     for name, df in tables.items():
