@@ -7,6 +7,7 @@ more than the grid, whatever the radius. In a tile, windows are shifted views of
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.expressions import compiled
+from rasterloom.functions.expressions import ExpressionError, compiled
 from rasterloom.sources.grids import GridSpec
 
 TILE = 256
@@ -179,6 +180,10 @@ def windowed(cells: DataFrame, spec: GridSpec, radius: int | tuple[int, int], ba
     return over_tiles(cells, spec, most, bands, work, "x int, y int, " + ", ".join(f"win_{b} array<double>" for b in bands))
 
 
+#: A statement of a kernel script: the loop's index and end, the name, the sign before "=", the expression.
+STATEMENT = re.compile(r"\s*(?:for\s+(\w+)\s*<\s*(\w+)\s*:\s*)?([A-Za-z_]\w*)\s*([-+*/]?)=(?!=)\s*(.+)$", re.S)
+
+
 def kernel_functions(radius: int, tables: dict[str, list[list[float]]] | None = None) -> dict[str, Callable[..., Column]]:
     """kwinVal(band, i), neigDist(i), kwinSum, kwinMean, kwinMin, kwinMax of a band, and tabVal('table', column, row)."""
     side = 2 * radius + 1
@@ -204,15 +209,27 @@ def kernel_functions(radius: int, tables: dict[str, list[list[float]]] | None =
     }
 
 
-def kernel_script(cells: DataFrame, spec: GridSpec, radius: int, bands: list[str], steps: dict[str, str], output: str, tables: dict[str, list[list[float]]] | None = None) -> DataFrame:
+def kernel_script(cells: DataFrame, spec: GridSpec, radius: int, bands: list[str], steps: dict[str, str] | list[str], output: str, tables: dict[str, list[list[float]]] | None = None) -> DataFrame:
     """x, y and the output of a script over windows. steps: name to expression, in order; later ones may use earlier names.
 
     A loop over the window is a step with a {i}: it stands for the sum of its expression over i = 0 .. numPix - 1.
+    Steps may also be statements: "name = expression", with +=, -=, *= or /= too, and before it "for k < n: ",
+    which runs it for k = 0 .. n - 1, where n is a number or numPix.
     """
     pixels = (2 * radius + 1) ** 2
     known = {b: F.col(f"win_{b}") for b in bands} | {"numPix": F.lit(float(pixels)), "centrePixIdx": F.lit(float(pixels // 2)), "xcoord": F.col("x").cast("double"), "ycoord": F.col("y").cast("double")}
     functions = kernel_functions(radius, tables)
     out = windowed(cells, spec, radius, bands)
+    if not isinstance(steps, dict):
+        for statement in steps:
+            m = STATEMENT.match(statement)
+            if not m:
+                raise ExpressionError(f"no statement: {statement!r}")
+            index, end, name, sign, text = m.groups()
+            for k in range(1 if index is None else pixels if end == "numPix" else int(end)):
+                value = compiled(text, known if index is None else known | {index: F.lit(float(k))}, functions)
+                known[name] = value if not sign else {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": F.try_divide}[sign](known[name], value)
+        return out.select("x", "y", known[output].alias(output))
     for name, text in steps.items():
         parts = [text.replace("{i}", str(i)) for i in range(pixels)] if "{i}" in text else [text]
         c = compiled(parts[0], known, functions)

@@ -219,6 +219,12 @@ def m8(spark, d):
     return rounded(focal.kernel_script(event_grid(spark, d, "value"), event_spec(spark, d), 1, ["value"], steps, "result"), "result")
 
 
+@registered("m7_kernel_loop", windows() + " SELECT x, y, round((SUM(v * sqrt(dx * dx + dy * dy)) / 8 - 1) * 2, 6) + 0.0 AS total FROM w GROUP BY x, y")
+def m7_loop(spark, d):
+    script = ["total = 0", "for k < numPix: total += kwinVal(value, k) * neigDist(k)", "total /= numPix - 1", "total -= 1", "total *= 2"]
+    return rounded(focal.kernel_script(event_grid(spark, d, "value"), event_spec(spark, d), 1, ["value"], script, "total"), "total")
+
+
 @registered("m7_kernel_tables", windows("user_id % 7", 1) + " SELECT x, y, round(SUM([0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5][v + 1] * sqrt(dx * dx + dy * dy))::DOUBLE, 6) + 0.0 AS result FROM w GROUP BY x, y")
 def m7(spark, d):
     cells = event_grid(spark, d, (F.col("user_id") % 7).alias("value"))
