@@ -191,3 +191,16 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(pngs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def payload_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of query() that SQL can state: what was stored comes back whole."""
+    return query(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOAD_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM h),
+p AS (SELECT doc_id, x, n, greatest(64, (n + 63) // 64 * 64) AS p FROM n)
+SELECT doc_id, n AS n_bytes, p AS payload_bytes, sha256(unhex(x || repeat('00', p - n))) AS payload_sha256 FROM p
+"""

@@ -15,6 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_media_columns": media.query,
+    # Parts of two of these, held against SQL.
+    "lm_base_scores": suffix_tree_lm.base_query,
+    "media_payloads": media.payload_query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op2_minhash": minhash.SQL,
     "op6_url_filter": url_filter.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
+    "lm_base_scores": suffix_tree_lm.BASE_SQL,
+    "media_payloads": media.PAYLOAD_SQL,
 }
