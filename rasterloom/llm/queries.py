@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, decontaminate, line_dedup, media, minhash, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from rasterloom.llm import bpe, decontaminate, line_dedup, media, minhash, quality_rules, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_media_columns": media.query,
+    "op11_quality_rules": quality_rules.query,
     # Parts of two of these, held against SQL.
     "lm_base_scores": suffix_tree_lm.base_query,
     "media_payloads": media.payload_query,
@@ -25,6 +26,7 @@ ORACLE_SQL = {
     "op2_minhash": minhash.SQL,
     "op6_url_filter": url_filter.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
+    "op11_quality_rules": quality_rules.SQL,
     "lm_base_scores": suffix_tree_lm.BASE_SQL,
     "media_payloads": media.PAYLOAD_SQL,
 }
