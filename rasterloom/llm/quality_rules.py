@@ -17,12 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import BLANKS, word_text, written
+from rasterloom.llm.common import word_text, written
 
 #: Share of a stratum's good documents that the rules together may reject, and the probability that this fails anywhere.
 ALPHA, DELTA = 0.02, 0.05
-#: Words of a window whose recurrence counts, characters that count as symbols, words that base asks for, percent of repeated words that it allows.
-WINDOW, SYMBOLS, LEAST_WORDS, MOST_REPEATED = 8, "#*$%&|<>", 20, 30
+#: Words of a window whose recurrence counts, runs of characters that are no symbols, words that base asks for, percent of repeated words that it allows.
+WINDOW, NO_SYMBOLS, LEAST_WORDS, MOST_REPEATED = 8, "[^#*$%&|<>]+", 20, 30
 #: Rule: loosest cutoff, step and strictest cutoff of its grid, all in thousandths.
 GRIDS = {"symbols": (1000, 10, 0), "dup_lines": (1000, 10, 0), "repeats": (1000, 10, 0), "word_chars": (12000, 50, 3000)}
 #: Strata up to whose number the table of cutoffs may be broadcast; a larger one is joined by shuffling.
@@ -48,8 +48,9 @@ def _repeated_words(words: Column, size: int) -> Column:
             return F.coalesce(out, F.lit(False))
 
         def places(s: Column) -> Column:
-            twice = F.transform(s, lambda x, k: F.when(same(s, k, k - 1) | same(s, k, k + 1), x["i"]))
-            return F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
+            as_before = F.transform(s, lambda x, k: (k > 0) & same(s, k, k - 1))
+            twice = lambda f: F.transform(s, lambda x, k: F.when(at(f, k) | F.coalesce(at(f, k + 1), F.lit(False)), x["i"]))
+            return _let(as_before, lambda f: F.sort_array(F.filter(twice(f), lambda i: i.isNotNull())))
 
         def add(a: Column, i: Column) -> Column:
             return F.struct((a["n"] + i + size - F.greatest(i, a["end"])).alias("n"), (i + size).alias("end"))
@@ -74,12 +75,11 @@ def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     found = own.select(
         "doc_id",
         "stratum",
-        F.length(F.translate("text", BLANKS.decode(), "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", NO_SYMBOLS, "")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-        _let(word_text(), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_words(w, WINDOW).alias("repeated"))).alias("words"),
+        _let(word_text(), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeated_words(w, WINDOW).alias("repeated"))).alias("words"),
     )
-    out = found.select("doc_id", "stratum", F.col("words.n").alias("n_words"), "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), F.col("words.repeated").alias("n_repeat_words"), F.col("lines.n").alias("n_lines"))
+    out = found.select("doc_id", "stratum", F.col("words.n").alias("n_words"), F.col("words.chars").alias("word_chars"), "n_symbols", F.col("lines.dup").alias("n_dup_lines"), F.col("words.repeated").alias("n_repeat_words"), F.col("lines.n").alias("n_lines"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.floor(F.col(a) * 1000 / F.col(b))).otherwise(F.lit(0)).cast("long")
     return out.select(
         "*",
