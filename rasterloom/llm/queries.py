@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, decontaminate, hard_negatives, line_dedup, media, minhash, quality_rules, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from rasterloom.llm import bpe, conversations, decontaminate, hard_negatives, line_dedup, media, minhash, quality_rules, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_media_columns": media.query,
     "op11_quality_rules": quality_rules.query,
+    "op12_conversations": conversations.query,
     "op13_hard_negatives": hard_negatives.query,
     # Parts of two of these, held against SQL.
     "lm_base_scores": suffix_tree_lm.base_query,
