@@ -306,6 +306,46 @@ def m15_linear(spark, d):
     return rounded(geometry.resampled(event_grid(spark, d, "value"), spec, target, "linear"), "value")
 
 
+def spline_sql(order):
+    """The spline's values as sums: the filter's answer to one cell is a sum of its poles' powers, here 60 cells long."""
+    poles, half = geometry.spline_poles(order), order // 2
+    last = float(geometry.spline(order, geometry.np.array([float(half)]))[0])
+    # Partial fractions: 1 / (last * product of (1 - z / w)(w - 1 / z) ...) at each pole.
+    parts = []
+    for z in poles:
+        rest = 1.0
+        for other in poles:
+            if other != z:
+                rest *= (z - other) * (z - 1 / other)
+        parts.append((z ** (len(poles) - 1) / (last * (z - 1 / z) * rest), z))
+    answer = " + ".join(f"({a!r}) * pow(({z!r})::DOUBLE, abs(j))" for a, z in parts)
+    terms = " ".join(f"{'-' if j % 2 else '+'} {math.comb(order + 1, j)} * pow(greatest(t + {(order + 1) / 2} - {j}, 0), {order})" for j in range(order + 2))
+
+    def axis(places, n):
+        return f"""SELECT i, CASE WHEN r < {n} THEN r ELSE 2 * {n} - 2 - r END AS m, SUM(b * f) AS w FROM (
+  SELECT i, (((k + j) % (2 * {n} - 2)) + 2 * {n} - 2) % (2 * {n} - 2) AS r, ({terms}) / {math.factorial(order)} AS b, {answer} AS f
+  FROM (SELECT i, k, s - k AS t FROM ({places}), unnest(range(CAST(floor(s - {(order + 1) / 2}) AS BIGINT) + 1, CAST(floor(s - {(order + 1) / 2}) AS BIGINT) + {order + 2})) AS u(k)), range(-60, 61) AS v(j)) GROUP BY 1, 2"""
+
+    return f"""WITH n AS (SELECT MAX(event_id) // 100 + 1 AS h FROM events),
+t AS (SELECT event_id % 100 AS x, event_id // 100 AS y, value FROM events),
+wx AS ({axis("SELECT range AS i, 0.25 + range * 1.5 AS s FROM range(0, 66)", "100")}),
+wy AS ({axis("SELECT range AS i, 0.5 + range * 1.5 AS s FROM range(0, (SELECT CAST(floor((h - 1.5) / 1.5) AS BIGINT) + 1 FROM n))", "(SELECT h FROM n)")}),
+a AS (SELECT wx.i, t.y, SUM(t.value * wx.w) AS v FROM t JOIN wx ON t.x = wx.m GROUP BY 1, 2)
+SELECT CAST(a.i AS INTEGER) AS x, CAST(wy.i AS INTEGER) AS y, round(SUM(a.v * wy.w), 6) + 0.0 AS value FROM a JOIN wy ON a.y = wy.m GROUP BY a.i, wy.i"""
+
+
+def m15_spline(order):
+    @registered(f"m15_resample_bspline{order}", spline_sql(order))
+    def query(spark, d):
+        spec = event_spec(spark, d)
+        target = grids.GridSpec(math.floor((spec.width - 1.25) / 1.5) + 1, math.floor((spec.height - 1.5) / 1.5) + 1, (0.25, 0.5), (1.5, 1.5))
+        return rounded(geometry.resampled(event_grid(spark, d, "value"), spec, target, "bspline", order=order), "value")
+
+
+for spline_order in (2, 3, 4, 5):
+    m15_spline(spline_order)
+
+
 @registered("m16_resample_mean", "SELECT CAST((event_id % 100) // 5 AS INTEGER) AS x, CAST((event_id // 100) // 5 AS INTEGER) AS y, round(AVG(value), 6) AS value FROM events GROUP BY 1, 2")
 def m16_mean(spark, d):
     spec = event_spec(spark, d)
