@@ -1,18 +1,19 @@
 """The table side of land-use optimisation: baselines, coefficients of a linear program, results and their summaries.
 
 Options are land uses, criteria are scores per unit of area. A decision variable X_<feature>_<option> is the
-area of an option on a feature. Solving a program whose constraints tie features together needs a solver,
-which Spark is not; what is solved here is the program that has only each feature's own area constraint.
+area of an option on a feature. Two kinds of programs are solved here: those that have only each feature's own
+area constraint, and those with one bound over all features besides. Several such bounds need a solver, which Spark is not.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.expressions import drawn
+from rasterloom.sources.stored import stored
 
 
 def baseline(df: DataFrame, landuse: str, area: str, criteria: dict[str, dict[str, str]], flags: dict[str, str] | None = None) -> DataFrame:
@@ -63,11 +64,11 @@ def option_constraint(rows: DataFrame, options: list[str], sense: str, amount: f
     return coefs, side.select(F.lit(name).alias("row"), F.lit(sense).alias("sense"), "rhs")
 
 
-def grouped_constraints(rows: DataFrame, group: DataFrame, options: list[str], sense: str, rhs: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """A bound for each set or zone of features. group: feature, set, and the bound's column `rhs`, of which the smallest in a set counts."""
+def grouped_constraints(rows: DataFrame, group: DataFrame, options: list[str], sense: str, rhs: str, name: str, record: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A bound for each set or zone of features. group: feature, set, and the bound's column `rhs`: of a set's bounds that of its first record, by the column `record`, counts, or without one the smallest."""
     own = rows.where(F.col("option").isin(options)).join(group, "feature")
     row = F.concat_ws("_", F.lit(name), "set")
-    return own.select(row.alias("row"), "variable", F.lit(1.0).alias("coef")), group.groupBy(row.alias("row")).agg(F.lit(sense).alias("sense"), F.min(rhs).cast("double").alias("rhs"))
+    return own.select(row.alias("row"), "variable", F.lit(1.0).alias("coef")), group.groupBy(row.alias("row")).agg(F.lit(sense).alias("sense"), (F.min(rhs) if record is None else F.min_by(rhs, record)).cast("double").alias("rhs"))
 
 
 def criterion_constraint(rows: DataFrame, criterion: str, sense: str, amount: float, name: str = "criterion") -> tuple[DataFrame, DataFrame]:
@@ -135,3 +136,99 @@ def program_lines(objective_rows: DataFrame, constraints: DataFrame, sides: Data
     terms = part(objective_rows, 0, 1, term, F.col("variable")).unionByName(part(constraints.join(sides.select("row"), "row", "left_semi"), 1, 1, term, F.col("variable")))
     ends = part(objective_rows.select("row").distinct(), 0, 2, F.lit(";")).unionByName(part(sides, 1, 2, F.concat("sense", F.lit(" "), F.format_string("%.6f", "rhs"), F.lit(";"))))
     return heads.unionByName(terms).unionByName(ends)
+
+
+def _hull(points: Column) -> Column:
+    """The corners, by rising use, of the concave upper hull of points (use, gain, option), which are sorted by use and have each use once."""
+    last = lambda h, k: F.get(h, F.size(h) - k)
+
+    def add(hull: Column, p: Column) -> Column:
+        def popped(h: Column, _: Column) -> Column:
+            a, b = last(h, 2), last(h, 1)
+            under = (b["gain"] - a["gain"]) * (p["use"] - b["use"]) <= (p["gain"] - b["gain"]) * (b["use"] - a["use"])
+            return F.when((F.size(h) >= 2) & under, F.slice(h, 1, F.size(h) - 1)).otherwise(h)
+
+        return F.concat(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hull))), hull, popped), F.array(p))
+
+    return F.aggregate(points, F.slice(points, 1, 0), add)
+
+
+def frontier(rows: DataFrame, gain: Column, use: Column) -> tuple[DataFrame, DataFrame]:
+    """What a feature can trade between a bound's use and the objective: its start (feature, option, area), the option of
+    least use, and its steps (feature, step, option, area, use, gain, slope), each to the next option that is worth its use.
+
+    rows: feature, option, area and the columns that gain and use, both per unit of area, are made of. Leaving a
+    feature without an option has use 0 and gain 0, and option null. Of options of one use the one of most gain
+    counts, of equal ones the first by name. Steps of a feature fall in slope. Null gains or uses leave an option out.
+    """
+    point = F.struct(use.cast("double").alias("use"), gain.cast("double").alias("gain"), F.col("option").cast("string").alias("option"))
+    sound = rows.select("feature", "area", point.alias("p")).where("p.use IS NOT NULL AND p.gain IS NOT NULL")
+    nothing = F.struct(F.lit(0.0).alias("use"), F.lit(0.0).alias("gain"), F.lit(None).cast("string").alias("option"))
+    # The options of one feature are few, whatever the number of features.
+    each = sound.groupBy("feature").agg(F.max("area").alias("area"), F.array_sort(F.array_append(F.collect_list("p"), nothing), _before).alias("points"))
+    firsts = F.filter("points", lambda p, k: (k == 0) | (p["use"] != F.get("points", k - 1)["use"]))
+    hulls = each.withColumn("points", firsts).select("feature", "area", _hull(F.col("points")).alias("hull"))
+    start = hulls.select("feature", F.get("hull", F.lit(0))["option"].alias("option"), "area", F.get("hull", F.lit(0))["use"].alias("use"), F.get("hull", F.lit(0))["gain"].alias("gain"))
+    pairs = F.arrays_zip(F.slice("hull", F.lit(1), F.size("hull") - 1).alias("a"), F.slice("hull", F.lit(2), F.greatest(F.lit(0), F.size("hull") - 1)).alias("b"))
+    steps = hulls.where(F.size("hull") > 1).select("feature", "area", F.posexplode(pairs).alias("step", "s"))
+    up, over = F.col("s.b.gain") - F.col("s.a.gain"), F.col("s.b.use") - F.col("s.a.use")
+    return start, steps.select("feature", "step", F.col("s.a.option").alias("before"), F.col("s.b.option").alias("option"), "area", (over * F.col("area")).alias("use"), (up * F.col("area")).alias("gain"), (up / over).alias("slope"))
+
+
+def _before(a: Column, b: Column) -> Column:
+    """Points by use, then by more gain, then by name, none first."""
+    less = (a["use"] < b["use"]) | ((a["use"] == b["use"]) & ((a["gain"] > b["gain"]) | ((a["gain"] == b["gain"]) & (F.coalesce(a["option"], F.lit("")) < F.coalesce(b["option"], F.lit(""))))))
+    same = (a["use"] == b["use"]) & (a["gain"] == b["gain"]) & a["option"].eqNullSafe(b["option"])
+    return F.when(same, 0).when(less, -1).otherwise(1)
+
+
+class Infeasible(ValueError):
+    """No allocation meets the bound."""
+
+
+def solved_with_bound(rows: DataFrame, gain: Column, use: Column, sense: str, amount: float, parts: int | None = None) -> DataFrame:
+    """feature, option, value: the optimum of a program that has the features' own areas and one bound over all of them,
+    the sum of use times value being at most (sense "<=") or at least (">=") amount.
+
+    A bound on the area of some options has use 1 for these and 0 for the others; a bound on a criterion has that
+    criterion's score. Each feature walks along its frontier; the steps of all features are taken from the steepest
+    down, ties by feature, until the bound is met or no step gains, and the step at the bound is taken in part, so that at
+    most one feature is split. Steps are ordered by ranges, whose sums are all that is added up apart; only the range in
+    which the bound falls is summed row by row. Raises Infeasible if no allocation meets the bound. Several
+    bounds over features need a solver and are not solved here.
+    """
+    if sense not in ("<=", ">="):
+        raise ValueError(f"a bound is <= or >=, not {sense}")
+    start, steps = frontier(rows, gain, use)
+    start, steps = stored(start), stored(steps)
+    floor = start.agg(F.coalesce(F.sum(F.col("use") * F.col("area")), F.lit(0.0))).first()[0]
+    free, whole = steps.agg(F.coalesce(F.sum(F.when(F.col("slope") > 0, F.col("use"))), F.lit(0.0)), F.coalesce(F.sum("use"), F.lit(0.0))).first()
+    # Sums of doubles: an amount that is met but for rounding is met.
+    near = 1e-9 * max(1.0, abs(amount), abs(floor), abs(whole))
+    if sense == "<=" and floor > amount + near or sense == ">=" and floor + whole < amount - near:
+        raise Infeasible(f"use goes from {floor} to {floor + whole}, the bound is {sense} {amount}")
+    wanted = min(free, amount - floor) if sense == "<=" else max(free, amount - floor)
+    order = [F.col("slope").desc(), F.col("feature").asc(), F.col("step").asc()]
+    ranged = steps.repartitionByRange(*([parts] if parts else []), *order)
+    ranged = stored(ranged.withColumn("part", F.spark_partition_id()))
+    # One row a range: how many ranges there are is the session's choice and not the table's.
+    sums = ranged.groupBy("part").agg(F.sum("use").alias("use")).orderBy("part").collect()
+    done, at, before = 0.0, -1, 0.0
+    for r in sums:
+        if done + r.use > wanted:
+            at, before = r.part, done
+            break
+        done += r.use
+        at, before = r.part + 1, done
+    running = F.sum("use").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    edge = ranged.where(F.col("part") == at).withColumn("used", F.lit(before) + F.coalesce(running, F.lit(0.0)))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(wanted) - F.col("used")) / F.col("use")))
+    taken = ranged.where(F.col("part") < at).withColumn("share", F.lit(1.0)).unionByName(edge.withColumn("share", share).drop("used")).where("share > 0")
+    last = taken.groupBy("feature").agg(F.max_by(F.struct("before", "option", "share"), "step").alias("t"))
+    placed = start.join(last, "feature", "left")
+    # Where no step is taken the feature stays at its start; else the last step's share goes to its option, the rest stays before it.
+    pieces = F.when(F.col("t").isNull(), F.array(F.struct(F.col("option").alias("option"), F.lit(1.0).alias("share")))).otherwise(
+        F.array(F.struct(F.col("t.option").alias("option"), F.col("t.share").alias("share")), F.struct(F.col("t.before").alias("option"), (1 - F.col("t.share")).alias("share")))
+    )
+    out = placed.select("feature", "area", F.explode(pieces).alias("p"))
+    return out.select("feature", F.col("p.option").alias("option"), (F.col("area") * F.col("p.share")).alias("value")).where("option IS NOT NULL AND value > 0")

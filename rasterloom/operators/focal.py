@@ -180,8 +180,9 @@ def windowed(cells: DataFrame, spec: GridSpec, radius: int | tuple[int, int], ba
     return over_tiles(cells, spec, most, bands, work, "x int, y int, " + ", ".join(f"win_{b} array<double>" for b in bands))
 
 
-#: A statement of a kernel script: the loop's index and end, the name, the sign before "=", the expression.
-STATEMENT = re.compile(r"\s*(?:for\s+(\w+)\s*<\s*(\w+)\s*:\s*)?([A-Za-z_]\w*)\s*([-+*/]?)=(?!=)\s*(.+)$", re.S)
+#: A statement of a kernel script: the name, the sign before "=", the expression; and the head of a loop: the index and its end.
+STATEMENT = re.compile(r"\s*([A-Za-z_]\w*)\s*([-+*/]?)=(?!=)\s*(.+)$", re.S)
+LOOP = re.compile(r"\s*for\s+([A-Za-z_]\w*)\s*<\s*([^:]+?)\s*:\s*(.+)$", re.S)
 
 
 def kernel_functions(radius: int, tables: dict[str, list[list[float]]] | None = None) -> dict[str, Callable[..., Column]]:
@@ -209,33 +210,128 @@ def kernel_functions(radius: int, tables: dict[str, list[list[float]]] | None =
     }
 
 
-def kernel_script(cells: DataFrame, spec: GridSpec, radius: int, bands: list[str], steps: dict[str, str] | list[str], output: str, tables: dict[str, list[list[float]]] | None = None) -> DataFrame:
+def _statements(text: str) -> list[str]:
+    """Statements of a text, divided by semicolons outside braces."""
+    out, depth, part = [], 0, ""
+    for c in text:
+        depth += (c == "{") - (c == "}")
+        if depth < 0:
+            raise ExpressionError(f"a brace too many: {text!r}")
+        if c == ";" and not depth:
+            out.append(part)
+            part = ""
+        else:
+            part += c
+    if depth:
+        raise ExpressionError(f"a brace is open: {text!r}")
+    return [s.strip() for s in [*out, part] if s.strip()]
+
+
+def _body(text: str) -> list[str]:
+    """What a loop runs: one statement, or those in braces."""
+    text = text.strip()
+    return _statements(text[1:-1]) if text.startswith("{") and text.endswith("}") else [text]
+
+
+def _assigned(statements: list[str]) -> list[str]:
+    """Names that statements assign, those of loops within too, in order."""
+    out: list[str] = []
+    for s in statements:
+        if loop := LOOP.match(s):
+            out += _assigned(_body(loop.group(3)))
+        elif m := STATEMENT.match(s):
+            out.append(m.group(1))
+        else:
+            raise ExpressionError(f"no statement: {s!r}")
+    return list(dict.fromkeys(out))
+
+
+def _value(statement: str, known: dict[str, Column], functions: dict[str, Callable[..., Column]]) -> tuple[str, Column]:
+    """The name that a statement assigns, and its value."""
+    name, sign, text = STATEMENT.match(statement).groups()
+    value = compiled(text, known, functions)
+    if sign:
+        if name not in known:
+            raise ExpressionError(f"unknown name {name}")
+        value = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": F.try_divide}[sign](known[name], value)
+    return name, value.cast("double")
+
+
+def _with(step: Callable[[Column, Column, str], Column], k: Column, s: str) -> Callable[[Column, Column], Column]:
+    return lambda carried, _: step(carried, k, s)
+
+
+def _folded(loop: str, known: dict[str, Column], functions: dict[str, Callable[..., Column]], scripted: list[str]) -> Column:
+    """A loop as one fold over its index, with a struct of the script's variables as what is carried; the plan's size hangs on the text alone.
+
+    scripted: the variables so far. Ones first assigned in the loop start as null. An end that is null, or under 1, runs nothing.
+    """
+    index, end, text = LOOP.match(loop).groups()
+    body = _body(text)
+    fields = list(dict.fromkeys([*scripted, *_assigned(body)]))
+    if index in fields:
+        raise ExpressionError(f"a loop's index is a variable: {index}")
+    count = F.coalesce(F.floor(compiled(end, known, functions)).cast("int"), F.lit(0))
+    turns = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(*(known.get(f, F.lit(None)).cast("double").alias(f) for f in fields))
+
+    def step(carried: Column, k: Column, s: str) -> Column:
+        own = known | {f: carried[f] for f in fields} | {index: k.cast("double")}
+        if LOOP.match(s):
+            return _folded(s, own, functions, fields)
+        name, value = _value(s, own, functions)
+        return F.struct(*((value if f == name else carried[f]).alias(f) for f in fields))
+
+    def turn(carried: Column, k: Column) -> Column:
+        carried = step(carried, k, body[0])
+        for s in body[1:]:
+            # A fold of one step: the variables are worked out once, and the next statement reads them by name.
+            carried = F.aggregate(F.array(F.lit(0)), carried, _with(step, k, s))
+        return carried
+
+    return F.aggregate(turns, start, turn)
+
+
+def _summed(text: str, pixels: int, known: dict[str, Column], functions: dict[str, Callable[..., Column]]) -> Column:
+    """The sum of an expression over windowIdx = 0 .. pixels - 1."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(pixels - 1)), F.lit(0.0), lambda a, k: a + compiled(text, known | {"windowIdx": k.cast("double")}, functions))
+
+
+def kernel_script(cells: DataFrame, spec: GridSpec, radius: int, bands: list[str], steps: dict[str, str] | list[str] | str, output: str, tables: dict[str, list[list[float]]] | None = None) -> DataFrame:
     """x, y and the output of a script over windows. steps: name to expression, in order; later ones may use earlier names.
 
     A loop over the window is a step with a {i}: it stands for the sum of its expression over i = 0 .. numPix - 1.
-    Steps may also be statements: "name = expression", with +=, -=, *= or /= too, and before it "for k < n: ",
-    which runs it for k = 0 .. n - 1, where n is a number or numPix.
+    Steps may also be statements, in a list or in a text divided by semicolons: "name = expression", with +=, -=, *=
+    or /= too, and "for k < end: statement" or "for k < end: {statements}", which runs them for k = 0 .. end - 1, where end
+    is an expression. Loops may hold loops. A loop is a fold that carries the script's variables, so a loop that reads
+    its own variable, however often and over however large a window, keeps a plan of the size of its text.
     """
     pixels = (2 * radius + 1) ** 2
     known = {b: F.col(f"win_{b}") for b in bands} | {"numPix": F.lit(float(pixels)), "centrePixIdx": F.lit(float(pixels // 2)), "xcoord": F.col("x").cast("double"), "ycoord": F.col("y").cast("double")}
     functions = kernel_functions(radius, tables)
     out = windowed(cells, spec, radius, bands)
     if not isinstance(steps, dict):
-        for statement in steps:
-            m = STATEMENT.match(statement)
-            if not m:
-                raise ExpressionError(f"no statement: {statement!r}")
-            index, end, name, sign, text = m.groups()
-            for k in range(1 if index is None else pixels if end == "numPix" else int(end)):
-                value = compiled(text, known if index is None else known | {index: F.lit(float(k))}, functions)
-                known[name] = value if not sign else {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": F.try_divide}[sign](known[name], value)
+        statements = _statements(steps) if isinstance(steps, str) else [part for s in steps for part in _statements(s)]
+        _assigned(statements)
+        scripted: list[str] = []
+        for s in statements:
+            # Each statement's variables become columns, which the next one names instead of repeating what they are made of.
+            if LOOP.match(s):
+                names = list(dict.fromkeys([*scripted, *_assigned([s])]))
+                out = out.withColumn("__script", _folded(s, known, functions, scripted))
+                out = out.withColumns({f"__{n}": F.col("__script")[n] for n in names}).drop("__script")
+            else:
+                name, value = _value(s, known, functions)
+                names = [name]
+                out = out.withColumn(f"__{name}", value)
+            known |= {n: F.col(f"__{n}") for n in names}
+            scripted = list(dict.fromkeys([*scripted, *names]))
         return out.select("x", "y", known[output].alias(output))
     for name, text in steps.items():
-        parts = [text.replace("{i}", str(i)) for i in range(pixels)] if "{i}" in text else [text]
-        c = compiled(parts[0], known, functions)
-        for p in parts[1:]:
-            c = c + compiled(p, known, functions)
-        known[name] = c
+        if "{i}" not in text:
+            known[name] = compiled(text, known, functions)
+            continue
+        known[name] = _summed(text.replace("{i}", "windowIdx"), pixels, dict(known), functions)
     return out.select("x", "y", known[output].alias(output))
 
 

@@ -225,6 +225,22 @@ def m7_loop(spark, d):
     return rounded(focal.kernel_script(event_grid(spark, d, "value"), event_spec(spark, d), 1, ["value"], script, "total"), "total")
 
 
+@registered("m7_kernel_newton", "WITH RECURSIVE t AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value, value AS root, 0 AS k FROM events UNION ALL SELECT x, y, value, CASE WHEN root = 0 THEN NULL ELSE (root + value / root) / 2 END, k + 1 FROM t WHERE k < 12) SELECT x, y, round(root, 6) + 0.0 AS root FROM t WHERE k = 12")
+def m7_newton(spark, d):
+    """A loop that reads its own variable twice, over windows of 49 cells."""
+    script = ["v = kwinVal(value, centrePixIdx)", "root = v", "for k < 12: root = (root + v / root) / 2"]
+    return rounded(focal.kernel_script(event_grid(spark, d, "value"), event_spec(spark, d), 3, ["value"], script, "root"), "root")
+
+
+@registered("m7_kernel_blocks", windows() + """, c AS (SELECT x, y, list(v ORDER BY dy, dx) AS w FROM w GROUP BY x, y),
+r AS (SELECT x, y, [[w[3 * i + 1], w[3 * i + 2], w[3 * i + 3]] FOR i IN range(0, 3)] AS m FROM c)
+SELECT x, y, round(list_sum([greatest(q[1], q[2], q[3]) - least(q[1], q[2], q[3]) FOR q IN m]), 6) + 0.0 AS total FROM r""")
+def m7_blocks(spark, d):
+    """Loops within loops: the ranges of the window's rows, summed."""
+    script = "total = 0; for i < 3: { low = kwinVal(value, i * 3); high = low; for j < 3: { c = kwinVal(value, i * 3 + j); low = min(low, c); high = max(high, c) }; total += high - low }"
+    return rounded(focal.kernel_script(event_grid(spark, d, "value"), event_spec(spark, d), 1, ["value"], script, "total"), "total")
+
+
 @registered("m7_kernel_tables", windows("user_id % 7", 1) + " SELECT x, y, round(SUM([0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5][v + 1] * sqrt(dx * dx + dy * dy))::DOUBLE, 6) + 0.0 AS result FROM w GROUP BY x, y")
 def m7(spark, d):
     cells = event_grid(spark, d, (F.col("user_id") % 7).alias("value"))

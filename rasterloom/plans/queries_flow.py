@@ -76,6 +76,12 @@ def o7(spark, d):
     return allocation.grouped_constraints(rows(spark, d), group, ["forest", "crop"], "<=", "bound", "zone")[1]
 
 
+@registered("o7_first_record", f"WITH f AS ({FEATURES}) SELECT 'set_' || zone AS \"row\", '>=' AS sense, arg_min(area * 2, id) AS rhs FROM f GROUP BY zone")
+def o7_first(spark, d):
+    group = features(spark, d).select(F.col("id").alias("feature"), F.col("zone").alias("set"), (F.col("area") * 2).alias("bound"))
+    return allocation.grouped_constraints(rows(spark, d), group, ["crop"], ">=", "bound", "set", record="feature")[1]
+
+
 @registered("o8_criterion_constraint", f"WITH {VARIABLES} SELECT 'criterion' AS \"row\", variable, round(gain, 6) AS coef FROM v")
 def o8(spark, d):
     return rounded(allocation.criterion_constraint(rows(spark, d), "gain", ">=", 100)[0], "coef")
@@ -86,6 +92,54 @@ def o9(spark, d):
     return allocation.solved_by_feature(rows(spark, d), {"gain": 1.0})
 
 
+#: At most 40 percent of the area under forest and crop: the best of these takes a feature from the best of the others, from the dearest area on.
+AREAL = f"""WITH {VARIABLES}, r AS (SELECT feature, area, greatest(MAX(gain) FILTER (option = 'pasture'), 0) AS g0, MAX(gain) FILTER (option <> 'pasture') AS g1, arg_max(option, gain) FILTER (option = 'crop' OR option = 'forest') AS o1 FROM (SELECT * FROM v ORDER BY option) GROUP BY 1, 2),
+b AS (SELECT 0.4 * SUM(area) AS most FROM f),
+s AS (SELECT feature, area, o1, SUM(area) OVER (ORDER BY (g1 - g0) DESC, feature ROWS UNBOUNDED PRECEDING) - area AS used FROM r WHERE g1 > g0),
+t AS (SELECT feature, o1 AS option, least(area, most - used) AS value FROM s, b WHERE used < most)
+SELECT feature, option, round(value, 6) AS value FROM t
+UNION ALL SELECT r.feature, 'pasture', round(r.area - coalesce(t.value, 0), 6) FROM r LEFT JOIN t ON r.feature = t.feature WHERE r.g0 > 0 AND r.area > coalesce(t.value, 0)"""
+
+
+@registered("o9_areal_bound", AREAL)
+def o9_areal(spark, d):
+    v = rows(spark, d)
+    most = 0.4 * features(spark, d).agg(F.sum("area")).first()[0]
+    return rounded(allocation.solved_with_bound(v, F.col("gain"), F.col("option").isin("forest", "crop").cast("int"), "<=", most), "value")
+
+
+#: Costs a unit of area of each option, as a second criterion, and a floor under their sum that the free optimum misses.
+COSTED = f"""{VARIABLES}, p AS (SELECT feature, area, option, CASE option WHEN 'pasture' THEN 1 + feature % 3 WHEN 'forest' THEN 2 + feature % 4 ELSE 4 END::DOUBLE AS use, gain FROM v
+  UNION ALL SELECT id, area, NULL, 0.0, 0.0 FROM f),
+d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY feature, use ORDER BY gain DESC, coalesce(option, '')) = 1),
+e AS (SELECT a.feature, a.area, a.option AS before, b.option, a.use AS ua, b.use AS ub, a.gain AS ga, b.gain AS gb FROM d a JOIN d b ON a.feature = b.feature AND a.use < b.use),
+h AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.feature = e.feature AND d.use NOT IN (ua, ub) AND (d.gain - ga) * (ub - ua) > (gb - ga) * (d.use - ua) + 1e-12)
+  AND NOT EXISTS (SELECT 1 FROM d WHERE d.feature = e.feature AND d.use > ua AND d.use < ub AND abs((d.gain - ga) * (ub - ua) - (gb - ga) * (d.use - ua)) <= 1e-12)),
+s AS (SELECT *, (gb - ga) / (ub - ua) AS slope, (ub - ua) * area AS take, SUM((ub - ua) * area) OVER (ORDER BY (gb - ga) / (ub - ua) DESC, feature, ua ROWS UNBOUNDED PRECEDING) AS upto FROM h)"""
+
+
+@registered("o9_budget", f"""WITH {COSTED}, b AS (SELECT least({{amount}}, SUM(take) FILTER (slope > 0)) AS most FROM s),
+t AS (SELECT *, least(1, (most - (upto - take)) / take) AS share FROM s, b WHERE upto - take < most),
+l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY feature ORDER BY ua DESC) = 1),
+o AS (SELECT feature, option, area * share AS value FROM l UNION ALL SELECT feature, before, area * (1 - share) FROM l)
+SELECT feature, option, round(value, 6) AS value FROM o WHERE option IS NOT NULL AND value > 0""".replace("{amount}", "(SELECT 1.5 * SUM(area) FROM f)"))
+def o9_budget(spark, d):
+    use = F.when(F.col("option") == "pasture", 1 + F.col("feature") % 3).when(F.col("option") == "forest", 2 + F.col("feature") % 4).otherwise(4)
+    most = 1.5 * features(spark, d).agg(F.sum("area")).first()[0]
+    return rounded(allocation.solved_with_bound(rows(spark, d), F.col("gain"), use, "<=", most), "value")
+
+
+@registered("o9_least_use", f"""WITH {COSTED}, b AS (SELECT greatest(3.6 * SUM(area), (SELECT SUM(take) FILTER (slope > 0) FROM s)) AS least FROM f),
+t AS (SELECT *, least(1, (b.least - (upto - take)) / take) AS share FROM s, b WHERE upto - take < b.least),
+l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY feature ORDER BY ua DESC) = 1),
+o AS (SELECT feature, option, area * share AS value FROM l UNION ALL SELECT feature, before, area * (1 - share) FROM l)
+SELECT feature, option, round(value, 6) AS value FROM o WHERE option IS NOT NULL AND value > 0""")
+def o9_least(spark, d):
+    use = F.when(F.col("option") == "pasture", 1 + F.col("feature") % 3).when(F.col("option") == "forest", 2 + F.col("feature") % 4).otherwise(4)
+    least = 3.6 * features(spark, d).agg(F.sum("area")).first()[0]
+    return rounded(allocation.solved_with_bound(rows(spark, d), F.col("gain"), use, ">=", least), "value")
+
+
 @registered("o10_result_columns", BEST + """ SELECT f.id, coalesce(b.option, '') AS "OPT_STR", CASE WHEN option = 'pasture' THEN b.area ELSE 0.0 END AS "OPT0_VAL", CASE WHEN option = 'forest' THEN b.area ELSE 0.0 END AS "OPT1_VAL", CASE WHEN option = 'crop' THEN b.area ELSE 0.0 END AS "OPT2_VAL" FROM f LEFT JOIN b ON f.id = b.feature""")
 def o10(spark, d):
     f = features(spark, d)
