@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from rasterloom.functions.expressions import random_functions
 from rasterloom.operators import combine, focal, geometry, overlay, sorting, spread, zonal
 from rasterloom.plans.registry import WIDTH, event_grid, event_spec, registered, rounded, table
-from rasterloom.sources import grids
+from rasterloom.sources import grids, rasters
+from rasterloom.sources.stored import shared_folder
 
 #: A draw from [0, 1) by md5 of a text; the text of a seed and an event's cell.
 DRAW = "('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0"
@@ -448,12 +450,26 @@ def s5(spark, d):
     return grids.hyperslab(event_grid(spark, d, "value"), {"x": 5, "y": 1}, {"x": 10, "y": 4})
 
 
-@registered("s12_write_and_read", f"SELECT {XY}, value FROM events")
-def s12(spark, d):
-    import uuid
+@registered("s2_flat_raster", f"SELECT {XY}, CASE WHEN event_id % 13 <> 0 THEN value END AS value, CASE WHEN event_id % 13 <> 0 THEN value * 2 END AS twice FROM events WHERE event_id % 100 BETWEEN 20 AND 79 AND event_id // 100 >= 3")
+def s2_flat(spark, d):
+    """The grid as a flat raster of strips with headers, and a window of it read back."""
+    path, spec = f"{shared_folder(spark)}/flat-{uuid.uuid4().hex}", event_spec(spark, d)
+    there = F.when((F.col("y") * WIDTH + F.col("x")) % 13 != 0, F.col("value"))
+    cells = event_grid(spark, d, "value").withColumn("value", there)
+    rasters.write_raster(cells.withColumn("twice", F.col("value") * 2), spec, path, "flat", 16, nodata=-9999.0)
+    return rasters.read_raster(spark, path, "flat", within={"x": (20, 79), "y": (3, spec.height - 1)})
+
 
-    from rasterloom.sources.stored import shared_folder
+@registered("s5_netcdf", f"SELECT {XY}, value, CAST(user_id AS INTEGER) AS zone FROM events WHERE event_id % 100 < 50 AND event_id // 100 BETWEEN 2 AND 70")
+def s5_netcdf(spark, d):
+    """The grid and its zones as classic NetCDF, and a hyperslab of both read back."""
+    path, spec = f"{shared_folder(spark)}/netcdf-{uuid.uuid4().hex}", event_spec(spark, d)
+    rasters.write_raster(event_grid(spark, d, "value", F.col("user_id").cast("int").alias("zone")), spec, path, "netcdf", 16)
+    return rasters.read_raster(spark, path, "netcdf", within={"x": (0, 49), "y": (2, 70)})
 
+
+@registered("s12_write_and_read", f"SELECT {XY}, value FROM events")
+def s12(spark, d):
     path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
     grids.write_cells(event_grid(spark, d, "value"), path, 64)
     return grids.read_cells(spark, path, ["value"])
