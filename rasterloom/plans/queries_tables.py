@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import text as tx
 from rasterloom.functions.expressions import compiled, integer_functions
 from rasterloom.operators import attributes as at
-from rasterloom.operators import sorting, zonal
+from rasterloom.operators import fulltext, sorting, zonal
 from rasterloom.plans.registry import registered, rounded, table
 from rasterloom.plans.sql import registered as dialect
 from rasterloom.plans.sql import run_sql
@@ -412,3 +412,27 @@ def s10(spark, d):
 @registered("s7_table_reader", "SELECT p_partkey, p_size FROM part WHERE p_size > 20")
 def s7(spark, d):
     return st.read_table(spark, f"{d}/part.parquet", ["p_partkey", "p_size"], "p_size > 20")
+
+
+#: Every document's terms, as the index sees them.
+TERMS = r"""t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents), u AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t)"""
+#: Name: expression, and the same as a scan.
+MATCHES = {
+    "q2_match_words": ("(pathetic OR blend*) AND the NOT \"of the\"", "SELECT doc_id FROM u WHERE (list_contains(w, 'pathetic') OR contains(s, ' blend')) AND list_contains(w, 'the') AND NOT contains(s, ' of the ')"),
+    "q2_match_phrases": ("\"that it is\" OR \"in the th*\" OR \"DE LA\"", "SELECT doc_id FROM u WHERE contains(s, ' that it is ') OR contains(s, ' in the th') OR contains(s, ' de la ')"),
+    "q2_match_near": ("was NEAR/2 \"it is\" OR einber NEAR der", """, p AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t WHERE len(w) > 0),
+r AS (SELECT a.doc_id, a.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.x = 'it' AND b.x = 'is')
+SELECT DISTINCT doc_id FROM (SELECT p.doc_id FROM p JOIN r ON p.doc_id = r.doc_id AND p.x = 'was' AND (r.i - p.i BETWEEN 1 AND 3 OR p.i - r.i BETWEEN 2 AND 4)
+UNION ALL SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.x = 'einber' AND b.x = 'der' AND abs(a.i - b.i) BETWEEN 1 AND 11)"""),
+}
+
+
+def match_query(name, expression, sql):
+    @registered(name, f"WITH {TERMS} {sql}")
+    def query(spark, d):
+        index = fulltext.indexed(table(spark, d, "documents"), "doc_id", "text")
+        return fulltext.matching(index, expression).withColumnRenamed("key", "doc_id")
+
+
+for match_name, (match_expression, match_sql) in MATCHES.items():
+    match_query(match_name, match_expression, match_sql)
