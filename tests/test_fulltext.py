@@ -20,7 +20,8 @@ def at(ws, phrase, prefix=False):
 
 
 def near(ws, a, b, n):
-    return any(0 <= q - p - len(a) <= n or 0 <= p - q - len(b) <= n for p in at(ws, a) for q in at(ws, b))
+    first, second = at(ws, a), at(ws, b)
+    return any(0 <= q - p - len(a) <= n or 0 <= p - q - len(b) <= n for p in first for q in second)
 
 
 CASES = {
