@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from rasterloom.functions import text as tx
 from rasterloom.functions.expressions import compiled, integer_functions
 from rasterloom.operators import attributes as at
-from rasterloom.operators import fulltext, sorting, zonal
+from rasterloom.operators import asof, fulltext, sorting, zonal
 from rasterloom.plans.registry import registered, rounded, table
 from rasterloom.plans.sql import registered as dialect
 from rasterloom.plans.sql import run_sql
 from rasterloom.sources import tables as st
-from rasterloom.sources.stored import shared_folder
+from rasterloom.sources.stored import indexed_table, shared_folder
 
 PART = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
 
@@ -436,3 +436,33 @@ def match_query(name, expression, sql):
 
 for match_name, (match_expression, match_sql) in MATCHES.items():
     match_query(match_name, match_expression, match_sql)
+
+
+@registered("j11_asof", "SELECT l.event_id, l.user_id, r.event_id AS error_id, r.value AS error_value FROM events l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def j11_asof(spark, d):
+    """Each event with its user's last error so far."""
+    events = table(spark, d, "events")
+    errors = events.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("error_id"), F.col("value").alias("error_value"))
+    return asof.asof_joined(events.select("event_id", "user_id", "ts"), errors, "user_id", "ts", ["error_id", "error_value"]).drop("ts")
+
+
+@registered("j11_asof_next", "SELECT l.event_id, r.event_id AS next_id FROM (SELECT * FROM events WHERE event_type <> 'error') l ASOF JOIN (SELECT * FROM events WHERE event_type = 'error') r ON l.user_id = r.user_id AND l.ts < r.ts")
+def j11_asof_next(spark, d):
+    """Each other event that an error of the same user follows, with the next one."""
+    events = table(spark, d, "events")
+    errors = events.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("next_id"))
+    return asof.asof_joined(events.where("event_type <> 'error'").select("event_id", "user_id", "ts"), errors, "user_id", "ts", ["next_id"], forward=True, inclusive=False, how="inner").select("event_id", "next_id")
+
+
+@registered("p30_indexed_lookup", "SELECT * FROM orders WHERE o_orderkey = 77")
+def p30_lookup(spark, d):
+    return indexed_table(table(spark, d, "orders"), ["o_orderkey"], 8, unique=True).where("o_orderkey = 77")
+
+
+@registered("p30_indexed_join", "SELECT c_custkey, c_name, COUNT(*) AS orders, round(SUM(o_totalprice), 4) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
+def p30_join(spark, d):
+    """Tables indexed alike: joined and grouped where they lie."""
+    customers = indexed_table(table(spark, d, "customer"), ["c_custkey"], 8, unique=True)
+    orders = indexed_table(table(spark, d, "orders"), ["o_custkey"], 8)
+    joined = customers.hint("merge").join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    return rounded(joined.groupBy("c_custkey", "c_name").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total")), "total", digits=4)
