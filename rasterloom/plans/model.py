@@ -56,14 +56,15 @@ def run(context: Context, components: list[Component], iterations: int | str = 1
             out = c.work(context)
             if out is not None:
                 context.tables[c.name] = stored(out) if c.sink or context.step % keep_every == 0 else out
-            context.log.append((context.step, c.name, c.level, begun, time.time()))
+            written = context.tables[c.name].count() if out is not None and c.sink else None
+            context.log.append((context.step, c.name, c.level, begun, time.time(), written))
         context.step += 1
     return context.tables
 
 
 def provenance(context: Context) -> DataFrame:
-    """step, component, level, begun and ended of each activity."""
-    return context.spark.createDataFrame(context.log, "step int, component string, level int, begun double, ended double")
+    """step, component, level, begun and ended of each activity, and the rows that it wrote if it is a sink."""
+    return context.spark.createDataFrame(context.log, "step int, component string, level int, begun double, ended double, rows long")
 
 
 def each_step(steps: list, work: Callable[..., DataFrame]) -> DataFrame:

@@ -92,6 +92,11 @@ def a8_raster(spark, d):
     return combine.unique_combinations(two(spark, d), ["a", "b"])[0].select("x", "y", "comb")
 
 
+@registered("a12_whole_statistics", "SELECT COUNT(value) AS \"count\", MIN(value) AS minimum, MAX(value) AS maximum, round(AVG(value), 6) AS mean, round(STDDEV_POP(value), 6) AS stddev, round(SUM(value), 4) AS \"sum\" FROM events")
+def a12_whole(spark, d):
+    return rounded(rounded(zonal.column_statistics(event_grid(spark, d, "value"), "value"), "mean", "stddev"), "sum", digits=4)
+
+
 @registered("a12_grid_statistics", "SELECT COUNT(value) AS \"count\", MIN(value) AS minimum, MAX(value) AS maximum, round(AVG(value), 6) AS mean, round(STDDEV_POP(value), 6) AS stddev, round(SUM(value), 4) AS \"sum\" FROM events WHERE event_id % 100 BETWEEN 10 AND 59 AND event_id // 100 BETWEEN 2 AND 8")
 def a12(spark, d):
     return rounded(rounded(zonal.column_statistics(grids.region(event_grid(spark, d, "value"), 10, 2, 50, 7), "value"), "mean", "stddev"), "sum", digits=4)

@@ -212,18 +212,23 @@ def c2(spark, d):
     return model.each_step([1, 2, 3], lambda s: cells.where(F.col("value") > s * 20).groupBy(F.lit(s).alias("step")).agg(F.count("*").alias("n")))
 
 
-@registered("c6_provenance", "SELECT CAST(i.range AS INTEGER) AS step, c.component, CAST(c.level AS INTEGER) AS level FROM range(1, 3) i, (VALUES ('a', 2), ('b', 1)) c(component, level)")
+@registered("c6_provenance", """WITH s AS (SELECT CAST(range AS INTEGER) AS step FROM range(1, 3)), a AS (SELECT step, event_id % 100 AS x FROM s LEFT JOIN events ON value > 20 * step)
+SELECT step, 'a' AS component, CAST(2 AS INTEGER) AS level, COUNT(x) AS rows FROM a GROUP BY step UNION ALL SELECT step, 'b', 1, COUNT(DISTINCT x) FROM a GROUP BY step""")
 def c6(spark, d):
+    """What ran in each step, and how many rows each sink wrote."""
     context = model.Context(spark, tables={"cells": event_grid(spark, d, "value")})
-    model.run(context, [model.Component("b", lambda c: c.tables["a"].limit(1), 1), model.Component("a", lambda c: c.tables["cells"], 2)], 2)
-    return model.provenance(context).select("step", "component", "level")
+    above = lambda c: c.tables["cells"].where(F.col("value") > 20 * c.step)
+    model.run(context, [model.Component("b", lambda c: c.tables["a"].select("x").distinct(), 1, sink=True), model.Component("a", above, 2, sink=True)], 2)
+    return model.provenance(context).select("step", "component", "level", "rows")
 
 
-@registered("f42_resolved_parameters", "SELECT 'r-' || (SELECT n_name FROM nation WHERE n_nationkey = 2) || '-25-3' AS text")
+@registered("f42_resolved_parameters", "SELECT c_custkey, c_name || '/' || (SELECT n_name FROM nation WHERE n_nationkey = 2) AS name FROM customer WHERE c_nationkey = 2 AND c_acctbal > 40 * (SELECT COUNT(*) FROM nation) + 3")
 def f42(spark, d):
+    """Parameters from a table's cells and properties, in the filter and the columns of a query over another."""
     nation = table(spark, d, "nation")
-    text = resolved("r-$[nation:n_name:3]$-$[nation:rowcount]$-$[func:strLength(abc)]$", tables={"nation": nation})
-    return spark.createDataFrame([(text,)], "text string")
+    where = resolved("c_nationkey = $[nation:n_nationkey:3]$ AND c_acctbal > $[math:40 * $[nation:rowcount]$ + $[func:strLength(abc)]$]$", tables={"nation": nation})
+    name = resolved("$[nation:n_name:3]$", tables={"nation": nation})
+    return table(spark, d, "customer").where(where).select("c_custkey", F.concat("c_name", F.lit("/"), F.lit(name)).alias("name"))
 
 
 @registered("t1_streaming_zones", "SELECT user_id AS zone, COUNT(*) AS \"count\", MIN(value) AS \"min\", MAX(value) AS \"max\", round(AVG(value), 6) AS mean, round(SUM(value), 6) AS \"sum\" FROM events GROUP BY user_id")

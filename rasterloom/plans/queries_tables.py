@@ -14,7 +14,7 @@ from rasterloom.plans.registry import registered, rounded, table
 from rasterloom.plans.sql import registered as dialect
 from rasterloom.plans.sql import run_sql
 from rasterloom.sources import tables as st
-from rasterloom.sources.stored import indexed_table, shared_folder
+from rasterloom.sources.stored import created_table, indexed_table, shared_folder
 
 PART = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
 
@@ -147,9 +147,7 @@ def p26(spark, d):
 
 @registered("p28_create_table_as", "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand")
 def p28(spark, d):
-    name = f"t_{uuid.uuid4().hex}"
-    st.attach({name: run_sql(spark, {"part": table(spark, d, "part")}, "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")})
-    return spark.table(name)
+    return created_table(run_sql(spark, {"part": table(spark, d, "part")}, "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand"))
 
 
 @registered("p31_append_rows", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT CAST(m + i.range AS INTEGER), NULL FROM (SELECT MAX(r_regionkey) AS m FROM region), range(1, 4) i")
@@ -188,10 +186,10 @@ def s22(spark, d):
     return spark.sql("SELECT n_name, r_name FROM first_db_nation JOIN second_db_region ON n_regionkey = r_regionkey")
 
 
-@registered("s24_catalogue", "SELECT 'rl_nation' AS name UNION ALL SELECT 'rl_region'")
+@registered("s24_catalogue", "SELECT 'rl_nation' AS name, CAST(3 AS INTEGER) AS columns, COUNT(*) AS rows FROM nation UNION ALL SELECT 'rl_orders', 6, COUNT(*) FROM orders")
 def s24(spark, d):
-    st.attach({"rl_nation": table(spark, d, "nation"), "rl_region": table(spark, d, "region")})
-    return spark.createDataFrame([(n,) for n in st.table_names(spark) if n.startswith("rl_")], "name string")
+    st.attach({"rl_nation": table(spark, d, "nation"), "rl_orders": table(spark, d, "orders")})
+    return st.described(spark, [n for n in st.table_names(spark) if n.startswith("rl_")])
 
 
 @registered("j1_attribute_join", "SELECT o_orderkey, o_custkey, c_name, c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey")
@@ -390,7 +388,9 @@ sql_query("q6_aggregates", "SELECT n_regionkey, count(*) AS n, min(n_name) AS fi
 sql_query("q7_variances", "SELECT p_brand, round(stddev_pop(p_retailprice), 6) AS sp, round(stddev_samp(p_retailprice), 6) AS ss, round(var_pop(p_retailprice), 4) AS vp, round(var_samp(p_retailprice), 4) AS vs FROM part GROUP BY p_brand")
 sql_query("q8_order_offset", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10 OFFSET 3")
 sql_query("q9_set_operations", "(SELECT p_size AS k FROM part WHERE p_size < 20 UNION SELECT p_size FROM part WHERE p_size > 40) EXCEPT (SELECT p_size FROM part WHERE p_size BETWEEN 5 AND 8 INTERSECT SELECT p_size FROM part WHERE p_size < 7)")
-sql_query("q10_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t")
+sql_query("q10_recursive", "WITH RECURSIVE t(p_partkey, root, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey BETWEEN 1 AND 3 UNION ALL SELECT p.p_partkey, t.root, t.depth + 1 FROM part p JOIN t ON p.p_partkey > 3 AND p.p_partkey - p.p_partkey % 3 = 3 * t.p_partkey) SELECT p_partkey, root, depth FROM t")
+sql_query("q15_text_dates", "SELECT event_id, datetime(ts) AS at, timeofday(ts) AS clock, strftime('%d/%m/%Y %H:%M, day %j, 100%%, %w', ts) AS told FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%d/%m/%Y %H:%M, day %j, 100%%, %w') AS told FROM events")
+sql_query("q16_current_times", "SELECT event_id FROM events WHERE CAST(ts AS DATE) <= current_date AND ts < current_timestamp")
 sql_query("q15_dates", "SELECT event_id, CAST(ts AS DATE) AS day, date_format(ts, 'yyyy-MM') AS month, CAST(floor(julianday(ts)) AS BIGINT) AS jd FROM events", "SELECT event_id, CAST(ts AS DATE) AS day, strftime(ts, '%Y-%m') AS month, CAST(floor(epoch_us(ts) / 86400000000 + 2440587.5) AS BIGINT) AS jd FROM events")
 sql_query("q17_mathematics", "SELECT p_partkey, abs(-p_size) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(degrees(p_size), 6) AS dg, round(radians(p_size), 9) AS rd, round(cot(p_size), 6) AS ct, round(power(p_size, 2), 6) AS pw FROM part", "SELECT p_partkey, abs(-p_size) AS a, ceil(p_retailprice)::BIGINT AS c, floor(p_retailprice)::BIGINT AS f, round(degrees(p_size), 6) AS dg, round(radians(p_size), 9) AS rd, round(cot(p_size), 6) AS ct, round(power(p_size, 2), 6) AS pw FROM part")
 sql_query("q18_casts_checksums", "SELECT p_partkey, casttointeger(p_name) AS i, casttodouble(concat(p_size, '.5')) AS x, casttotext(CAST(p_size AS STRING)) AS t, md5checksum(p_name) AS m FROM part", "SELECT p_partkey, try_cast(p_name AS BIGINT) AS i, try_cast(concat(p_size, '.5') AS DOUBLE) AS x, CAST(p_size AS VARCHAR) AS t, md5(p_name) AS m FROM part")

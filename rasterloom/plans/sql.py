@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.sources.tables import attach
 
+#: Letters of strftime that have a pattern of date_format, and those that have an expression.
+PATTERNS = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "j": "DDD", "f": "ss.SSS"}
+EXPRESSIONS = {"w": "CAST(dayofweek(t) - 1 AS STRING)", "s": "CAST(unix_seconds(t) AS STRING)", "J": "CAST(unix_micros(t) / 86400000000D + 2440587.5D AS STRING)"}
+
+
+def _strftime() -> str:
+    """The format f with each letter's part of the time t; %% stands aside meanwhile."""
+    out = "replace(f, '%%', '\\u0001')"
+    for letter, value in {**{k: f"date_format(t, '{p}')" for k, p in PATTERNS.items()}, **EXPRESSIONS}.items():
+        out = f"replace({out}, '%{letter}', {value})"
+    return f"replace({out}, '\\u0001', '%')"
 
 
 def registered(spark: SparkSession) -> None:
@@ -17,6 +28,9 @@ def registered(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION casttodouble(v STRING) RETURNS DOUBLE RETURN try_cast(v AS DOUBLE)",
         "CREATE OR REPLACE TEMPORARY FUNCTION casttotext(v STRING) RETURNS STRING RETURN v",
         "CREATE OR REPLACE TEMPORARY FUNCTION julianday(t TIMESTAMP) RETURNS DOUBLE RETURN unix_micros(t) / 86400000000D + 2440587.5D",
+        "CREATE OR REPLACE TEMPORARY FUNCTION datetime(t TIMESTAMP) RETURNS STRING RETURN date_format(t, 'yyyy-MM-dd HH:mm:ss')",
+        "CREATE OR REPLACE TEMPORARY FUNCTION timeofday(t TIMESTAMP) RETURNS STRING RETURN date_format(t, 'HH:mm:ss')",
+        f"CREATE OR REPLACE TEMPORARY FUNCTION strftime(f STRING, t TIMESTAMP) RETURNS STRING RETURN {_strftime()}",
         "CREATE OR REPLACE TEMPORARY FUNCTION glob(p STRING, v STRING) RETURNS BOOLEAN RETURN v RLIKE concat('^', replace(replace(regexp_replace(p, '([.+^$(){}|\\\\\\\\])', '\\\\\\\\$1'), '*', '.*'), '?', '.'), '$')",
         "CREATE OR REPLACE TEMPORARY FUNCTION md5checksum(v STRING) RETURNS STRING RETURN md5(v)",
     ):

@@ -26,6 +26,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def created_table(df: DataFrame) -> DataFrame:
+    """df as a stored table of the session's catalogue, under a name of its own: what CREATE TABLE AS does, with its files in the shared folder."""
+    name = f"created_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", f"{shared_folder(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 class NotUnique(ValueError):
     """Rows share a key that an index says is unique."""
 

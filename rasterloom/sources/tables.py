@@ -93,6 +93,16 @@ def table_names(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
+def described(spark: SparkSession, names: list[str]) -> DataFrame:
+    """name, columns and rows of each of the catalogue's tables named; each is counted by Spark."""
+    out = None
+    for name in names:
+        df = spark.table(name)
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), F.lit(len(df.columns)).alias("columns"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], "name string, columns int, rows long") if out is None else out
+
+
 def has_table(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 

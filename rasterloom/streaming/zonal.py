@@ -32,6 +32,9 @@ def drained(result: DataFrame, name: str, checkpoint: str, mode: str = "complete
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
+    # A source without rows has no batch, and a first one of no rows writes no file: the table is there in any case.
+    empty = result.sparkSession.createDataFrame([], result.schema)
+    empty.coalesce(1).write.parquet(path if mode == "complete" else f"{path}/batch=-1")
     query = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return result.sparkSession.read.schema(result.schema).parquet(path).select(*result.columns)
