@@ -240,6 +240,17 @@ def t1(spark, d):
     return rounded(out, "mean", "sum")
 
 
+@registered("t1_completed_zones", "SELECT user_id AS zone, COUNT(*) AS \"count\", MIN(value) AS \"min\", MAX(value) AS \"max\", round(AVG(value), 6) AS mean, round(SUM(value), 6) AS \"sum\" FROM events WHERE value > 5 OR user_id % 3 = 0 GROUP BY user_id HAVING COUNT(*) = (SELECT COUNT(*) FROM events e WHERE e.user_id = events.user_id)")
+def t1_completed(spark, d):
+    """Cells that arrive in blocks of rows, as files; a zone is handed out when its last cell is there, and never if some don't come."""
+    cells = event_grid(spark, d, F.col("user_id").alias("zone"), "value")
+    folder = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    cells.where("value > 5 OR zone % 3 = 0").repartitionByRange(6, "y").write.parquet(f"{folder}/cells")
+    sizes = cells.groupBy("zone").agg(F.count("*").alias("cells"))
+    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/cells")
+    return rounded(streaming.completed_zones(stream, sizes, f"{folder}/zones").drop("batch"), "mean", "sum")
+
+
 @registered("t2_streaming_combinations", "SELECT DISTINCT event_type, user_id % 7 AS b FROM events")
 def t2(spark, d):
     schema = table(spark, d, "events").schema
