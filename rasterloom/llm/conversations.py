@@ -247,3 +247,42 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+#: The digest by key, bit by bit, and the pass over layers as a recursion over each conversation's rows.
+SQL = r"""
+WITH RECURSIVE
+k AS (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+crc AS (SELECT key, (xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(key, '')]),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))))) % 20 AS fault FROM k),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text, fault
+  FROM conversations JOIN crc ON key = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')),
+rows AS (SELECT conv_id, turn, role, text FROM damaged WHERE fault <> 0 UNION ALL SELECT conv_id, turn, role, text FROM damaged WHERE fault = 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM rows),
+faults AS (SELECT *, rtrim(text, E' \t\n\x0b\f\r') AS solid, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair FROM placed),
+judged AS (SELECT *, ltrim(solid, E' \t\n\x0b\f\r') = '' AS blank FROM faults),
+seen AS (SELECT conv_id, turn, n, role, text, pair, blank, again AND NOT blank AS duplicate, NOT again AND NOT blank AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated FROM judged),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM seen GROUP BY conv_id),
+start AS (SELECT DISTINCT conv_id FROM conversations),
+-- A state's path: cost, audit string, lines. N: nothing yet, S, U, A: after that role. Inserts close a layer: at most two lead anywhere.
+walk AS (
+  SELECT conv_id, 0::BIGINT AS n, {'c': 0, 'a': '', 'l': ''} AS pn, NULL::STRUCT(c INTEGER, a VARCHAR, l VARCHAR) AS ps, {'c': 2, 'a': 'I', 'l': 'user:'} AS pu, {'c': 4, 'a': 'II', 'l': E'user:\nassistant:'} AS pa FROM start
+  UNION ALL
+  SELECT conv_id, n, pn, ps, list_min(list_filter([u, CASE WHEN pn IS NOT NULL THEN {'c': pn.c + 2, 'a': pn.a || 'I', 'l': pn.l || 'user:'} END, CASE WHEN ps IS NOT NULL THEN {'c': ps.c + 2, 'a': ps.a || 'I', 'l': ps.l || E'\nuser:'} END,
+      CASE WHEN a IS NOT NULL THEN {'c': a.c + 2, 'a': a.a || 'I', 'l': a.l || E'\nuser:'} END], lambda x: x IS NOT NULL)) AS pu,
+    list_min(list_filter([a, CASE WHEN u IS NOT NULL THEN {'c': u.c + 2, 'a': u.a || 'I', 'l': u.l || E'\nassistant:'} END, CASE WHEN pn IS NOT NULL THEN {'c': pn.c + 4, 'a': pn.a || 'II', 'l': pn.l || E'user:\nassistant:'} END,
+      CASE WHEN ps IS NOT NULL THEN {'c': ps.c + 4, 'a': ps.a || 'II', 'l': ps.l || E'\nuser:\nassistant:'} END], lambda x: x IS NOT NULL)) AS pa
+  FROM (SELECT conv_id, n, {'c': pn.c + 3, 'a': pn.a || 'D', 'l': pn.l} AS pn,
+      list_min(list_filter([CASE WHEN ps IS NOT NULL THEN {'c': ps.c + 3, 'a': ps.a || 'D', 'l': ps.l} END, CASE WHEN free AND i = 's' THEN {'c': pn.c + t, 'a': pn.a || 'K', 'l': pn.l || line} END], lambda x: x IS NOT NULL)) AS ps,
+      list_min(list_filter([{'c': pu.c + 3, 'a': pu.a || 'D', 'l': pu.l}, CASE WHEN free AND i = 'u' THEN {'c': pn.c + t, 'a': pn.a || 'K', 'l': pn.l || line} END, CASE WHEN free AND i = 'u' AND ps IS NOT NULL THEN {'c': ps.c + t, 'a': ps.a || 'K', 'l': ps.l || chr(10) || line} END,
+        CASE WHEN free AND i = 'u' THEN {'c': pa.c + t, 'a': pa.a || 'K', 'l': pa.l || chr(10) || line} END, CASE WHEN free THEN {'c': pn.c + t + 2, 'a': pn.a || 'R', 'l': pn.l || 'user:' || text} END,
+        CASE WHEN free AND ps IS NOT NULL THEN {'c': ps.c + t + 2, 'a': ps.a || 'R', 'l': ps.l || E'\nuser:' || text} END, CASE WHEN free THEN {'c': pa.c + t + 2, 'a': pa.a || 'R', 'l': pa.l || E'\nuser:' || text} END], lambda x: x IS NOT NULL)) AS u,
+      list_min(list_filter([{'c': pa.c + 3, 'a': pa.a || 'D', 'l': pa.l}, CASE WHEN free AND i = 'a' THEN {'c': pu.c + t, 'a': pu.a || 'K', 'l': pu.l || chr(10) || line} END,
+        CASE WHEN free THEN {'c': pu.c + t + 2, 'a': pu.a || 'R', 'l': pu.l || E'\nassistant:' || text} END], lambda x: x IS NOT NULL)) AS a
+    FROM (SELECT w.*, s.n AS m, NOT s.blank AND NOT s.duplicate AS free, CAST(s.truncated AS INTEGER) AS t, s.role[1] AS i, s.role || ':' || s.text AS line, s.text FROM walk w JOIN seen s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND s.n = w.n + 1) AS x(conv_id, before, pn, ps, pu, pa, n, free, t, i, line, text))),
+done AS (SELECT conv_id, CASE WHEN (pa.c, pa.a) < (pn.c, pn.a) THEN pa ELSE pn END AS p FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(p.c AS BIGINT) AS cost, p.a AS audit, sha256(p.l) AS repaired_sha256
+FROM done d LEFT JOIN counts c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -29,6 +29,7 @@ ORACLE_SQL = {
     "op6_url_filter": url_filter.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op11_quality_rules": quality_rules.SQL,
+    "op12_conversations": conversations.SQL,
     "op13_hard_negatives": hard_negatives.SQL,
     "lm_base_scores": suffix_tree_lm.BASE_SQL,
     "media_payloads": media.PAYLOAD_SQL,
