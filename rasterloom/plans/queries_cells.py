@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from rasterloom.functions.expressions import random_functions
-from rasterloom.operators import combine, focal, geometry, overlay, sorting, spread, zonal
+from rasterloom.operators import combine, focal, geometry, overlay, sketches, sorting, spread, zonal
 from rasterloom.plans.registry import WIDTH, event_grid, event_spec, registered, rounded, table
 from rasterloom.sources import grids, rasters
 from rasterloom.sources.stored import shared_folder
@@ -107,6 +107,20 @@ def a12_median(spark, d):
     return rounded(zonal.median(event_grid(spark, d, "value"), "value"), "median")
 
 
+@registered("a22_sketches", """WITH t AS (SELECT event_type AS zone, value, user_id FROM events WHERE event_id % 100 < 64)
+SELECT zone, COUNT(value) AS "count", true AS distinct_within, true AS median_within, true AS ninth_within FROM t GROUP BY zone""")
+def a22_sketches(spark, d):
+    """Distinct counts and quantiles of a region from stored sketches, and whether they lie within three times their errors of the exact ones."""
+    cells = event_grid(spark, d, F.col("event_type").alias("zone"), "value", F.col("user_id").alias("user"))
+    found = sketches.merged(sketches.sketched(cells, "zone", "value", "user", 16), [0.5, 0.9], "tx < 4")
+    at = lambda k, sign: F.sum((F.col("value") < F.get("q", F.lit(k))).cast("long") if sign else (F.col("value") <= F.get("q", F.lit(k))).cast("long")) / F.count("value")
+    region = cells.where("x < 64").join(found.withColumnRenamed("zone", "z"), F.col("zone") == F.col("z"))
+    exact = region.groupBy("zone", "count", "distinct").agg(F.count_distinct("user").alias("users"), *(at(k, s).alias(f"{'below' if s else 'upto'}{k}") for k in (0, 1) for s in (True, False)))
+    near = lambda k, rank: (F.col(f"below{k}") <= rank + 3 * sketches.RANK_ERROR) & (F.col(f"upto{k}") >= rank - 3 * sketches.RANK_ERROR)
+    within = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1), 3 * sketches.DISTINCT_ERROR * F.col("users"))
+    return exact.select("zone", "count", within.alias("distinct_within"), near(0, 0.5).alias("median_within"), near(1, 0.9).alias("ninth_within"))
+
+
 @registered("a13_histogram", """WITH e AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events)
 SELECT CAST(least(floor((value - lo) / ((hi - lo) / 32)), 31) AS INTEGER) AS bin, COUNT(*) AS "count" FROM events, e GROUP BY 1""")
 def a13(spark, d):
