@@ -300,28 +300,49 @@ def m13_buffer(spark, d):
     return spread.buffered(spread.euclidean_distance(cells, event_spec(spark, d), [3], 4.0), 9)
 
 
-@registered("m13_cost_distance")
+#: Cells, the steps between neighbours, and the ways down from cells within the grid: what flow and costs go along.
+NEIGHBOURS = """t AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value AS z, user_id FROM events), n AS (SELECT MAX(y) AS bottom FROM t),
+o(dx, dy) AS (SELECT a.range - 1, b.range - 1 FROM range(3) a, range(3) b WHERE a.range <> 1 OR b.range <> 1),
+e AS MATERIALIZED (SELECT t.x, t.y, t.z, q.x AS qx, q.y AS qy, q.z AS qz, sqrt(dx * dx + dy * dy) AS step FROM t CROSS JOIN o JOIN t q ON q.x = t.x + dx AND q.y = t.y + dy),
+d AS MATERIALIZED (SELECT e.* FROM e, n WHERE x > 0 AND x < 99 AND y > 0 AND y < bottom AND qz < z)"""
+#: Flow parted by shares {p} of each way down, passed on until nothing moves.
+FLOWS = """WITH RECURSIVE {neighbours}, {shares},
+f AS (SELECT x, y, 1.0::DOUBLE AS amount, 0 AS k FROM t UNION ALL SELECT qx, qy, SUM(amount * share), k + 1 FROM f JOIN s USING (x, y) GROUP BY qx, qy, k)
+SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(SUM(amount), 6) + 0.0 AS accumulation FROM f GROUP BY x, y"""
+PARTED = "w AS (SELECT x, y, qx, qy, {p} AS part FROM d), s AS MATERIALIZED (SELECT x, y, qx, qy, part / SUM(part) OVER (PARTITION BY x, y) AS share FROM w)"
+#: The steepest of eight facets beside a cell within the grid; its flow goes to the facet's straight and its corner neighbour, by angle.
+FACETS = """c AS (SELECT t.x, t.y, t.z, k, a.x AS ax, a.y AS ay, a.z AS az, b.x AS ux, b.y AS uy, b.z AS bz FROM t, n, (VALUES (0, 0, -1, -1, -1), (1, 0, -1, 1, -1), (2, 1, 0, 1, -1), (3, 1, 0, 1, 1), (4, 0, 1, 1, 1), (5, 0, 1, -1, 1), (6, -1, 0, -1, 1), (7, -1, 0, -1, -1)) v(k, sx, sy, cx, cy)
+  JOIN t a ON a.x = t.x + sx AND a.y = t.y + sy JOIN t b ON b.x = t.x + cx AND b.y = t.y + cy WHERE t.x > 0 AND t.x < 99 AND t.y > 0 AND t.y < bottom),
+g AS (SELECT *, atan2(az - bz, z - az) AS raw FROM c),
+h AS (SELECT *, CASE WHEN raw < 0 THEN 0 WHEN raw > pi() / 4 THEN 1 ELSE raw / (pi() / 4) END AS part, CASE WHEN raw < 0 THEN z - az WHEN raw > pi() / 4 THEN (z - bz) / sqrt(2) ELSE sqrt((z - az) * (z - az) + (az - bz) * (az - bz)) END AS slope FROM g),
+b AS (SELECT * FROM h WHERE slope > 0 QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY slope DESC, k) = 1),
+s AS MATERIALIZED (SELECT x, y, ax AS qx, ay AS qy, 1 - part AS share FROM b WHERE part < 1 AND az < z UNION ALL SELECT x, y, ux, uy, part FROM b WHERE part > 0 AND bz < z)"""
+
+
+@registered("m13_cost_distance", f"""WITH RECURSIVE {NEIGHBOURS},
+w AS (SELECT x, y, 0.0::DOUBLE AS v, 0 AS k FROM t WHERE user_id = 3 UNION ALL SELECT qx, qy, MIN(v + (qz + 1) * step), k + 1 FROM w JOIN e USING (x, y) WHERE k < 100 GROUP BY qx, qy, k)
+SELECT t.x, t.y, round(MIN(v), 6) + 0.0 AS distance FROM t LEFT JOIN w ON t.x = w.x AND t.y = w.y GROUP BY t.x, t.y""")
 def m13_cost(spark, d):
     cells = event_grid(spark, d, (F.col("user_id") == 3).alias("source"), (F.col("value") + 1).alias("cost"))
     return rounded(spread.cost_distance(cells, event_spec(spark, d), "source", "cost", tile=64), "distance")
 
 
-@registered("m14_flow_accumulation")
+@registered("m14_flow_accumulation", FLOWS.format(neighbours=NEIGHBOURS, shares=PARTED.format(p="(z - qz) * CASE WHEN step > 1 THEN 0.354 ELSE 0.5 END")))
 def m14(spark, d):
     return rounded(spread.flow_accumulation(event_grid(spark, d, "value"), event_spec(spark, d), "mfd", tile=64), "accumulation")
 
 
-@registered("m14_flow_holmgren")
+@registered("m14_flow_holmgren", FLOWS.format(neighbours=NEIGHBOURS, shares=PARTED.format(p="pow((z - qz) / step, 4)")))
 def m14_holmgren(spark, d):
     return rounded(spread.flow_accumulation(event_grid(spark, d, "value"), event_spec(spark, d), "mfdw", 4.0, tile=64), "accumulation")
 
 
-@registered("m14_flow_dinf")
+@registered("m14_flow_dinf", FLOWS.format(neighbours=NEIGHBOURS, shares=FACETS))
 def m14_dinf(spark, d):
     return rounded(spread.flow_accumulation(event_grid(spark, d, "value"), event_spec(spark, d), "dinf", tile=64), "accumulation")
 
 
-@registered("m14_flow_length")
+@registered("m14_flow_length", f"""WITH RECURSIVE {NEIGHBOURS}, w AS (SELECT x, y, 0.0::DOUBLE AS v, 0 AS k FROM t UNION ALL SELECT qx, qy, MAX(v + step), k + 1 FROM w JOIN d USING (x, y) GROUP BY qx, qy, k) SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(MAX(v), 6) + 0.0 AS length FROM w GROUP BY x, y""")
 def m14_length(spark, d):
     return rounded(spread.flow_length(event_grid(spark, d, "value"), event_spec(spark, d), tile=64), "length")
 
