@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from rasterloom.functions.complex import compiled_complex, pair
 from rasterloom.functions.expressions import random_functions
 from rasterloom.operators import combine, focal, geometry, overlay, sketches, sorting, spread, zonal
 from rasterloom.plans.registry import WIDTH, event_grid, event_spec, registered, rounded, table
@@ -556,6 +557,21 @@ def l2(spark, d):
     return sorting.sorted_cells(cells, event_spec(spark, d), ascending=False, dependent=["zone"]).select("rank", "index", "value", "zone")
 
 
+#: z = a + bi of a cell, and the values of three expressions of it in real arithmetic.
+COMPLEX = f"""WITH z AS (SELECT {XY}, value / 100 - 1 AS a, (user_id % 7 - 3) / 2.0::DOUBLE AS b FROM events),
+e AS (SELECT x, y, exp(a) * cos(b) AS er, exp(a) * sin(b) AS ei, a * a - b * b AS sr, 2 * a * b AS si, sqrt((sqrt(a * a + b * b) + a) / 2) AS qr, CASE WHEN b < 0 THEN -1 ELSE 1 END * sqrt((sqrt(a * a + b * b) - a) / 2) AS qi FROM z)
+SELECT x, y, round(er + sr, 6) + 0.0 AS sum_re, round(ei + si, 6) + 0.0 AS sum_im, round(qr, 6) + 0.0 AS root_re, round(qi, 6) + 0.0 AS root_im, round(sqrt(er * er + ei * ei), 6) + 0.0 AS size FROM e"""
+
+
+@registered("f25_complex", COMPLEX)
+def f25(spark, d):
+    cells = event_grid(spark, d, (F.col("value") / 100 - 1).alias("a"), ((F.col("user_id") % 7 - 3) / 2).alias("b"))
+    z = {"z": pair(F.col("a"), F.col("b"))}
+    of = {"sum": "exp(z) + z * z", "root": "sqrt(z)", "size": "abs(exp(z))"}
+    out = cells.select("x", "y", *(compiled_complex(text, z).alias(n) for n, text in of.items()))
+    return rounded(out.select("x", "y", F.col("sum.re").alias("sum_re"), F.col("sum.im").alias("sum_im"), F.col("root.re").alias("root_re"), F.col("root.im").alias("root_im"), F.col("size.re").alias("size")), "sum_re", "sum_im", "root_re", "root_im", "size")
+
+
 @registered("f11_random_functions", f"""WITH d AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, {DRAW.format(key=CELL.format(seed=3))} AS u, sqrt(-2 * ln(1 - {DRAW.format(key=CELL.format(seed=4))})) * cos(2 * pi() * {DRAW.format(key=CELL.format(seed=5))}) AS z FROM events)
 SELECT x, y, round(u, 6) + 0.0 AS out1, floor(1 + 6 * u) AS out2, round(5 + 2 * z, 6) + 0.0 AS out3, round(exp(z), 6) + 0.0 AS out4 FROM d""")
 def f11(spark, d):
