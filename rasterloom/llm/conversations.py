@@ -226,7 +226,7 @@ def repaired(rows: DataFrame, large: int = LARGE) -> DataFrame:
 
 def _with_later(rows: DataFrame) -> DataFrame:
     """rows with later: whether an earlier turn of the conversation has the same role and text. Equal rows are summed up before they are shuffled."""
-    key = F.md5(F.concat_ws("\0", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), "role", "text"))
+    key = F.md5(F.concat_ws("\0", F.isnull("conv_id").cast("string"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "role", "text"))
     keyed = rows.withColumn("key", F.when(F.col("role").isNotNull(), key).otherwise(F.lit("")))
     # False sorts before true, so a null turn is the earliest.
     place = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
