@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.complex import compiled_complex, pair
 from rasterloom.functions.expressions import random_functions
+from rasterloom.functions.matrix import compiled_matrix, number
 from rasterloom.operators import combine, focal, geometry, overlay, sketches, sorting, spread, zonal
 from rasterloom.plans.registry import WIDTH, event_grid, event_spec, registered, rounded, table
 from rasterloom.sources import grids, rasters
@@ -557,6 +558,16 @@ def l2(spark, d):
     return sorting.sorted_cells(cells, event_spec(spark, d), ascending=False, dependent=["zone"]).select("rank", "index", "value", "zone")
 
 
+@registered("f24_matrices", f"""WITH z AS (SELECT {XY}, value AS v, (user_id % 5)::DOUBLE AS u FROM events)
+SELECT x, y, round(v * 2 + u, 6) + 0.0 AS corner, round((v + 1) + (u + 2) + 3 + (v + 4), 6) + 0.0 AS total, round(v * 3 + u * 4, 6) + 0.0 AS upper, round(2 * 3 + v * 4, 6) + 0.0 AS lower FROM z""")
+def f24(spark, d):
+    """Matrices made of a cell's values: an element of a product, a sum of elements, a matrix times a column."""
+    cells = event_grid(spark, d, "value", F.col("user_id"))
+    z = {"v": number(F.col("value")), "u": number(F.col("user_id") % 5)}
+    of = {"corner": "({{v, u}, {2, v}} * {{2, 0}, {1, 5}})[0, 0]", "total": "sum({{v, u}, {2, v}} + {{1, 2}, {1, 4}})", "upper": "({{v, u}, {2, v}} * {3, 4}')[0]", "lower": "({{v, u}, {2, v}} * {3, 4}')'[0, 1]"}
+    return rounded(cells.select("x", "y", *(compiled_matrix(text, z).column.alias(n) for n, text in of.items())), *of)
+
+
 #: z = a + bi of a cell, and the values of three expressions of it in real arithmetic.
 COMPLEX = f"""WITH z AS (SELECT {XY}, value / 100 - 1 AS a, (user_id % 7 - 3) / 2.0::DOUBLE AS b FROM events),
 e AS (SELECT x, y, exp(a) * cos(b) AS er, exp(a) * sin(b) AS ei, a * a - b * b AS sr, 2 * a * b AS si, sqrt((sqrt(a * a + b * b) + a) / 2) AS qr, CASE WHEN b < 0 THEN -1 ELSE 1 END * sqrt((sqrt(a * a + b * b) - a) / 2) AS qi FROM z)
