@@ -12,7 +12,7 @@ import os
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Replacements made in one text, at most; a text that needs more refers to itself.
@@ -121,16 +121,40 @@ def _cond(test: str, then: str, other: str) -> str:
     return then if known else other
 
 
+def _status(path: str):
+    """A path's state as Spark's file systems tell it, so that stores only Spark reaches are seen; None if there is nothing. Without a session the local disk is asked."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return (os.path.isdir(path), int(os.path.getmtime(path) * 1000)) if os.path.exists(path) else None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    found = fs.getFileStatus(at)
+    return found.isDirectory(), found.getModificationTime()
+
+
+def _is(path: str, directory: bool) -> str:
+    found = _status(path) if path else None
+    return str(int(found is not None and found[0] == directory))
+
+
+def _newer(a: str, b: str) -> str:
+    """Whether the first file changed after the second; a file that isn't there is older than any."""
+    times = [-1 if found is None else found[1] for found in map(_status, (a, b))]
+    return str(int(times[0] > times[1]))
+
+
 FUNCTIONS: dict[str, Callable[..., str]] = {
     "cond": _cond,
-    "isFile": lambda p: str(int(os.path.isfile(p))),
-    "isDir": lambda p: str(int(os.path.isdir(p))),
+    "isFile": lambda p: _is(p, False),
+    "isDir": lambda p: _is(p, True),
     "fileBaseName": lambda p: _name(p).split(".", 1)[0],
     "fileCompleteBaseName": lambda p: _name(p).rsplit(".", 1)[0],
     "filePath": lambda p: p.rsplit("/", 1)[0] if "/" in p else ".",
     "fileSuffix": lambda p: _name(p).rsplit(".", 1)[1] if "." in _name(p) else "",
     "fileCompleteSuffix": lambda p: _name(p).split(".", 1)[1] if "." in _name(p) else "",
-    "fileOneIsNewer": lambda a, b: str(int(os.path.getmtime(a) > os.path.getmtime(b))),
+    "fileOneIsNewer": _newer,
     "strReplace": lambda s, *ab: s.replace(*ab[:2]) if len(ab) > 1 else s,
     "strIsEmpty": lambda s="": str(int(not s)),
     "strLength": lambda s="": str(len(s)),
