@@ -1,17 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The tree's symbols are the words that training meets often, the end of a text, and one symbol for all
-rarer words, which then divide that symbol's probability as their own counts do. A context is up to DEPTH
-symbols, none of them rare, after the start of the text or later. It is kept if it is met often and its
-next-symbol distribution diverges from that of the longest kept context within it. Distributions are
-smoothed towards that shorter context's. Often is ROOT times the square root of the training tokens: ever
-rarer words and contexts are kept as the corpus grows, and each has ever more tokens to be judged by. The
-tree stays a table dealt by context: it is never gathered.
+The tree's symbols are the words that training meets at least LEAST times, the end of a text, and one symbol
+for all rarer words, which then divide that symbol's probability as their own counts do. A context is up to
+DEPTH symbols, none of them rare, after the start of the text or later. It is kept if training meets it at
+least LEAST times and its next-symbol distribution diverges from that of the longest kept context within it.
+Distributions are smoothed towards that shorter context's. LEAST is the same at every size: the tree grows
+with the corpus. It stays a table dealt by hash: it is never gathered.
 
 Word counts are exact over all training texts: blocks send their distinct words dealt by hash, and the
-totals return to the blocks that asked. Then the tree grows by depth. Blocks send the pairs of context and
-next symbol that they hold, with training counts and the shorter context's probability; Spark adds up pairs
-and tests contexts; what is kept or may grow further returns to the blocks that asked.
+totals return to the blocks that asked, as arrays in the order that they asked in. The tree grows by depth in
+the same way. In each turn blocks send, packed by bucket, the distinct pairs of context and next symbol of one
+more depth, of contexts only that are met often enough, as the turn before told; and of the depth before, each
+context's sums of what the test of divergence adds up, which are sums over places and need no pair to travel
+again. A pair's count and a kept context's count are all that returns.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from rasterloom.llm.common import LOWER, dealt, dropped, in_blocks, mixed, share
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
-ROOT = 3.0  #: see least_count()
+LEAST = 20  #: see least_count()
 DEPTH = 3
 SMOOTHING = 20.0  #: weight of the shorter context, in tokens
 RARE, END, START, FIRST = 0, 1, 2, 3  #: symbols of a block; its frequent words follow
@@ -39,8 +40,8 @@ PRIOR = 0.1
 
 
 def least_count(tokens: int) -> int:
-    """Occurrences in training of a word that is a symbol, and of a context, at least."""
-    return max(2, math.ceil(ROOT * math.sqrt(tokens)))
+    """Occurrences in training of a word that is a symbol, and of a context, at least; the same for any number of tokens."""
+    return LEAST
 
 
 @dataclass
@@ -111,33 +112,71 @@ class Sequences:
         hashes = np.concatenate([FIXED, np.frombuffer(row["frequent"], np.uint64)])
         return cls(out, places, owner, np.frombuffer(row["learned"], bool)[owner], hashes, np.frombuffer(row["root"], np.float64))
 
-    def probabilities(self, answers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], upto: int):
-        """For each depth from 1 to upto: places' numbers whose context may be kept, their contexts, pairs, and the probability by shorter contexts. Then, as depth 0, all places' probabilities.
+    def levels(self, p: np.ndarray, told: dict[tuple[int, int], dict[int, bytes]], turn: int, least: int, buckets: int):
+        """The Level of each depth that a turn knows. p, the places' probabilities by their root, takes on those of longer kept contexts as the levels go by.
 
-        answers: by depth, sorted pairs, their probabilities (nan where the context is not kept), and whether they occur often enough to be contexts.
+        A turn knows the counts of pairs for depths below its number, and the kept contexts of depths below the one before.
         """
-        at, last = np.arange(len(self.places)), self.symbols[self.places]
-        p = self.root[last].copy()
-        code = np.full(len(at), 0x6A09E667F3BCC908, np.uint64)
-        grows = None
-        for d in range(1, upto + 1):
-            behind = self.symbols[self.places[at] - d]
-            ok = behind != RARE
-            if grows is not None:
-                # A context occurs as often as its last symbol after the rest, which is the pair one place before.
-                ok &= grows[at - 1]
-            at, code = at[ok], mixed(code[ok] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[behind[ok]])
-            pairs = mixed(code ^ self.hashes[last[at]])
-            yield d, at, code, pairs, p[at]
-            grows = np.zeros(len(self.places), bool)
-            if d in answers and len(answers[d][0]):
-                known, value, often = answers[d]
-                i = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-                hit = known[i] == pairs
-                kept = hit & ~np.isnan(value[i])
-                p[at[kept]] = value[i[kept]]
-                grows[at[hit]] = often[i[hit]]
-        yield 0, None, None, None, p
+        at, last, wide = np.arange(len(self.places)), self.symbols[self.places], len(self.hashes)
+        known, own, often = self.hashes, None, None
+        for d in range(1, min(turn, DEPTH) + 1):
+            ok = self.symbols[self.places[at] - d] != RARE
+            if d == 1:
+                context = self.symbols[self.places - 1]
+            else:
+                # A context is the pair one place before, and occurs as often.
+                context = own[at - 1]
+                ok &= (context >= 0) & often[context]
+            at, context = at[ok], context[ok]
+            distinct, pair = np.unique(context * wide + last[at], return_inverse=True)
+            pairs = mixed(mixed(known[distinct // wide] * np.uint64(0x9E3779B97F4A7C15)) ^ self.hashes[distinct % wide])
+            used = np.bincount(context, minlength=len(known)) > 0
+            level = Level(d, at, (np.cumsum(used) - 1)[context], known[used], pair, pairs, None)
+            if d < turn:
+                level.counts = _answer(told, (d, PAIRS), pairs, buckets)
+            yield level
+            if d >= turn:
+                return
+            if d < turn - 1:
+                total = _answer(told, (d, CONTEXTS), level.contexts, buckets)[level.context]
+                kept = total > 0
+                here, total = at[kept], total[kept]
+                p[here] = (level.counts[pair[kept]] + SMOOTHING * p[here]) / (total + SMOOTHING)
+            known, often = pairs, level.counts >= least
+            own = np.full(len(self.places), -1)
+            own[at] = pair
+
+
+@dataclass
+class Level:
+    """A block's places whose context has so many symbols and may be kept: numbers of the places, of their contexts and of their pairs with the next symbol; hashes of both; the pairs' counts in training, once known."""
+
+    depth: int
+    at: np.ndarray
+    context: np.ndarray
+    contexts: np.ndarray
+    pair: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray | None
+
+
+PAIRS, CONTEXTS = 0, 1
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of at least 0 in the narrowest type that holds them all."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+
+
+def _answer(told: dict[tuple[int, int], dict[int, bytes]], what: tuple[int, int], hashes: np.ndarray, buckets: int) -> np.ndarray:
+    out = np.zeros(len(hashes), np.int64)
+    for b, at in _split(hashes, buckets):
+        out[at] = _unpacked(told[what][b], len(at))
+    return out
 
 
 _COUNTS = "bucket long, block long, keys binary, counts binary, tokens long, texts long, often long"
@@ -222,46 +261,66 @@ def _coded(blocked: DataFrame, answers: DataFrame, buckets: int, totals: Totals,
     return written(blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(code, schema))
 
 
-def _told(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    depth, pair, p, often = (table.column(c).to_numpy() for c in ("depth", "pair", "p", "often"))
-    out = {}
-    for d in np.unique(depth).tolist():
-        at = np.flatnonzero(depth == d)
-        at = at[np.argsort(pair[at].view(np.uint64))]
-        out[int(d)] = (pair[at].view(np.uint64), p[at].astype(np.float64), often[at].astype(bool))
+def _told(table: pa.Table) -> dict[tuple[int, int], dict[int, bytes]]:
+    out: dict[tuple[int, int], dict[int, bytes]] = {}
+    for depth, kind, bucket, counts in zip(*(table.column(c).to_pylist() for c in ("depth", "kind", "bucket", "counts")), strict=True):
+        out.setdefault((depth, kind), {})[bucket] = counts
     return out
 
 
-def _asked(coded: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
-    """block, context, pair, n (in training), p (by the shorter context): a block's distinct pairs of one depth."""
+_ASKED = "depth int, kind int, bucket long, block long, keys binary, counts binary, sums binary"
+_ANSWERED = "depth int, kind int, bucket long, block long, counts binary"
+
+
+def _asked(coded: DataFrame, answers: DataFrame, turn: int, least: int, buckets: int) -> DataFrame:
+    """A row for each block, bucket and kind: distinct pairs of depth `turn` with their counts in the block's training texts, and contexts of the depth before with their counts and sums of log(count / probability) and of 1 / count over places."""
 
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
-        parts = []
+        rows = []
         for row in table.to_pylist():
             s = Sequences.of(row)
-            for d, at, code, pairs, p in s.probabilities(_told(told), depth):
-                if d == depth:
-                    distinct, first, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-                    n = np.bincount(inverse, s.learned[at], minlength=len(distinct)).astype(np.int64)
-                    parts.append((np.full(len(distinct), row["block"]), code[first].view(np.int64), distinct.view(np.int64), n, p[first]))
-        columns = map(np.concatenate, zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
-        return pa.table([pa.array(c) for c in columns], ["block", "context", "pair", "n", "p"])
-
-    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, "block long, context long, pair long, n long, p double")
-
-
-def _answered(asked: DataFrame, depth: int, least: int) -> DataFrame:
-    """block, depth, pair, p, often: for pairs of kept contexts the probability, and whether the pair occurs often enough to be a context."""
-    pairs = asked.groupBy("context", "pair").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
-    pairs = written(pairs)
-    seen = pairs.where("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln(F.col("n") / F.col("p"))).alias("gain"), F.count("*").alias("k")).where(F.col("total") >= least)
-    # Twice count times divergence is about chi-squared with the number of next symbols for its degrees of freedom.
-    kept = seen.where(2 * (F.col("gain") - F.col("total") * F.ln("total")) >= F.col("k") + 4 * F.sqrt(2 * F.col("k")))
-    value = (F.col("n") + SMOOTHING * F.col("p")) / (F.col("total") + SMOOTHING)
-    useful = pairs.join(kept.select("context", "total"), "context", "left").select("pair", value.alias("p"), (F.col("n") >= least).alias("often")).where("often or p is not null")
-    out = written(asked.select("block", "pair").join(useful, "pair").select("block", F.lit(depth).alias("depth"), "pair", F.coalesce("p", F.lit(float("nan"))).alias("p"), "often"))
-    dropped(pairs)
-    return out
+            p = s.root[s.symbols[s.places]]
+            for level in s.levels(p, _told(told), turn, least, buckets):
+                learned = s.learned[level.at]
+                if level.depth == turn:
+                    n = np.bincount(level.pair, learned, minlength=len(level.pairs)).astype(np.int64)
+                    rows += [(turn, PAIRS, b, row["block"], level.pairs[at].tobytes(), _packed(n[at]), None) for b, at in _split(level.pairs, buckets)]
+                elif level.depth == turn - 1:
+                    context, n = level.context[learned], level.counts[level.pair[learned]]
+                    sums = [np.bincount(context, x, minlength=len(level.contexts)) for x in (np.ones(len(n)), np.log(n / p[level.at[learned]]), 1 / n)]
+                    rows += [(turn - 1, CONTEXTS, b, row["block"], level.contexts[at].tobytes(), _packed(sums[0][at].astype(np.int64)), np.concatenate([sums[1][at], sums[2][at]]).tobytes()) for b, at in _split(level.contexts, buckets)]
+        return _arrow(rows, _ASKED)
+
+    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, _ASKED)
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _answered(asked: DataFrame, least: int) -> DataFrame:
+    """For each row asked its pairs' counts over all blocks, or its contexts' counts, 0 for those that are not kept."""
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        cuts = np.cumsum([0, *map(len, keys)])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys, strict=True)])).astype(np.int64)
+        if table.column("kind")[0].as_py() == CONTEXTS:
+            sums = [np.frombuffer(x, np.float64).reshape(2, -1) for x in table.column("sums").to_pylist()]
+            gain, k = (np.bincount(inverse, np.concatenate([x[j] for x in sums])) for j in (0, 1))
+            k = np.rint(k)
+            # Twice count times divergence is about chi-squared with the number of next symbols for its degrees of freedom.
+            kept = (total >= least) & (2 * (gain - total * np.log(np.maximum(total, 1))) >= k + 4 * np.sqrt(2 * k))
+            total = np.where(kept, total, 0)
+        back = total[inverse]
+        columns = zip(*(table.column(c).to_pylist() for c in ("depth", "kind", "bucket", "block")), cuts[:-1], cuts[1:], strict=True)
+        return _arrow([(*names, _packed(back[lo:hi])) for *names, lo, hi in columns], _ANSWERED)
+
+    return written(asked.groupBy("depth", "kind", "bucket").applyInArrow(add, _ANSWERED))
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -279,17 +338,17 @@ def scored(docs: DataFrame) -> DataFrame:
     blocked = dealt(blocked, "block", size)
     back, totals = _word_totals(blocked, buckets)
     coded = _coded(blocked, back, buckets, totals, key)
-    answers = spark.createDataFrame([], "block long, depth int, pair long, p double, often boolean")
-    for depth in range(1, DEPTH + 1):
-        asked = written(_asked(coded, answers, depth))
-        answers = answers.union(_answered(asked, depth, totals.least))
-        dropped(asked)
+    answers = spark.createDataFrame([], _ANSWERED)
+    for turn in range(1, DEPTH + 2):
+        answers = answers.union(_answered(_asked(coded, answers, turn, totals.least, buckets), totals.least))
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(6)]
         for row in table.to_pylist():
             s = Sequences.of(row)
-            *_, (_, _, _, _, p) = s.probabilities(_told(told), DEPTH)
+            p = s.root[s.symbols[s.places]]
+            for _ in s.levels(p, _told(told), DEPTH + 2, totals.least, buckets):
+                pass
             n = np.frombuffer(row["lengths"], np.int64) + 1
             logs = np.bincount(s.text, np.log10(p), minlength=len(n)) + np.array(row["own"])
             columns = (row["doc_ids"], row["held_out"], n.tolist(), row["known"], row["base"], logs.tolist())
