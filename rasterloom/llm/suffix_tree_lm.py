@@ -8,8 +8,9 @@ Distributions are smoothed towards that shorter context's. LEAST is the same at
 with the corpus. It stays a table dealt by hash: it is never gathered.
 
 Word counts are exact over all training texts: blocks send their distinct words dealt by hash, and the
-totals return to the blocks that asked, as arrays in the order that they asked in. The tree grows by depth in
-the same way. In each turn blocks send, packed by bucket, the distinct pairs of context and next symbol of one
+totals return to the blocks that asked, as arrays in the order that they asked in. Blocks are coded once, as
+numbers of their own distinct words, and stored in the partitions that each turn reads them by, so texts and
+codes are shuffled no more than once. The tree grows by depth in the same way as words are counted. In each turn blocks send, packed by bucket, the distinct pairs of context and next symbol of one
 more depth, of contexts only that are met often enough, as the turn before told; and of the depth before, each
 context's sums of what the test of divergence adds up, which are sums over places and need no pair to travel
 again. A pair's count and a kept context's count are all that returns.
@@ -18,6 +19,7 @@ again. A pair's count and a kept context's count are all that returns.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import LOWER, dealt, dropped, in_blocks, mixed, shares, span_hashes, text_buffer, word_bounds, written
+from rasterloom.llm.common import LOWER, TASK_BYTES, dealt, in_blocks, mixed, scratch_dir, shares, span_hashes, text_buffer, word_bounds, written
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
@@ -89,6 +91,10 @@ class Totals:
 class Sequences:
     """A block's texts as symbols, each text after its start and before its end; places are those of words and ends."""
 
+    lengths: np.ndarray  # words of each text
+    words: np.ndarray  # numbers of the words among the block's distinct ones
+    counts: np.ndarray  # of each distinct word, in training
+    totals: Totals
     symbols: np.ndarray
     places: np.ndarray
     text: np.ndarray  # of each place
@@ -97,22 +103,37 @@ class Sequences:
     root: np.ndarray  # probability of each symbol apart from any context
 
     @classmethod
-    def of(cls, row: dict) -> Sequences:
-        n = np.frombuffer(row["lengths"], np.int64)
+    def of(cls, row: dict, told: dict[tuple[int, int], dict[int, bytes]], totals: Totals, buckets: int) -> Sequences:
+        learned, distinct = np.frombuffer(row["learned"], bool), np.frombuffer(row["hashes"], np.uint64)
+        n = _unpacked(row["lengths"], len(learned))
+        words = _unpacked(row["words"], int(n.sum()))
+        counts = _answer(told, (0, WORDS), distinct, buckets)
+        high = np.flatnonzero(counts >= totals.least)
+        number = np.full(len(distinct), RARE)
+        number[high] = FIRST + np.arange(len(high))
+        root = np.concatenate([[totals.rare(), float(totals.base(np.array(totals.ends))), 0.0], totals.base(counts[high])])
         begin = np.concatenate([[0], np.cumsum(n + DEPTH + 1)])
         # Before the start stand rare symbols, which no context may hold.
         out = np.full(begin[-1], RARE, np.int64)
         text = np.repeat(np.arange(len(n)), n)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         out[begin[:-1] + DEPTH - 1] = START
-        out[begin[:-1][text] + DEPTH + np.arange(len(text)) - first[text]] = np.frombuffer(row["symbols"], np.int32)
+        out[begin[:-1][text] + DEPTH + np.arange(len(text)) - first[text]] = number[words]
         out[begin[1:] - 1] = END
         owner = np.repeat(np.arange(len(n)), n + 1)
         places = begin[:-1][owner] + DEPTH + np.arange(len(owner)) - (first + np.arange(len(n)))[owner]
-        hashes = np.concatenate([FIXED, np.frombuffer(row["frequent"], np.uint64)])
-        return cls(out, places, owner, np.frombuffer(row["learned"], bool)[owner], hashes, np.frombuffer(row["root"], np.float64))
-
-    def levels(self, p: np.ndarray, told: dict[tuple[int, int], dict[int, bytes]], turn: int, least: int, buckets: int):
+        return cls(n, words, counts, totals, out, places, owner, learned[owner], np.concatenate([FIXED, distinct[high]]), root)
+
+    def apart(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is known of each text without contexts: its known tokens, its base score, and its rare words' parts of the rare symbol's probability, whatever the context."""
+        n, text = len(self.lengths), np.repeat(np.arange(len(self.lengths)), self.lengths)
+        counts = self.counts[self.words]
+        base, rare = np.log10(self.totals.base(counts)), counts < self.totals.least
+        known = np.bincount(text, counts > 0, minlength=n).astype(np.int64) + (self.totals.ends > 0)
+        own = np.bincount(text[rare], base[rare] - math.log10(self.root[RARE]), minlength=n)
+        return known, np.bincount(text, base, minlength=n) + math.log10(self.root[END]), own
+
+    def levels(self, p: np.ndarray, told: dict[tuple[int, int], dict[int, bytes]], turn: int, buckets: int):
         """The Level of each depth that a turn knows. p, the places' probabilities by their root, takes on those of longer kept contexts as the levels go by.
 
         A turn knows the counts of pairs for depths below its number, and the kept contexts of depths below the one before.
@@ -142,7 +163,7 @@ class Sequences:
                 kept = total > 0
                 here, total = at[kept], total[kept]
                 p[here] = (level.counts[pair[kept]] + SMOOTHING * p[here]) / (total + SMOOTHING)
-            known, often = pairs, level.counts >= least
+            known, often = pairs, level.counts >= self.totals.least
             own = np.full(len(self.places), -1)
             own[at] = pair
 
@@ -160,105 +181,67 @@ class Level:
     counts: np.ndarray | None
 
 
-PAIRS, CONTEXTS = 0, 1
+WORDS, PAIRS, CONTEXTS = 0, 1, 2
+KEY_BITS = 48  #: of a pair's hash within a bucket; a bucket's size doesn't grow, so neither do chances of two pairs with one key, some 1e-8
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers of at least 0 in the narrowest type that holds them all."""
-    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+    """Whole numbers of at least 0 in as few bytes each as hold them all."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(numbers, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        width = len(data) // n
+        out[:, :width] = np.frombuffer(data, np.uint8).reshape(n, width)
+    return out.reshape(-1).view(np.int64)
+
+
+def _split(kind: int, hashes: np.ndarray, buckets: int):
+    """Each bucket of some hashes, the places that have it, and their keys: those of pairs ascend and are packed as steps."""
+    bucket = mixed(hashes) % np.uint64(buckets)
+    if kind != PAIRS:
+        for b, at in shares(bucket.astype(np.int64)):
+            yield b, at, hashes[at].tobytes()
+        return
+    key = hashes >> np.uint64(64 - KEY_BITS)
+    order = np.argsort(bucket << np.uint64(KEY_BITS) | key)
+    own, cuts = np.unique(bucket[order], return_index=True)
+    for b, lo, hi in zip(own.tolist(), cuts.tolist(), np.append(cuts, len(order))[1:].tolist(), strict=True):
+        at = order[lo:hi]
+        yield b, at, _packed(np.diff(key[at], prepend=np.uint64(0)))
 
 
 def _answer(told: dict[tuple[int, int], dict[int, bytes]], what: tuple[int, int], hashes: np.ndarray, buckets: int) -> np.ndarray:
     out = np.zeros(len(hashes), np.int64)
-    for b, at in _split(hashes, buckets):
+    for b, at, _ in _split(what[1], hashes, buckets):
         out[at] = _unpacked(told[what][b], len(at))
     return out
 
 
-_COUNTS = "bucket long, block long, keys binary, counts binary, tokens long, texts long, often long"
-_SQL = {"lengths": "binary", "symbols": "binary", "learned": "binary", "frequent": "binary", "root": "binary"}
-
-
-def _split(hashes: np.ndarray, buckets: int):
-    return shares((mixed(hashes) % np.uint64(buckets)).astype(np.int64))
+_CODED = "block long, doc_ids array<{key}>, held_out array<boolean>, learned binary, lengths binary, words binary, hashes binary, tokens long, ends long"
 
 
-def _counts_table(rows: list[tuple]) -> pa.Table:
-    names = ["bucket", "block", "keys", "counts", "tokens", "texts", "often"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def _coded(blocked: DataFrame, key: str, size: int) -> DataFrame:
+    """A row a block: its texts as numbers of its distinct words. Stored in partitions by block, so that no turn shuffles it again."""
 
-
-def _word_totals(blocked: DataFrame, buckets: int) -> tuple[DataFrame, Totals]:
-    """bucket, block, counts: the totals that each block asked for, in the order of _split(); and the totals of totals."""
-
-    def send(table: pa.Table) -> pa.Table:
+    def code(table: pa.Table) -> pa.Table:
         w = Words.of(table)
-        block = table.column("block")[0].as_py()
         distinct, inverse = np.unique(w.hashes, return_inverse=True)
-        learned = w.learned[w.text_of_word()]
-        counts = np.bincount(inverse, learned, minlength=len(distinct)).astype(np.int64)
-        rows = [(-1, block, None, None, int(counts.sum()), int(w.learned.sum()), None)]
-        rows += [(b, block, distinct[at].tobytes(), counts[at].astype(np.int32).tobytes(), None, None, None) for b, at in _split(distinct, buckets)]
-        return _counts_table(rows)
-
-    def add(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, counts).astype(np.int64)
-        high = sums >= least
-        rows = [(bucket, -1, None, None, int((sums > 0).sum()), int(high.sum()), int(sums[high].sum()))]
-        back, cuts = sums[inverse], np.cumsum([0, *map(len, keys)])
-        rows += [(bucket, b, None, back[lo:hi].tobytes(), None, None, None) for b, lo, hi in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
-        return _counts_table(rows)
-
-    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
-    sent = written(blocked.groupBy("block").applyInArrow(send, _COUNTS))
-    words, ends = sent.where("bucket < 0").agg(total("tokens"), total("texts")).first()
-    least = least_count(words + ends)
-    back = written(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(add, _COUNTS))
-    types, symbols, often = back.where("block < 0").agg(total("tokens"), total("texts"), total("often")).first()
-    dropped(sent)
-    return back.where("block >= 0").select("block", "bucket", "counts"), Totals(words + ends, types + (1 if ends else 0), ends, often, symbols, least)
-
-
-def _coded(blocked: DataFrame, answers: DataFrame, buckets: int, totals: Totals, key: str) -> DataFrame:
-    """A row a block: what is known of its texts without contexts, and their words as symbols."""
-    names = ["block", "doc_ids", "held_out", "known", "base", "own", *_SQL]
-
-    def code(table: pa.Table, told: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.list_(table.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), *(pa.binary() for _ in _SQL)]
-        if not table.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names)
-        w = Words.of(table)
-        distinct, inverse = np.unique(w.hashes, return_inverse=True)
-        count = np.zeros(len(distinct), np.int64)
-        mine = dict(_split(distinct, buckets))
-        for b, c in zip(told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True):
-            count[mine[b]] = np.frombuffer(c, np.int64)
-        high = np.flatnonzero(count >= totals.least)
-        number = np.full(len(distinct), RARE, np.int32)
-        number[high] = FIRST + np.arange(len(high))
-        root = np.concatenate([[totals.rare(), float(totals.base(np.array(totals.ends))), 0.0], totals.base(count[high])])
-        texts, text, count = len(w.rows) - 1, w.text_of_word(), count[inverse]
-        base, symbols = np.log10(totals.base(count)), number[inverse]
-        rare = symbols == RARE
-        sums = np.bincount(text, base, minlength=texts) + math.log10(root[END])
-        known = np.bincount(text, count > 0, minlength=texts).astype(np.int64) + (totals.ends > 0)
-        # A rare word's part of the rare symbol's probability, whatever the context.
-        own = np.bincount(text[rare], base[rare] - math.log10(root[RARE]), minlength=texts)
-        row = [table.column("block")[0].as_py(), table.column("doc_id").to_pylist(), w.held_out.tolist(), known.tolist(), sums.tolist(), own.tolist(), np.diff(w.rows).astype(np.int64).tobytes(), symbols.tobytes(), w.learned.tobytes(), distinct[high].tobytes(), root.tobytes()]
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
-
-    schema = f"block long, doc_ids array<{key}>, held_out array<boolean>, known array<long>, base array<double>, own array<double>, " + ", ".join(f"{n} {t}" for n, t in _SQL.items())
-    return written(blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(code, schema))
+        n = np.diff(w.rows).astype(np.int64)
+        row = [table.column("block")[0].as_py(), table.column("doc_id").to_pylist(), w.held_out.tolist(), w.learned.tobytes(), _packed(n), _packed(inverse), distinct.tobytes(), int(n[w.learned].sum()), int(w.learned.sum())]
+        kinds = [pa.int64(), pa.list_(table.schema.field("doc_id").type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in _CODED.split(", ")])
+
+    spark, name = blocked.sparkSession, f"coded_{uuid.uuid4().hex}"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    coded = blocked.groupBy("block").applyInArrow(code, _CODED.format(key=key))
+    coded.write.bucketBy(parts, "block").option("path", f"{scratch_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue forgets the name, the files stay
+    return out
 
 
 def _told(table: pa.Table) -> dict[tuple[int, int], dict[int, bytes]]:
@@ -268,27 +251,44 @@ def _told(table: pa.Table) -> dict[tuple[int, int], dict[int, bytes]]:
     return out
 
 
-_ASKED = "depth int, kind int, bucket long, block long, keys binary, counts binary, sums binary"
-_ANSWERED = "depth int, kind int, bucket long, block long, counts binary"
+_ASKED = "depth int, kind int, bucket long, block long, n int, keys binary, counts binary, sums binary"
+_ANSWERED = "depth int, kind int, bucket long, block long, counts binary, types long, symbols long, often long"
 
 
-def _asked(coded: DataFrame, answers: DataFrame, turn: int, least: int, buckets: int) -> DataFrame:
+def _asked_words(coded: DataFrame, buckets: int) -> DataFrame:
+    """A row for each block and bucket: distinct words with their counts in the block's training texts."""
+
+    def ask(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                learned, hashes = np.frombuffer(row["learned"], bool), np.frombuffer(row["hashes"], np.uint64)
+                lengths = _unpacked(row["lengths"], len(learned))
+                n = np.bincount(_unpacked(row["words"], int(lengths.sum())), np.repeat(learned, lengths), minlength=len(hashes)).astype(np.int64)
+                rows += [(0, WORDS, b, row["block"], len(at), keys, _packed(n[at]), None) for b, at, keys in _split(WORDS, hashes, buckets)]
+            yield from _arrow(rows, _ASKED).to_batches()
+
+    return coded.select("block", "learned", "lengths", "words", "hashes").mapInArrow(ask, _ASKED)
+
+
+def _asked(coded: DataFrame, answers: DataFrame, turn: int, totals: Totals, buckets: int) -> DataFrame:
     """A row for each block, bucket and kind: distinct pairs of depth `turn` with their counts in the block's training texts, and contexts of the depth before with their counts and sums of log(count / probability) and of 1 / count over places."""
 
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
         for row in table.to_pylist():
-            s = Sequences.of(row)
+            have = _told(told)
+            s = Sequences.of(row, have, totals, buckets)
             p = s.root[s.symbols[s.places]]
-            for level in s.levels(p, _told(told), turn, least, buckets):
+            for level in s.levels(p, have, turn, buckets):
                 learned = s.learned[level.at]
                 if level.depth == turn:
                     n = np.bincount(level.pair, learned, minlength=len(level.pairs)).astype(np.int64)
-                    rows += [(turn, PAIRS, b, row["block"], level.pairs[at].tobytes(), _packed(n[at]), None) for b, at in _split(level.pairs, buckets)]
+                    rows += [(turn, PAIRS, b, row["block"], len(at), keys, _packed(n[at]), None) for b, at, keys in _split(PAIRS, level.pairs, buckets)]
                 elif level.depth == turn - 1:
                     context, n = level.context[learned], level.counts[level.pair[learned]]
                     sums = [np.bincount(context, x, minlength=len(level.contexts)) for x in (np.ones(len(n)), np.log(n / p[level.at[learned]]), 1 / n)]
-                    rows += [(turn - 1, CONTEXTS, b, row["block"], level.contexts[at].tobytes(), _packed(sums[0][at].astype(np.int64)), np.concatenate([sums[1][at], sums[2][at]]).tobytes()) for b, at in _split(level.contexts, buckets)]
+                    rows += [(turn - 1, CONTEXTS, b, row["block"], len(at), keys, _packed(sums[0][at].astype(np.int64)), np.concatenate([sums[1][at], sums[2][at]]).tobytes()) for b, at, keys in _split(CONTEXTS, level.contexts, buckets)]
         return _arrow(rows, _ASKED)
 
     return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, _ASKED)
@@ -305,20 +305,24 @@ def _answered(asked: DataFrame, least: int) -> DataFrame:
     """For each row asked its pairs' counts over all blocks, or its contexts' counts, 0 for those that are not kept."""
 
     def add(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        kind = table.column("kind")[0].as_py()
+        keys = [np.frombuffer(x, np.uint64) if kind != PAIRS else np.cumsum(_unpacked(x, n), dtype=np.int64).view(np.uint64) for x, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]
         cuts = np.cumsum([0, *map(len, keys)])
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys, strict=True)])).astype(np.int64)
-        if table.column("kind")[0].as_py() == CONTEXTS:
+        if kind == CONTEXTS:
             sums = [np.frombuffer(x, np.float64).reshape(2, -1) for x in table.column("sums").to_pylist()]
             gain, k = (np.bincount(inverse, np.concatenate([x[j] for x in sums])) for j in (0, 1))
             k = np.rint(k)
             # Twice count times divergence is about chi-squared with the number of next symbols for its degrees of freedom.
             kept = (total >= least) & (2 * (gain - total * np.log(np.maximum(total, 1))) >= k + 4 * np.sqrt(2 * k))
             total = np.where(kept, total, 0)
-        back = total[inverse]
+        back, high = total[inverse], total >= least
         columns = zip(*(table.column(c).to_pylist() for c in ("depth", "kind", "bucket", "block")), cuts[:-1], cuts[1:], strict=True)
-        return _arrow([(*names, _packed(back[lo:hi])) for *names, lo, hi in columns], _ANSWERED)
+        rows = [(*names, _packed(back[lo:hi]), None, None, None) for *names, lo, hi in columns]
+        if kind == WORDS:
+            rows[0] = (*rows[0][:5], int((total > 0).sum()), int(high.sum()), int(total[high].sum()))
+        return _arrow(rows, _ANSWERED)
 
     return written(asked.groupBy("depth", "kind", "bucket").applyInArrow(add, _ANSWERED))
 
@@ -336,24 +340,29 @@ def scored(docs: DataFrame) -> DataFrame:
     blocked, _, size = in_blocks(docs, BLOCK_BYTES)
     buckets = max(1, math.ceil(size / 4 / BUCKET_BYTES))
     blocked = dealt(blocked, "block", size)
-    back, totals = _word_totals(blocked, buckets)
-    coded = _coded(blocked, back, buckets, totals, key)
-    answers = spark.createDataFrame([], _ANSWERED)
+    coded = _coded(blocked, key, size)
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    words, ends = coded.agg(total("tokens"), total("ends")).first()
+    least = least_count(words + ends)
+    answers = _answered(_asked_words(coded, buckets), least)
+    types, symbols, often = answers.agg(total("types"), total("symbols"), total("often")).first()
+    totals = Totals(words + ends, types + (1 if ends else 0), ends, often, symbols, least)
     for turn in range(1, DEPTH + 2):
-        answers = answers.union(_answered(_asked(coded, answers, turn, totals.least, buckets), totals.least))
+        answers = answers.union(_answered(_asked(coded, answers, turn, totals, buckets), least))
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(6)]
         for row in table.to_pylist():
-            s = Sequences.of(row)
+            have = _told(told)
+            s = Sequences.of(row, have, totals, buckets)
             p = s.root[s.symbols[s.places]]
-            for _ in s.levels(p, _told(told), DEPTH + 2, totals.least, buckets):
+            for _ in s.levels(p, have, DEPTH + 2, buckets):
                 pass
-            n = np.frombuffer(row["lengths"], np.int64) + 1
-            logs = np.bincount(s.text, np.log10(p), minlength=len(n)) + np.array(row["own"])
-            columns = (row["doc_ids"], row["held_out"], n.tolist(), row["known"], row["base"], logs.tolist())
-            for have, more in zip(out, columns, strict=True):
-                have += more
+            known, base, own = s.apart()
+            logs = np.bincount(s.text, np.log10(p), minlength=len(s.lengths)) + own
+            columns = (row["doc_ids"], row["held_out"], (s.lengths + 1).tolist(), known.tolist(), base.tolist(), logs.tolist())
+            for have_, more in zip(out, columns, strict=True):
+                have_ += more
         if not totals.tokens:
             out[4] = out[5] = [0.0] * len(out[0])
         kinds = [table.schema.field("doc_ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
