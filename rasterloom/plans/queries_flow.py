@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from rasterloom.functions.parameters import resolved
-from rasterloom.operators import allocation, overlay
+from rasterloom.operators import allocation, overlay, tiles
 from rasterloom.plans import model
+from rasterloom.plans.sql import run_sql
 from rasterloom.plans.registry import event_grid, event_spec, registered, rounded, table
 from rasterloom.sources.stored import shared_folder
 from rasterloom.streaming import zonal as streaming
@@ -271,3 +272,12 @@ def u5(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey", "tripled(p_size) AS tripled")
 
 
+@registered("u7_tile_cells", """WITH c AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 AS INTEGER) AS y, value FROM events), t AS (SELECT *, AVG(value) OVER (PARTITION BY x // 10, y // 10) AS mean FROM c)
+SELECT x, y, value, round(value - mean, 6) + 0.0 AS above FROM t WHERE value > mean""")
+def u7(spark, d):
+    """Cells above the mean of their tile of 10 x 10, through the table function in SQL."""
+    tiles.registered_tile_cells(spark)
+    held = tiles.tiled(event_grid(spark, d, "value"), "value", 10)
+    statement = """WITH m AS (SELECT *, aggregate(cells, 0D, (s, v) -> s + coalesce(v, 0D)) / size(filter(cells, v -> v IS NOT NULL)) AS mean FROM tiles)
+SELECT c.x, c.y, c.value, c.value - m.mean AS above FROM tile_cells(TABLE(tiles)) c JOIN m USING (left, top) WHERE c.value > m.mean"""
+    return rounded(run_sql(spark, {"tiles": held}, statement), "above")
