@@ -243,3 +243,20 @@ def test_toxicity_scores_by_hand():
         want = max(sigmoid(odds(t.word[s : min(hi, s + toxicity.WINDOW)].tolist())) for s in starts)
         assert math.isclose(got[k], want, rel_tol=1e-4), k
     assert math.isclose(got[3], sigmoid(-1.5), rel_tol=1e-6)
+
+
+def test_packed_numbers_and_keys():
+    """Numbers come back from as few bytes each as hold them; pairs' keys ascend within their bucket, and equal hashes meet in one bucket whatever the block."""
+    rng = np.random.default_rng(4)
+    for top in (0, 1, 255, 256, 1 << 24, (1 << 62) + 5):
+        n = np.append(rng.integers(0, top + 1, 9), top)
+        assert (lm._unpacked(lm._packed(n), 10) == n).all() and len(lm._packed(n)) == 10 * max(1, (top.bit_length() + 7) // 8)
+    assert len(lm._unpacked(lm._packed(n[:0]), 0)) == 0
+    hashes = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)
+    for kind in (lm.WORDS, lm.PAIRS, lm.CONTEXTS):
+        whole = {h: b for b, at, _ in lm._split(kind, hashes, 7) for h in hashes[at].tolist()}
+        assert len(whole) == 500 and set(whole.values()) == set(range(7))
+        for b, at, keys in lm._split(kind, hashes[:100], 7):
+            assert all(whole[h] == b for h in hashes[at].tolist())
+            if kind == lm.PAIRS:
+                assert (np.cumsum(lm._unpacked(keys, len(at))).view(np.uint64) == hashes[at] >> np.uint64(64 - lm.KEY_BITS)).all()
