@@ -40,6 +40,8 @@ def registered(spark: SparkSession) -> None:
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], statement: str, args: list | dict | None = None) -> DataFrame:
     """The result of one statement over the named tables. Errors are raised; several statements are separated by semicolons, and the last one's result counts."""
     attach(tables)
+    # A recursion ends when it finds no more rows, however many it has found (Spark's default raises beyond a million).
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     out = None
     for part in filter(str.strip, re.split(r";\s*(?=(?:[^']*'[^']*')*[^']*$)", statement)):
         out = spark.sql(part, args=args) if args else spark.sql(part)
