@@ -1,6 +1,6 @@
 """What spreads over a grid: distances, cost distances, flow.
 
-Euclidean distance is exact and takes two passes, over columns and over rows. Cost distance and flow work
+Euclidean distance is exact and takes two passes, over columns by strips and over rows. Cost distance and flow work
 within tiles and pass on what crosses tile borders, round by round, until nothing new crosses; the rounds'
 number is that of the borders a path crosses, not of its cells. A round works on the tiles at which something
 new has arrived, and its result is stored.
@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,22 +26,33 @@ AROUND = [(-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0)]
 INFINITY = float("inf")
 
 
+#: Rows of a strip: a column is searched strip by strip, so that no task holds a whole one.
+STRIP = 4096
+#: Cells that the pass over rows takes at a time, in whole rows.
+ROWS_CELLS = 1 << 16
+
+
+def _to_nearest(cells: DataFrame, source: Column) -> DataFrame:
+    """x, y and dy: rows to the nearest source cell of the column."""
+    at = cells.select("x", "y", F.floor(F.col("y") / STRIP).alias("strip"), F.when(source, F.col("y")).alias("at"))
+    ends = at.groupBy("x", "strip").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    # Windows reach back only, as Spark adds up one that reaches forward anew for each row.
+    up, down = W.partitionBy("x").orderBy("strip"), W.partitionBy("x").orderBy(F.desc("strip"))
+    beyond = ends.select("x", "strip", F.last("last", True).over(up.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.last("first", True).over(down.rowsBetween(W.unboundedPreceding, -1)).alias("after"))
+    own = W.partitionBy("x", "strip")
+    last = F.last("at", True).over(own.orderBy("y").rowsBetween(W.unboundedPreceding, 0))
+    following = F.last("at", True).over(own.orderBy(F.desc("y")).rowsBetween(W.unboundedPreceding, 0))
+    # F.least passes over nulls.
+    dy = F.least(F.col("y") - F.coalesce(last, F.col("before")), F.coalesce(following, F.col("after")) - F.col("y"))
+    return at.join(beyond, ["x", "strip"]).select("x", "y", dy.alias("dy"))
+
+
 def euclidean_distance(cells: DataFrame, spec: GridSpec, categories: list[float], maximum: float | None = None, use_spacing: bool = True, value: str = "value") -> DataFrame:
     """x, y and distance to the nearest cell of one of the categories; null without any, or beyond the maximum."""
     sx, sy = spec.spacing if use_spacing else (1.0, 1.0)
-    source = F.col(value).isin(categories)
-    column = W.partitionBy("x").orderBy("y")
-    up = F.last(F.when(source, F.col("y")), True).over(column.rowsBetween(W.unboundedPreceding, 0))
-    down = F.first(F.when(source, F.col("y")), True).over(column.rowsBetween(0, W.unboundedFollowing))
-    # F.least passes over nulls.
-    near = cells.select("x", "y", F.least(F.col("y") - up, down - F.col("y")).alias("dy"))
+    near = _to_nearest(cells, F.col(value).isin(categories))
 
-    def row(table: pa.Table) -> pa.Table:
-        x = table.column("x").to_numpy()
-        order = np.argsort(x)
-        x = x[order].astype(np.float64) * sx
-        g = table.column("dy").cast(pa.float64()).to_numpy()[order] * sy
-        out = np.full(len(x), np.nan)
+    def row(x: np.ndarray, g: np.ndarray) -> np.ndarray:
         # The lower envelope of the parabolas that stand over the columns' own distances.
         hull, cuts = [], []
         for q in np.flatnonzero(~np.isnan(g)).tolist():
@@ -54,12 +65,22 @@ def euclidean_distance(cells: DataFrame, spec: GridSpec, categories: list[float]
                 cuts.pop()
             cuts.append(-INFINITY if not hull else s)
             hull.append(q)
-        if hull:
-            best = np.array(hull)[np.searchsorted(np.array(cuts), x, "right") - 1]
-            out = np.sqrt((x - x[best]) ** 2 + g[best] ** 2)
-        return pa.table([table.column("x").take(pa.array(order)), table.column("y"), pa.array(out, from_pandas=True)], ["x", "y", "distance"])
+        if not hull:
+            return np.full(len(x), np.nan)
+        best = np.array(hull)[np.searchsorted(np.array(cuts), x, "right") - 1]
+        return np.sqrt((x - x[best]) ** 2 + g[best] ** 2)
+
+    def rows(table: pa.Table) -> pa.Table:
+        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+        order = np.lexsort((x, y))
+        x, y = x[order], y[order]
+        g = table.column("dy").cast(pa.float64()).to_numpy()[order] * sy
+        cuts = [0, *(np.flatnonzero(np.diff(y)) + 1).tolist(), len(y)]
+        out = [row(x[lo:hi] * sx, g[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        return pa.table([x, y, pa.array(np.concatenate(out), from_pandas=True)], ["x", "y", "distance"])
 
-    out = near.groupBy("y").applyInArrow(row, "x int, y int, distance double")
+    few = max(1, ROWS_CELLS // max(1, spec.width))
+    out = near.groupBy(F.floor(F.col("y") / few).alias("rows")).applyInArrow(rows, "x int, y int, distance double")
     return out if maximum is None else out.withColumn("distance", F.when(F.col("distance") <= maximum, F.col("distance")))
 
 

@@ -1,9 +1,14 @@
 """What only larger tables show: keys that meet, limits of the engine, work that grows faster than its table."""
 
+import math
+
 import duckdb
+import pytest
 
+from rasterloom.operators import spread
 from rasterloom.plans.registry import ORACLE_SQL, QUERIES
 from rasterloom.plans.sql import run_sql
+from rasterloom.sources.grids import GridSpec
 
 
 def same_as_sql(spark, folder, name, table):
@@ -26,3 +31,16 @@ def test_upsert_of_keys_that_meet(spark, tmp_path):
     rows = [(k, f"name {k}", k % 7) for k in (0, 1, 3, 50, 51, 999_999, 1_000_000, 1_000_050, 1_000_051)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert same_as_sql(spark, tmp_path, "p13_upsert", "part")
+
+
+@pytest.mark.parametrize("strip", [3, 4096])
+def test_distance_by_strips(spark, monkeypatch, strip):
+    monkeypatch.setattr(spread, "STRIP", strip)
+    sources = [(1, 0), (3, 17), (4, 18), (0, 30)]
+    cells = spark.createDataFrame([(x, y, float((x, y) in sources)) for x in range(5) for y in range(40) if (x, y) != (2, 7)], "x int, y int, value double")
+    out = spread.euclidean_distance(cells, GridSpec(5, 40), [1.0])
+    # A window that reaches forward takes time with the square of a column's length.
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = {(r.x, r.y): r.distance for r in out.collect()}
+    assert len(got) == 199
+    assert all(math.isclose(d, min(math.hypot(x - a, y - b) for a, b in sources), abs_tol=1e-12) for (x, y), d in got.items())
