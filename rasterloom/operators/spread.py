@@ -8,8 +8,8 @@ new has arrived, and its result is stored.
 
 from __future__ import annotations
 
-import heapq
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -91,6 +91,10 @@ def buffered(distances: DataFrame, indicator: int = 1) -> DataFrame:
 
 #: Rounds whose results are kept apart before they are stored as one table.
 ROUNDS_APART = 16
+#: What a tile knows of a place of its array: nothing, a cell with a null value, a cell with a value.
+ABSENT, NULL, VALUED = 0, 1, 2
+_TILES = "tx int, ty int, state binary, bands binary"
+_DONE = "fx int, fy int, tx int, ty int, places binary, numbers binary, mark binary, leaving boolean"
 
 
 def _latest(rounds: list[DataFrame]) -> DataFrame:
@@ -100,184 +104,241 @@ def _latest(rounds: list[DataFrame]) -> DataFrame:
     return rows.join(last, ["fx", "fy", "round"]) if len(rounds) > 1 else rows
 
 
-def _rounds(cells: DataFrame, tile: int, work, better) -> DataFrame:
-    """Runs work over tiles, then again over those whose arrivals have changed, until none has.
+def _tiles(cells: DataFrame, bands: list[str], tile: int) -> DataFrame:
+    """A row a tile: of its cells, and of those in a rim of one cell round it, whether they are there and have a first band, and the bands, as arrays."""
+    side = tile + 2
 
-    work gets a tile's columns and its arrivals by place, and returns values of its cells and what leaves
-    it. `better` aggregates the arrivals of one cell.
+    def pack(table: pa.Table) -> pa.Table:
+        tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
+        x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
+        at = (y - ty * tile + 1) * side + x - tx * tile + 1
+        if not ((x // tile == tx) & (y // tile == ty)).any():
+            return _TILES_EMPTY
+        state, values = np.zeros(side * side, np.uint8), np.full((len(bands), side * side), np.nan)
+        state[at] = np.where(np.asarray(table.column(bands[0]).is_valid()), VALUED, NULL)
+        for k, b in enumerate(bands):
+            values[k, at] = table.column(b).to_numpy()
+        return pa.table([pa.array([tx], pa.int32()), pa.array([ty], pa.int32()), pa.array([state.tobytes()]), pa.array([values.tobytes()])], _TILES_EMPTY.schema.names)
+
+    reach = lambda c: F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col(c) + d) / tile).cast("int"))))
+    spread_out = cells.select("x", "y", *bands).withColumn("tx", reach("x")).withColumn("ty", reach("y"))
+    return spread_out.groupBy("tx", "ty").applyInArrow(pack, _TILES)
+
+
+_TILES_EMPTY = pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["tx", "ty", "state", "bands"])
+
+
+def _rounds(cells: DataFrame, tile: int, bands: list[str], work, better: np.ufunc, nothing: float) -> DataFrame:
+    """x, y and value: runs work over tiles, then again over those whose arrivals have changed, until none has.
+
+    A tile travels as arrays with a rim of one cell. work gets a Tile and what has arrived at each of its places
+    (`nothing` where nothing has), and returns values of places, NaN for none: those of the rim are what leaves the
+    tile. `better` puts together the arrivals of one cell.
     """
-    placed = stored(cells.withColumns({"tx": F.floor(F.col("x") / tile).cast("int"), "ty": F.floor(F.col("y") / tile).cast("int")}))
-    names, kinds = ["fx", "fy", "tx", "ty", "x", "y", "value", "leaving"], [pa.int32()] * 6 + [pa.float64(), pa.bool_()]
-    schema = "fx int, fy int, tx int, ty int, x int, y int, value double, leaving boolean"
+    side = tile + 2
+    placed = stored(_tiles(cells, bands, tile))
+    kinds = [*[pa.int32()] * 4, *[pa.binary()] * 3, pa.bool_()]
+    names = [f.split()[0] for f in _DONE.split(", ")]
 
     def run(table: pa.Table, arrivals: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names)
-        got = {(a, b): v for a, b, v in zip(*(arrivals.column(c).to_pylist() for c in ("x", "y", "value")), strict=True)}
-        fx, fy = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
-        own, out = work({c: table.column(c).to_pylist() for c in table.column_names}, got)
-        rows = [(fx, fy, x // tile, y // tile, x, y, v, gone) for part, gone in ((own, False), (out, True)) for (x, y), v in part.items()]
+        rows = []
+        for row in table.to_pylist():
+            t = Tile.of(row, bands, tile)
+            got = np.full(side * side, nothing)
+            for places, numbers in zip(arrivals.column("places").to_pylist(), arrivals.column("numbers").to_pylist(), strict=True):
+                better.at(got, np.frombuffer(places, np.int32), np.frombuffer(numbers))
+            out = work(t, got)
+            own = np.flatnonzero(t.own & (t.state != ABSENT)).astype(np.int32)
+            rows.append((t.tx, t.ty, t.tx, t.ty, own.tobytes(), out[own].tobytes(), None, False))
+            gone = np.flatnonzero(~t.own & ~np.isnan(out))
+            y, x = np.divmod(gone, side)
+            dx, dy = (np.where(v == 0, -1, np.where(v == side - 1, 1, 0)) for v in (x, y))
+            for i, j in AROUND:
+                k = (dx == i) & (dy == j)
+                if k.any():
+                    numbers = out[gone[k]]
+                    there = ((y[k] - j * tile) * side + x[k] - i * tile).astype(np.int32)
+                    rows.append((t.tx, t.ty, t.tx + i, t.ty + j, there.tobytes(), numbers.tobytes(), there.tobytes() + np.round(numbers, 9).tobytes(), True))
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    arrivals = stored(cells.sparkSession.createDataFrame([], "tx int, ty int, x int, y int, value double"))
-    changed, values, leaving, number = None, [], None, 0
+    spark = cells.sparkSession
+    leaving = stored(spark.createDataFrame([], f"{_DONE}, round int"))
+    changed, values, number = None, [], 0
     while True:
-        todo, given = placed, arrivals
+        todo, given = placed, leaving
         if changed is not None:
-            todo, given = (df.join(changed, ["tx", "ty"], "left_semi") for df in (placed, arrivals))
-        done = stored(todo.groupBy("tx", "ty").cogroup(given.groupBy("tx", "ty")).applyInArrow(run, schema).withColumn("round", F.lit(number)))
+            todo, given = (df.join(changed, ["tx", "ty"], "left_semi") for df in (placed, leaving))
+        done = stored(todo.groupBy("tx", "ty").cogroup(given.groupBy("tx", "ty")).applyInArrow(run, _DONE).withColumn("round", F.lit(number)))
         values.append(done.where("not leaving"))
         if len(values) >= ROUNDS_APART:
             values = [stored(_latest(values))]
-        out = done.where("leaving")
-        if leaving is not None:
+        new = done.where("leaving")
+        was, after = (df.select("fx", "fy", "tx", "ty", F.col("mark").alias(m)) for df, m in ((leaving, "was"), (new, "is")))
+        if changed is None:
+            kept = new
+        else:
             # What a tile that has run again sends takes the place of all that it sent before.
             ran = changed.select(F.col("tx").alias("fx"), F.col("ty").alias("fy"))
-            out = out.union(leaving.join(ran, ["fx", "fy"], "left_anti").select(*out.columns))
-        leaving = stored(out)
-        new = stored(leaving.groupBy("tx", "ty", "x", "y").agg(better("value").alias("value")))
-        both = new.join(arrivals.withColumnRenamed("value", "old"), ["tx", "ty", "x", "y"], "full")
-        changed = stored(both.where(~F.round("value", 9).eqNullSafe(F.round("old", 9))).select("tx", "ty").distinct())
+            was = was.join(ran, ["fx", "fy"], "left_semi")
+            kept = new.union(leaving.join(ran, ["fx", "fy"], "left_anti").select(*new.columns))
+        other = was.join(after, ["fx", "fy", "tx", "ty"], "full").where(~F.col("was").eqNullSafe(F.col("is")))
+        changed = stored(other.select("tx", "ty").distinct())
         if changed.isEmpty():
-            return _latest(values).select("x", "y", "value")
-        arrivals, number = new, number + 1
+            break
+        leaving, number = stored(kept), number + 1
+
+    def unpack(batches):
+        for batch in batches:
+            for tx, ty, places, numbers in zip(*(batch.column(c).to_pylist() for c in ("fx", "fy", "places", "numbers")), strict=True):
+                y, x = np.divmod(np.frombuffer(places, np.int32), side)
+                yield pa.RecordBatch.from_arrays([pa.array((x - 1 + tx * tile).astype(np.int32)), pa.array((y - 1 + ty * tile).astype(np.int32)), pa.array(np.frombuffer(numbers), from_pandas=True)], ["x", "y", "value"])
+
+    return _latest(values).select("fx", "fy", "places", "numbers").mapInArrow(unpack, "x int, y int, value double")
+
+
+@dataclass
+class Tile:
+    """A tile's places as flat arrays of (tile + 2) squared: the tile's own ones and a rim of one cell."""
+
+    tx: int
+    ty: int
+    side: int
+    state: np.ndarray
+    bands: dict[str, np.ndarray]
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict, bands: list[str], tile: int) -> Tile:
+        side = tile + 2
+        own = np.zeros((side, side), bool)
+        own[1:-1, 1:-1] = True
+        values = np.frombuffer(row["bands"]).reshape(len(bands), -1)
+        return cls(row["tx"], row["ty"], side, np.frombuffer(row["state"], np.uint8), dict(zip(bands, values, strict=True)), own.ravel())
+
+    @property
+    def steps(self) -> np.ndarray:
+        """From a place to its neighbours, in the order of AROUND."""
+        return np.array([dy * self.side + dx for dx, dy in AROUND])
+
+    def within(self, spec: GridSpec) -> np.ndarray:
+        """The tile's own cells with a value that don't lie on the grid's edge."""
+        at = np.flatnonzero(self.own & (self.state == VALUED))
+        y, x = np.divmod(at, self.side)
+        x, y = x - 1 + self.tx * (self.side - 2), y - 1 + self.ty * (self.side - 2)
+        return at[(x > 0) & (x < spec.width - 1) & (y > 0) & (y < spec.height - 1)]
+
+    def in_order(self, start: np.ndarray, goes: np.ndarray, pass_on) -> None:
+        """Calls pass_on with sets of rows, each after all rows that lead to its cells. start: a cell a row; goes: for each, whether a way leads to each neighbour. No way leads back."""
+        row = np.full(len(self.own), -1)
+        row[start] = np.arange(len(start))
+        to = np.where(goes, start[:, None] + self.steps, -1)
+        waits = np.bincount(to[goes], minlength=len(self.own))
+        now = np.flatnonzero(waits[start] == 0)
+        while len(now):
+            reached = to[now][goes[now]]
+            pass_on(now)
+            np.subtract.at(waits, reached, 1)
+            now = row[np.unique(reached[waits[reached] == 0])]
+            now = now[now >= 0]
 
 
 def cost_distance(cells: DataFrame, spec: GridSpec, source: str, cost: str, maximum: float | None = None, tile: int = 256) -> DataFrame:
     """x, y and distance: the least sum of costs from a cell whose source flag is true. A step's cost is the entered cell's, times the diagonal's length where it is diagonal; null costs can't be entered."""
     diagonal = math.hypot(*spec.spacing)
-
-    def work(t: dict, arrivals: dict) -> tuple[dict, dict]:
-        price = {(x, y): c for x, y, c in zip(t["x"], t["y"], t["cost"], strict=True)}
-        best = {(x, y): 0.0 for x, y, s in zip(t["x"], t["y"], t["source"], strict=True) if s}
-        for p, v in arrivals.items():
-            # What arrives includes the step into this cell.
-            if p in price and price[p] is not None and v < best.get(p, INFINITY):
-                best[p] = v
-        heap = [(v, p) for p, v in best.items()]
-        heapq.heapify(heap)
-        while heap:
-            v, p = heapq.heappop(heap)
-            if v > best[p]:
-                continue
-            for dx, dy in AROUND:
-                q = (p[0] + dx, p[1] + dy)
-                c = price.get(q)
-                if c is None:
-                    continue
-                new = v + c * (diagonal if dx and dy else 1.0)
-                if new < best.get(q, INFINITY):
-                    best[q] = new
-                    heapq.heappush(heap, (new, q))
-        rim = {(r["x"], r["y"]): r["c"] for row in t["rim"] for r in row or () if r["c"] is not None}
-        leave: dict = {}
-        for p, v in best.items() if rim else ():
-            for dx, dy in AROUND:
-                q = (p[0] + dx, p[1] + dy)
-                c = rim.get(q)
-                if c is not None:
-                    new = v + c * (diagonal if dx and dy else 1.0)
-                    if new < leave.get(q, INFINITY):
-                        leave[q] = new
-        return best, leave
-
-    base = cells.select("x", "y", F.coalesce(F.col(source), F.lit(False)).alias("source"), F.col(cost).cast("double").alias("cost"))
-    # Cells beside a border carry the costs of their neighbours beyond it.
-    border = base.where((F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1))
-    shifts = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in AROUND))
-    beyond = border.select("x", "y", F.explode(shifts).alias("s")).select(F.col("x").alias("fx"), F.col("y").alias("fy"), (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    beyond = beyond.where((F.floor(F.col("x") / tile) != F.floor(F.col("fx") / tile)) | (F.floor(F.col("y") / tile) != F.floor(F.col("fy") / tile)))
-    rims = beyond.join(border.select("x", "y", "cost"), ["x", "y"]).groupBy(F.col("fx").alias("x"), F.col("fy").alias("y")).agg(F.collect_list(F.struct("x", "y", F.col("cost").alias("c"))).alias("rim"))
-    out = _rounds(base.join(rims, ["x", "y"], "left"), tile, work, F.min).withColumnRenamed("value", "distance")
-    every = cells.select("x", "y").join(out, ["x", "y"], "left")
-    return every if maximum is None else every.withColumn("distance", F.when(F.col("distance") <= maximum, F.col("distance")))
+    length = np.array([diagonal if dx and dy else 1.0 for dx, dy in AROUND])
+
+    def work(t: Tile, arrivals: np.ndarray) -> np.ndarray:
+        # Null costs can't be entered. What arrives includes the step into its cell.
+        price = np.where(t.state == VALUED, t.bands["cost"], np.nan)
+        best = np.where(t.own & (t.state == VALUED), arrivals, INFINITY)
+        best[t.own & (t.bands["source"] == 1)] = 0.0
+        now = np.flatnonzero(best < INFINITY)
+        while len(now):
+            to = (now[:, None] + t.steps).ravel()
+            new = (best[now][:, None] + price[now[:, None] + t.steps] * length).ravel()
+            nearer = new < best[to]
+            to, new = to[nearer], new[nearer]
+            np.minimum.at(best, to, new)
+            now = np.unique(to)
+            # Nothing comes back from the rim but by its own tile.
+            now = now[t.own[now]]
+        return np.where(best < INFINITY, best, np.nan)
+
+    base = cells.select("x", "y", F.col(cost).cast("double").alias("cost"), F.coalesce(F.col(source), F.lit(False)).cast("double").alias("source"))
+    out = _rounds(base, tile, ["cost", "source"], work, np.minimum, INFINITY).withColumnRenamed("value", "distance")
+    return out if maximum is None else out.withColumn("distance", F.when(F.col("distance") <= maximum, F.col("distance")))
 
 
 def flow_shares(z: float, around: list[float | None], spec: GridSpec, algorithm: str, exponent: float) -> list[float]:
     """The share of a cell's flow that each of its eight neighbours gets."""
+    h = np.array([[np.nan if v is None else v for v in around]], np.float64)
+    return _shares(np.array([z], np.float64), h, spec, algorithm, exponent)[0].tolist()
+
+
+def _shares(z: np.ndarray, around: np.ndarray, spec: GridSpec, algorithm: str, exponent: float) -> np.ndarray:
+    """The same of many cells, a row each; NaN for no data."""
     sx, sy = spec.spacing
     if algorithm == "dinf":
         return _facet_shares(z, around, spec)
-    out = []
-    for (dx, dy), h in zip(AROUND, around, strict=True):
-        if h is None or h >= z:
-            out.append(0.0)
-        elif algorithm == "mfd":
-            length = sy * math.sqrt(2) if dx and dy else (sx if dx else sy)
-            out.append((z - h) / length * (0.354 if dx and dy else 0.5) * length)
-        else:
-            length = math.hypot(sx, sy) if dx and dy else (sx if dx else sy)
-            out.append(((z - h) / length) ** exponent)
-    total = sum(out)
-    return [v / total for v in out] if total else out
-
-
-def _facet_shares(z: float, around: list[float | None], spec: GridSpec) -> list[float]:
+    down = z[:, None] - around
+    if algorithm == "mfd":
+        length = np.array([sy * math.sqrt(2) if dx and dy else (sx if dx else sy) for dx, dy in AROUND])
+        out = down / length * np.array([0.354 if dx and dy else 0.5 for dx, dy in AROUND]) * length
+    else:
+        length = np.array([math.hypot(sx, sy) if dx and dy else (sx if dx else sy) for dx, dy in AROUND])
+        out = (np.where(down > 0, down, 0.0) / length) ** exponent
+    out = np.where(down > 0, out, 0.0)
+    total = out.sum(axis=1, keepdims=True)
+    return np.divide(out, total, out=out, where=total != 0)
+
+
+def _facet_shares(z: np.ndarray, around: np.ndarray, spec: GridSpec) -> np.ndarray:
     """The steepest direction over eight triangular facets; its flow is parted between the two neighbours that it lies between, by angle. A cell beside no data passes nothing on."""
-    shares = [0.0] * 8
-    if any(h is None for h in around):
-        return shares
-    best, pick = 0.0, None
+    n = np.arange(len(z))
+    best, straight_to, corner_to, part = np.zeros(len(z)), np.zeros(len(z), np.int64), np.zeros(len(z), np.int64), np.zeros(len(z))
     for k in (1, 3, 5, 7):
         straight = spec.spacing[0] if AROUND[k][0] else spec.spacing[1]
         across = spec.spacing[1] if AROUND[k][0] else spec.spacing[0]
+        widest, length = math.atan2(across, straight), math.hypot(straight, across)
         for corner in ((k - 1) % 8, (k + 1) % 8):
-            s1, s2 = (z - around[k]) / straight, (around[k] - around[corner]) / across
-            angle, widest = math.atan2(s2, s1), math.atan2(across, straight)
-            if angle < 0:
-                angle, slope = 0.0, s1
-            elif angle > widest:
-                angle, slope = widest, (z - around[corner]) / math.hypot(straight, across)
-            else:
-                slope = math.hypot(s1, s2)
-            if slope > best:
-                best, pick = slope, (k, corner, angle / widest)
-    if pick:
-        k, corner, part = pick
-        shares[k], shares[corner] = 1 - part, part
+            s1, s2 = (z - around[:, k]) / straight, (around[:, k] - around[:, corner]) / across
+            angle = np.arctan2(s2, s1)
+            slope = np.where(angle < 0, s1, np.where(angle > widest, (z - around[:, corner]) / length, np.hypot(s1, s2)))
+            steeper = slope > best
+            best[steeper], straight_to[steeper], corner_to[steeper] = slope[steeper], k, corner
+            part[steeper] = np.clip(angle[steeper], 0.0, widest) / widest
+    shares = np.zeros((len(z), 8))
+    found = (best > 0) & ~np.isnan(around).any(axis=1)
+    shares[n[found], straight_to[found]], shares[n[found], corner_to[found]] = 1 - part[found], part[found]
     return shares
 
 
-def _rimmed(cells: DataFrame, value: str, weight: str | None, tile: int) -> DataFrame:
-    """x, y, z, w, and for a cell at a tile's border rim, its neighbours in other tiles."""
-    shifts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(AROUND)))
-    base = cells.select("x", "y", F.col(value).cast("double").alias("z"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    rim_cells = base.where((F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1))
-    beyond = rim_cells.select("x", "y", F.explode(shifts).alias("s")).select(F.col("x").alias("fx"), F.col("y").alias("fy"), "s.k", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    beyond = beyond.where((F.floor(F.col("x") / tile) != F.floor(F.col("fx") / tile)) | (F.floor(F.col("y") / tile) != F.floor(F.col("fy") / tile)))
-    rims = beyond.join(rim_cells, ["x", "y"]).groupBy(F.col("fx").alias("x"), F.col("fy").alias("y")).agg(F.collect_list(F.struct("x", "y", "z", "w")).alias("rim"))
-    return base.join(rims, ["x", "y"], "left")
+def _weighed(cells: DataFrame, value: str, weight: str | None) -> DataFrame:
+    return cells.select("x", "y", F.col(value).cast("double").alias("z"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
 
 
 def flow_accumulation(cells: DataFrame, spec: GridSpec, algorithm: str = "mfd", exponent: float = 1.0, value: str = "value", weight: str | None = None, tile: int = 256) -> DataFrame:
     """x, y and accumulation: 1 for the cell itself and what its higher neighbours pass on. Cells on the grid's edge receive but don't pass on; null cells do neither."""
-    width, height = spec.width, spec.height
-
-    def work(t: dict, arrivals: dict) -> tuple[dict, dict]:
-        z = {(x, y): v for x, y, v in zip(t["x"], t["y"], t["z"], strict=True)}
-        w = {(x, y): v for x, y, v in zip(t["x"], t["y"], t["w"], strict=True)}
-        own = set(z)
-        for row in t["rim"]:
-            for r in row or ():
-                z[r["x"], r["y"]], w[r["x"], r["y"]] = r["z"], r["w"]
-        flow = {p: 1.0 + arrivals.get(p, 0.0) for p in own if z[p] is not None}
-        leave: dict = {}
-        for p in sorted(flow, key=lambda p: (-z[p], p[1], p[0])):
-            if not (0 < p[0] < width - 1 and 0 < p[1] < height - 1):
-                continue
-            beside = [(p[0] + dx, p[1] + dy) for dx, dy in AROUND]
-            for q, share in zip(beside, flow_shares(z[p], [z.get(q) for q in beside], spec, algorithm, exponent), strict=True):
-                if share and z[q] < z[p]:
-                    part = share * flow[p] * w[q]
-                    if q in own:
-                        flow[q] += part
-                    else:
-                        leave[q] = leave.get(q, 0.0) + part
-        return flow, leave
-
-    out = _rounds(_rimmed(cells, value, weight, tile), tile, work, F.sum).withColumnRenamed("value", "accumulation")
-    return cells.select("x", "y").join(out, ["x", "y"], "left")
+
+    def work(t: Tile, arrivals: np.ndarray) -> np.ndarray:
+        z, w = t.bands["z"], t.bands["w"]
+        start = t.within(spec)
+        beside = start[:, None] + t.steps
+        share = _shares(z[start], z[beside], spec, algorithm, exponent)
+        goes = (share != 0) & (z[beside] < z[start][:, None])
+        part = share * w[beside]
+        # A place of the rim holds what leaves for it.
+        flow = np.where(t.own, np.where(t.state == VALUED, 1.0 + arrivals, np.nan), 0.0)
+
+        def pass_on(now: np.ndarray) -> None:
+            np.add.at(flow, beside[now][goes[now]], (part[now] * flow[start[now]][:, None])[goes[now]])
+
+        t.in_order(start, goes, pass_on)
+        flow[~t.own & (flow == 0)] = np.nan
+        return flow
+
+    return _rounds(_weighed(cells, value, weight), tile, ["z", "w"], work, np.add, 0.0).withColumnRenamed("value", "accumulation")
 
 
 def flow_length(cells: DataFrame, spec: GridSpec, upstream: bool = False, value: str = "value", weight: str | None = None, tile: int = 256) -> DataFrame:
@@ -285,28 +346,22 @@ def flow_length(cells: DataFrame, spec: GridSpec, upstream: bool = False, value:
 
     A step counts its length times the entered cell's weight. Cells on the grid's edge are entered but not left; null cells are neither.
     """
-    width, height = spec.width, spec.height
     sx, sy = spec.spacing
-    lengths = [math.hypot(sx, sy) if dx and dy else (sx if dx else sy) for dx, dy in AROUND]
-    sign = -1.0 if upstream else 1.0
-
-    def work(t: dict, arrivals: dict) -> tuple[dict, dict]:
-        beyond = [(r["x"], r["y"], r["z"], r["w"]) for row in t["rim"] for r in row or ()]
-        own = {(x, y) for x, y in zip(t["x"], t["y"], strict=True)}
-        known = [*zip(t["x"], t["y"], t["z"], t["w"], strict=True), *beyond]
-        z = {(x, y): None if v is None else sign * v for x, y, v, _ in known}
-        w = {(x, y): v for x, y, _, v in known}
-        length = {p: max(0.0, arrivals.get(p, 0.0)) for p in own if z[p] is not None}
-        leave: dict = {}
-        for p in sorted(length, key=lambda p: (-z[p], p[1], p[0])):
-            if not (0 < p[0] < width - 1 and 0 < p[1] < height - 1):
-                continue
-            for (dx, dy), step in zip(AROUND, lengths, strict=True):
-                q = p[0] + dx, p[1] + dy
-                if z.get(q) is not None and z[q] < z[p]:
-                    reached = length if q in own else leave
-                    reached[q] = max(reached.get(q, 0.0), length[p] + step * w[q])
-        return length, leave
-
-    out = _rounds(_rimmed(cells, value, weight, tile), tile, work, F.max).withColumnRenamed("value", "length")
-    return cells.select("x", "y").join(out, ["x", "y"], "left")
+    lengths = np.array([math.hypot(sx, sy) if dx and dy else (sx if dx else sy) for dx, dy in AROUND])
+
+    def work(t: Tile, arrivals: np.ndarray) -> np.ndarray:
+        z, w = -t.bands["z"] if upstream else t.bands["z"], t.bands["w"]
+        start = t.within(spec)
+        beside = start[:, None] + t.steps
+        goes = z[beside] < z[start][:, None]
+        step = lengths * w[beside]
+        length = np.where(t.own, np.where(t.state == VALUED, np.maximum(arrivals, 0.0), np.nan), 0.0)
+
+        def pass_on(now: np.ndarray) -> None:
+            np.maximum.at(length, beside[now][goes[now]], (step[now] + length[start[now]][:, None])[goes[now]])
+
+        t.in_order(start, goes, pass_on)
+        length[~t.own & (length == 0)] = np.nan
+        return length
+
+    return _rounds(_weighed(cells, value, weight), tile, ["z", "w"], work, np.maximum, 0.0).withColumnRenamed("value", "length")

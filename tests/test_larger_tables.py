@@ -44,3 +44,19 @@ def test_distance_by_strips(spark, monkeypatch, strip):
     got = {(r.x, r.y): r.distance for r in out.collect()}
     assert len(got) == 199
     assert all(math.isclose(d, min(math.hypot(x - a, y - b) for a, b in sources), abs_tol=1e-12) for (x, y), d in got.items())
+
+
+def test_tiles_travel_packed(spark):
+    """A slope down a winding way over many tiles: a row a tile, whatever its cells, and the whole way's length and flow."""
+    way = [(x if y % 4 == 1 else 6 - x, y) for y in (1, 3, 5, 7, 9) for x in range(1, 6)]
+    way = [p for k, p in enumerate(way) for p in ([p, (p[0], p[1] + 1)] if k % 5 == 4 and k < 24 else [p])]
+    z = {p: 100.0 - k for k, p in enumerate(way)}
+    cells = spark.createDataFrame([(x, y, z.get((x, y))) for x in range(7) for y in range(11)], "x int, y int, z double")
+    assert spread._tiles(cells, ["z"], 4).count() == 6
+    got = {(r.x, r.y): r.length for r in spread.flow_length(cells, GridSpec(7, 11), value="z", tile=4).collect()}
+    want = dict.fromkeys(way, 0.0)
+    for p in way:
+        for q in way:
+            if max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 and z[q] < z[p]:
+                want[q] = max(want[q], want[p] + math.dist(p, q))
+    assert len(got) == 77 and all(got[p] is None if p not in want else math.isclose(got[p], want[p], abs_tol=1e-9) for p in got)
