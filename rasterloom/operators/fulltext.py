@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +33,32 @@ class MatchError(ValueError):
 def indexed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """term, key and places (ascending, from 0) of every term of every document, stored in ranges of term and key.
 
-    key names a row, as a primary key does; rows of a null key, and null and empty texts, have no entries.
+    key names a row, as a primary key does; rows of a null key, and null and empty texts, have no entries. A document's
+    entries are found in its own row, so what is shuffled is the entries, once, into their ranges.
     """
-    words = F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0))
-    each = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(words).alias("place", "term"))
-    rows = each.groupBy("key", F.translate("term", UPPER, LOWER).alias("term")).agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return stored(rows.repartitionByRange("term", "key").sortWithinPartitions("term", "key").select("term", "key", "places"))
+    kind = docs.schema[key].dataType.simpleString()
+    words = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+    each = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("words"))
+
+    def gather(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            if not len(flat):
+                continue
+            coded = flat.dictionary_encode()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # Entries are runs of one term and document; rows of one term lie together and are packed well.
+            term = coded.indices.to_numpy()
+            order = np.lexsort((doc, term))
+            term, doc, place = term[order], doc[order], place[order].astype(np.int32)
+            entry = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+            places = pa.ListArray.from_arrays(pa.array(np.append(entry, len(term)), pa.int32()), pa.array(place))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[entry])), batch.column("key").take(pa.array(doc[entry])), places], ["term", "key", "places"])
+
+    rows = each.mapInArrow(gather, f"term string, key {kind}, places array<int>")
+    return stored(rows.repartitionByRange("term", "key").sortWithinPartitions("term", "key"))
 
 
 def terms(text: str) -> list[str]:

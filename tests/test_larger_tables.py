@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from rasterloom.operators import spread
+from rasterloom.operators import fulltext, spread
 from rasterloom.plans.registry import ORACLE_SQL, QUERIES
 from rasterloom.plans.sql import run_sql
 from rasterloom.sources.grids import GridSpec
@@ -60,3 +60,13 @@ def test_tiles_travel_packed(spark):
             if max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 and z[q] < z[p]:
                 want[q] = max(want[q], want[p] + math.dist(p, q))
     assert len(got) == 77 and all(got[p] is None if p not in want else math.isclose(got[p], want[p], abs_tol=1e-9) for p in got)
+
+
+def test_index_is_shuffled_once(spark, monkeypatch):
+    """Only the deal into ranges moves entries: a document's are put together in its own row."""
+    plans = []
+    monkeypatch.setattr(fulltext, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    docs = spark.createDataFrame([(1, "a b A"), (2, None), (None, "a"), (3, "b-b")], "id long, text string")
+    got = sorted(map(tuple, fulltext.indexed(docs, "id", "text").collect()))
+    assert got == [("a", 1, [0, 2]), ("b", 1, [1]), ("b", 3, [0, 1])]
+    assert plans[0].split("== Physical Plan ==")[1].count("Exchange ") == 1
