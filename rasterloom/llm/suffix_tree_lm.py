@@ -327,13 +327,14 @@ def _answered(asked: DataFrame, least: int) -> DataFrame:
     return written(asked.groupBy("depth", "kind", "bucket").applyInArrow(add, _ANSWERED))
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, tree: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text; log10 probabilities.
 
     Learns from texts whose crc32(doc_id as text) mod 10 is not 0. Null and empty texts are one end token.
     Rows of a null doc_id are scored but neither held out nor learned from; a repeated row counts again.
     A text of any length is read whole, but must fit in a task's memory. Without training texts both scores
     are 0. An empty table gives no rows; other columns are ignored, whatever their names.
+    Without tree no contexts are counted, and score is that of the symbols apart from any; the other columns don't depend on it.
     """
     spark = docs.sparkSession
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -347,7 +348,8 @@ def scored(docs: DataFrame) -> DataFrame:
     answers = _answered(_asked_words(coded, buckets), least)
     types, symbols, often = answers.agg(total("types"), total("symbols"), total("often")).first()
     totals = Totals(words + ends, types + (1 if ends else 0), ends, often, symbols, least)
-    for turn in range(1, DEPTH + 2):
+    turns = DEPTH + 2 if tree else 0
+    for turn in range(1, turns):
         answers = answers.union(_answered(_asked(coded, answers, turn, totals, buckets), least))
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -356,7 +358,7 @@ def scored(docs: DataFrame) -> DataFrame:
             have = _told(told)
             s = Sequences.of(row, have, totals, buckets)
             p = s.root[s.symbols[s.places]]
-            for _ in s.levels(p, have, DEPTH + 2, buckets):
+            for _ in s.levels(p, have, turns, buckets):
                 pass
             known, base, own = s.apart()
             logs = np.bincount(s.text, np.log10(p), minlength=len(s.lengths)) + own
@@ -377,8 +379,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of query() that SQL can state: all but the tree's score."""
-    return query(spark, sf_dir).withColumn("base_score", F.round("base_score", 5) + F.lit(0.0)).drop("score")
+    """The part of query() that SQL can state: all but the tree's score, so without a tree."""
+    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), tree=False).withColumn("base_score", F.round("base_score", 5) + F.lit(0.0)).drop("score")
 
 
 #: The long expression is crc32 of the decimal doc_id, bit by bit.

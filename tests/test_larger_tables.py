@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from rasterloom.llm import suffix_tree_lm
 from rasterloom.operators import fulltext, spread
 from rasterloom.plans.registry import ORACLE_SQL, QUERIES
 from rasterloom.plans.sql import run_sql
@@ -70,3 +71,14 @@ def test_index_is_shuffled_once(spark, monkeypatch):
     got = sorted(map(tuple, fulltext.indexed(docs, "id", "text").collect()))
     assert got == [("a", 1, [0, 2]), ("b", 1, [1]), ("b", 3, [0, 1])]
     assert plans[0].split("== Physical Plan ==")[1].count("Exchange ") == 1
+
+
+def test_base_scores_need_no_tree(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(["the"] * 30 + [f"w{k % 5}"]) if k else None) for k in range(40)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    base = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    want = {tuple(r[c] for c in base): r.base_score for r in suffix_tree_lm.scored(docs).collect()}
+    # Pairs of contexts and symbols are what grows; none may be asked for.
+    monkeypatch.setattr(suffix_tree_lm, "_asked", None)
+    got = {tuple(r[c] for c in base): r.base_score for r in suffix_tree_lm.base_query(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], v, abs_tol=1e-5) for k, v in want.items())
