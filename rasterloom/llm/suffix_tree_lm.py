@@ -9,11 +9,17 @@ with the corpus. It stays a table dealt by hash: it is never gathered.
 
 Word counts are exact over all training texts: blocks send their distinct words dealt by hash, and the
 totals return to the blocks that asked, as arrays in the order that they asked in. Blocks are coded once, as
-numbers of their own distinct words, and stored in the partitions that each turn reads them by, so texts and
-codes are shuffled no more than once. The tree grows by depth in the same way as words are counted. In each turn blocks send, packed by bucket, the distinct pairs of context and next symbol of one
+numbers of their own distinct words, and stored in the partitions that each turn reads them by; answers are
+stored in the same partitions, so texts, codes and answers are each shuffled once. The tree grows by depth in
+the same way as words are counted. In each turn blocks send, packed by bucket, the distinct pairs of context and next symbol of one
 more depth, of contexts only that are met often enough, as the turn before told; and of the depth before, each
-context's sums of what the test of divergence adds up, which are sums over places and need no pair to travel
-again. A pair's count and a kept context's count are all that returns.
+context's sums of what the test of divergence adds up, which need no pair to travel again. A pair's count,
+and whether a context is kept, are all that returns.
+
+Buckets number their frequent words, and their pairs that may be contexts, from the most frequent on. A pair
+is the number of its context and that of its next symbol, and pairs are dealt by context, so a block sends
+them as lists in small steps, whose size doesn't depend on how many blocks and buckets there are. A context of
+very many places is dealt to several buckets by the next symbol.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import LOWER, TASK_BYTES, dealt, in_blocks, mixed, scratch_dir, shares, span_hashes, text_buffer, word_bounds, written
+from rasterloom.llm.common import LOWER, TASK_BYTES, dealt, in_blocks, mixed, scratch_dir, shares, span_hashes, text_buffer, word_bounds
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
@@ -36,9 +42,11 @@ LEAST = 20  #: see least_count()
 DEPTH = 3
 SMOOTHING = 20.0  #: weight of the shorter context, in tokens
 RARE, END, START, FIRST = 0, 1, 2, 3  #: symbols of a block; its frequent words follow
-FIXED = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], np.uint64)  #: hashes that stand for those three
 FOLDS = 10  #: texts with crc32(doc_id as text) mod 10 = 0 are held out
 PRIOR = 0.1
+SPLIT = 1 << 20  #: places of a context that one bucket takes, about
+STEP_BITS = 40  #: of a context's number within its bucket
+UNITS = 1 << 24  #: to a nat; sums of whole units don't depend on the order of blocks
 
 
 def least_count(tokens: int) -> int:
@@ -69,7 +77,7 @@ class Words:
 
 @dataclass
 class Totals:
-    """Counts over all training texts: tokens, distinct tokens, texts (ends); occurrences and number of the frequent words; the least count of these."""
+    """Counts over all training texts: tokens, distinct tokens, texts (ends); occurrences and number of the frequent words; the least count of these. split: places of a context for each bucket."""
 
     tokens: int
     types: int
@@ -77,6 +85,7 @@ class Totals:
     often: int
     symbols: int
     least: int
+    split: int = SPLIT
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """Probability of a word of so many occurrences, apart from any context."""
@@ -99,7 +108,8 @@ class Sequences:
     places: np.ndarray
     text: np.ndarray  # of each place
     learned: np.ndarray  # of each place
-    hashes: np.ndarray  # of each symbol
+    ids: np.ndarray  # of each symbol, ascending: its number among all blocks' symbols
+    often: np.ndarray  # of each symbol, its count in training
     root: np.ndarray  # probability of each symbol apart from any context
 
     @classmethod
@@ -107,8 +117,12 @@ class Sequences:
         learned, distinct = np.frombuffer(row["learned"], bool), np.frombuffer(row["hashes"], np.uint64)
         n = _unpacked(row["lengths"], len(learned))
         words = _unpacked(row["words"], int(n.sum()))
-        counts = _answer(told, (0, WORDS), distinct, buckets)
+        counts, ids = np.zeros((2, len(distinct)), np.int64)
+        for b, at, _ in _split(WORDS, distinct, buckets):
+            counts[at], rank = _unbundled(told[0, WORDS][b])
+            ids[at[counts[at] >= totals.least]] = FIRST + rank * buckets + b
         high = np.flatnonzero(counts >= totals.least)
+        high = high[np.argsort(ids[high])]
         number = np.full(len(distinct), RARE)
         number[high] = FIRST + np.arange(len(high))
         root = np.concatenate([[totals.rare(), float(totals.base(np.array(totals.ends))), 0.0], totals.base(counts[high])])
@@ -122,7 +136,7 @@ class Sequences:
         out[begin[1:] - 1] = END
         owner = np.repeat(np.arange(len(n)), n + 1)
         places = begin[:-1][owner] + DEPTH + np.arange(len(owner)) - (first + np.arange(len(n)))[owner]
-        return cls(n, words, counts, totals, out, places, owner, learned[owner], np.concatenate([FIXED, distinct[high]]), root)
+        return cls(n, words, counts, totals, out, places, owner, learned[owner], np.concatenate([[RARE, END, START], ids[high]]), np.concatenate([[0, totals.ends, totals.ends], counts[high]]), root)
 
     def apart(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What is known of each text without contexts: its known tokens, its base score, and its rare words' parts of the rare symbol's probability, whatever the context."""
@@ -138,8 +152,8 @@ class Sequences:
 
         A turn knows the counts of pairs for depths below its number, and the kept contexts of depths below the one before.
         """
-        at, last, wide = np.arange(len(self.places)), self.symbols[self.places], len(self.hashes)
-        known, own, often = self.hashes, None, None
+        at, last, wide = np.arange(len(self.places)), self.symbols[self.places], len(self.ids)
+        ids, often, own = self.ids, self.often, None
         for d in range(1, min(turn, DEPTH) + 1):
             ok = self.symbols[self.places[at] - d] != RARE
             if d == 1:
@@ -147,38 +161,86 @@ class Sequences:
             else:
                 # A context is the pair one place before, and occurs as often.
                 context = own[at - 1]
-                ok &= (context >= 0) & often[context]
+                ok &= (context >= 0) & (often[context] >= self.totals.least)
             at, context = at[ok], context[ok]
             distinct, pair = np.unique(context * wide + last[at], return_inverse=True)
-            pairs = mixed(mixed(known[distinct // wide] * np.uint64(0x9E3779B97F4A7C15)) ^ self.hashes[distinct % wide])
-            used = np.bincount(context, minlength=len(known)) > 0
-            level = Level(d, at, (np.cumsum(used) - 1)[context], known[used], pair, pairs, None)
+            used = np.bincount(context, minlength=len(ids)) > 0
+            number = np.cumsum(used) - 1
+            level = Level(d, at, number[context], ids[used], often[used], pair, number[distinct // wide], self.ids[distinct % wide])
             if d < turn:
-                level.counts = _answer(told, (d, PAIRS), pairs, buckets)
+                level.hear(told.get((d, PAIRS), {}), self.totals, buckets)
             yield level
             if d >= turn:
                 return
             if d < turn - 1:
-                total = _answer(told, (d, CONTEXTS), level.contexts, buckets)[level.context]
-                kept = total > 0
-                here, total = at[kept], total[kept]
-                p[here] = (level.counts[pair[kept]] + SMOOTHING * p[here]) / (total + SMOOTHING)
-            known, often = pairs, level.counts >= self.totals.least
+                kept = level.kept(told.get((d, CONTEXTS), {}), buckets)[level.context]
+                here = at[kept]
+                p[here] = (level.counts[pair[kept]] + SMOOTHING * p[here]) / (level.often[level.context[kept]] + SMOOTHING)
+            ids, often = level.own, level.counts
             own = np.full(len(self.places), -1)
             own[at] = pair
 
 
 @dataclass
 class Level:
-    """A block's places whose context has so many symbols and may be kept: numbers of the places, of their contexts and of their pairs with the next symbol; hashes of both; the pairs' counts in training, once known."""
+    """A block's places whose context has so many symbols and may be kept: numbers of the places, of their contexts and of their pairs with the next symbol. Of contexts and of next symbols, their numbers among all blocks' ones.
+
+    Of pairs, once known: counts in training, numbers as contexts of those that may be some, and whether this block is the one that counts the pair as a distinct one.
+    """
 
     depth: int
     at: np.ndarray
     context: np.ndarray
-    contexts: np.ndarray
+    ids: np.ndarray  # of each context
+    often: np.ndarray  # of each context, its count in training
     pair: np.ndarray
-    pairs: np.ndarray
-    counts: np.ndarray | None
+    of: np.ndarray  # context of each pair
+    nexts: np.ndarray  # next symbol of each pair
+    counts: np.ndarray | None = None
+    own: np.ndarray | None = None
+    first: np.ndarray | None = None
+
+    def pairs_dealt(self, totals: Totals, buckets: int):
+        """Each bucket, the pairs that go there, in order, and their keys: contexts in steps, the number of pairs of each, their next symbols in steps."""
+        rank, bucket, shift = self.ids // buckets, self.ids % buckets, 0
+        parts = 1 + np.maximum(self.often - 1, 0) // totals.split
+        if (parts > 1).any():
+            # All blocks know the same count of a context, so they deal it alike.
+            shift = (mixed(self.nexts.astype(np.uint64)) % parts[self.of].astype(np.uint64)).astype(np.int64) % buckets
+        bucket, key = (bucket[self.of] + shift) % buckets, (shift << STEP_BITS) + rank[self.of]
+        order = np.lexsort((key, bucket))  # stable; pairs of a context ascend already
+        bucket, key, nexts = bucket[order], key[order], self.nexts[order]
+        begins = np.ones(len(order), bool)
+        begins[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+        steps = nexts.copy()
+        steps[1:] -= np.where(begins[1:], 0, nexts[:-1])
+        for b, lo, hi in _runs(bucket):
+            starts = np.flatnonzero(begins[lo:hi])
+            yield b, order[lo:hi], (np.diff(key[lo:hi][starts], prepend=0), np.diff(starts, append=hi - lo), steps[lo:hi])
+
+    def contexts_dealt(self, buckets: int):
+        """Each bucket, the contexts that go there, in order, and their keys in steps."""
+        rank, bucket = self.ids // buckets, self.ids % buckets
+        order = np.lexsort((rank, bucket))
+        for b, lo, hi in _runs(bucket[order]):
+            yield b, order[lo:hi], np.diff(rank[order[lo:hi]], prepend=0)
+
+    def hear(self, told: dict[int, bytes], totals: Totals, buckets: int) -> None:
+        """Takes on what the buckets say of the pairs."""
+        self.counts, self.own = np.zeros((2, len(self.of)), np.int64)
+        self.first = np.zeros(len(self.of), bool)
+        for b, at, _ in self.pairs_dealt(totals, buckets):
+            n, rank = _unbundled(told[b])
+            self.counts[at], self.first[at] = n >> 1, n & 1
+            if self.depth < DEPTH:
+                self.own[at[n >> 1 >= totals.least]] = rank * buckets + b
+
+    def kept(self, told: dict[int, bytes], buckets: int) -> np.ndarray:
+        """Which contexts the buckets keep."""
+        out = np.zeros(len(self.ids), bool)
+        for b, at, _ in self.contexts_dealt(buckets):
+            out[at] = _unbundled(told[b])[0]
+        return out
 
 
 WORDS, PAIRS, CONTEXTS = 0, 1, 2
@@ -199,6 +261,32 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view(np.int64)
 
 
+def _bundled(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers of at least 0, compressed: byte by byte of all numbers, so that high bytes, mostly 0, take little."""
+    widths = [max(1, (int(x.max(initial=0)).bit_length() + 7) // 8) for x in arrays]
+    planes = [np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for x, w in zip(arrays, widths, strict=True)]
+    data = b"".join([bytes([len(arrays), *widths]), np.array([len(x) for x in arrays], np.uint32).tobytes(), *planes])
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unbundled(bundle: bytes) -> list[np.ndarray]:
+    data = pa.decompress(bundle[4:], int.from_bytes(bundle[:4], "little"), codec="zstd", asbytes=True)
+    k = data[0]
+    at, out = 1 + 5 * k, []
+    for width, n in zip(data[1 : 1 + k], np.frombuffer(data, np.uint32, k, 1 + k).tolist(), strict=True):
+        numbers = np.zeros((n, 8), np.uint8)
+        numbers[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        out.append(numbers.reshape(-1).view(np.int64))
+        at += n * width
+    return out
+
+
+def _runs(ordered: np.ndarray):
+    """Each value of an ascending array, the first place that has it and the one after the last."""
+    own, cuts = np.unique(ordered, return_index=True)
+    yield from zip(own.tolist(), cuts.tolist(), [*cuts.tolist(), len(ordered)][1:], strict=True)
+
+
 def _split(kind: int, hashes: np.ndarray, buckets: int):
     """Each bucket of some hashes, the places that have it, and their keys: those of pairs ascend and are packed as steps."""
     bucket = mixed(hashes) % np.uint64(buckets)
@@ -214,18 +302,22 @@ def _split(kind: int, hashes: np.ndarray, buckets: int):
         yield b, at, _packed(np.diff(key[at], prepend=np.uint64(0)))
 
 
-def _answer(told: dict[tuple[int, int], dict[int, bytes]], what: tuple[int, int], hashes: np.ndarray, buckets: int) -> np.ndarray:
-    out = np.zeros(len(hashes), np.int64)
-    for b, at, _ in _split(what[1], hashes, buckets):
-        out[at] = _unpacked(told[what][b], len(at))
-    return out
+_CODED = "block long, doc_ids array<{key}>, held_out array<boolean>, learned binary, lengths binary, words binary, hashes binary, tokens long, ends long"
 
 
-_CODED = "block long, doc_ids array<{key}>, held_out array<boolean>, learned binary, lengths binary, words binary, hashes binary, tokens long, ends long"
+def _parts(spark: SparkSession, size: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+
 
+def _by_block(df: DataFrame, parts: int, name: str) -> DataFrame:
+    """The table of that name with df's rows added, in partitions by block, so that no turn shuffles it again."""
+    spark = df.sparkSession
+    df.write.mode("append").bucketBy(parts, "block").option("path", f"{scratch_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
 
-def _coded(blocked: DataFrame, key: str, size: int) -> DataFrame:
-    """A row a block: its texts as numbers of its distinct words. Stored in partitions by block, so that no turn shuffles it again."""
+
+def _coded(blocked: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """A row a block: its texts as numbers of its distinct words."""
 
     def code(table: pa.Table) -> pa.Table:
         w = Words.of(table)
@@ -235,24 +327,18 @@ def _coded(blocked: DataFrame, key: str, size: int) -> DataFrame:
         kinds = [pa.int64(), pa.list_(table.schema.field("doc_id").type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in _CODED.split(", ")])
 
-    spark, name = blocked.sparkSession, f"coded_{uuid.uuid4().hex}"
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
-    coded = blocked.groupBy("block").applyInArrow(code, _CODED.format(key=key))
-    coded.write.bucketBy(parts, "block").option("path", f"{scratch_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}").saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the catalogue forgets the name, the files stay
-    return out
+    return _by_block(blocked.groupBy("block").applyInArrow(code, _CODED.format(key=key)), parts, name)
 
 
 def _told(table: pa.Table) -> dict[tuple[int, int], dict[int, bytes]]:
     out: dict[tuple[int, int], dict[int, bytes]] = {}
-    for depth, kind, bucket, counts in zip(*(table.column(c).to_pylist() for c in ("depth", "kind", "bucket", "counts")), strict=True):
-        out.setdefault((depth, kind), {})[bucket] = counts
+    for depth, kind, bucket, data in zip(*(table.column(c).to_pylist() for c in ("depth", "kind", "bucket", "data")), strict=True):
+        out.setdefault((depth, kind), {})[bucket] = data
     return out
 
 
-_ASKED = "depth int, kind int, bucket long, block long, n int, keys binary, counts binary, sums binary"
-_ANSWERED = "depth int, kind int, bucket long, block long, counts binary, types long, symbols long, often long"
+_ASKED = "depth int, kind int, bucket long, block long, data binary"
+_ANSWERED = "depth int, kind int, bucket long, block long, data binary, types long, symbols long, often long"
 
 
 def _asked_words(coded: DataFrame, buckets: int) -> DataFrame:
@@ -265,14 +351,15 @@ def _asked_words(coded: DataFrame, buckets: int) -> DataFrame:
                 learned, hashes = np.frombuffer(row["learned"], bool), np.frombuffer(row["hashes"], np.uint64)
                 lengths = _unpacked(row["lengths"], len(learned))
                 n = np.bincount(_unpacked(row["words"], int(lengths.sum())), np.repeat(learned, lengths), minlength=len(hashes)).astype(np.int64)
-                rows += [(0, WORDS, b, row["block"], len(at), keys, _packed(n[at]), None) for b, at, keys in _split(WORDS, hashes, buckets)]
+                # A block's distinct words ascend.
+                rows += [(0, WORDS, b, row["block"], _bundled(np.diff(hashes[at], prepend=np.uint64(0)), n[at])) for b, at, _ in _split(WORDS, hashes, buckets)]
             yield from _arrow(rows, _ASKED).to_batches()
 
     return coded.select("block", "learned", "lengths", "words", "hashes").mapInArrow(ask, _ASKED)
 
 
 def _asked(coded: DataFrame, answers: DataFrame, turn: int, totals: Totals, buckets: int) -> DataFrame:
-    """A row for each block, bucket and kind: distinct pairs of depth `turn` with their counts in the block's training texts, and contexts of the depth before with their counts and sums of log(count / probability) and of 1 / count over places."""
+    """A row for each block, bucket and kind: distinct pairs of depth `turn` with their counts in the block's training texts, and contexts of the depth before with their counts, sums of log(count / probability) over places, and how many of their pairs the block counts as distinct."""
 
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
@@ -283,12 +370,14 @@ def _asked(coded: DataFrame, answers: DataFrame, turn: int, totals: Totals, buck
             for level in s.levels(p, have, turn, buckets):
                 learned = s.learned[level.at]
                 if level.depth == turn:
-                    n = np.bincount(level.pair, learned, minlength=len(level.pairs)).astype(np.int64)
-                    rows += [(turn, PAIRS, b, row["block"], len(at), keys, _packed(n[at]), None) for b, at, keys in _split(PAIRS, level.pairs, buckets)]
+                    n = np.bincount(level.pair, learned, minlength=len(level.of)).astype(np.int64)
+                    rows += [(turn, PAIRS, b, row["block"], _bundled(*keys, n[at])) for b, at, keys in level.pairs_dealt(totals, buckets)]
                 elif level.depth == turn - 1:
                     context, n = level.context[learned], level.counts[level.pair[learned]]
-                    sums = [np.bincount(context, x, minlength=len(level.contexts)) for x in (np.ones(len(n)), np.log(n / p[level.at[learned]]), 1 / n)]
-                    rows += [(turn - 1, CONTEXTS, b, row["block"], len(at), keys, _packed(sums[0][at].astype(np.int64)), np.concatenate([sums[1][at], sums[2][at]]).tobytes()) for b, at, keys in _split(CONTEXTS, level.contexts, buckets)]
+                    wide = len(level.ids)
+                    gain = np.bincount(context, np.rint(UNITS * np.log(n / p[level.at[learned]])), minlength=wide).astype(np.int64)
+                    met, kinds = np.bincount(context, minlength=wide), np.bincount(level.of[level.first & (level.counts > 0)], minlength=wide)
+                    rows += [(turn - 1, CONTEXTS, b, row["block"], _bundled(keys, met[at], gain[at], kinds[at])) for b, at, keys in level.contexts_dealt(buckets)]
         return _arrow(rows, _ASKED)
 
     return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, _ASKED)
@@ -301,30 +390,51 @@ def _arrow(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _answered(asked: DataFrame, least: int) -> DataFrame:
-    """For each row asked its pairs' counts over all blocks, or its contexts' counts, 0 for those that are not kept."""
+def _answered(asked: DataFrame, least: int, parts: int, name: str) -> DataFrame:
+    """The table of answers with one more: for each row asked its words' or pairs' counts over all blocks, with the numbers of frequent ones, or which of its contexts are kept."""
 
     def add(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        keys = [np.frombuffer(x, np.uint64) if kind != PAIRS else np.cumsum(_unpacked(x, n), dtype=np.int64).view(np.uint64) for x, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        cuts = np.cumsum([0, *map(len, keys)])
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys, strict=True)])).astype(np.int64)
+        kind, depth = table.column("kind")[0].as_py(), table.column("depth")[0].as_py()
+        asked = [_unbundled(x) for x in table.column("data").to_pylist()]
+        keys, counts = [np.cumsum(x[0]) for x in asked], [x[3 if kind == PAIRS else 1] for x in asked]
+        sums = [np.concatenate([x[j] for x in asked]) for j in (2, 3)] if kind == CONTEXTS else []
+        if kind == PAIRS:
+            context, nexts = np.unique(np.concatenate(keys), return_inverse=True)[1], []
+            each = np.concatenate([x[1] for x in asked])
+            for _, n, steps, _ in asked:
+                # Steps begin anew with each context.
+                at = np.cumsum(steps)
+                starts = np.cumsum(n) - n
+                nexts.append(at - np.repeat(at[starts] - steps[starts], n))
+            nexts = np.concatenate(nexts)
+            keys = np.repeat(context, each) * (int(nexts.max(initial=0)) + 1) + nexts
+        else:
+            keys = np.concatenate(keys)
+        cuts = np.cumsum([0, *map(len, counts)])
+        del asked
+        _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+        high = total >= least
+        columns = list(zip(*(table.column(c).to_pylist() for c in ("depth", "kind", "bucket", "block")), cuts[:-1], cuts[1:], strict=True))
         if kind == CONTEXTS:
-            sums = [np.frombuffer(x, np.float64).reshape(2, -1) for x in table.column("sums").to_pylist()]
-            gain, k = (np.bincount(inverse, np.concatenate([x[j] for x in sums])) for j in (0, 1))
-            k = np.rint(k)
+            gain, k = np.bincount(inverse, sums[0]) / UNITS, np.bincount(inverse, sums[1])
             # Twice count times divergence is about chi-squared with the number of next symbols for its degrees of freedom.
-            kept = (total >= least) & (2 * (gain - total * np.log(np.maximum(total, 1))) >= k + 4 * np.sqrt(2 * k))
-            total = np.where(kept, total, 0)
-        back, high = total[inverse], total >= least
-        columns = zip(*(table.column(c).to_pylist() for c in ("depth", "kind", "bucket", "block")), cuts[:-1], cuts[1:], strict=True)
-        rows = [(*names, _packed(back[lo:hi]), None, None, None) for *names, lo, hi in columns]
+            kept = high & (2 * (gain - total * np.log(np.maximum(total, 1))) >= k + 4 * np.sqrt(2 * k))
+            back = kept[inverse].astype(np.int64)
+            return _arrow([(*names, _bundled(back[lo:hi]), None, None, None) for *names, lo, hi in columns], _ANSWERED)
+        rank = np.zeros(len(total), np.int64)
+        rank[np.flatnonzero(high)[np.argsort(-total[high], kind="stable")]] = np.arange(high.sum())
+        back, ranks, often = total[inverse], rank[inverse], high[inverse]
+        if kind == PAIRS:
+            back *= 2
+            back[index] += 1
+            often &= depth < DEPTH
+        rows = [(*names, _bundled(back[lo:hi], ranks[lo:hi][often[lo:hi]]), None, None, None) for *names, lo, hi in columns]
         if kind == WORDS:
             rows[0] = (*rows[0][:5], int((total > 0).sum()), int(high.sum()), int(total[high].sum()))
         return _arrow(rows, _ANSWERED)
 
-    return written(asked.groupBy("depth", "kind", "bucket").applyInArrow(add, _ANSWERED))
+    return _by_block(asked.groupBy("depth", "kind", "bucket").applyInArrow(add, _ANSWERED).repartition(parts, "block"), parts, name)
 
 
 def scored(docs: DataFrame, tree: bool = True) -> DataFrame:
@@ -341,16 +451,22 @@ def scored(docs: DataFrame, tree: bool = True) -> DataFrame:
     blocked, _, size = in_blocks(docs, BLOCK_BYTES)
     buckets = max(1, math.ceil(size / 4 / BUCKET_BYTES))
     blocked = dealt(blocked, "block", size)
-    coded = _coded(blocked, key, size)
-    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
-    words, ends = coded.agg(total("tokens"), total("ends")).first()
-    least = least_count(words + ends)
-    answers = _answered(_asked_words(coded, buckets), least)
-    types, symbols, often = answers.agg(total("types"), total("symbols"), total("often")).first()
-    totals = Totals(words + ends, types + (1 if ends else 0), ends, often, symbols, least)
-    turns = DEPTH + 2 if tree else 0
-    for turn in range(1, turns):
-        answers = answers.union(_answered(_asked(coded, answers, turn, totals, buckets), least))
+    parts = _parts(spark, size)
+    coded_name, name = (f"{x}_{uuid.uuid4().hex}" for x in ("coded", "answers"))
+    try:
+        coded = _coded(blocked, key, parts, coded_name)
+        total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+        words, ends = coded.agg(total("tokens"), total("ends")).first()
+        least = least_count(words + ends)
+        answers = _answered(_asked_words(coded, buckets), least, parts, name)
+        types, symbols, often = answers.agg(total("types"), total("symbols"), total("often")).first()
+        totals = Totals(words + ends, types + (1 if ends else 0), ends, often, symbols, least, SPLIT)
+        turns = DEPTH + 2 if tree else 0
+        for turn in range(1, turns):
+            answers = _answered(_asked(coded, answers, turn, totals, buckets), least, parts, name)
+    finally:
+        for x in (coded_name, name):  # the catalogue forgets the names, the files stay
+            spark.sql(f"DROP TABLE IF EXISTS {x}")
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(6)]

@@ -260,3 +260,43 @@ def test_packed_numbers_and_keys():
             assert all(whole[h] == b for h in hashes[at].tolist())
             if kind == lm.PAIRS:
                 assert (np.cumsum(lm._unpacked(keys, len(at))).view(np.uint64) == hashes[at] >> np.uint64(64 - lm.KEY_BITS)).all()
+
+
+def test_pairs_travel_in_few_bytes(spark, monkeypatch):
+    """A pair takes some bytes less than its hash did, and no answer is shuffled a second time."""
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 60, 200))) for k in range(30)]
+    sent, answered = {}, lm._answered
+
+    def seen(asked, *more):
+        for r in asked.where("depth > 0").collect():
+            sent[r.depth, r.kind] = sent.get((r.depth, r.kind), 0) + sum(len(x) for x in r if isinstance(x, bytearray))
+        return answered(asked, *more)
+
+    monkeypatch.setattr(lm, "_answered", seen)
+    scores = lm.scored(documents(spark, rows))
+    pairs = {p for _, t in rows for p in zip(["start", *t.split()], [*t.split(), "end"], strict=True)}
+    assert sent[1, lm.PAIRS] < 3 * len(pairs)
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contexts_in_several_buckets(spark, monkeypatch):
+    """Contexts of many places are dealt to several buckets by their next symbol, with the same scores."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(["the", *(f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 40)) ** 2 // 8)])) for k in range(90)]
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 400)
+    plain, split = [], []
+    for places, out in ((lm.SPLIT, plain), (25, split)):
+        monkeypatch.setattr(lm, "SPLIT", places)
+        out += sorted(map(tuple, lm.scored(documents(spark, rows)).collect()))
+    assert len(plain) == 90 and all(a[:-1] == b[:-1] and math.isclose(a[-1], b[-1], rel_tol=1e-12) for a, b in zip(plain, split, strict=True))
+    want, _ = tree_scores(rows, lm.LEAST)
+    assert all(math.isclose(r[-1], want[r[0]], rel_tol=1e-9) for r in split)
+
+
+def test_bundles():
+    rng = np.random.default_rng(5)
+    for arrays in ([np.zeros(0, np.int64)], [rng.integers(0, 1 << k, k) for k in range(1, 63)], [np.diff(np.sort(rng.integers(0, 1 << 63, 9).astype(np.uint64) * np.uint64(2)), prepend=np.uint64(0)), np.arange(3)]):
+        back = lm._unbundled(lm._bundled(*arrays))
+        assert all((x.astype(np.uint64) == y.astype(np.uint64)).all() and len(x) == len(y) for x, y in zip(arrays, back, strict=True))
