@@ -202,21 +202,35 @@ class Level:
 
     def pairs_dealt(self, totals: Totals, buckets: int):
         """Each bucket, the pairs that go there, in order, and their keys: contexts in steps, the number of pairs of each, their next symbols in steps."""
-        rank, bucket, shift = self.ids // buckets, self.ids % buckets, 0
+        rank, bucket, key = self.ids // buckets, self.ids % buckets, self.ids // buckets
+        # Pairs of a context stand together and ascend, so contexts are sorted, not pairs.
+        sizes, order = np.bincount(self.of, minlength=len(self.ids)), np.arange(len(self.of))
+        begins = np.cumsum(sizes) - sizes
         parts = 1 + np.maximum(self.often - 1, 0) // totals.split
         if (parts > 1).any():
             # All blocks know the same count of a context, so they deal it alike.
-            shift = (mixed(self.nexts.astype(np.uint64)) % parts[self.of].astype(np.uint64)).astype(np.int64) % buckets
-        bucket, key = (bucket[self.of] + shift) % buckets, (shift << STEP_BITS) + rank[self.of]
-        order = np.lexsort((key, bucket))  # stable; pairs of a context ascend already
-        bucket, key, nexts = bucket[order], key[order], self.nexts[order]
-        begins = np.ones(len(order), bool)
-        begins[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
-        steps = nexts.copy()
-        steps[1:] -= np.where(begins[1:], 0, nexts[:-1])
+            whole, many = np.flatnonzero(parts == 1), np.flatnonzero((parts > 1)[self.of])
+            shift = (mixed(self.nexts[many].astype(np.uint64)) % parts[self.of[many]].astype(np.uint64)).astype(np.int64) % buckets
+            by = np.lexsort((shift, self.of[many]))
+            many, shift, of = many[by], shift[by], self.of[many[by]]
+            cuts = np.flatnonzero(np.diff(of, prepend=-1) | np.diff(shift, prepend=-1))
+            shift, of = shift[cuts], of[cuts]
+            begins = np.concatenate([begins[whole], len(order) + cuts])
+            sizes = np.concatenate([sizes[whole], np.diff(cuts, append=len(many))])
+            key = np.concatenate([rank[whole], (shift << STEP_BITS) + rank[of]])
+            bucket = np.concatenate([bucket[whole], (bucket[of] + shift) % buckets])
+            order = np.concatenate([order, many])
+        by = np.lexsort((key, bucket))
+        bucket, key, begins, sizes = bucket[by], key[by], begins[by], sizes[by]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        order = order[np.repeat(begins - starts, sizes) + np.arange(len(self.of))]
+        nexts = self.nexts[order]
+        steps = np.diff(nexts, prepend=0)
+        steps[starts] = nexts[starts]
         for b, lo, hi in _runs(bucket):
-            starts = np.flatnonzero(begins[lo:hi])
-            yield b, order[lo:hi], (np.diff(key[lo:hi][starts], prepend=0), np.diff(starts, append=hi - lo), steps[lo:hi])
+            places = slice(starts[lo], ends[hi - 1])
+            yield b, order[places], (np.diff(key[lo:hi], prepend=0), sizes[lo:hi], steps[places])
 
     def contexts_dealt(self, buckets: int):
         """Each bucket, the contexts that go there, in order, and their keys in steps."""
