@@ -1,9 +1,9 @@
 """What spreads over a grid: distances, cost distances, flow.
 
 Euclidean distance is exact and takes two passes, over columns by strips and over rows. Cost distance and flow work
-within tiles and pass on what crosses tile borders, round by round, until nothing new crosses; the rounds'
-number is that of the borders a path crosses, not of its cells. A round works on the tiles at which something
-new has arrived, and its result is stored.
+within tiles and pass on what crosses tile borders until nothing new crosses. A task has a group of tiles, and
+the rounds' number is that of the groups' borders a path crosses, not of its cells. A round works on the tiles
+at which something new has arrived, and its result is stored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.sources.grids import GridSpec
-from rasterloom.sources.stored import stored
+from rasterloom.sources.stored import emptied, stored
 
 #: Neighbours as (dx, dy), clockwise from the north-west.
 AROUND = [(-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0)]
@@ -91,17 +91,20 @@ def buffered(distances: DataFrame, indicator: int = 1) -> DataFrame:
 
 #: Rounds whose results are kept apart before they are stored as one table.
 ROUNDS_APART = 16
+#: Cells of the tiles that one task works on till nothing new crosses between them.
+GROUP_CELLS = 1 << 20
 #: What a tile knows of a place of its array: nothing, a cell with a null value, a cell with a value.
 ABSENT, NULL, VALUED = 0, 1, 2
 _TILES = "tx int, ty int, state binary, bands binary"
-_DONE = "fx int, fy int, tx int, ty int, places binary, numbers binary, mark binary, leaving boolean"
+_DONE = "fx int, fy int, tx int, ty int, places binary, numbers binary, mark binary, leaving boolean, fresh boolean"
 
 
 def _latest(rounds: list[DataFrame]) -> DataFrame:
     """Of tables with columns fx, fy (a tile) and round, each tile's rows of its last round."""
     rows = reduce(DataFrame.union, rounds)
     last = rows.groupBy("fx", "fy").agg(F.max("round").alias("round"))
-    return rows.join(last, ["fx", "fy", "round"]) if len(rounds) > 1 else rows
+    # A join puts its keys first; unions go by place.
+    return rows.join(last, ["fx", "fy", "round"]).select(*rows.columns) if len(rounds) > 1 else rows
 
 
 def _tiles(cells: DataFrame, bands: list[str], tile: int) -> DataFrame:
@@ -128,65 +131,100 @@ def _tiles(cells: DataFrame, bands: list[str], tile: int) -> DataFrame:
 _TILES_EMPTY = pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["tx", "ty", "state", "bands"])
 
 
-def _rounds(cells: DataFrame, tile: int, bands: list[str], work, better: np.ufunc, nothing: float) -> DataFrame:
+def _rounds(cells: DataFrame, spec: GridSpec, tile: int, bands: list[str], work, better: np.ufunc, nothing: float) -> DataFrame:
     """x, y and value: runs work over tiles, then again over those whose arrivals have changed, until none has.
 
     A tile travels as arrays with a rim of one cell. work gets a Tile and what has arrived at each of its places
     (`nothing` where nothing has), and returns values of places, NaN for none: those of the rim are what leaves the
-    tile. `better` puts together the arrivals of one cell.
+    tile. `better` puts together the arrivals of one cell. A task has a group of neighbouring tiles and goes on until
+    nothing new crosses between them, so a round takes what has changed across a whole group; a narrow grid's groups are long.
     """
     side = tile + 2
+    most = max(1, GROUP_CELLS // tile**2)
+    across = max(1, min(math.ceil(spec.width / tile), math.isqrt(most)))
+    down = most // across
     placed = stored(_tiles(cells, bands, tile))
-    kinds = [*[pa.int32()] * 4, *[pa.binary()] * 3, pa.bool_()]
+    kinds = [*[pa.int32()] * 4, *[pa.binary()] * 3, *[pa.bool_()] * 2]
     names = [f.split()[0] for f in _DONE.split(", ")]
-
-    def run(table: pa.Table, arrivals: pa.Table) -> pa.Table:
-        rows = []
-        for row in table.to_pylist():
-            t = Tile.of(row, bands, tile)
-            got = np.full(side * side, nothing)
-            for places, numbers in zip(arrivals.column("places").to_pylist(), arrivals.column("numbers").to_pylist(), strict=True):
-                better.at(got, np.frombuffer(places, np.int32), np.frombuffer(numbers))
-            out = work(t, got)
+    none = (None, None, None)
+
+    def group(tx: str, ty: str) -> list[Column]:
+        return [F.floor(F.col(tx) / across).alias("gx"), F.floor(F.col(ty) / down).alias("gy")]
+
+    def first(new: tuple, old: tuple) -> float:
+        """The least number that a message changes, where lower ones come first: tiles run in that order, so that few run again."""
+        if better is not np.minimum:
+            return 0.0
+        numbers = np.frombuffer(new[1])
+        return float((numbers[numbers != np.frombuffer(old[1])] if new[0] == old[0] else numbers).min(initial=INFINITY))
+
+    def run(table: pa.Table, given: pa.Table) -> pa.Table:
+        tiles = {(row["tx"], row["ty"]): Tile.of(row, bands, tile) for row in table.to_pylist()}
+        got, sent, due = {at: {} for at in tiles}, {at: {} for at in tiles}, {}
+        for fx, fy, tx, ty, *message in zip(*(given.column(c).to_pylist() for c in names[:7]), strict=True):
+            if message[0] is None:
+                due |= {(tx, ty): 0} if (tx, ty) in tiles else {}
+                continue
+            if (tx, ty) in tiles:
+                got[tx, ty][fx, fy] = message
+            if (fx, fy) in tiles:
+                sent[fx, fy][tx, ty] = message
+        before, values = {at: dict(to) for at, to in sent.items()}, {}
+        due = dict.fromkeys(sorted(due), -INFINITY)
+        while due:
+            at = min(due, key=due.get)
+            del due[at]
+            t, arrivals = tiles[at], np.full(side * side, nothing)
+            for _, (places, numbers, _) in sorted(got[at].items()):
+                better.at(arrivals, np.frombuffer(places, np.int32), np.frombuffer(numbers))
+            out = work(t, arrivals)
             own = np.flatnonzero(t.own & (t.state != ABSENT)).astype(np.int32)
-            rows.append((t.tx, t.ty, t.tx, t.ty, own.tobytes(), out[own].tobytes(), None, False))
+            values[at] = own.tobytes(), out[own].tobytes()
             gone = np.flatnonzero(~t.own & ~np.isnan(out))
             y, x = np.divmod(gone, side)
             dx, dy = (np.where(v == 0, -1, np.where(v == side - 1, 1, 0)) for v in (x, y))
+            new = {}
             for i, j in AROUND:
                 k = (dx == i) & (dy == j)
                 if k.any():
-                    numbers = out[gone[k]]
-                    there = ((y[k] - j * tile) * side + x[k] - i * tile).astype(np.int32)
-                    rows.append((t.tx, t.ty, t.tx + i, t.ty + j, there.tobytes(), numbers.tobytes(), there.tobytes() + np.round(numbers, 9).tobytes(), True))
+                    there = ((y[k] - j * tile) * side + x[k] - i * tile).astype(np.int32).tobytes()
+                    new[t.tx + i, t.ty + j] = there, out[gone[k]].tobytes(), there + np.round(out[gone[k]], 9).tobytes()
+            for to in tiles.keys() & (new.keys() | sent[at].keys()):
+                if new.get(to, none)[2] != sent[at].get(to, none)[2]:
+                    due[to] = min(due.get(to, INFINITY), first(new.get(to, none), sent[at].get(to, none)))
+                got[to].pop(at, None)
+                if to in new:
+                    got[to][at] = new[to]
+            # What a tile that has run again sends takes the place of all that it sent before.
+            sent[at] = new
+        rows = [(*at, *at, *value, None, False, False) for at, value in values.items()]
+        for at in tiles:
+            for to in sent[at].keys() | before[at].keys():
+                message = sent[at].get(to, none)
+                rows.append((*at, *to, *message, True, to not in tiles and message[2] != before[at].get(to, none)[2]))
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     spark = cells.sparkSession
-    leaving = stored(spark.createDataFrame([], f"{_DONE}, round int"))
-    changed, values, number = None, [], 0
+    leaving = stored(spark.createDataFrame([], _DONE))
+    changed, values, number = placed.select("tx", "ty"), [], 0
     while True:
-        todo, given = placed, leaving
-        if changed is not None:
-            todo, given = (df.join(changed, ["tx", "ty"], "left_semi") for df in (placed, leaving))
-        done = stored(todo.groupBy("tx", "ty").cogroup(given.groupBy("tx", "ty")).applyInArrow(run, _DONE).withColumn("round", F.lit(number)))
+        groups = changed.select(*group("tx", "ty")).distinct()
+        # Each group gets what its tiles have sent and what they were sent, and the names of those to run.
+        both = leaving.select("*", F.explode(F.array_distinct(F.array(F.struct(*group("fx", "fy")), F.struct(*group("tx", "ty"))))).alias("g")).select(*names[:7], "g.*")
+        marked = changed.select(F.col("tx").alias("fx"), F.col("ty").alias("fy"), "tx", "ty", *(F.lit(None).cast("binary").alias(c) for c in names[4:7]), *group("tx", "ty"))
+        given = both.join(groups, ["gx", "gy"], "left_semi").unionByName(marked)
+        todo = placed.select("*", *group("tx", "ty")).join(groups, ["gx", "gy"], "left_semi")
+        done = stored(todo.groupBy("gx", "gy").cogroup(given.groupBy("gx", "gy")).applyInArrow(run, _DONE).withColumn("round", F.lit(number)))
         values.append(done.where("not leaving"))
         if len(values) >= ROUNDS_APART:
             values = [stored(_latest(values))]
-        new = done.where("leaving")
-        was, after = (df.select("fx", "fy", "tx", "ty", F.col("mark").alias(m)) for df, m in ((leaving, "was"), (new, "is")))
-        if changed is None:
-            kept = new
-        else:
-            # What a tile that has run again sends takes the place of all that it sent before.
-            ran = changed.select(F.col("tx").alias("fx"), F.col("ty").alias("fy"))
-            was = was.join(ran, ["fx", "fy"], "left_semi")
-            kept = new.union(leaving.join(ran, ["fx", "fy"], "left_anti").select(*new.columns))
-        other = was.join(after, ["fx", "fy", "tx", "ty"], "full").where(~F.col("was").eqNullSafe(F.col("is")))
-        changed = stored(other.select("tx", "ty").distinct())
+        others = leaving.select("*", *group("fx", "fy")).join(groups, ["gx", "gy"], "left_anti").select(*names)
+        changed = stored(done.where("fresh").select("tx", "ty").distinct())
         if changed.isEmpty():
             break
-        leaving, number = stored(kept), number + 1
+        old, leaving, number = leaving, stored(done.where("leaving and places is not null").select(*names).union(others)), number + 1
+        emptied(old)
 
     def unpack(batches):
         for batch in batches:
@@ -207,6 +245,7 @@ class Tile:
     state: np.ndarray
     bands: dict[str, np.ndarray]
     own: np.ndarray
+    last: np.ndarray | None = None  # what its work keeps for when it runs again in the same task
 
     @classmethod
     def of(cls, row: dict, bands: list[str], tile: int) -> Tile:
@@ -251,9 +290,16 @@ def cost_distance(cells: DataFrame, spec: GridSpec, source: str, cost: str, maxi
     def work(t: Tile, arrivals: np.ndarray) -> np.ndarray:
         # Null costs can't be entered. What arrives includes the step into its cell.
         price = np.where(t.state == VALUED, t.bands["cost"], np.nan)
-        best = np.where(t.own & (t.state == VALUED), arrivals, INFINITY)
-        best[t.own & (t.bands["source"] == 1)] = 0.0
-        now = np.flatnonzero(best < INFINITY)
+        if t.last is None:
+            t.last = np.full(len(price), INFINITY)
+            arrivals = np.where(t.own & (t.bands["source"] == 1), 0.0, arrivals)
+            enter = t.own & ((t.state == VALUED) | (arrivals == 0))
+        else:
+            # What arrives only gets less, so a tile goes on from its last values.
+            enter = t.own & (t.state == VALUED)
+        best = t.last
+        now = np.flatnonzero(enter & (arrivals < best))
+        best[now] = arrivals[now]
         while len(now):
             to = (now[:, None] + t.steps).ravel()
             new = (best[now][:, None] + price[now[:, None] + t.steps] * length).ravel()
@@ -266,7 +312,7 @@ def cost_distance(cells: DataFrame, spec: GridSpec, source: str, cost: str, maxi
         return np.where(best < INFINITY, best, np.nan)
 
     base = cells.select("x", "y", F.col(cost).cast("double").alias("cost"), F.coalesce(F.col(source), F.lit(False)).cast("double").alias("source"))
-    out = _rounds(base, tile, ["cost", "source"], work, np.minimum, INFINITY).withColumnRenamed("value", "distance")
+    out = _rounds(base, spec, tile, ["cost", "source"], work, np.minimum, INFINITY).withColumnRenamed("value", "distance")
     return out if maximum is None else out.withColumn("distance", F.when(F.col("distance") <= maximum, F.col("distance")))
 
 
@@ -338,7 +384,7 @@ def flow_accumulation(cells: DataFrame, spec: GridSpec, algorithm: str = "mfd",
         flow[~t.own & (flow == 0)] = np.nan
         return flow
 
-    return _rounds(_weighed(cells, value, weight), tile, ["z", "w"], work, np.add, 0.0).withColumnRenamed("value", "accumulation")
+    return _rounds(_weighed(cells, value, weight), spec, tile, ["z", "w"], work, np.add, 0.0).withColumnRenamed("value", "accumulation")
 
 
 def flow_length(cells: DataFrame, spec: GridSpec, upstream: bool = False, value: str = "value", weight: str | None = None, tile: int = 256) -> DataFrame:
@@ -364,4 +410,4 @@ def flow_length(cells: DataFrame, spec: GridSpec, upstream: bool = False, value:
         length[~t.own & (length == 0)] = np.nan
         return length
 
-    return _rounds(_weighed(cells, value, weight), tile, ["z", "w"], work, np.maximum, 0.0).withColumnRenamed("value", "length")
+    return _rounds(_weighed(cells, value, weight), spec, tile, ["z", "w"], work, np.maximum, 0.0).withColumnRenamed("value", "length")

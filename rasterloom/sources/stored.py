@@ -23,7 +23,14 @@ def stored(df: DataFrame) -> DataFrame:
     """df written out and read back: later plans start from its files, and every reader sees the same rows."""
     path = f"{shared_folder(df.sparkSession)}/grid-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def emptied(df: DataFrame) -> None:
+    """Empties a table made by stored(), once nothing reads it any more."""
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df.stored_path)
 
 
 def created_table(df: DataFrame) -> DataFrame:

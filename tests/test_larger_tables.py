@@ -63,6 +63,29 @@ def test_tiles_travel_packed(spark):
     assert len(got) == 77 and all(got[p] is None if p not in want else math.isclose(got[p], want[p], abs_tol=1e-9) for p in got)
 
 
+@pytest.mark.parametrize("group", [16, 64, 1 << 20])
+def test_ways_over_many_rounds(spark, monkeypatch, group):
+    """The only source lies at one end, and rounds are put together every two: a union by place met columns in another order."""
+    monkeypatch.setattr(spread, "GROUP_CELLS", group, raising=False)
+    monkeypatch.setattr(spread, "ROUNDS_APART", 2)
+    price = {(x, y): 1.0 + (7 * x + 3 * y * y) % 11 for x in range(6) for y in range(18)}
+    cells = spark.createDataFrame([(x, y, v, (x, y) == (2, 0), 100.0 - y - x % 2) for (x, y), v in price.items()], "x int, y int, v double, s boolean, z double")
+    best = {(2, 0): 0.0}
+    for _ in range(len(price)):
+        for x, y in price:
+            for a, b in ((x + i, y + j) for i, j in spread.AROUND):
+                if (a, b) in best:
+                    best[x, y] = min(best.get((x, y), math.inf), best[a, b] + price[x, y] * math.dist((x, y), (a, b)))
+        if len(best) == len(price) and all(best[p] <= best[q] + price[p] * math.dist(p, q) + 1e-12 for p in price for i, j in spread.AROUND if (q := (p[0] + i, p[1] + j)) in price):
+            break
+    got = {(r.x, r.y): r.distance for r in spread.cost_distance(cells, GridSpec(6, 18), "s", "v", tile=4).collect()}
+    assert got.keys() == best.keys() and all(math.isclose(got[p], best[p], abs_tol=1e-9) for p in best)
+    if group == 16:
+        return
+    whole, parted = ({(r.x, r.y): r.accumulation for r in spread.flow_accumulation(cells, GridSpec(6, 18), value="z", tile=tile).collect()} for tile in (32, 4))
+    assert whole.keys() == parted.keys() and all(math.isclose(whole[p], parted[p], abs_tol=1e-9) for p in whole)
+
+
 def test_index_is_shuffled_once(spark, monkeypatch):
     """Only the deal into ranges moves entries: a document's are put together in its own row."""
     plans = []
