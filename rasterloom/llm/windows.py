@@ -9,10 +9,11 @@ Equal windows have equal minimisers, so
    minimiser's bucket, where their windows are compared exactly;
 3. the answers return to the blocks, which mark the units.
 
-A minimiser that very many places share would make one bucket large: its windows travel one by one
+A minimiser of very many different super-windows would make one bucket large: its windows travel one by one
 instead, as strings dealt by their own hash, so they spread out, and equal ones are one string a block.
 What a task holds is a block or a bucket; their number, not their size, grows with the input. A block sends
-one row to each bucket that it has something for, so rows are never more than minimisers.
+one row to each bucket that it has something for, so rows are never more than minimisers; as they are blocks
+times buckets, both are large, and a bucket is compared part by part.
 """
 
 from __future__ import annotations
@@ -29,14 +30,18 @@ from pyspark.sql import DataFrame
 from rasterloom.llm.common import dealt, in_blocks, mixed, shares, shingle_hashes, span_hashes, text_buffer, word_bounds
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of minimisers, and of packed strings, that a bucket should hold.
-BUCKET_BYTES = 2 << 20
-#: Occurrences from which a minimiser's windows travel one by one; their strings are compared all the same.
-HOT = 2000
+BUCKET_BYTES = 8 << 20
+#: Parts of a bucket that are compared apart, each small enough for a core's cache.
+PARTS = 32
+#: Strings, different ones of each block, from which a minimiser's windows travel one by one; they are compared all the same.
+HOT = 10_000
 #: Units looked at together; the low bits of a minimiser's key hold its place.
 PLACE_BITS = 22
-STEP = 1 << 20
+#: The low bits of a minimiser are nought; where a block counts its strings, they hold what tells these apart.
+MARK_BITS = 14
+STEP = 1 << 18
 NO_DOCUMENT = np.iinfo(np.int64).max  #: stands for a null doc_id; it's smaller than none
 
 
@@ -71,20 +76,23 @@ class Block:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[first:last], self.ends[first:last], strict=True))
 
 
-def _gram_hashes(block: Block, gram: int) -> np.ndarray:
-    """A hash for every run of `gram` units."""
+def _gram_hashes(block: Block, gram: int) -> Callable[[int, int], np.ndarray]:
+    """A hash for every run of `gram` units, from the lo-th to before the hi-th."""
     if block.starts is not None:
-        return shingle_hashes(span_hashes(block.data, block.starts, block.ends), gram)
-    data = block.data
-    if len(data) < gram:
-        return np.zeros(0, np.uint64)
-    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
-    eights = np.ascontiguousarray(eights).view("<u8").ravel()
-    n = len(data) - gram + 1
-    out = eights[:n] * np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    out += eights[gram - 8 : gram - 8 + n]
-    return mixed(out)
+        hashes = shingle_hashes(span_hashes(block.data, block.starts, block.ends), gram)
+        return lambda lo, hi: hashes[lo:hi]
+
+    def of_bytes(lo: int, hi: int) -> np.ndarray:
+        data = block.data[lo : hi + gram - 1]
+        eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+        eights = np.ascontiguousarray(eights).view("<u8").ravel()
+        n = len(data) - gram + 1
+        out = eights[:n] * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out += eights[gram - 8 : gram - 8 + n]
+        return mixed(out)
+
+    return of_bytes
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -95,30 +103,47 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - have : width - have + len(x) - width + 1]) if width > have else out
 
 
-def super_windows(block: Block, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each super-window: row, first window, number of windows, minimiser."""
+def super_windows(block: Block, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each super-window: row, first window, number of windows, minimiser, and a hash of its first and last run, which tells most strings of a minimiser apart."""
     grams = _gram_hashes(block, gram)
     width = size - gram + 1
     total = max(0, block.rows[-1] - size + 1) if len(block.rows) else 0
     none = np.zeros(0, np.int64)
+    starts, ends = block.rows[:-1], block.rows[1:]
     out = []
     for lo in range(0, total, STEP):
         hi = min(total, lo + STEP)
-        part = grams[lo : hi + width - 1]
+        part = grams(lo, hi + width - 1)
         keys = part >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)
         keys |= np.arange(len(part), dtype=np.uint64)
-        place = (_sliding_min(keys, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        first = np.arange(lo, hi)
-        row = np.searchsorted(block.rows, first, "right") - 1
-        ok = block.rows[row + 1] >= first + size
-        first, row, place = first[ok], row[ok], place[ok]
-        if not len(first):
-            continue
-        turn = np.ones(len(first), bool)
-        turn[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)
+        place = _sliding_min(keys, width) & np.uint64((1 << PLACE_BITS) - 1)
+        # The last size - 1 starts of a row make no window, so windows of two rows are never neighbours.
+        near = slice(np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi + size))
+        step = np.zeros(hi - lo + 1, np.int32)
+        np.add.at(step, np.clip(np.maximum(starts[near], ends[near] - size + 1), lo, hi) - lo, 1)
+        np.add.at(step, np.clip(ends[near], lo, hi) - lo, -1)
+        ok = np.cumsum(step[:-1]) == 0
+        same = (place[1:] == place[:-1]) & ok[1:] & ok[:-1]
+        turn, last = ok.copy(), ok
+        turn[1:] &= ~same
+        last[:-1] &= ~same
         at = np.flatnonzero(turn)
-        out.append((row[at], first[at], np.diff(np.append(at, len(first))), part[place[at]]))
-    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (none, none, none, np.zeros(0, np.uint64))
+        windows = np.flatnonzero(last) - at + 1
+        chosen = part[place[at].astype(np.int64)] >> np.uint64(MARK_BITS) << np.uint64(MARK_BITS)
+        marks = mixed(part[at] + windows.astype(np.uint64)) ^ part[at + windows + width - 2]
+        out.append((np.searchsorted(block.rows, at + lo, "right") - 1, at + lo, windows, chosen, marks))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def counted(minimisers: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct minimisers, and for each in 15 bits how many of its super-windows differ, with a bit above if it occurs more than once."""
+    both = np.sort(minimisers | marks >> np.uint64(64 - MARK_BITS))
+    hashes = both >> np.uint64(MARK_BITS) << np.uint64(MARK_BITS)
+    head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(both) else np.zeros(0, np.int64)
+    times = np.diff(np.append(head, len(both)))
+    differ = np.cumsum(np.append(True, both[1:] != both[:-1]))
+    strings = np.diff(np.append(differ[head], differ[-1] + 1)) if len(both) else times
+    return hashes[head], (strings | (times > 1) << 15).astype(np.uint16)
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -127,7 +152,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _MINIMISERS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _KINDS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("kinds", pa.binary())])
-_PACKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hot", pa.bool_()), ("lengths", pa.binary()), ("strings", pa.binary()), ("owners", pa.binary()), ("firsts", pa.binary()), ("counts", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hot", pa.bool_()), ("lengths", pa.binary()), ("parts", pa.binary()), ("strings", pa.binary()), ("owners", pa.binary()), ("firsts", pa.binary()), ("counts", pa.binary())])
 _ANSWERS = pa.schema([("block", pa.int64()), ("firsts", pa.binary()), ("windows", pa.binary()), ("answers", pa.binary())])
 _SQL = {pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
 
@@ -162,16 +187,15 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
 
     def send(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
-        hashes, counts = np.unique(super_windows(Block.of(table, words), size, gram)[3], return_counts=True)
-        counts = np.minimum(counts, 255).astype(np.uint8)
+        hashes, counts = counted(*super_windows(Block.of(table, words), size, gram)[3:])
         return _table(_MINIMISERS, [(b, number, _short(hashes[at]), counts[at].tobytes()) for b, at in shares(_dealt(hashes, buckets))])
 
     def tell(table: pa.Table) -> pa.Table:
         hashes = [_long(x.as_py()) for x in table.column("hashes")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("counts")])
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.bincount(inverse, counts)
-        kinds = ((sums > 1).astype(np.uint8) + (sums >= HOT))[inverse]
+        often = np.bincount(inverse, 1 + (counts >> 15)) > 1
+        kinds = (often.astype(np.uint8) + (often & (np.bincount(inverse, counts & 0x7FFF) >= HOT)))[inverse]
         cuts = np.cumsum([0, *map(len, hashes)])
         bucket = table.column("bucket")[0].as_py()
         return _table(_KINDS, [(b.as_py(), bucket, kinds[lo:hi].tobytes()) for b, lo, hi in zip(table.column("block"), cuts[:-1], cuts[1:], strict=True)])
@@ -181,7 +205,7 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             return _PACKED.empty_table()
         number = table.column("block")[0].as_py()
         block = Block.of(table, words)
-        row, first, windows, minimiser = super_windows(block, size, gram)
+        row, first, windows, minimiser, _ = super_windows(block, size, gram)
         distinct = np.unique(minimiser)
         kind = np.zeros(len(distinct), np.uint8)
         mine = dict(shares(_dealt(distinct, buckets)))
@@ -211,12 +235,13 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
             if by_document:
                 value = np.full(len(heads), NO_DOCUMENT)
                 np.minimum.at(value, owner, block.ids[r])
-            goes = _dealt(keys, packed_buckets)
+            parts = _dealt(keys, packed_buckets * PARTS)
+            goes = parts // PARTS
             place = np.empty(len(goes), np.int64)
             for (b, mine), (_, uses) in zip(shares(goes), shares(goes[owner]), strict=True):
                 place[mine] = np.arange(len(mine))
                 text = [strings[j] for j in mine.tolist()]
-                rows.append((b, number, hot, _squeezed(np.array([len(t) for t in text], np.int32)), _squeezed(b"".join(text)), _squeezed(place[owner[uses]].astype(np.int32)), _squeezed(np.diff(f[uses], prepend=0).astype(np.int32)), _squeezed(value[mine])))
+                rows.append((b, number, hot, _squeezed(np.array([len(t) for t in text], np.int32)), _squeezed((parts[mine] % PARTS).astype(np.uint8)), _squeezed(b"".join(text)), _squeezed(place[owner[uses]].astype(np.int32)), _squeezed(np.diff(f[uses], prepend=0).astype(np.int32)), _squeezed(value[mine])))
         return _table(_PACKED, rows)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -236,7 +261,14 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
                 for n in cut.tolist():
                     same[k] = found.setdefault(blob[at : at + n], len(found))
                     at, k = at + n, k + 1
-            strings = list(found)
+            # Windows of one string are answered together, and strings part by part.
+            of = np.empty(len(found), np.uint8)
+            of[same] = np.concatenate(column("parts", np.uint8))
+            order = np.argsort(of, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            same, strings = rank[same], list(found)
+            strings = [strings[k] for k in order.tolist()]
             value = np.zeros(len(strings), np.int64)
             if by_document:
                 value[:] = NO_DOCUMENT
@@ -247,7 +279,8 @@ def repeated(docs: DataFrame, *, words: bool, size: int, gram: int, by_document:
                 windows, answers = np.ones(len(strings), np.int64), value
             else:
                 windows = np.array([(s.count(b" ") + 1 if words else len(s)) - size + 1 for s in strings])
-                answers = compare(strings, windows, value)
+                ends = np.flatnonzero(np.diff(of[order].astype(np.int64), append=-1)) + 1
+                answers = np.concatenate([compare(strings[lo:hi], windows[lo:hi], value[lo:hi]) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
             begins = np.concatenate([[0], np.cumsum(windows)])
             cuts = np.cumsum([0, *sizes])
             for b, lo, hi, owner, first in zip(part.column("block").to_pylist(), cuts[:-1], cuts[1:], column("owners", np.int32), column("firsts", np.int32), strict=True):
@@ -288,8 +321,8 @@ def _restored(data: bytes) -> bytes:
 
 
 def _short(hashes: np.ndarray) -> bytes:
-    """The low 40 bits of each hash. In a bucket, whose size is fixed, they hardly ever agree by chance, and if so some windows more are compared."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """40 bits of each hash, others than those that deal it. In a bucket, whose size is fixed, they hardly ever agree by chance, and if so some windows more are compared."""
+    return mixed(hashes).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
 def _long(data: bytes) -> np.ndarray:

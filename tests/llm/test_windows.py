@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from rasterloom.llm import substring_dedup, suffix_dedup, windows
@@ -63,6 +65,44 @@ def test_bytes(spark, hot, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 50)
 
 
+class Steps:
+    """Stands for a DataFrame and keeps the functions of its steps."""
+
+    def __init__(self):
+        self.kept = []
+
+    def groupBy(self, *_):  # noqa: N802
+        return self
+
+    def cogroup(self, _):
+        return self
+
+    def applyInArrow(self, f, _):  # noqa: N802
+        self.kept.append(f)
+        return self
+
+
+def test_common_line_is_one_string_a_block(monkeypatch):
+    """Places don't make a minimiser hot, only different strings do; and what blocks send to buckets, a row for each of both, stays few."""
+    steps = Steps()
+    monkeypatch.setattr(windows, "in_blocks", lambda *_: (steps, 2, 20_000))
+    monkeypatch.setattr(windows, "dealt", lambda df, *_: df)
+    monkeypatch.setattr(windows, "HOT", 20)
+    windows.repeated(None, words=False, size=50, gram=16, by_document=True, compare=suffix_dedup._smallest(50), finish=lambda block, firsts, owners: (block.ids, firsts, owners), result="")
+    send, tell, pack, meet, settle = steps.kept
+    line = "".join(random.Random(5).choice("abcdefgh ") for _ in range(300))
+    blocks = [pa.table({"doc_id": [30 * b + k for k in range(30)], "text": [line] * 30, "block": [b] * 30}) for b in (0, 1)]
+    sent = pa.concat_tables([send(b) for b in blocks])
+    kinds = pa.concat_tables([tell(sent.filter(pc.equal(sent.column("bucket"), k))) for k in set(sent.column("bucket").to_pylist())])
+    packed = pa.concat_tables([pack(b, kinds.filter(pc.equal(kinds.column("block"), k))) for k, b in enumerate(blocks)])
+    assert sum(len(windows._restored(x)) for x in packed.column("strings").to_pylist()) < 2 * 10 * len(line)
+    answers = pa.concat_tables([meet(packed.filter(pc.equal(packed.column("bucket"), k))) for k in set(packed.column("bucket").to_pylist())])
+    for k, block in enumerate(blocks):
+        ids, firsts, owners = settle(block, answers.filter(pc.equal(answers.column("block"), k)))
+        assert sorted(firsts.tolist()) == [300 * d + i for d in range(30) for i in range(251)] and not owners.any()
+    assert (10e9 / windows.BLOCK_BYTES) * (10e9 / windows.BUCKET_BYTES) < 2e6
+
+
 def test_other_columns_and_empty_tables(spark):
     rows = [(1, "a b " * 40), (2, "c")]
     for module, count in ((substring_dedup, "n_words"), (suffix_dedup, "n_bytes")):
